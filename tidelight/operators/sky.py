@@ -77,27 +77,33 @@ def _box_far() -> Column:
 
 
 def nearest_in_cone(
-    points: DataFrame, catalog: DataFrame, radius_arcsec: float, order: Sequence[str]
+    points: DataFrame,
+    catalog: DataFrame,
+    radius_arcsec: float,
+    order: Sequence[str],
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Nearest catalog row within the (inclusive) radius, per distinct position of ``points``.
 
     ``points`` needs ra, dec; ``catalog`` needs ra, dec and the ``order`` columns that
-    decide ties. Output: ra, dec, ``sep`` and the catalog columns prefixed ``m_``.
-    Copies of a catalog position keep their first row only.
+    decide ties. Output: ra, dec, ``sep`` and the catalog columns prefixed ``m_``, one row
+    per position, or per position and value of the catalog columns ``by``. Copies of a
+    catalog position keep their first row only.
 
     Inside a cell the catalog is split once more into sub-cells. A position first picks the
     sub-cells that can hold its nearest row, by the bounds of their extents, and meets only
     the rows of those: crowded cells do not produce all pairs.
     """
-    payload = [c for c in catalog.columns if c not in ("ra", "dec")]
-    first = catalog.where(F.col("ra").isNotNull() & F.col("dec").isNotNull()).groupBy("ra", "dec").agg(
+    by = list(by)
+    payload = [c for c in catalog.columns if c not in ("ra", "dec", *by)]
+    first = catalog.where(F.col("ra").isNotNull() & F.col("dec").isNotNull()).groupBy("ra", "dec", *by).agg(
         F.min_by(F.struct(*payload), F.struct(*order)).alias("_m")
     )
     sub = ["_sx", "_sy", "_sz"]
     first = with_cell(with_cell(first, radius_arcsec), radius_arcsec / 8.0, sub)
     for axis, expr in zip("xyz", _xyz()):
         first = first.withColumn(f"_{axis}", expr)
-    boxes = first.groupBy(*CELL, *sub).agg(
+    boxes = first.groupBy(*CELL, *sub, *by).agg(
         *[F.min(f"_{a}").alias(f"_{a}0") for a in "xyz"],
         *[F.max(f"_{a}").alias(f"_{a}1") for a in "xyz"],
     )
@@ -106,27 +112,27 @@ def nearest_in_cone(
         pos = pos.withColumn(f"_p{axis}", expr)
     limit = (_chord(radius_arcsec) * (1 + 1e-7)) ** 2
     cand = salted_join(pos, with_neighbours(boxes), CELL, F.struct("ra", "dec")).select(
-        "ra", "dec", *sub, _box_near().alias("_near"), _box_far().alias("_far")
+        "ra", "dec", *by, *sub, _box_near().alias("_near"), _box_far().alias("_far")
     ).where(F.col("_near") <= limit)
-    best = cand.groupBy("ra", "dec").agg(
+    # one entry per sub-cell, and a neighbourhood has a fixed number of sub-cells
+    best = cand.groupBy("ra", "dec", *by).agg(
         F.min("_far").alias("_best"), F.collect_list(F.struct("_near", *sub)).alias("_boxes")
     )
-    # one box per sub-cell, at most a fixed number of sub-cells per neighbourhood: bounded list
     slack = F.col("_best") * (1 + 1e-7) + 1e-22
     best = best.select(
-        "ra", "dec",
+        "ra", "dec", *by,
         F.explode(F.filter("_boxes", lambda b: b["_near"] <= slack)).alias("_b"),
-    ).select("ra", "dec", *[F.col(f"_b.{c}").alias(c) for c in sub])
-    rows = first.select(*sub, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_m")
-    pairs = salted_join(best, rows, sub, F.struct("ra", "dec"))
+    ).select("ra", "dec", *by, *[F.col(f"_b.{c}").alias(c) for c in sub])
+    rows = first.select(*sub, *by, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_m")
+    pairs = salted_join(best, rows, [*sub, *by], F.struct("ra", "dec"))
     sep = separation_arcsec(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec"))
     pairs = pairs.withColumn("sep", sep).where(F.col("sep") <= radius_arcsec)
     key = F.struct(F.col("sep"), *[F.col(f"_m.{o}") for o in order])
-    picked = pairs.groupBy("ra", "dec").agg(
+    picked = pairs.groupBy("ra", "dec", *by).agg(
         F.min_by(F.struct("sep", "_ra", "_dec", "_m"), key).alias("_h")
     )
     return picked.select(
-        "ra", "dec", F.col("_h.sep").alias("sep"),
+        "ra", "dec", *[F.col(c).alias(f"m_{c}") for c in by], F.col("_h.sep").alias("sep"),
         F.col("_h._ra").alias("m_ra"), F.col("_h._dec").alias("m_dec"),
         *[F.col(f"_h._m.{c}").alias(f"m_{c}") for c in payload],
     )
@@ -137,7 +143,7 @@ def cone_join(
 ) -> DataFrame:
     """``points`` with their nearest catalog row within the radius (NULL if none)."""
     hits = nearest_in_cone(points, catalog, radius_arcsec, order)
-    return points.join(hits, ["ra", "dec"], how)
+    return salted_join(points, hits, ["ra", "dec"], F.struct(*points.columns), how)
 
 
 def cone_aggregate(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import series_queries, time_queries
+from . import series_queries, sky_queries, time_queries
 
-MODULES = [series_queries, time_queries]
+MODULES = [series_queries, time_queries, sky_queries]
 
 
 def all_queries():
