@@ -5,9 +5,11 @@ from __future__ import annotations
 import glob
 import math
 import os
+import time
 
 import duckdb
 
+T: list[float] = []  # seconds of the Spark and of the SQL side
 ROOT = os.environ.get("TESTDATA_DIR", "/root/testdata")
 
 
@@ -34,9 +36,11 @@ KIND = {
 
 
 def compare(spark, con, fn, sql: str, sf: str) -> tuple[bool, str]:
+    start = time.time()
     df = fn(spark, f"{ROOT}/{sf}")
     cols = sorted(df.columns)
     got = sorted(tuple(_norm(v) for v in row) for row in df.select(*cols).collect())
+    T.append(time.time() - start)
     rel = con.sql(sql)
     want_cols = sorted(rel.columns)
     if cols != want_cols:
@@ -46,6 +50,7 @@ def compare(spark, con, fn, sql: str, sf: str) -> tuple[bool, str]:
     bad = [c for c in cols if KIND.get(st[c], st[c]) != KIND.get(dt[c], dt[c])]
     order = [rel.columns.index(c) for c in cols]
     want = sorted(tuple(_norm(r[i]) for i in order) for r in rel.fetchall())
+    T.append(time.time() - start - T[0])
     if bad:
         return False, f"types {[(c, st[c], dt[c]) for c in bad]}"
     if len(got) != len(want):

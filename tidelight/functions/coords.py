@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- Fixed values ----
@@ -57,80 +57,107 @@ def _fraction_digits(block: Column) -> Column:
     return F.length(F.regexp_extract(block, r"\.(\d+)$", 1))
 
 
-def ra_block(block: Column) -> list[Column]:
-    """Right-ascension digits to (hours, seconds of time per last-digit step)."""
-    whole = F.substring_index(block, ".", 1)
-    step = F.pow(F.lit(10.0), -_fraction_digits(block).cast("double"))
-    hh = _num(F.substring(block, 1, 2))
-    mm = _num(F.substring(block, 3, 2))
-    mm_frac = _num(F.substring(block, 3, 64))
-    ss_frac = _num(F.substring(block, 5, 64))
-    four = (F.length(whole) == 4) & (hh <= 24) & (mm_frac <= 60)
-    six = (F.length(whole) == 6) & (hh <= 24) & (mm <= 60) & (ss_frac <= 60)
-    hours = F.when(four, hh + mm_frac / 60.0).when(six, hh + mm / 60.0 + ss_frac / 3600.0)
-    return [hours, F.when(four, 60.0 * step).when(six, step)]
-
-
-def dec_block(sign: Column, block: Column) -> list[Column]:
-    """Declination digits to (degrees, arcsec per last-digit step)."""
-    whole = F.substring_index(block, ".", 1)
-    n = F.length(whole)
-    field = lambda i, k: _num(F.substring(whole, i, k))
-    tail = lambda i: _num(F.substring(block, i, 64))
+def with_j_position(df: DataFrame, name: str, out: str = "j") -> DataFrame:
+    """Adds struct(ra, dec, precision) of a J-style name, NULL where none can be read.
+
+    RA digits are HHMM or HHMMSS, optionally with a fraction; declination digits are DD,
+    DDd, DDMM, DDMMm or DDMMSS. ``precision`` is the coarser of the two last-digit steps in
+    arcsec. Built in stages so that no expression is repeated inside another.
+    """
+    df = df.withColumns(
+        {n: F.regexp_extract(name, J_NAME, i) for i, n in enumerate(("_rb", "_sg", "_db"), 1)}
+    )
+    df = df.withColumns(
+        {
+            "_rn": F.length(F.substring_index("_rb", ".", 1)),
+            "_rstep": F.pow(F.lit(10.0), -_fraction_digits(F.col("_rb")).cast("double")),
+            "_hh": _num(F.substring("_rb", 1, 2)),
+            "_mm": _num(F.substring("_rb", 3, 2)),
+            "_mf": _num(F.substring("_rb", 3, 64)),
+            "_sf": _num(F.substring("_rb", 5, 64)),
+            "_dn": F.length(F.substring_index("_db", ".", 1)),
+            "_d1": _num(F.substring("_db", 1, 2)),
+            "_d3": _num(F.substring("_db", 3, 1)),
+            "_d34": _num(F.substring("_db", 3, 2)),
+            "_d5": _num(F.substring("_db", 5, 1)),
+            "_df": _num(F.substring("_db", 3, 64)),
+            "_ds": _num(F.substring("_db", 5, 64)),
+        }
+    )
+    hh, mm, mf, sf = (F.col(c) for c in ("_hh", "_mm", "_mf", "_sf"))
+    four = (F.col("_rn") == 4) & (hh <= 24) & (mf <= 60)
+    six = (F.col("_rn") == 6) & (hh <= 24) & (mm <= 60) & (sf <= 60)
+    n, d1, d34 = F.col("_dn"), F.col("_d1"), F.col("_d34")
     size = (
-        F.when(n == 2, field(1, 2))
-        .when(n == 3, field(1, 2) + field(3, 1) / 10.0)
-        .when((n == 4) & (tail(3) <= 60), field(1, 2) + tail(3) / 60.0)
-        .when((n == 5) & (field(3, 2) < 60), field(1, 2) + (field(3, 2) + field(5, 1) / 10.0) / 60.0)
-        .when(
-            (n == 6) & (field(3, 2) <= 60) & (tail(5) <= 60),
-            field(1, 2) + field(3, 2) / 60.0 + tail(5) / 3600.0,
-        )
+        F.when(n == 2, d1)
+        .when(n == 3, d1 + F.col("_d3") / 10.0)
+        .when((n == 4) & (F.col("_df") <= 60), d1 + F.col("_df") / 60.0)
+        .when((n == 5) & (d34 < 60), d1 + (d34 + F.col("_d5") / 10.0) / 60.0)
+        .when((n == 6) & (d34 <= 60) & (F.col("_ds") <= 60), d1 + d34 / 60.0 + F.col("_ds") / 3600.0)
     )
-    size = F.when(size <= 90, size)
     step = F.lit(None).cast("double")
     for digits, arcsec in DEC_STEP.items():
         step = F.when(n == digits, arcsec).otherwise(step)
-    return [F.when(sign == "-", -size).otherwise(size), step]
-
-
-def j_name_position(name: Column) -> Column:
-    """struct(ra, dec, precision) of a J-style name, NULL where none can be read."""
-    part = lambda i: F.regexp_extract(name, J_NAME, i)
-    hours, ra_step = ra_block(part(1))
-    dec, dec_step = dec_block(part(2), part(3))
-    on_sky = F.abs(ra_step * 15.0 * F.cos(F.radians(dec)))
+    df = df.withColumns(
+        {
+            "_hours": F.when(four, hh + mf / 60.0).when(six, hh + mm / 60.0 + sf / 3600.0),
+            "_tstep": F.when(four, 60.0 * F.col("_rstep")).when(six, F.col("_rstep")),
+            "_size": size,
+            "_dstep": step,
+        }
+    )
+    df = df.withColumn("_ok", F.col("_hours").isNotNull() & (F.col("_size") <= 90))
+    on_sky = F.abs(F.col("_tstep") * 15.0 * F.cos(F.radians("_size")))
     pos = F.struct(
-        F.pmod(hours * 15.0, F.lit(360.0)).alias("ra"), dec.alias("dec"),
-        F.greatest(on_sky, dec_step).alias("precision"),
+        F.pmod(F.col("_hours") * 15.0, F.lit(360.0)).alias("ra"),
+        F.when(F.col("_sg") == "-", -F.col("_size")).otherwise(F.col("_size")).alias("dec"),
+        F.greatest(on_sky, F.col("_dstep")).alias("precision"),
+    )
+    df = df.withColumn(out, F.when(F.col("_ok"), pos))
+    return df.drop(
+        "_rb", "_sg", "_db", "_rn", "_rstep", "_hh", "_mm", "_mf", "_sf", "_dn", "_d1", "_d3",
+        "_d34", "_d5", "_df", "_ds", "_hours", "_tstep", "_size", "_dstep", "_ok",
     )
-    return F.when(name.rlike(J_NAME) & hours.isNotNull() & dec.isNotNull(), pos)
 
 
-def plain_name_candidates(name: Column) -> Column:
-    """Array of struct(ra, dec, label): readings of a catalog name without J."""
-    text = F.trim(name)
-    part = lambda i: F.regexp_extract(text, PLAIN_NAME, i)
-    hh, mm, dd = _num(part(1)), _num(part(2)), part(4)
-    whole = F.substring_index(dd, ".", 1)
-    n = F.length(whole)
-    ra = F.pmod((hh + mm / 60.0) * 15.0, F.lit(360.0))
-    valid = text.rlike(PLAIN_NAME) & (hh <= 24) & (mm <= 60)
+def with_plain_candidates(df: DataFrame, name: str, out: str = "c") -> DataFrame:
+    """Adds an array of struct(ra, dec, label): every reading of a catalog name without J.
+
+    Two declination digits are whole degrees; three may be tenths or a surplus digit, so
+    both readings are kept.
+    """
+    df = df.withColumn("_t", F.trim(F.col(name)))
+    df = df.withColumns(
+        {n: F.regexp_extract("_t", PLAIN_NAME, i) for i, n in enumerate(("_h", "_m", "_s", "_d"), 1)}
+    )
+    df = df.withColumns(
+        {
+            "_hh": _num(F.col("_h")), "_mm": _num(F.col("_m")), "_dd": _num(F.col("_d")),
+            "_n": F.length(F.substring_index("_d", ".", 1)), "_d2": _num(F.substring("_d", 1, 2)),
+            "_f": F.when(F.col("_s") == "-", -1.0).otherwise(1.0),
+        }
+    )
+    df = df.withColumns(
+        {
+            "_ok": (F.col("_hh") <= 24) & (F.col("_mm") <= 60),
+            "_ra": F.pmod((F.col("_hh") + F.col("_mm") / 60.0) * 15.0, F.lit(360.0)),
+        }
+    )
 
     def reading(cond, size, label):
-        dec = F.when(part(3) == "-", -size).otherwise(size)
         return F.when(
-            valid & cond & (size <= 90),
-            F.struct(ra.alias("ra"), dec.alias("dec"), F.lit(label).alias("label")),
+            F.col("_ok") & cond & (size <= 90),
+            F.struct(F.col("_ra").alias("ra"), (F.col("_f") * size).alias("dec"), F.lit(label).alias("label")),
         )
 
-    return F.array_compact(
-        F.array(
-            reading(n == 2, _num(dd), "whole-degree"),
-            reading(n == 3, _num(dd) / 10.0, "tenths-of-degree"),
-            reading(n == 3, _num(F.left(whole, F.lit(2))), "whole-degree-truncated"),
-        )
+    two, three = F.col("_n") == 2, F.col("_n") == 3
+    found = F.array(
+        reading(two, F.col("_dd"), "whole-degree"),
+        reading(three, F.col("_dd") / 10.0, "tenths-of-degree"),
+        reading(three, F.col("_d2"), "whole-degree-truncated"),
     )
+    df = df.withColumn(out, F.array_compact(found))
+    return df.drop("_t", "_h", "_m", "_s", "_d", "_hh", "_mm", "_dd", "_n", "_d2", "_f", "_ok", "_ra")
 
 
 def short_j_position(name: Column) -> Column:

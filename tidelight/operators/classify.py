@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SkyConfig
-from ..functions.coords import j_name_position, plain_name_candidates
+from ..functions.coords import with_j_position, with_plain_candidates
 from ..functions.names import name_variants
+from ..session import cut_lineage
 from .skew import salted_join
 from .sky import nearest_in_cone
 
@@ -73,7 +74,7 @@ def resolve_direct(names: DataFrame, catalogs: DataFrame, cfg: SkyConfig = SkyCo
     A precise J-name is taken as it is. Coarse ones, and the readings of catalog names,
     count only if a catalog row lies within the sanity radius, whose position is adopted.
     """
-    reads = _readings(names).withColumn("j", j_name_position(F.col("name")))
+    reads = cut_lineage(with_j_position(_readings(names), "name"))
     precise = F.coalesce(F.col("j.precision") <= cfg.match_radius_arcsec, F.lit(False))
     direct = reads.where(precise).select(
         "src", F.struct("which", F.lit(0).alias("step"), F.lit(0.0).alias("sep"), F.lit(0).alias("i")).alias("rank"),
@@ -83,10 +84,10 @@ def resolve_direct(names: DataFrame, catalogs: DataFrame, cfg: SkyConfig = SkyCo
         "src", "which", F.lit(1).alias("step"), F.lit(0).alias("i"), F.col("j.ra").alias("ra"),
         F.col("j.dec").alias("dec"), F.lit("name, confirmed").alias("how"),
     )
-    plain = reads.where(~precise).select(
-        "src", "which", F.lit(2).alias("step"), F.posexplode(plain_name_candidates(F.col("name"))).alias("i", "c")
+    plain = with_plain_candidates(reads.where(~precise), "name", "cs").select(
+        "src", "which", F.lit(2).alias("step"), F.posexplode("cs").alias("i", "c")
     ).select("src", "which", "step", "i", F.col("c.ra").alias("ra"), F.col("c.dec").alias("dec"), F.col("c.label").alias("how"))
-    cand = coarse.unionByName(plain)
+    cand = cut_lineage(coarse.unionByName(plain))
     hits = nearest_in_cone(
         cand, catalogs.select("ra", "dec", "priority", "row_idx"), cfg.sanity_radius_arcsec,
         ["priority", "row_idx"],
@@ -110,7 +111,8 @@ STEM = r"^(.*?\D\d{2}\d{2}(?:\.\d+)?[+-]\d{2})"
 def resolve_by_index(names: DataFrame, index: DataFrame, cfg: SkyConfig = SkyConfig()) -> DataFrame:
     """Positions from a name index (name, main_id, ra, dec, pos): exact name, cone around a
     J-name guess, alias spellings, then a wildcard that fits exactly one object."""
-    reads = _readings(names)
+    reads = cut_lineage(with_j_position(_readings(names), "name"))
+    index = cut_lineage(index)
     entry = index.groupBy("name").agg(F.min_by(F.struct("ra", "dec"), "pos").alias("e"))
 
     def found(df, step, i, how):
@@ -120,7 +122,7 @@ def resolve_by_index(names: DataFrame, index: DataFrame, cfg: SkyConfig = SkyCon
         )
 
     exact = found(salted_join(reads, entry, ["name"], F.col("src")), 0, F.lit(0), "index, exact")
-    hints = reads.withColumn("j", j_name_position(F.col("name"))).where("j IS NOT NULL").select(
+    hints = reads.where("j IS NOT NULL").select(
         "src", "which", F.col("j.ra").alias("ra"), F.col("j.dec").alias("dec"),
         F.least(
             F.greatest("j.precision", F.lit(cfg.name_index_min_radius_arcsec)), F.lit(cfg.sanity_radius_arcsec)
@@ -154,9 +156,11 @@ def classify(
     dec, type, ppulse, msp, xtype (evidence NULL where a catalog has none). ``index``:
     name, main_id, ra, dec, otype, pos.
     """
-    direct = resolve_direct(names, catalogs, cfg)
+    # every stage is read several times by the next one, so each is materialised once
+    names = cut_lineage(names)
+    direct = cut_lineage(resolve_direct(names, catalogs, cfg))
     rest = names.join(direct.select("src"), "src", "left_anti")
-    placed = direct.unionByName(resolve_by_index(rest, index, cfg))
+    placed = cut_lineage(direct.unionByName(resolve_by_index(rest, index, cfg)))
     pts = placed.select(F.col("r_ra").alias("ra"), F.col("r_dec").alias("dec")).distinct()
     hits = nearest_in_cone(
         pts, catalogs.drop("priority"), cfg.match_radius_arcsec, ["row_idx"], by=["cat"]

@@ -7,6 +7,7 @@ join: a group of copies is matched once, whatever its size.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -37,13 +38,17 @@ def with_cell(df: DataFrame, radius_arcsec: float, names: Sequence[str] = CELL)
     return df
 
 
-def with_neighbours(df: DataFrame, names: Sequence[str] = CELL, reach: int = 1) -> DataFrame:
-    """One row per cell around each row's cell, its own included."""
-    for name in names:
-        df = df.withColumn(
-            name, F.explode(F.sequence(F.col(name) - reach, F.col(name) + reach))
-        )
-    return df
+def with_neighbours(df: DataFrame, names: Sequence[str] = CELL) -> DataFrame:
+    """One row per cell around each row's cell, its own included: a single 27-fold explode."""
+    steps = [
+        F.struct(*[F.lit(d).alias(n) for n, d in zip(names, offset)])
+        for offset in itertools.product((-1, 0, 1), repeat=3)
+    ]
+    out = df.withColumn("_off", F.explode(F.array(*steps)))
+    return out.select(
+        *[c for c in df.columns if c not in names],
+        *[(F.col(n) + F.col(f"_off.{n}")).alias(n) for n in names],
+    )
 
 
 def _distinct_positions(df: DataFrame) -> DataFrame:
@@ -147,21 +152,22 @@ def cone_join(
 
 
 def cone_aggregate(
-    points: DataFrame, catalog: DataFrame, radius_arcsec: float, value: str
+    points: DataFrame, catalog: DataFrame, radius_arcsec: float, value: str, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Per distinct position: number of catalog rows in the cone and the largest ``value``.
+    """Per distinct position (and ``by``): catalog rows in the cone and their largest ``value``.
 
     Equal catalog positions are folded into one weighted row. Sub-cells that lie inside the
     cone count as a whole; only the rows of those cut by its edge are looked at one by one.
     """
+    by = list(by)
     sub = ["_sx", "_sy", "_sz"]
-    rows = catalog.where(F.col("ra").isNotNull() & F.col("dec").isNotNull()).groupBy("ra", "dec").agg(
+    rows = catalog.where(F.col("ra").isNotNull() & F.col("dec").isNotNull()).groupBy("ra", "dec", *by).agg(
         F.count("*").alias("_n"), F.max(value).alias("_v")
     )
     rows = with_cell(with_cell(rows, radius_arcsec), radius_arcsec / 8.0, sub)
     for axis, expr in zip("xyz", _xyz()):
         rows = rows.withColumn(f"_{axis}", expr)
-    boxes = rows.groupBy(*CELL, *sub).agg(
+    boxes = rows.groupBy(*CELL, *sub, *by).agg(
         *[F.min(f"_{a}").alias(f"_{a}0") for a in "xyz"],
         *[F.max(f"_{a}").alias(f"_{a}1") for a in "xyz"],
         F.sum("_n").alias("_n"), F.max("_v").alias("_v"),
@@ -170,16 +176,16 @@ def cone_aggregate(
     for axis, expr in zip("xyz", _xyz()):
         pos = pos.withColumn(f"_p{axis}", expr)
     cand = salted_join(pos, with_neighbours(boxes), CELL, F.struct("ra", "dec")).select(
-        "ra", "dec", *sub, "_n", "_v", _box_near().alias("_near"), _box_far().alias("_far")
+        "ra", "dec", *by, *sub, "_n", "_v", _box_near().alias("_near"), _box_far().alias("_far")
     )
     limit = _chord(radius_arcsec) ** 2
     inner, outer = limit * (1 - 1e-7), limit * (1 + 1e-7)
-    whole = cand.where(F.col("_far") < inner).select("ra", "dec", "_n", "_v")
-    edge = cand.where((F.col("_far") >= inner) & (F.col("_near") <= outer)).select("ra", "dec", *sub)
-    members = rows.select(*sub, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_n", "_v")
+    whole = cand.where(F.col("_far") < inner).select("ra", "dec", *by, "_n", "_v")
+    edge = cand.where((F.col("_far") >= inner) & (F.col("_near") <= outer)).select("ra", "dec", *by, *sub)
+    members = rows.select(*by, *sub, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_n", "_v")
     sep = separation_arcsec(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec"))
-    single = salted_join(edge, members, sub, F.struct("ra", "dec")).where(sep <= radius_arcsec)
-    return whole.unionByName(single.select("ra", "dec", "_n", "_v")).groupBy("ra", "dec").agg(
+    single = salted_join(edge, members, [*by, *sub], F.struct("ra", "dec")).where(sep <= radius_arcsec)
+    return whole.unionByName(single.select("ra", "dec", *by, "_n", "_v")).groupBy("ra", "dec", *by).agg(
         F.sum("_n").alias("n_in_cone"), F.max("_v").alias("max_value")
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import SlopeConfig
 from ..functions.expr import finite
 from ..functions.photometry import log_sigma
+from ..session import cut_lineage
 from .skew import grouped_quantiles, salted_join
 
 CLASSES = ["BH", "NS", "UNKNOWN"]
@@ -33,7 +34,8 @@ def pooled_slope(
         "xf",
     )
     good = finite(F.col("s")) & (F.col("s") > 0)
-    rows = rows.withColumn("good", F.when(good, F.col("s")))
+    # the pairs are read once per pass below: materialise them once
+    rows = cut_lineage(rows.withColumn("good", F.when(good, F.col("s"))))
     fill = grouped_quantiles(rows, ["cls"], "good", {"fill": 0.5})
     rows = salted_join(rows, fill, ["cls"], F.col("xf"), "left")
     rows = rows.withColumn(
@@ -72,7 +74,8 @@ def fixed_effects_slope(
         F.col(cls).alias("cls"), F.col(source).alias("source"), "xf", "of", "oe"
     )
     valid = finite(F.col("xf")) & finite(F.col("of")) & finite(F.col("oe"))
-    rows = rows.withColumn("ok", valid & (F.col("xf") > 0) & (F.col("of") > 0))
+    # the pairs are read once per pass below: materialise them once
+    rows = cut_lineage(rows.withColumn("ok", valid & (F.col("xf") > 0) & (F.col("of") > 0)))
     totals = rows.groupBy(*keys).agg(
         F.count("*").alias("np"),
         F.count_if("ok").alias("nv"),

@@ -60,26 +60,37 @@ def _digits(x, width):
     return F.lpad(F.floor(x).cast("string"), width, "0")
 
 
+def _mod(x, m):
+    return x - m * F.floor(x / m)
+
+
+def _with_digits(df):
+    """Digit groups of ra and dec as columns of their own."""
+    hours = F.col("ra") / 15.0
+    size = F.abs("dec")
+    return df.withColumns(
+        {
+            "hh": _digits(hours, 2), "mm": _digits(_mod(hours * 60.0, 60.0), 2),
+            "ss": _digits(_mod(hours * 3600.0, 60.0), 2), "tenth": _digits(_mod(hours * 36000.0, 10.0), 1),
+            "sign": F.when(F.col("dec") < 0, "-").otherwise("+"),
+            "d2": _digits(size, 2), "d3": _digits(size * 10.0, 3),
+            "dm": _digits(_mod(size * 60.0, 60.0), 2), "ds": _digits(_mod(size * 3600.0, 60.0), 2),
+        }
+    )
+
+
 def source_names(spark, sf):
     """Names that encode the base position at several truncations, and plain ones."""
     k = F.col("src")
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("src"), *sphere(F.col("c_custkey")))
-    hours, size = F.col("ra") / 15.0, F.abs("dec")
-    hh, mm = _digits(hours, 2), _digits(F.pmod(hours * 60.0, F.lit(60.0)), 2)
-    ss = _digits(F.pmod(hours * 3600.0, F.lit(60.0)), 2)
-    tenth = _digits(F.pmod(hours * 36000.0, F.lit(10.0)), 1)
-    sign = F.when(F.col("dec") < 0, "-").otherwise("+")
-    flip = F.when(F.col("dec") < 0, "+").otherwise("-")
-    d3 = _digits(size * 10.0, 3)
-    d2 = _digits(size, 2)
-    d6 = F.concat(d2, _digits(F.pmod(size * 60.0, F.lit(60.0)), 2), _digits(F.pmod(size * 3600.0, F.lit(60.0)), 2))
-    plain = F.when(k % 8 == 2, d3).otherwise(d2)
+    base = _with_digits(base)
+    plain = F.when(k % 8 == 2, F.col("d3")).otherwise(F.col("d2"))
     lost = (k % 4 == 2) & (k % 3 == 0)
-    four_u = lambda sg: F.concat(F.lit("4U "), hh, mm, sg, plain)
+    four_u = lambda sg: F.concat(F.lit("4U "), "hh", "mm", sg, plain)
     name = (
-        F.when(k % 4 == 0, F.concat(F.lit("MAXI J"), hh, mm, sign, d3))
-        .when(k % 4 == 1, F.concat(F.lit("RX J"), hh, mm, ss, F.lit("."), tenth, sign, d6))
-        .when(k % 4 == 2, four_u(F.when(lost, F.lit("+")).otherwise(sign)))
+        F.when(k % 4 == 0, F.concat(F.lit("MAXI J"), "hh", "mm", "sign", "d3"))
+        .when(k % 4 == 1, F.concat(F.lit("RX J"), "hh", "mm", "ss", F.lit("."), "tenth", "sign", "d2", "dm", "ds"))
+        .when(k % 4 == 2, four_u(F.when(lost, F.lit("+")).otherwise(F.col("sign"))))
         .otherwise(F.concat(F.lit("Src "), k.cast("string")))
     )
     return base.select(
@@ -95,10 +106,8 @@ def name_index(spark, sf):
         F.when(k % 5 == 0, "LXB").when(k % 5 == 1, "HXB").when(k % 5 == 2, "Pulsar").when(k % 5 == 3, "BH XB")
     )
     pos = p.select(k.alias("pos"), otype.alias("otype"), *sphere(k + 7, ddec=0.02))
-    hours, size = F.col("ra") / 15.0, F.abs("dec")
-    hh, mm = _digits(hours, 2), _digits(F.pmod(hours * 60.0, F.lit(60.0)), 2)
-    sign = F.when(F.col("dec") < 0, "-").otherwise("+")
-    coded = F.concat(F.lit("4U "), hh, mm, sign, _digits(size, 2), F.when(F.col("pos") % 2 == 0, "0").otherwise("3"))
+    pos = _with_digits(pos)
+    coded = F.concat(F.lit("4U "), "hh", "mm", "sign", "d2", F.when(F.col("pos") % 2 == 0, "0").otherwise("3"))
     name = F.when(F.col("pos") % 3 == 0, coded).otherwise(F.concat(F.lit("Src "), F.col("pos").cast("string")))
     return pos.select(
         name.alias("name"), F.concat(F.lit("id"), F.col("pos").cast("string")).alias("main_id"),
@@ -146,15 +155,14 @@ def cone_best_catalog(spark, sf):
 def cone_archives(spark, sf):
     """Detection flag and largest flux per archive in a 5 arcsec cone around each part."""
     pts = part_positions(spark, sf)
-    obs = observations(spark, sf)
-    out = pts
+    agg = sky.cone_aggregate(pts, observations(spark, sf), 5.0, "flux", by=["archive"])
     labels = {"A": "xmm", "N": "csc", "R": "swift"}
-    for flag, label in labels.items():
-        agg = sky.cone_aggregate(pts, obs.where(F.col("archive") == flag), 5.0, "flux")
-        agg = agg.select(
-            "ra", "dec", F.col("n_in_cone").alias(f"{label}_n"), F.col("max_value").alias(f"{label}_flux")
-        )
-        out = salted_join(out, agg, ["ra", "dec"], F.col("row_idx"), "left")
+    hit = {x: F.col("archive") == f for f, x in labels.items()}
+    agg = agg.groupBy("ra", "dec").agg(
+        *[F.max(F.when(c, F.col("n_in_cone"))).alias(f"{x}_n") for x, c in hit.items()],
+        *[F.max(F.when(c, F.col("max_value"))).alias(f"{x}_flux") for x, c in hit.items()],
+    )
+    out = salted_join(pts, agg, ["ra", "dec"], F.col("row_idx"), "left")
     found = [F.coalesce(F.col(f"{x}_n"), F.lit(0)).cast("long") for x in labels.values()]
     return out.select(
         "row_idx", *[f.alias(f"{x}_n") for f, x in zip(found, labels.values())],
@@ -170,7 +178,7 @@ def positional_dedup(spark, sf):
 
 
 def iau_coordinate(spark, sf):
-    df = source_names(spark, sf).withColumn("j", coords.j_name_position(F.col("query_name")))
+    df = coords.with_j_position(source_names(spark, sf), "query_name")
     return df.where("j IS NOT NULL").select(
         "src", rnd(F.col("j.ra"), 6).alias("ra"), rnd(F.col("j.dec"), 6).alias("dec"),
         rnd(F.col("j.precision"), 3).alias("precision"),
@@ -178,8 +186,8 @@ def iau_coordinate(spark, sf):
 
 
 def coordinate_candidates(spark, sf):
-    df = source_names(spark, sf).select(
-        "src", F.posexplode(coords.plain_name_candidates(F.col("query_name"))).alias("i", "c")
+    df = coords.with_plain_candidates(source_names(spark, sf), "query_name", "cs").select(
+        "src", F.posexplode("cs").alias("i", "c")
     )
     return df.select(
         "src", F.col("i").cast("long").alias("i"), rnd(F.col("c.ra"), 6).alias("ra"),
@@ -189,20 +197,19 @@ def coordinate_candidates(spark, sf):
 
 def sexagesimal(spark, sf):
     """Positions written in three styles read back to degrees; blanks dropped."""
-    s = sources(spark, sf)
-    hours, size = F.col("ra") / 15.0, F.abs("dec")
-    sec = F.format_string("%.3f", F.pmod(hours * 3600.0, F.lit(60.0)))
-    hms = [_digits(hours, 2), _digits(F.pmod(hours * 60.0, F.lit(60.0)), 2), sec]
-    dms = [_digits(size, 2), _digits(F.pmod(size * 60.0, F.lit(60.0)), 2), _digits(F.pmod(size * 3600.0, F.lit(60.0)), 2)]
-    sign = F.when(F.col("dec") < 0, "-").otherwise("+")
+    s = _with_digits(sources(spark, sf))
+    sec = F.format_string("%.3f", _mod(F.col("ra") / 15.0 * 3600.0, 60.0))
+    hms, dms = ["hh", "mm", "sec"], ["d2", "dm", "ds"]
     style = F.col("src") % 4
     ra_t = F.when(style == 0, F.concat_ws(" ", *hms)).when(style == 1, F.concat_ws(":", *hms)).when(
         style == 2, F.col("ra").cast("string")).otherwise("--")
-    de_t = F.when(style == 0, F.concat(sign, F.concat_ws(" ", *dms))).when(
-        style == 1, F.concat(sign, F.concat_ws(":", *dms))).when(style == 2, F.col("dec").cast("string")).otherwise(" N/A ")
+    de_t = F.when(style == 0, F.concat("sign", F.concat_ws(" ", *dms))).when(
+        style == 1, F.concat("sign", F.concat_ws(":", *dms))).when(style == 2, F.col("dec").cast("string")).otherwise(" N/A ")
+    s = s.withColumn("sec", sec).select("src", ra_t.alias("ra_t"), de_t.alias("de_t"))
+    ra_t, de_t = F.col("ra_t"), F.col("de_t")
     ra, dec = coords.parse_position(ra_t, de_t)
     df = s.select("src", ra.alias("ra"), dec.alias("dec")).where("ra IS NOT NULL AND dec IS NOT NULL")
-    return df.select("src", rnd(F.col("ra"), 4).alias("ra"), rnd(F.col("dec"), 3).alias("dec"))
+    return df.select("src", rnd(F.col("ra"), 7).alias("ra"), rnd(F.col("dec"), 6).alias("dec"))
 
 
 def _classified(spark, sf):
@@ -243,8 +250,8 @@ QUERIES = {
 def pos(k: str, dra: str = "0.0", ddec: str = "0.0") -> str:
     def mod(a, m):
         return f"(({a}) - {m} * floor(({a}) / {m}))"
-    ra = mod(f"{k} * {GOLDEN_DEG} + {dra}", "360.0")
-    frac = mod(f"{k} * {GOLDEN_FRAC}", "1.0")
+    ra = mod(f"{k} * {GOLDEN_DEG}e0 + {dra}", "360.0")
+    frac = mod(f"{k} * {GOLDEN_FRAC}e0", "1.0")
     return f"({ra}) AS ra, degrees(asin(2.0 * {frac} - 1.0)) + {ddec} AS dec"
 
 
@@ -472,8 +479,8 @@ ORACLE = {
     "coordinate_candidates": with_(NAMES, ppos("names", "query_name", "pp"))
     + f"SELECT src, CAST(i AS BIGINT) AS i, {r('ra', 6, 'ra')}, {r('dec', 6, 'dec')}, label FROM pp",
     "sexagesimal": with_(SRC) + """
-SELECT src, round(CASE WHEN src % 4 = 2 THEN ra ELSE round(ra / 15.0 * 3600.0, 3) / 240.0 END, 4) + 0.0 AS ra,
-       round(CASE WHEN src % 4 = 2 THEN dec ELSE sign(dec) * floor(abs(dec) * 3600.0) / 3600.0 END, 3) + 0.0 AS dec
+SELECT src, round(CASE WHEN src % 4 = 2 THEN ra ELSE round(ra / 15.0 * 3600.0, 3) / 240.0 END, 7) + 0.0 AS ra,
+       round(CASE WHEN src % 4 = 2 THEN dec ELSE sign(dec) * floor(abs(dec) * 3600.0) / 3600.0 END, 6) + 0.0 AS dec
 FROM src WHERE src % 4 <> 3""",
     "classify_sources": with_(NAMES, CATS, INDEX, *CLASSIFY) + f"""
 SELECT src, query_name, {r('ra', 6, 'resolved_ra')}, {r('dec', 6, 'resolved_dec')}, xrb_type, compact_object, matched_catalog,

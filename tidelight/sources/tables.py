@@ -79,6 +79,8 @@ GOLDEN_FRAC = 0.6180339887
 
 def sphere(k, ra_name: str = "ra", dec_name: str = "dec", dra=0.0, ddec=0.0):
     """Base position of key ``k`` plus small offsets in degrees."""
-    ra = F.pmod(k * F.lit(GOLDEN_DEG) + dra, F.lit(360.0))
-    z = F.lit(2.0) * F.pmod(k * F.lit(GOLDEN_FRAC), F.lit(1.0)) - 1.0
+    turn = k * F.lit(GOLDEN_DEG) + dra
+    part = k * F.lit(GOLDEN_FRAC)
+    ra = turn - 360.0 * F.floor(turn / 360.0)
+    z = 2.0 * (part - F.floor(part)) - 1.0
     return [ra.alias(ra_name), (F.degrees(F.asin(z)) + ddec).alias(dec_name)]
