@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .expr import fence
+
 # ---- Fixed values ----
 BLANK_TOKENS = ["", "--", "nan", "none", "masked", "n/a"]
 RA_COLUMNS = ["RAJ2000", "RA_ICRS", "RAdeg", "RA"]
@@ -19,13 +21,12 @@ DEC_STEP = {2: 3600.0, 3: 360.0, 4: 60.0, 5: 6.0, 6: 1.0}
 ARCSEC_PER_RAD = 206264.80624709636
 
 
-def separation_arcsec(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
-    """Great-circle distance by haversine, stable at arcsecond scale."""
-    p1, p2 = F.radians(dec1), F.radians(dec2)
-    a = F.pow(F.sin(F.radians(dec2 - dec1) / 2), 2.0) + F.cos(p1) * F.cos(p2) * F.pow(
-        F.sin(F.radians(ra2 - ra1) / 2), 2.0
+def separation_sql(ra1: str, dec1: str, ra2: str, dec2: str) -> str:
+    """Great-circle distance in arcsec by haversine, stable at arcsecond scale."""
+    return (
+        f"2.0 * asin(sqrt(least(1.0D, pow(sin(radians({dec2} - {dec1}) / 2), 2) + cos(radians({dec1})) * "
+        f"cos(radians({dec2})) * pow(sin(radians({ra2} - {ra1}) / 2), 2)))) * {ARCSEC_PER_RAD}D"
     )
-    return 2.0 * F.asin(F.sqrt(F.least(a, F.lit(1.0)))) * ARCSEC_PER_RAD
 
 
 def is_blank(text: Column) -> Column:
@@ -113,7 +114,7 @@ def with_j_position(df: DataFrame, name: str, out: str = "j") -> DataFrame:
         F.when(F.col("_sg") == "-", -F.col("_size")).otherwise(F.col("_size")).alias("dec"),
         F.greatest(on_sky, F.col("_dstep")).alias("precision"),
     )
-    df = df.withColumn(out, F.when(F.col("_ok"), pos))
+    df = fence(df, out, F.when(F.col("_ok"), pos))
     return df.drop(
         "_rb", "_sg", "_db", "_rn", "_rstep", "_hh", "_mm", "_mf", "_sf", "_dn", "_d1", "_d3",
         "_d34", "_d5", "_df", "_ds", "_hours", "_tstep", "_size", "_dstep", "_ok",
@@ -156,7 +157,7 @@ def with_plain_candidates(df: DataFrame, name: str, out: str = "c") -> DataFrame
         reading(three, F.col("_dd") / 10.0, "tenths-of-degree"),
         reading(three, F.col("_d2"), "whole-degree-truncated"),
     )
-    df = df.withColumn(out, F.array_compact(found))
+    df = fence(df, out, F.array_compact(found))
     return df.drop("_t", "_h", "_m", "_s", "_d", "_hh", "_mm", "_dd", "_n", "_d2", "_f", "_ok", "_ra")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,13 @@ def rnd(c: Column, digits: int) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
+
+
+def fence(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later filters are not rewritten into.
+
+    Spark pushes a filter on a derived column below the projections that derive it by
+    repeating their expressions; for deeply staged parsing that repeats them many times
+    over. A one-element generator keeps rows and values and stops the rewrite.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(value)))

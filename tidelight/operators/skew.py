@@ -31,8 +31,8 @@ def salted_join(
     replicated once per salt; when Spark finds it small enough it is broadcast
     under its own size check and the salt costs nothing on the big side.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
+    right = small.selectExpr("*", f"explode(sequence(0L, {salts - 1}L)) AS _salt")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -11,10 +11,10 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coords import separation_arcsec
+from ..functions.coords import separation_sql
 from ..session import cut_lineage
 from .skew import salted_join
 
@@ -25,62 +25,44 @@ def _chord(radius_arcsec: float) -> float:
     return 2.0 * math.sin(math.radians(radius_arcsec / 3600.0) / 2.0)
 
 
-def _xyz() -> list[Column]:
-    ra, dec = F.radians("ra"), F.radians("dec")
-    return [F.cos(dec) * F.cos(ra), F.cos(dec) * F.sin(ra), F.sin(dec)]
+# unit vector of (ra, dec)
+XYZ = {
+    "x": "cos(radians(dec)) * cos(radians(ra))",
+    "y": "cos(radians(dec)) * sin(radians(ra))",
+    "z": "sin(radians(dec))",
+}
+# from a pair of positions to their separation
+SEP = separation_sql("ra", "dec", "_ra", "_dec")
+# squared chord from a position (_px, _py, _pz) to the nearest and to the farthest point of a box
+BOX_NEAR = " + ".join(f"pow(greatest(_{a}0 - _p{a}, _p{a} - _{a}1, 0.0D), 2)" for a in "xyz")
+BOX_FAR = " + ".join(f"pow(greatest(abs(_{a}0 - _p{a}), abs(_{a}1 - _p{a})), 2)" for a in "xyz")
 
 
 def with_cell(df: DataFrame, radius_arcsec: float, names: Sequence[str] = CELL) -> DataFrame:
+    """Adds the integer cell of each position, as wide as the chord of the radius."""
     # a hair wider than the chord, so that rounding never moves a neighbour two cells away
     width = _chord(radius_arcsec) * (1 + 1e-9)
-    for name, axis in zip(names, _xyz()):
-        df = df.withColumn(name, F.floor(axis / width))
-    return df
+    return df.selectExpr("*", *[f"floor(({e}) / {width!r}D) AS {n}" for n, e in zip(names, XYZ.values())])
+
+
+def with_vector(df: DataFrame, prefix: str) -> DataFrame:
+    return df.selectExpr("*", *[f"{e} AS {prefix}{a}" for a, e in XYZ.items()])
 
 
 def with_neighbours(df: DataFrame, names: Sequence[str] = CELL) -> DataFrame:
     """One row per cell around each row's cell, its own included: a single 27-fold explode."""
-    steps = [
-        F.struct(*[F.lit(d).alias(n) for n, d in zip(names, offset)])
-        for offset in itertools.product((-1, 0, 1), repeat=3)
-    ]
-    out = df.withColumn("_off", F.explode(F.array(*steps)))
-    return out.select(
-        *[c for c in df.columns if c not in names],
-        *[(F.col(n) + F.col(f"_off.{n}")).alias(n) for n in names],
+    steps = ", ".join(
+        f"struct({x} AS a, {y} AS b, {z} AS c)" for x, y, z in itertools.product((-1, 0, 1), repeat=3)
     )
+    rest = [c for c in df.columns if c not in names]
+    moved = [f"{n} + _off.{f} AS {n}" for n, f in zip(names, "abc")]
+    return df.selectExpr("*", f"explode(array({steps})) AS _off").selectExpr(*rest, *moved)
 
 
 def _distinct_positions(df: DataFrame) -> DataFrame:
     return df.where(F.col("ra").isNotNull() & F.col("dec").isNotNull()).select("ra", "dec").distinct()
 
 
-def _box_near() -> Column:
-    """Squared chord from a position to the nearest point of a box."""
-    return sum(
-        F.pow(
-            F.greatest(
-                F.col(f"_{a}0") - F.col(f"_p{a}"), F.col(f"_p{a}") - F.col(f"_{a}1"), F.lit(0.0)
-            ),
-            2.0,
-        )
-        for a in "xyz"
-    )
-
-
-def _box_far() -> Column:
-    """Squared chord from a position to the farthest point of a box."""
-    return sum(
-        F.pow(
-            F.greatest(
-                F.abs(F.col(f"_{a}0") - F.col(f"_p{a}")), F.abs(F.col(f"_{a}1") - F.col(f"_p{a}"))
-            ),
-            2.0,
-        )
-        for a in "xyz"
-    )
-
-
 def nearest_in_cone(
     points: DataFrame,
     catalog: DataFrame,
@@ -106,18 +88,15 @@ def nearest_in_cone(
     )
     sub = ["_sx", "_sy", "_sz"]
     first = with_cell(with_cell(first, radius_arcsec), radius_arcsec / 8.0, sub)
-    for axis, expr in zip("xyz", _xyz()):
-        first = first.withColumn(f"_{axis}", expr)
+    first = with_vector(first, "_")
     boxes = first.groupBy(*CELL, *sub, *by).agg(
-        *[F.min(f"_{a}").alias(f"_{a}0") for a in "xyz"],
-        *[F.max(f"_{a}").alias(f"_{a}1") for a in "xyz"],
+        *[F.expr(f"{fn}(_{a}) AS _{a}{i}") for a in "xyz" for i, fn in enumerate(("min", "max"))],
     )
     pos = with_cell(_distinct_positions(points), radius_arcsec)
-    for axis, expr in zip("xyz", _xyz()):
-        pos = pos.withColumn(f"_p{axis}", expr)
+    pos = with_vector(pos, "_p")
     limit = (_chord(radius_arcsec) * (1 + 1e-7)) ** 2
     cand = salted_join(pos, with_neighbours(boxes), CELL, F.struct("ra", "dec")).select(
-        "ra", "dec", *by, *sub, _box_near().alias("_near"), _box_far().alias("_far")
+        "ra", "dec", *by, *sub, F.expr(f"{BOX_NEAR} AS _near"), F.expr(f"{BOX_FAR} AS _far")
     ).where(F.col("_near") <= limit)
     # one entry per sub-cell, and a neighbourhood has a fixed number of sub-cells
     best = cand.groupBy("ra", "dec", *by).agg(
@@ -130,8 +109,7 @@ def nearest_in_cone(
     ).select("ra", "dec", *by, *[F.col(f"_b.{c}").alias(c) for c in sub])
     rows = first.select(*sub, *by, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_m")
     pairs = salted_join(best, rows, [*sub, *by], F.struct("ra", "dec"))
-    sep = separation_arcsec(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec"))
-    pairs = pairs.withColumn("sep", sep).where(F.col("sep") <= radius_arcsec)
+    pairs = pairs.withColumn("sep", F.expr(SEP)).where(F.col("sep") <= radius_arcsec)
     key = F.struct(F.col("sep"), *[F.col(f"_m.{o}") for o in order])
     picked = pairs.groupBy("ra", "dec", *by).agg(
         F.min_by(F.struct("sep", "_ra", "_dec", "_m"), key).alias("_h")
@@ -165,26 +143,22 @@ def cone_aggregate(
         F.count("*").alias("_n"), F.max(value).alias("_v")
     )
     rows = with_cell(with_cell(rows, radius_arcsec), radius_arcsec / 8.0, sub)
-    for axis, expr in zip("xyz", _xyz()):
-        rows = rows.withColumn(f"_{axis}", expr)
+    rows = with_vector(rows, "_")
     boxes = rows.groupBy(*CELL, *sub, *by).agg(
-        *[F.min(f"_{a}").alias(f"_{a}0") for a in "xyz"],
-        *[F.max(f"_{a}").alias(f"_{a}1") for a in "xyz"],
+        *[F.expr(f"{fn}(_{a}) AS _{a}{i}") for a in "xyz" for i, fn in enumerate(("min", "max"))],
         F.sum("_n").alias("_n"), F.max("_v").alias("_v"),
     )
     pos = with_cell(_distinct_positions(points), radius_arcsec)
-    for axis, expr in zip("xyz", _xyz()):
-        pos = pos.withColumn(f"_p{axis}", expr)
+    pos = with_vector(pos, "_p")
     cand = salted_join(pos, with_neighbours(boxes), CELL, F.struct("ra", "dec")).select(
-        "ra", "dec", *by, *sub, "_n", "_v", _box_near().alias("_near"), _box_far().alias("_far")
+        "ra", "dec", *by, *sub, "_n", "_v", F.expr(f"{BOX_NEAR} AS _near"), F.expr(f"{BOX_FAR} AS _far")
     )
     limit = _chord(radius_arcsec) ** 2
     inner, outer = limit * (1 - 1e-7), limit * (1 + 1e-7)
     whole = cand.where(F.col("_far") < inner).select("ra", "dec", *by, "_n", "_v")
     edge = cand.where((F.col("_far") >= inner) & (F.col("_near") <= outer)).select("ra", "dec", *by, *sub)
     members = rows.select(*by, *sub, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_n", "_v")
-    sep = separation_arcsec(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec"))
-    single = salted_join(edge, members, [*by, *sub], F.struct("ra", "dec")).where(sep <= radius_arcsec)
+    single = salted_join(edge, members, [*by, *sub], F.struct("ra", "dec")).where(f"{SEP} <= {radius_arcsec!r}D")
     return whole.unionByName(single.select("ra", "dec", *by, "_n", "_v")).groupBy("ra", "dec", *by).agg(
         F.sum("_n").alias("n_in_cone"), F.max("_v").alias("max_value")
     )
@@ -241,5 +215,4 @@ def _covered(rows: DataFrame, reps: DataFrame, radius_arcsec: float) -> DataFram
         *CELL, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), F.col("_o").alias("_rep")
     )
     near = salted_join(rows, centres, CELL, F.struct("ra", "dec"))
-    sep = separation_arcsec(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec"))
-    return near.where(sep < radius_arcsec)
+    return near.where(f"{SEP} < {radius_arcsec!r}D")
