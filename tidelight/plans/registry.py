@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import series_queries, sky_queries, time_queries
+from . import name_queries, series_queries, sky_queries, time_queries
 
-MODULES = [series_queries, time_queries, sky_queries]
+MODULES = [series_queries, time_queries, sky_queries, name_queries]
 
 
 def all_queries():
