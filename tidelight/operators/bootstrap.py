@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..config import DetectorConfig
 from .detect import detect_events
+from .skew import spread
 
 
 def null_values(
@@ -56,7 +57,7 @@ def null_series(based: DataFrame, keys: Sequence[str], cfg: DetectorConfig = Det
         rep["draw"] = np.repeat(np.arange(cfg.n_bootstrap, dtype="int32"), len(pdf))
         return rep
 
-    return based.select(*cols, "quiet").groupBy(*keys).applyInPandas(draw, out)
+    return spread(based.select(*cols, "quiet"), keys).groupBy(*keys).applyInPandas(draw, out)
 
 
 def false_alarm(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import FitConfig
+from .skew import spread
 from .timejoin import crop_to_spans
 
 FIT_FIELDS = [
@@ -23,51 +24,64 @@ FIT_FIELDS = [
 ]
 
 
-def smeared_pulse(p: np.ndarray, grid: np.ndarray, step: float) -> np.ndarray:
-    """Rise-and-decay pulse averaged over a centred window of odd length, zero outside the grid."""
+def smeared_pulse(p, grid, step, at, slopes: bool = False) -> np.ndarray:
+    """Rise-and-decay pulse averaged over a centred window of odd length, at grid indices.
+
+    One prefix sum over the uniform grid gives the window sum at any index; the pulse is
+    zero outside the grid. With ``slopes`` the rows are the value and its derivatives by
+    amplitude, start, rise and decay. The width only acts through a whole number of grid
+    steps, so the model is flat in it and it has no derivative.
+    """
     amp, t0, rise, decay, width = p
-    lag = grid - t0
-    f = np.zeros_like(grid)
-    on = lag > 0
-    f[on] = amp * np.exp(-rise / lag[on] - lag[on] / decay)
-    k = max(1, int(round(max(width, step) / step)))
-    k += k % 2 == 0
-    if k == 1:
-        return f
-    total = np.concatenate([[0.0], np.cumsum(f)])
-    i = np.arange(len(f))
-    hi = np.minimum(i + k // 2 + 1, len(f))
-    lo = np.maximum(i - k // 2, 0)
-    return (total[hi] - total[lo]) / k
-
-
-def bounded_least_squares(resid, p, lo, hi, max_iter):
-    """Damped Gauss-Newton with steps clipped to the box; returns parameters and residuals."""
+    on = int(np.searchsorted(grid, t0, side="right"))
+    lag = grid[on:] - t0
+    shape = np.exp(-rise / lag - lag / decay)
+    parts = [shape]
+    if slopes:
+        inv = shape / lag
+        parts += [shape / decay - rise * inv / lag, -inv, shape * lag / decay**2]
+    half = max(1, int(round(max(width, step) / step))) // 2
+    hi = np.minimum(at + half + 1, len(grid))
+    lo = np.maximum(at - half, 0)
+    out = []
+    total = np.zeros(len(grid) + 1)
+    for part in parts:
+        np.cumsum(part, out=total[on + 1 :])
+        out.append((total[hi] - total[lo]) / (2 * half + 1))
+    if not slopes:
+        return amp * out[0]
+    return np.stack([amp * out[0], out[0], amp * out[1], amp * out[2], amp * out[3]])
+
+
+def bounded_least_squares(model, f, s, p, lo, hi, max_iter):
+    """Damped Gauss-Newton inside a box on the parameters that have a derivative.
+
+    ``model(p, slopes)`` gives the curve at the data. Returns parameters and (curve-f)/s.
+    """
     p = np.clip(p, lo, hi)
-    r = resid(p)
+    m = 4
+    r = (model(p, False) - f) / s
     cost, damp = r @ r, 1e-2
     for _ in range(max_iter):
-        h = 1e-4 * np.maximum(np.abs(p), 1e-2)
-        h = np.where(p + h > hi, -h, h)
-        jac = np.stack([(resid(p + np.eye(len(p))[j] * h[j]) - r) / h[j] for j in range(len(p))], 1)
+        jac = (model(p, True)[1:] / s).T
         g, curv = jac.T @ r, jac.T @ jac
-        free = ~(((p <= lo) & (g > 0)) | ((p >= hi) & (g < 0)))
+        free = ~(((p[:m] <= lo[:m]) & (g > 0)) | ((p[:m] >= hi[:m]) & (g < 0)))
         if not free.any():
             break
-        better = False
+        gain = 0.0
         for _ in range(12):
             a = curv[np.ix_(free, free)]
-            d = np.zeros_like(p)
             scale = np.diag(np.maximum(np.diag(a), 1e-12))
-            d[free] = np.linalg.lstsq(a + damp * scale, -g[free], rcond=None)[0]
+            d = np.zeros_like(p)
+            d[:m][free] = np.linalg.solve(a + damp * scale, -g[free])
             q = np.clip(p + d, lo, hi)
-            rq = resid(q)
+            rq = (model(q, False) - f) / s
             cq = rq @ rq
             if np.isfinite(cq) and cq < cost:
-                gain, p, r, cost, damp, better = cost - cq, q, rq, cq, max(damp / 5, 1e-9), True
+                gain, p, r, cost, damp = cost - cq, q, rq, cq, max(damp / 5, 1e-9)
                 break
             damp *= 4
-        if not better or gain <= 1e-9 * max(cost, 1e-12):
+        if gain <= 1e-7 * max(cost, 1e-12):
             break
     return p, r
 
@@ -83,6 +97,9 @@ def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | No
     step = max(span / 3000.0, 0.02)
     pad = max(2 * w_hi, 15.0)
     grid = np.arange(t_start - pad, t_end + pad + step, step)
+    # only grid points that a smeared value at a data time can depend on
+    reach = 0.5 * w_hi + 3 * step
+    grid = grid[(grid >= t[0] - reach) & (grid <= t[-1] + reach)]
     guess = np.array(
         [1.5 * max(f[peak], 1e-6), np.clip(t[peak] - 5.0, t[0] - 50, t[peak] - 0.5), 2.0, 20.0, w0]
     )
@@ -91,12 +108,21 @@ def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | No
     ref = grid[0]
     shift = np.array([0, ref, 0, 0, 0.0])
 
-    def curve(p, at):
-        return np.interp(at - ref, grid - ref, smeared_pulse(p, grid - ref, step))
+    grid = grid - ref
 
-    p, r = bounded_least_squares(
-        lambda q: (curve(q, t) - f) / s, guess - shift, lo - shift, hi - shift, cfg.max_iter
-    )
+    def sampler(times):
+        """Linear interpolation of the smeared pulse between its grid neighbours."""
+        left = np.clip(np.floor((times - ref) / step).astype(int), 0, len(grid) - 2)
+        share = (times - ref - grid[left]) / step
+        both = np.concatenate([left, left + 1])
+
+        def value(q, slopes=False):
+            v = smeared_pulse(q, grid, step, both, slopes)
+            return v[..., : len(times)] * (1 - share) + v[..., len(times) :] * share
+
+        return value
+
+    p, r = bounded_least_squares(sampler(t), f, s, guess - shift, lo - shift, hi - shift, cfg.max_iter)
     resid = -r * s
     chi2, k, n = float(r @ r), 5, len(t)
     out = dict(
@@ -106,7 +132,7 @@ def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | No
         resid_mean=resid.mean(), resid_std=resid.std(), resid_max_abs=np.abs(resid).max(),
     )
     fine = np.linspace(t[0], t[-1], cfg.shape_grid)
-    g = np.clip(curve(p, fine), 0, None)
+    g = np.clip(sampler(fine)(p), 0, None)
     area = np.concatenate([[0.0], np.cumsum(0.5 * (g[1:] + g[:-1]) * np.diff(fine))])
     if g.max() > 0 and area[-1] > 0:
         t5, t95 = np.interp([0.05, 0.95], area / area[-1], fine)
@@ -148,4 +174,4 @@ def fit_pulses(
     # too small groups never reach Python
     sizes = pts.groupBy(*ids).agg(F.count("*").alias("_n")).where(F.col("_n") >= cfg.min_points)
     pts = pts.join(sizes.select(*ids), ids, "left_semi")
-    return pts.groupBy(*ids).applyInPandas(run, out)
+    return spread(pts, ids).groupBy(*ids).applyInPandas(run, out)

@@ -36,6 +36,16 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition for a CPU-bound grouped kernel.
+
+    The number is explicit because adaptive execution would otherwise merge the few bytes
+    of such an input into one task; the grouping that follows reuses this partitioning.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """Keep-first dedup. ``order`` must be unique within a key (a row ordinal).
 

@@ -2,7 +2,9 @@
 
 Positions become unit vectors in cubic cells as wide as the chord of the search radius,
 so poles and the RA wrap need no special case. Equal positions are collapsed before any
-join: a group of copies is matched once, whatever its size.
+join: a group of copies is matched once, whatever its size. Cell joins are left to the
+adaptive skew split, which divides the points of a crowded cell over tasks; salting here
+would replicate the catalog, whose rows are already repeated for the neighbouring cells.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ def nearest_in_cone(
     pos = with_cell(_distinct_positions(points), radius_arcsec)
     pos = with_vector(pos, "_p")
     limit = (_chord(radius_arcsec) * (1 + 1e-7)) ** 2
-    cand = salted_join(pos, with_neighbours(boxes), CELL, F.struct("ra", "dec")).select(
+    cand = pos.join(with_neighbours(boxes), CELL).select(
         "ra", "dec", *by, *sub, F.expr(f"{BOX_NEAR} AS _near"), F.expr(f"{BOX_FAR} AS _far")
     ).where(F.col("_near") <= limit)
     # one entry per sub-cell, and a neighbourhood has a fixed number of sub-cells
@@ -108,7 +110,7 @@ def nearest_in_cone(
         F.explode(F.filter("_boxes", lambda b: b["_near"] <= slack)).alias("_b"),
     ).select("ra", "dec", *by, *[F.col(f"_b.{c}").alias(c) for c in sub])
     rows = first.select(*sub, *by, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_m")
-    pairs = salted_join(best, rows, [*sub, *by], F.struct("ra", "dec"))
+    pairs = best.join(rows, [*sub, *by])
     pairs = pairs.withColumn("sep", F.expr(SEP)).where(F.col("sep") <= radius_arcsec)
     key = F.struct(F.col("sep"), *[F.col(f"_m.{o}") for o in order])
     picked = pairs.groupBy("ra", "dec", *by).agg(
@@ -150,7 +152,7 @@ def cone_aggregate(
     )
     pos = with_cell(_distinct_positions(points), radius_arcsec)
     pos = with_vector(pos, "_p")
-    cand = salted_join(pos, with_neighbours(boxes), CELL, F.struct("ra", "dec")).select(
+    cand = pos.join(with_neighbours(boxes), CELL).select(
         "ra", "dec", *by, *sub, "_n", "_v", F.expr(f"{BOX_NEAR} AS _near"), F.expr(f"{BOX_FAR} AS _far")
     )
     limit = _chord(radius_arcsec) ** 2
@@ -158,7 +160,7 @@ def cone_aggregate(
     whole = cand.where(F.col("_far") < inner).select("ra", "dec", *by, "_n", "_v")
     edge = cand.where((F.col("_far") >= inner) & (F.col("_near") <= outer)).select("ra", "dec", *by, *sub)
     members = rows.select(*by, *sub, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_n", "_v")
-    single = salted_join(edge, members, [*by, *sub], F.struct("ra", "dec")).where(f"{SEP} <= {radius_arcsec!r}D")
+    single = edge.join(members, [*by, *sub]).where(f"{SEP} <= {radius_arcsec!r}D")
     return whole.unionByName(single.select("ra", "dec", *by, "_n", "_v")).groupBy("ra", "dec", *by).agg(
         F.sum("_n").alias("n_in_cone"), F.max("_v").alias("max_value")
     )
@@ -214,5 +216,5 @@ def _covered(rows: DataFrame, reps: DataFrame, radius_arcsec: float) -> DataFram
     centres = with_neighbours(reps.select("ra", "dec", "_o", *CELL)).select(
         *CELL, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), F.col("_o").alias("_rep")
     )
-    near = salted_join(rows, centres, CELL, F.struct("ra", "dec"))
+    near = rows.join(centres, CELL)
     return near.where(f"{SEP} < {radius_arcsec!r}D")
