@@ -83,11 +83,10 @@ def test_plain_candidates(spark):
 
 def test_sexagesimal(spark):
     rows = [("04 19 42.141", "-00 30 00"), ("04:19:42.141", "-0:30:0"), ("64.9255875", "-0.5"), ("--", "3"), (None, "1")]
-    ra, dec = coords.parse_position(F.col("r"), F.col("d"))
-    got = spark.createDataFrame(rows, "r string, d string").select(ra.alias("r"), dec.alias("d")).collect()
+    got = coords.with_position(spark.createDataFrame(rows, "r string, d string"), "r", "d").collect()
     for r in got[:3]:
-        assert r.r == pytest.approx(64.9255875) and r.d == pytest.approx(-0.5)
-    assert got[3].r is None and got[4].r is None
+        assert r.ra == pytest.approx(64.9255875) and r.dec == pytest.approx(-0.5)
+    assert got[3].ra is None and got[4].ra is None
 
 
 def test_column_rules():

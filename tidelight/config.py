@@ -96,3 +96,5 @@ class SkyConfig:
 HOT_GROUP_ROWS = 5_000_000
 # Replicas of the small side in a salted join.
 SALTS = 16
+# Largest table, in rows, that is broadcast; it is counted first.
+BROADCAST_ROWS = 200_000

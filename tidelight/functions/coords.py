@@ -33,21 +33,29 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | F.lower(F.trim(text)).isin(BLANK_TOKENS)
 
 
-def _sexagesimal(text: Column) -> Column:
-    """Signed units from up to three fields; sign is that of the text, not of the number."""
-    parts = F.split(F.trim(F.regexp_replace(text, r"[hdms:°'\"\s]+", " ")), " ")
-    num = lambda i: F.coalesce(F.abs(F.get(parts, F.lit(i)).try_cast("double")), F.lit(0.0))
-    size = num(0) + num(1) / 60.0 + num(2) / 3600.0
-    return F.when(F.trim(text).startswith("-"), -size).otherwise(size)
-
-
-def parse_position(ra: Column, dec: Column) -> list[Column]:
-    """(ra, dec) degrees from decimal or sexagesimal text, decided per row; NULL if blank."""
-    bad = is_blank(ra) | is_blank(dec)
-    sexa = F.trim(ra).rlike(r"[\s:]")
-    ra_deg = F.when(sexa, _sexagesimal(ra) * 15.0).otherwise(F.trim(ra).try_cast("double"))
-    dec_deg = F.when(sexa, _sexagesimal(dec)).otherwise(F.trim(dec).try_cast("double"))
-    return [F.when(~bad, ra_deg), F.when(~bad, dec_deg)]
+def with_position(df: DataFrame, ra: str, dec: str, out_ra: str = "ra", out_dec: str = "dec") -> DataFrame:
+    """Adds degrees from decimal or sexagesimal text, decided per row; NULL if blank.
+
+    Sexagesimal right ascension is in hours. The sign is that of the text, so -00 30 00
+    stays negative.
+    """
+    df = df.withColumns({"_r": F.trim(ra), "_d": F.trim(dec)})
+    df = df.withColumn("_bad", is_blank(F.col("_r")) | is_blank(F.col("_d")))
+    df = df.withColumn("_six", F.col("_r").rlike(r"[\s:]"))
+    split = lambda c: F.split(F.regexp_replace(c, r"[hdms:\s]+", " "), " ")
+    df = df.withColumns({"_rp": split("_r"), "_dp": split("_d")})
+    part = lambda c, i: F.coalesce(F.abs(F.get(c, F.lit(i)).try_cast("double")), F.lit(0.0))
+    df = df.withColumns(
+        {f"{c}{i}": part(c, i) for c in ("_rp", "_dp") for i in range(3)}
+    )
+    size = lambda c: F.col(f"{c}0") + F.col(f"{c}1") / 60.0 + F.col(f"{c}2") / 3600.0
+    sign = F.when(F.col("_d").startswith("-"), -1.0).otherwise(1.0)
+    six = F.struct((size("_rp") * 15.0).alias("ra"), (sign * size("_dp")).alias("dec"))
+    plain = F.struct(F.col("_r").try_cast("double").alias("ra"), F.col("_d").try_cast("double").alias("dec"))
+    df = fence(df, "_pos", F.when(~F.col("_bad"), F.when(F.col("_six"), six).otherwise(plain)))
+    df = df.withColumns({out_ra: F.col("_pos.ra"), out_dec: F.col("_pos.dec")})
+    helpers = ["_r", "_d", "_bad", "_six", "_rp", "_dp", "_pos"]
+    return df.drop(*helpers, *[f"{c}{i}" for c in ("_rp", "_dp") for i in range(3)])
 
 
 def _num(text: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import grouped_quantiles, salted_join
+from ..session import cut_lineage
+from .skew import grouped_quantiles, join_small
 
 
 def equal_width_histogram(
@@ -34,7 +35,8 @@ def equal_width_histogram(
         "hi2", F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))
     )
     med = grouped_quantiles(vals, ["grp"], "v", {"median": 0.5})
-    bins = salted_join(vals, stats, ["grp"], F.struct("v", "src"))
+    stats = cut_lineage(stats)
+    bins = join_small(vals, stats, ["grp"], F.struct("v", "src"))
     width = (F.col("hi2") - F.col("lo2")) / F.col("nb")
     pos = F.floor((F.col("v") - F.col("lo2")) / width)
     counts = bins.select("grp", F.least(pos, F.col("nb") - 1).cast("int").alias("bin")).groupBy(

@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 
 from ..config import RebinConfig
 from ..functions.expr import inv_var
-from .skew import salted_join
+from ..session import cut_lineage
+from .skew import join_small
 
 
 def _weighted():
@@ -83,7 +84,8 @@ def rebin_series(
     lc: DataFrame, keys: Sequence[str], cfg: RebinConfig = RebinConfig()
 ) -> DataFrame:
     """Daily bins where the median spacing is below the threshold, else exact merge."""
-    cells = _half_day_cells(lc, keys, cfg)
+    # at most two rows per day and series; read by both branches
+    cells = cut_lineage(_half_day_cells(lc, keys, cfg))
     per_day = round(1.0 / cfg.cadence_threshold_days)
     day = F.floor(F.col("_cell") / per_day) + 0.5
     daily = (
@@ -97,8 +99,10 @@ def rebin_series(
         .groupBy(*keys)
         .agg(F.max("_daily").alias("_daily"))
     )
-    # the sparse series are bounded; the salt protects the dense ones that drop out here
-    times = salted_join(lc.select(*keys, "mjd", "val", "err"), sparse, keys, F.col("mjd"))
+    sparse = cut_lineage(sparse)
+    if sparse.isEmpty():
+        return daily
+    times = join_small(lc.select(*keys, "mjd", "val", "err"), sparse, keys, F.col("mjd"))
     times = times.groupBy(*keys, "mjd").agg(*_sums(cfg), F.max("_daily").alias("_daily"))
     gap = F.col("mjd") - F.lag("mjd").over(Window.partitionBy(*keys).orderBy("mjd"))
     whole = Window.partitionBy(*keys)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import HOT_GROUP_ROWS, SALTS
+from ..config import BROADCAST_ROWS, HOT_GROUP_ROWS, SALTS
 from ..session import cut_lineage
 
 
@@ -36,6 +36,26 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_small(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    salt_on: Column,
+    how: str = "inner",
+    limit: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join raw rows with a table of few rows per key without shuffling the raw rows.
+
+    ``small`` is materialised and counted. Up to ``limit`` rows it is broadcast; beyond
+    that the join is salted. Deciding before the join starts matters: at run time the raw
+    side would already have been written to shuffle files.
+    """
+    small = cut_lineage(small)
+    if small.limit(limit + 1).count() <= limit:
+        return big.join(F.broadcast(small), list(keys), how)
+    return salted_join(big, small, keys, salt_on, how)
+
+
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hash-partition for a CPU-bound grouped kernel.
 

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .skew import salted_join
+from .skew import join_small
 
 
 def crop_to_spans(
     points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str = "mjd", pad: float = 0.0
 ) -> DataFrame:
     """Closed range join: one output row per (point, span holding it)."""
-    joined = salted_join(points, spans, keys, F.col(time))
+    joined = join_small(points, spans, keys, F.col(time))
     inside = (F.col(time) >= F.col("t_start") - pad) & (F.col(time) <= F.col("t_end") + pad)
     return joined.where(inside)
 
@@ -108,8 +108,8 @@ def peaks(points: DataFrame, keys: Sequence[str], value: str, time: str = "mjd")
 
 
 def with_peak(points: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Points joined back to the peak of their key; the join is salted, not windowed."""
-    return salted_join(points, peaks(points, keys, value), keys, F.col("mjd"))
+    """Points joined back to the peak of their key; joined, not windowed."""
+    return join_small(points, peaks(points, keys, value), keys, F.col("mjd"))
 
 
 def phase(time: Column, peak: Column) -> Column:

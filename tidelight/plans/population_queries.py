@@ -9,7 +9,7 @@ from ..config import DetectorConfig, FitConfig
 from ..functions import photometry as ph
 from ..functions.expr import rnd
 from ..operators import bootstrap, detect, periodic, population, pulsefit
-from ..operators.skew import first_per_key, grouped_quantiles, salted_join
+from ..operators.skew import first_per_key, grouped_quantiles, join_small
 from ..session import cut_lineage
 from ..sources import readers, text
 from ..sources.tables import lightcurve, mjd_of, multiband, optical, table
@@ -194,7 +194,7 @@ def _shape_rows(spark, sf):
     """One row per (source, third): duration-like parameter with its classes."""
     s = thirds(spark, sf)
     lc = lightcurve(spark, sf).select("source", "mjd", "val")
-    j = salted_join(lc, s, ["source"], F.col("mjd")).where("mjd BETWEEN t_start AND t_end")
+    j = join_small(lc, s, ["source"], F.col("mjd")).where("mjd BETWEEN t_start AND t_end")
     g = j.groupBy("source", "outburst_idx").agg(
         F.max_by("mjd", F.struct("val", -F.col("mjd"))).alias("pk"), F.min("mjd").alias("a"), F.max("val").alias("top")
     )

@@ -206,9 +206,7 @@ def sexagesimal(spark, sf):
     de_t = F.when(style == 0, F.concat("sign", F.concat_ws(" ", *dms))).when(
         style == 1, F.concat("sign", F.concat_ws(":", *dms))).when(style == 2, F.col("dec").cast("string")).otherwise(" N/A ")
     s = s.withColumn("sec", sec).select("src", ra_t.alias("ra_t"), de_t.alias("de_t"))
-    ra_t, de_t = F.col("ra_t"), F.col("de_t")
-    ra, dec = coords.parse_position(ra_t, de_t)
-    df = s.select("src", ra.alias("ra"), dec.alias("dec")).where("ra IS NOT NULL AND dec IS NOT NULL")
+    df = coords.with_position(s, "ra_t", "de_t").where("ra IS NOT NULL AND dec IS NOT NULL")
     return df.select("src", rnd(F.col("ra"), 7).alias("ra"), rnd(F.col("dec"), 6).alias("dec"))
 
 
@@ -451,7 +449,7 @@ ORACLE = {
         PARTS,
         f"obs AS (SELECT {pos('l_partkey', '0.0', 'l_linenumber * 1.5 / 3600.0')}, l_extendedprice AS flux, l_returnflag AS f FROM lineitem)",
         f"""m AS (SELECT p.row_idx, o.f, o.flux FROM parts p JOIN obs o
-           ON abs(o.ra - p.ra) < 1e-9 AND abs(o.dec - p.dec) < 0.01 AND {sep('p', 'o')} <= 5.0)""",
+           ON o.ra = p.ra AND abs(o.dec - p.dec) < 0.01 AND {sep('p', 'o')} <= 5.0)""",
         """g AS (SELECT row_idx, count(*) FILTER (WHERE f = 'A') AS xn, count(*) FILTER (WHERE f = 'N') AS cn,
            count(*) FILTER (WHERE f = 'R') AS sn, max(flux) FILTER (WHERE f = 'A') AS xf, max(flux) FILTER (WHERE f = 'N') AS cf,
            max(flux) FILTER (WHERE f = 'R') AS sf FROM m GROUP BY row_idx)""",

@@ -9,7 +9,8 @@ from ..functions import photometry as ph
 from ..functions.expr import rnd
 from ..functions.names import canonical_key, class_label
 from ..operators import slope, timejoin
-from ..operators.skew import first_per_key, grouped_quantiles, salted_join
+from ..operators.skew import first_per_key, grouped_quantiles, join_small, salted_join
+from ..session import cut_lineage
 from ..sources.tables import lightcurve, multiband, optical, table, xray
 from . import sqltext as q
 from .sqltext import LC, MULTI, OPT, XRAY, r, with_
@@ -22,11 +23,12 @@ def thirds(spark, sf):
     ends = lightcurve(spark, sf).groupBy("source").agg(F.min("mjd").alias("a"), F.max("mjd").alias("b"))
     step = (F.col("b") - F.col("a")) / 3.0
     one = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("outburst_idx")
-    return ends.select("source", "a", step.alias("s"), one).select(
+    spans = ends.select("source", "a", step.alias("s"), one).select(
         "source", F.col("outburst_idx").cast("long").alias("outburst_idx"),
         (F.col("a") + F.col("s") * (F.col("outburst_idx") - 1)).alias("t_start"),
         (F.col("a") + F.col("s") * F.col("outburst_idx")).alias("t_end"),
     )
+    return cut_lineage(spans)
 
 
 def classification(spark, sf):
@@ -57,7 +59,7 @@ def class_lookup(spark, sf):
 def with_class(df, spark, sf):
     """Left join on the canonical key; a miss is UNKNOWN."""
     df = df.withColumn("ckey", canonical_key(F.concat(F.lit("SRC_"), F.col("source").cast("string"))))
-    out = salted_join(df, class_lookup(spark, sf), ["ckey"], F.struct(*df.columns), "left")
+    out = join_small(df, class_lookup(spark, sf), ["ckey"], F.struct(*df.columns), "left")
     return out.drop("ckey").fillna("UNKNOWN", ["cls", "src_type"])
 
 
@@ -184,7 +186,7 @@ def _span_points(spark, sf):
 def _with_beta(df, fit):
     """Slope per class with the default for classes that have none."""
     betas = fit.select(F.col("compact_object").alias("cls"), "beta")
-    out = salted_join(df, betas, ["cls"], F.col("row_id"), "left")
+    out = join_small(df, betas, ["cls"], F.col("row_id"), "left")
     return out.withColumn("beta", F.coalesce("beta", F.lit(SlopeConfig().fallback_beta)))
 
 

@@ -30,6 +30,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder named in ``spark.checkpoint.dir`` is used; only where it is unset
     (local tests) a temporary one is made.
     """
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRDD":
+        return df  # already materialised
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:

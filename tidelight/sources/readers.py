@@ -13,7 +13,7 @@ from ..functions import photometry as ph
 from ..functions.expr import no_nan
 from ..functions.names import canonical_key, class_label, parse_curve_file
 from ..operators.rebin import dedupe_exact, rebin_series
-from ..operators.skew import first_per_key, salted_join
+from ..operators.skew import first_per_key, join_small, salted_join
 from ..schema import MAG_KEYWORDS, SPAN_END, SPAN_START, by_keyword, by_name, need, tidy_header
 
 KEYS = ["source", "file_stem", "instrument", "band"]
@@ -55,7 +55,7 @@ def clean_optical(df: DataFrame, keys: list[str], min_rows: int = 10) -> DataFra
         df = df.where("catflags = 0")
     df = df.where("mjd IS NOT NULL AND mag IS NOT NULL AND magerr > 0")
     enough = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
-    df = salted_join(df, enough.drop("_n"), keys, F.col("mjd"))
+    df = join_small(df, enough.drop("_n"), keys, F.col("mjd"))
     flux = df.select(
         *keys, "mjd", ph.relative_flux(F.col("mag")).alias("val"),
         ph.relative_flux_err(F.col("mag"), F.col("magerr")).alias("err"),
