@@ -38,26 +38,34 @@ def null_values(
 def null_series(based: DataFrame, keys: Sequence[str], cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Null curves of every series: keys, draw, mjd, val, err, base, sigma.
 
-    A group is one rebinned series, bounded by its time span.
+    A rebinned series, bounded by its time span, travels as one row of arrays, so that the
+    draws are dealt evenly over the tasks.
     """
-    cols = [*keys, "mjd", "val", "err", "base", "sigma"]
+    keys = list(keys)
+    point = ["mjd", "val", "err", "base", "sigma", "quiet"]
+    rows = based.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*point))).alias("_p"))
+    rows = rows.select(*keys, *[F.col(f"_p.{c}").alias(c) for c in point])
     out = T.StructType(
-        [f for f in based.select(*cols).schema] + [T.StructField("draw", T.IntegerType())]
+        [based.schema[k] for k in keys]
+        + [T.StructField(c, T.DoubleType()) for c in point[:-1]]
+        + [T.StructField("draw", T.IntegerType())]
     )
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("mjd", kind="stable")
-        nulls = null_values(
-            pdf["val"].to_numpy(), pdf["base"].to_numpy(), pdf["quiet"].to_numpy(bool), cfg
-        )
-        if nulls is None:
-            return pdf.iloc[:0][cols].assign(draw=pd.Series(dtype="int32"))
-        rep = pd.concat([pdf[cols]] * cfg.n_bootstrap, ignore_index=True)
-        rep["val"] = nulls.ravel()
-        rep["draw"] = np.repeat(np.arange(cfg.n_bootstrap, dtype="int32"), len(pdf))
-        return rep
+    def draw(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                base = np.asarray(row.base, float)
+                nulls = null_values(np.asarray(row.val, float), base, np.asarray(row.quiet, bool), cfg)
+                if nulls is None:
+                    continue
+                n = len(base)
+                rep = {k: np.repeat(np.asarray([getattr(row, k)]), nulls.size) for k in keys}
+                rep |= {c: np.tile(np.asarray(getattr(row, c), float), cfg.n_bootstrap) for c in point[:-1]}
+                rep["val"] = nulls.ravel()
+                rep["draw"] = np.repeat(np.arange(cfg.n_bootstrap, dtype="int32"), n)
+                yield pd.DataFrame(rep)
 
-    return spread(based.select(*cols, "quiet"), keys).groupBy(*keys).applyInPandas(draw, out)
+    return spread(rows).mapInPandas(draw, out)
 
 
 def false_alarm(

@@ -147,31 +147,32 @@ def fit_pulses(
 
     ``series``: keys, mjd, val, err plus per-series ``baseline`` and ``threshold``.
     """
-    keys = list(keys)
-    good = series.where("err > 0 AND abs(val) < double('inf') AND abs(err) < double('inf')")
-    pts = crop_to_spans(good, spans, keys)
     ids = [*keys, "outburst_idx"]
-    head = pts.select(*ids).schema.fields
+    good = series.where("err > 0 AND abs(val) < double('inf') AND abs(err) < double('inf')")
+    pts = crop_to_spans(good, spans, list(keys))
+    rows = pts.groupBy(*ids, "baseline", "threshold", "t_start", "t_end").agg(
+        F.sort_array(F.collect_list(F.struct("mjd", "val", "err"))).alias("_p"), F.count("*").alias("n_points")
+    )
+    # too small spans never reach Python
+    rows = rows.where(F.col("n_points") >= cfg.min_points).select(
+        *ids, "baseline", "threshold", F.col("t_start").alias("span_start_mjd"),
+        F.col("t_end").alias("span_end_mjd"), "n_points", "_p.mjd", "_p.val", "_p.err",
+    )
+    copied = [*ids, "baseline", "threshold", "span_start_mjd", "span_end_mjd", "n_points"]
+    fitted = [c for c in FIT_FIELDS if c not in copied]
     out = T.StructType(
-        [*head, T.StructField("span_start_mjd", T.DoubleType()), T.StructField("span_end_mjd", T.DoubleType()),
-         T.StructField("dof", T.LongType()), T.StructField("n_points", T.LongType()),
-         *[T.StructField(c, T.DoubleType()) for c in FIT_FIELDS]]
+        [rows.schema[c] for c in copied]
+        + [T.StructField("dof", T.LongType())]
+        + [T.StructField(c, T.DoubleType()) for c in fitted]
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("mjd", kind="stable")
-        a, b = pdf["t_start"].iloc[0], pdf["t_end"].iloc[0]
-        res = fit_span(pdf["mjd"].to_numpy(), pdf["val"].to_numpy(), pdf["err"].to_numpy(), a, b, cfg)
-        if res is None:
-            return pd.DataFrame(columns=out.names)
-        first = pdf.iloc[0]
-        res |= {c: first[c] for c in ids} | {
-            "span_start_mjd": a, "span_end_mjd": b, "baseline": first["baseline"],
-            "threshold": first["threshold"], "n_points": len(pdf),
-        }
-        return pd.DataFrame([{c: res.get(c, np.nan) for c in out.names}])
-
-    # too small groups never reach Python
-    sizes = pts.groupBy(*ids).agg(F.count("*").alias("_n")).where(F.col("_n") >= cfg.min_points)
-    pts = pts.join(sizes.select(*ids), ids, "left_semi")
-    return spread(pts, ids).groupBy(*ids).applyInPandas(run, out)
+    def run(batches):
+        for pdf in batches:
+            res = [
+                fit_span(np.asarray(r.mjd), np.asarray(r.val), np.asarray(r.err), r.span_start_mjd, r.span_end_mjd, cfg)
+                for r in pdf.itertuples(index=False)
+            ]
+            done = pd.DataFrame([{c: x.get(c, np.nan) for c in ["dof", *fitted]} for x in res], index=pdf.index)
+            yield pd.concat([pdf[copied], done], axis=1)
+
+    return spread(rows).mapInPandas(run, out)

@@ -56,14 +56,13 @@ def join_small(
     return salted_join(big, small, keys, salt_on, how)
 
 
-def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hash-partition for a CPU-bound grouped kernel.
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows evenly over all tasks before a CPU-bound kernel.
 
-    The number is explicit because adaptive execution would otherwise merge the few bytes
-    of such an input into one task; the grouping that follows reuses this partitioning.
+    Each row is one unit of work. The number is explicit because adaptive execution would
+    otherwise merge the few bytes of such an input into one task.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
