@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokenfiles
+from . import linequality, mixing, tokenfiles
 from .common import table
 
 
@@ -20,8 +20,24 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures and verdict of every document."""
+    return linequality.quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.copies(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES = {
+    "op6_line_quality": op6_line_quality,
     "op8_token_files": op8_token_files,
+    "op9_mixture": op9_mixture,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_line_quality": linequality.ORACLE,
+}
