@@ -68,3 +68,20 @@ def arrow_map(df: DataFrame, fn: Callable[[list[list]], Iterator[dict] | dict],
 
 def _array(values, kind):
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
+
+#: Rows up to which a counted table is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a written table: a broadcast where its counted rows are few, else a plain join,
+    whose hot keys adaptive execution splits. The result is the same."""
+    return big.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
+
+
+ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(c: Column) -> Column:
+    return F.translate(c, ASCII_UPPER, ASCII_LOWER)

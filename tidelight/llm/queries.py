@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linequality, mixing, tokenfiles
+from . import linequality, mixing, tokenfiles, urlfilter
 from .common import table
 
 
@@ -20,6 +20,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page; listed are the canonical URLs that several pages share."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(list(urlfilter.RULES), "rule string, verdict string")
+    judged = urlfilter.judge_urls(pages, rules, urlfilter.repeated_urls(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures and verdict of every document."""
     return linequality.quality_rules(table(spark, sf_dir, "documents")).select(
@@ -33,11 +41,13 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_url_filter": op5_url_filter,
     "op6_line_quality": op6_line_quality,
     "op8_token_files": op8_token_files,
     "op9_mixture": op9_mixture,
 }
 
 ORACLE: dict[str, str] = {
+    "op5_url_filter": urlfilter.ORACLE,
     "op6_line_quality": linequality.ORACLE,
 }
