@@ -37,7 +37,7 @@ MAGIC = b"TLTOKEF1"
 TRAILER = np.dtype([("docs", "<u8"), ("nulls", "<u8"), ("ids", "<u8"), ("ends_at", "<u8"), ("keys_at", "<u8"),
                     ("least", "<i8"), ("width", "<u8"), ("magic", "S8")])
 SELECT_STEP = 256
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
@@ -102,13 +102,27 @@ class EliasFano:
         return (pos - i) << self.low | chunk >> (start % 8) & ((1 << self.low) - 1)
 
 
+class _Words(dict):
+    """Number of each word, given when it is first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Ids of whole texts. Between a word and the single space before the next one the
     byte-level pre-tokenizer always splits, so the parts between such places are encoded once
     and their ids reused; a text where a space stands inside a run of white space, or that holds
-    a special token, is encoded as it is."""
+    a special token, is encoded as it is. New parts are encoded many at a time, as lines of one
+    text: a line end between two words is a token of its own."""
 
     UNSAFE = re.compile(r"\s \s|\s \Z")
+    LINE = re.compile(r" ?\S+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -117,7 +131,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.wide = self.tok.get_vocab_size() > 1 << 16
-        self.by_part = self._splits_before_spaces()
+        self.line_end = self.tok.encode("\n", add_special_tokens=False).ids
+        self.by_part = self._splits_before_spaces() and len(self.line_end) == 1
         self._clear()
 
     def _splits_before_spaces(self) -> bool:
@@ -129,39 +144,69 @@ class Encoder:
                 and not pre.get("add_prefix_space") and pre.get("use_regex", True))
 
     def _clear(self):
-        self.known: dict[str, int] = {}
+        self.words = _Words()
         self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_part:
-            return self._plain(texts)
-        out: list[np.ndarray | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.UNSAFE.search(t) or any(s in t for s in self.special)]
-        for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
-            out[i] = ids
-        parts = {i: t.split(" ") for i, t in enumerate(texts) if out[i] is None}
-        if len(self.known) > CACHE_WORDS:
-            self._clear()
-        # a first part has no space before it; its key starts with one that no part can have
-        for p in parts.values():
-            p[0] = " " + p[0]
-        new = list({w for p in parts.values() for w in p} - self.known.keys())
-        if new:
-            ids = self._plain([w[1:] if w[:1] == " " else " " + w for w in new])
-            base = len(self.known)
-            self.known.update(zip(new, range(base, base + len(new))))
-            self.flat = np.concatenate([self.flat, *ids])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _learn(self):
+        """Ids of the words that have a number and no ids yet."""
+        new, self.words.new = self.words.new, []
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            text = [w[1:] if w[:1] == " " else " " + w for w in part]
+            lines = np.fromiter((self.LINE.fullmatch(t) is not None for t in text), bool, len(text))
+            sizes = np.zeros(len(part), np.int64)
+            ids = self._plain(["\n".join(t for t, ok in zip(text, lines) if ok)])[0]
+            if lines.any():
+                ends = np.flatnonzero(np.append(ids, self.line_end) == self.line_end[0])
+                sizes[lines] = np.diff(ends, prepend=-1) - 1
+            ids = ids[ids != self.line_end[0]]
+            odd = [i for i, ok in enumerate(lines) if not ok]
+            if odd:
+                got = self._plain([text[i] for i in odd])
+                sizes[odd] = [len(g) for g in got]
+                whole = np.empty(int(sizes.sum()), np.uint32)
+                own = np.repeat(lines, sizes)
+                whole[own] = ids
+                whole[~own] = np.concatenate(got)
+                ids = whole
+            self.flat = np.concatenate([self.flat, ids])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        for i, p in parts.items():
-            at = np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))
-            n = self.starts[at + 1] - self.starts[at]
-            ends = np.cumsum(n)
-            out[i] = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1])]
-        return out
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, concatenated, and how many each has."""
+        if self.by_part:
+            whole = [self.UNSAFE.search(t) is not None or any(s in t for s in self.special) for t in texts]
+        else:
+            whole = [True] * len(texts)
+        if any(whole):
+            plain = dict(zip((i for i, w in enumerate(whole) if w), self._plain([t for t, w in zip(texts, whole) if w])))
+            rest = [t for t, w in zip(texts, whole) if not w]
+            ids, sizes = self.encode_flat(rest) if rest else (np.empty(0, np.uint32), np.empty(0, np.int64))
+            cuts = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+            out = [plain[i] if w else next(cuts) for i, w in enumerate(whole)]
+            return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+        if len(self.words) > CACHE_WORDS:
+            self._clear()
+        parts: list[str] = []
+        counts = np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            p = t.split(" ")
+            p[0] = " " + p[0]  # no space before it; no other part begins with one
+            counts[i] = len(p)
+            parts += p
+        at = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
+        self._learn()
+        n = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1])]
+        return ids, np.add.reduceat(n, np.cumsum(counts) - counts)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        ids, sizes = self.encode_flat(texts)
+        return np.split(ids, np.cumsum(sizes)[:-1])
 
 
 def _store(path: str):
@@ -203,12 +248,12 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc
             keys += batch.column(0).to_pylist()
             texts = batch.column(1)
             for at in range(0, len(texts), 500):
-                got = encoder.encode(texts.slice(at, 500).to_pylist())
-                sizes = np.fromiter(map(len, got), np.int64, len(got)) + 1
+                got, sizes = encoder.encode_flat(texts.slice(at, 500).to_pylist())
+                sizes = sizes + 1
                 flat = np.full(int(sizes.sum()), end_id, kind)
                 keep = np.ones(len(flat), bool)
                 keep[np.cumsum(sizes) - 1] = False
-                flat[keep] = np.concatenate(got)
+                flat[keep] = got
                 sink.write(flat.tobytes())
                 ends.append(total + np.cumsum(sizes))
                 total += len(flat)
