@@ -37,7 +37,7 @@ MAGIC = b"TLTOKEF1"
 TRAILER = np.dtype([("docs", "<u8"), ("nulls", "<u8"), ("ids", "<u8"), ("ends_at", "<u8"), ("keys_at", "<u8"),
                     ("least", "<i8"), ("width", "<u8"), ("magic", "S8")])
 SELECT_STEP = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
@@ -123,6 +123,7 @@ class Encoder:
 
     UNSAFE = re.compile(r"\s \s|\s \Z")
     LINE = re.compile(r" ?\S+")
+    TWO_LINES = re.compile(r" ?\S+\n\S+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -145,35 +146,55 @@ class Encoder:
 
     def _clear(self):
         self.words = _Words()
-        self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _add(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray):
+        self.starts[numbers] = len(self.flat) + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.sizes[numbers]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[numbers] - (ends - n), n) + np.arange(n.sum())], n
+
     def _learn(self):
-        """Ids of the words that have a number and no ids yet."""
-        new, self.words.new = self.words.new, []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            text = [w[1:] if w[:1] == " " else " " + w for w in part]
-            lines = np.fromiter((self.LINE.fullmatch(t) is not None for t in text), bool, len(text))
-            sizes = np.zeros(len(part), np.int64)
-            ids = self._plain(["\n".join(t for t, ok in zip(text, lines) if ok)])[0]
-            if lines.any():
-                ends = np.flatnonzero(np.append(ids, self.line_end) == self.line_end[0])
-                sizes[lines] = np.diff(ends, prepend=-1) - 1
-            ids = ids[ids != self.line_end[0]]
-            odd = [i for i, ok in enumerate(lines) if not ok]
-            if odd:
-                got = self._plain([text[i] for i in odd])
-                sizes[odd] = [len(g) for g in got]
-                whole = np.empty(int(sizes.sum()), np.uint32)
-                own = np.repeat(lines, sizes)
-                whole[own] = ids
-                whole[~own] = np.concatenate(got)
-                ids = whole
-            self.flat = np.concatenate([self.flat, ids])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        """Ids of the words that have a number and no ids yet. A word with a full stop or comma
+        behind a letter, and two words around a line end, are put together from their parts."""
+        words, new = self.words, self.words.new
+        if not new:
+            return
+        stops = {c: words[" " + c] for c in ".,\n"}
+        lines, odd, stopped, joined = [], [], [], []
+        number = len(self.starts)
+        for w in new:  # grows by the parts
+            if "\n" in w and self.TWO_LINES.fullmatch(w):
+                left, right = w.split("\n")
+                joined.append((number, words[left], stops["\n"], words[" " + right]))
+            elif w[-1:] in ".," and w[-2:-1].isalpha() and "\n" not in w:
+                stopped.append((number, words[w[:-1]], stops[w[-1]]))
+            else:
+                text = w[1:] if w[:1] == " " else " " + w
+                (lines if self.LINE.fullmatch(text) else odd).append((number, text))
+            number += 1
+        words.new = []
+        grown = np.zeros(number - len(self.starts), np.int64)
+        self.starts, self.sizes = np.concatenate([self.starts, grown]), np.concatenate([self.sizes, grown])
+        if lines:
+            ids = self._plain(["\n".join(t for _, t in lines)])[0]
+            ends = np.flatnonzero(np.append(ids, self.line_end) == self.line_end[0])
+            self._add([k for k, _ in lines], ids[ids != self.line_end[0]], np.diff(ends, prepend=-1) - 1)
+        if odd:
+            got = self._plain([t for _, t in odd])
+            self._add([k for k, _ in odd], np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)))
+        for made in (stopped, joined):
+            if made:
+                table = np.array(made, np.int64)
+                ids, sizes = self._gather(table[:, 1:].ravel())
+                self._add(table[:, 0].tolist(), ids, sizes.reshape(len(table), -1).sum(axis=1))
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, concatenated, and how many each has."""
@@ -199,9 +220,7 @@ class Encoder:
             parts += p
         at = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
         self._learn()
-        n = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1])]
+        ids, n = self._gather(at)
         return ids, np.add.reduceat(n, np.cumsum(counts) - counts)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
