@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linequality, mixing, tokenfiles, urlfilter
+from . import licenses, linequality, mixing, tokenfiles, urlfilter
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and texts in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the URL of every page; listed are the canonical URLs that several pages share."""
     pages = table(spark, sf_dir, "pages")
@@ -41,6 +46,7 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op5_url_filter": op5_url_filter,
     "op6_line_quality": op6_line_quality,
     "op8_token_files": op8_token_files,
@@ -48,6 +54,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_license_scan": licenses.oracle(),
     "op5_url_filter": urlfilter.ORACLE,
     "op6_line_quality": linequality.ORACLE,
 }
