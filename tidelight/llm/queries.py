@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linequality, mixing, tokenfiles, urlfilter
+from . import licenses, linequality, mixing, ranker, tokenfiles, urlfilter
 from .common import table
 
 
@@ -15,6 +15,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op7_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from pairs of labelled ones."""
+    return ranker.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back: start, n_tokens and ids_crc32 per document."""
     return tokenfiles.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -49,6 +54,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op5_url_filter": op5_url_filter,
     "op6_line_quality": op6_line_quality,
+    "op7_quality_ranker": op7_quality_ranker,
     "op8_token_files": op8_token_files,
     "op9_mixture": op9_mixture,
 }
