@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linequality, mixing, ranker, tokenfiles, urlfilter
+from . import licenses, linequality, mixing, neardup, ranker, tokenfiles, urlfilter
 from .common import table
 
 
@@ -50,6 +50,12 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, two-word shingles, 80 %."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op5_url_filter": op5_url_filter,
@@ -57,6 +63,7 @@ QUERIES = {
     "op7_quality_ranker": op7_quality_ranker,
     "op8_token_files": op8_token_files,
     "op9_mixture": op9_mixture,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE: dict[str, str] = {
