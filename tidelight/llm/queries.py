@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linequality, mixing, neardup, ranker, tokenfiles, urlfilter
+from . import decontaminate, licenses, linequality, mixing, neardup, ranker, tokenfiles, urlfilter
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, with the item."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the URL of every page; listed are the canonical URLs that several pages share."""
     pages = table(spark, sf_dir, "pages")
@@ -58,6 +63,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op3_decontamination": op3_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_line_quality": op6_line_quality,
     "op7_quality_ranker": op7_quality_ranker,
