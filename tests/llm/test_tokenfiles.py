@@ -57,3 +57,12 @@ def test_random_access(spark, make_docs, tmp_path):
     tok = Tokenizer.from_file(PATH)
     for i in (0, 255, 256, 599):
         assert shard.document(i).tolist() == tok.encode(texts[i]).ids + [0]
+
+
+def test_word_table_is_trimmed(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "CACHE_WORDS", 40)
+    tok, enc = Tokenizer.from_file(PATH), tokenfiles.Encoder(PATH)
+    for k in range(30):
+        texts = [f"the word{k}x{i}, and the.\nEnd of{i} it" for i in range(k % 5 + 1)]
+        assert [x.tolist() for x in enc.encode(texts)] == [tok.encode(t).ids for t in texts]
+    assert len(enc.words) < 80

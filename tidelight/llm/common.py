@@ -57,6 +57,7 @@ def arrow_map(df: DataFrame, fn: Callable[[list[list]], Iterator[dict] | dict],
 
     want = to_arrow_schema(_parse_datatype_string(schema))
 
+    @collector_off
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -66,6 +67,33 @@ def arrow_map(df: DataFrame, fn: Callable[[list[list]], Iterator[dict] | dict],
     return df.mapInArrow(run, schema)
 
 
+def collector_off(kernel):
+    """Run a kernel without the cyclic garbage collector, which would walk its large tables of
+    words again and again; what it makes has no cycles."""
+
+    def run(batches):
+        import gc
+
+        gc.disable()
+        try:
+            yield from kernel(batches)
+        finally:
+            gc.enable()
+
+    return run
+
+
+def worker_value(key, make):
+    """A value that a Python worker makes once and keeps for its next tasks."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_tidelight_worker", types.ModuleType("_tidelight_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def _array(values, kind):
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
 

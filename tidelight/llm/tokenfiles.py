@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, partitions, shared_dir
+from .common import col, collector_off, partitions, shared_dir, worker_value
 
 MAGIC = b"TLTOKEF1"
 TRAILER = np.dtype([("docs", "<u8"), ("nulls", "<u8"), ("ids", "<u8"), ("ends_at", "<u8"), ("keys_at", "<u8"),
                     ("least", "<i8"), ("width", "<u8"), ("magic", "S8")])
 SELECT_STEP = 256
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 450_000
+TEXTS_AT_ONCE = 1000
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
@@ -105,7 +106,8 @@ class EliasFano:
 class _Words(dict):
     """Number of each word, given when it is first asked for."""
 
-    def __init__(self):
+    def __init__(self, known=()):
+        super().__init__(zip(known, range(len(known))))
         self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -146,7 +148,19 @@ class Encoder:
 
     def _clear(self):
         self.words = _Words()
-        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
+        self.starts, self.sizes, self.uses = (np.empty(0, np.int64) for _ in range(3))
+
+    def _trim(self):
+        """Keep the words that were met again, half of the room at most."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > CACHE_WORDS // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: CACHE_WORDS // 2]])
+        names = list(self.words)
+        self.flat, self.sizes = self._gather(keep)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.uses = np.ones(len(keep), np.int64)
+        self.words = _Words([names[i] for i in keep.tolist()])
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -182,7 +196,7 @@ class Encoder:
             number += 1
         words.new = []
         grown = np.zeros(number - len(self.starts), np.int64)
-        self.starts, self.sizes = np.concatenate([self.starts, grown]), np.concatenate([self.sizes, grown])
+        self.starts, self.sizes, self.uses = (np.concatenate([x, grown]) for x in (self.starts, self.sizes, self.uses))
         if lines:
             ids = self._plain(["\n".join(t for _, t in lines)])[0]
             ends = np.flatnonzero(np.append(ids, self.line_end) == self.line_end[0])
@@ -210,7 +224,7 @@ class Encoder:
             out = [plain[i] if w else next(cuts) for i, w in enumerate(whole)]
             return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
         if len(self.words) > CACHE_WORDS:
-            self._clear()
+            self._trim()
         parts: list[str] = []
         counts = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -220,6 +234,7 @@ class Encoder:
             parts += p
         at = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
         self._learn()
+        self.uses += np.bincount(at, minlength=len(self.uses))
         ids, n = self._gather(at)
         return ids, np.add.reduceat(n, np.cumsum(counts) - counts)
 
@@ -247,6 +262,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc
     n = max(1, -(-size // shard_bytes), partitions(spark) if size > shard_bytes // 8 else 1)
     dealt = rows.repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
 
+    @collector_off
     def write(batches):
         from pyspark import TaskContext
 
@@ -257,7 +273,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = Encoder(tokenizer)
+                encoder = worker_value(("encoder", tokenizer), lambda: Encoder(tokenizer))
                 kind = np.dtype("<u4" if encoder.wide else "<u2")
                 store, root = _store(folder)
                 store.create_dir(root, recursive=True)
@@ -266,8 +282,8 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc
                 sink = store.open_output_stream(temp)
             keys += batch.column(0).to_pylist()
             texts = batch.column(1)
-            for at in range(0, len(texts), 500):
-                got, sizes = encoder.encode_flat(texts.slice(at, 500).to_pylist())
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                got, sizes = encoder.encode_flat(texts.slice(at, TEXTS_AT_ONCE).to_pylist())
                 sizes = sizes + 1
                 flat = np.full(int(sizes.sum()), end_id, kind)
                 keep = np.ones(len(flat), bool)
