@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, linequality, mixing, neardup, ranker, tokenfiles, urlfilter
+from . import decontaminate, licenses, linequality, mixing, neardup, ranker, substrings, tokenfiles, urlfilter
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeated 200-byte strings cover."""
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and texts in every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op5_url_filter": op5_url_filter,
