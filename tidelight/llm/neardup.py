@@ -8,7 +8,8 @@ leading zeros and 10 mantissa bits, 16 bits in all. An empty bucket borrows from
 one in a fixed random order. Bands of four registers are the join keys: a pair at 0.8 misses all
 32 bands with odds of about 5e-8.
 
-Links: in each band bucket every class is paired with the bucket's least class. Pairs whose
+Links: in each band bucket every class is paired with one class of the bucket, its hub, drawn by
+a hash of band and class, so that the bands of a large group have different hubs. Pairs whose
 sizes or whose collision-corrected estimate rule out the threshold by far (see ``MARGIN``) are
 dropped, the rest compared on full sets. Confirmed links make components. Only where a bucket
 then still holds several components are pairs across them compared: each member outside the
@@ -131,7 +132,8 @@ def buckets(classes: DataFrame) -> DataFrame:
     width = 2 * BAND
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + width * i, width)) for i in range(REGISTERS // BAND)])
     rows = classes.select("c", "n", F.explode(bands).alias("key"))
-    hubs = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("c").alias("hub")).where("rows > 1").drop("rows")
+    drawn = F.min(F.struct(F.xxhash64("key", "c").alias("order"), "c"))["c"]
+    hubs = rows.groupBy("key").agg(F.count("*").alias("rows"), drawn.alias("hub")).where("rows > 1").drop("rows")
     return stage(rows.join(hubs, "key"))
 
 
