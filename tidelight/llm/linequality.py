@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_small
-from .common import SPACES, arrow_map, col, stage
+from .common import SPACES, arrow_map, col, join_counted, stage
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("doc_id long, host string, digest long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
@@ -60,18 +60,15 @@ def repeated_words(words: list) -> int:
 
 
 def line_hash(line: bytes) -> int:
-    """Signed 64-bit hash of the normalised line; lines without a word have none (0 is not special)."""
-    return _signed(xxhash.xxh3_64_intdigest(b" ".join(line.lower().split())))
-
-
-def _signed(h: int) -> int:
+    """Signed 64-bit hash of a normalised line."""
+    h = xxhash.xxh3_64_intdigest(b" ".join(line.lower().split()))
     return h - (1 << 64) if h >> 63 else h
 
 
 def _features(cols):
-    ids, hosts, texts = cols
+    texts = cols[3]
     out = {k.split()[0]: [] for k in FEATURES.split(", ")}
-    out["doc_id"], out["host"] = ids, hosts
+    out["doc_id"], out["host"], out["digest"] = cols[:3]
     symbol = re.compile("[" + re.escape(SYMBOLS) + "]")
     for text in texts:
         text = text or ""
@@ -88,7 +85,6 @@ def _features(cols):
                 exact.add(line)
                 h = line_hash(line)
                 counts[h] = counts.get(h, 0) + n
-        out["digest"].append(_signed(xxhash.xxh3_64_intdigest(raw)))
         out["n_words"].append(len(words))
         out["word_chars"].append(len(text) - sum(map(text.count, SPACES)))
         out["n_symbols"].append(len(symbol.findall(text)))
@@ -99,12 +95,19 @@ def _features(cols):
     return out
 
 
+def host_key(host_col):
+    return F.coalesce(F.concat(F.lit("="), col(host_col).cast("string")), F.lit(""))
+
+
+def digest(text_col):
+    return F.xxhash64(F.coalesce(col(text_col), F.lit("")))
+
+
 def features(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
     """Figures and line hashes of every document, written to the shared folder.
 
     ``host`` is the host with a mark before it, so that a null host is a value too."""
-    host = F.coalesce(F.concat(F.lit("="), col(host_col).cast("string")), F.lit(""))
-    rows = docs.select(col(id_col).cast("long"), host, col(text_col))
+    rows = docs.select(col(id_col).cast("long"), host_key(host_col), digest(text_col), col(text_col))
     return stage(arrow_map(rows, _features, FEATURES))
 
 
@@ -137,20 +140,22 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), **columns) -> Data
     return judge(features(docs, **columns), limits)
 
 
+def keep(docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns. Rejected texts are joined to the documents, not kept ones."""
+    rejected = stage(quality_rules(docs, limits, id_col=id_col, text_col=text_col, host_col=host_col).where("NOT kept").select(
+        F.col("host").alias("_host"), F.col("digest").alias("_digest")).distinct())
+    rows = docs.withColumns({"_host": host_key(host_col), "_digest": digest(text_col)})
+    return join_counted(rows, rejected, ["_host", "_digest"], "left_anti").select(*map(col, docs.columns))
+
+
 def strip_lines(docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
     """(doc_id, text) of all documents, the boilerplate lines taken out of the texts."""
     feats = features(docs, id_col, text_col, host_col)
     lines = feats.select("host", "digest", F.explode("lines").alias("line")).distinct()
     hit = join_small(lines, frequent_lines(feats, limits), ["host", "line"], F.col("digest"))
     drop = hit.groupBy("host", "digest").agg(F.collect_set("line").alias("drop"))  # lines of one text
-    host = F.coalesce(F.concat(F.lit("="), col(host_col).cast("string")), F.lit(""))
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), host.alias("host"), col(text_col).alias("text"))
-
-    def digests(cols):
-        return {"doc_id": cols[0], "host": cols[1], "text": cols[2],
-                "digest": [_signed(xxhash.xxh3_64_intdigest((t or "").encode())) for t in cols[2]]}
-
-    rows = arrow_map(rows, digests, "doc_id long, host string, text string, digest long")
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), host_key(host_col).alias("host"), digest(text_col).alias("digest"),
+                       col(text_col).alias("text"))
 
     def cut(cols):
         out = []

@@ -132,13 +132,20 @@ def copies(docs: DataFrame, seed: int = 7, bucket: int = BUCKET, **columns) -> D
 
 
 def mix(docs: DataFrame, seed: int = 7, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows equal in id and text are alike; they share the copies of all of them."""
     took = copies(docs, seed, id_col=id_col, text_col=text_col, source_col=source_col)
-    # rows equal in id, text and source are alike: the k-th of them takes the k-th number of copies
-    took = took.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("copy", "copies"))).alias("_took"))
-    rows = docs.withColumns({"_id": col(id_col), "_digest": F.xxhash64(col(text_col))})
-    rows = rows.withColumn("_copy", _copy_number("_id", "_digest"))
-    joined = rows.join(took, rows["_id"].eqNullSafe(took["doc_id"]) & (rows["_digest"] == took["digest"]))
-    times = F.element_at("_took", F.col("_copy"))["copies"]
-    joined = joined.where(times > 0).withColumn("_time", F.explode(F.sequence(F.lit(1), times)))
-    return joined.select(*[rows[col_name] for col_name in docs.columns])
+    took = stage(took.groupBy(_name(F.col("doc_id")).alias("_key"), F.col("digest").alias("_digest")).agg(
+        F.sum("copies").alias("_took"), F.count("*").alias("_rows")).where("_took > 0"))
+    rows = docs.withColumns({"_key": _name(col(id_col)), "_digest": F.xxhash64(col(text_col))})
+    times = F.col("_took")
+    if not took.where("_rows > 1").isEmpty():
+        rows = rows.withColumn("_copy", _copy_number("_key", "_digest"))
+        times = F.floor(times / F.col("_rows")) + (F.col("_copy") <= times % F.col("_rows")).cast("long")
+    joined = rows.join(took, ["_key", "_digest"]).withColumn("_times", times).where("_times > 0")
+    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*map(col, docs.columns))
+
+
+def _name(key):
+    return F.coalesce(key.cast("string"), F.lit(""))

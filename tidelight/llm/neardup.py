@@ -113,18 +113,19 @@ def _digest(values: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, words: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, c, n, sketch of every document, written; c and sketch are null for empty sets."""
+    """doc_id, digest (hash of the text), c, n, sketch of every document, written; c and sketch are null for empty sets."""
 
     def make(cols):
         c, n, s = [], [], []
-        for t in cols[1]:
+        for t in cols[2]:
             v = shingle_set(t, words)
             n.append(len(v))
             c.append(_digest(v) if len(v) else None)
             s.append(sketch(v) if len(v) else None)
-        return {"doc_id": cols[0], "c": c, "n": n, "sketch": s}
+        return {"doc_id": cols[0], "digest": cols[1], "c": c, "n": n, "sketch": s}
 
-    return stage(arrow_map(docs.select(col(id_col), col(text_col)), make, "doc_id long, c binary, n long, sketch binary"))
+    rows = docs.select(col(id_col), F.xxhash64(col(text_col)), col(text_col))
+    return stage(arrow_map(rows, make, "doc_id long, digest long, c binary, n long, sketch binary"))
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -208,7 +209,7 @@ def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, links of every document.
+    """doc_id, digest, n_shingles, component_id, kept, links of every document.
 
     ``links`` counts the confirmed links of the document's class: those of the stars, not all
     that exist inside a component."""
@@ -232,7 +233,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col="
     ids = by.groupBy("root").agg(F.min("rep").alias("component_id"))
     ends = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
     by = by.join(ids, "root").join(ends, "c", "left").select("c", "component_id", "links")
-    out = made.select("doc_id", F.col("n").alias("n_shingles"), "c").join(by, "c", "left")
+    out = made.select("doc_id", "digest", F.col("n").alias("n_shingles"), "c").join(by, "c", "left")
     own = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"),
+    return out.select("doc_id", "digest", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"),
                       F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of ``docs`` without those linked to one of a lower id, and without repeats of a row's id and text."""
+    found = stage(near_duplicates(docs, words, percent, id_col, text_col).select("doc_id", "digest", "kept"))
+    name = {"_key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_digest": F.col("digest")}
+    gone = stage(found.where("NOT kept").select(*[c.alias(n) for n, c in name.items()]).distinct())
+    rows = docs.withColumns({"_key": F.coalesce(col(id_col).cast("string"), F.lit("")), "_digest": F.xxhash64(col(text_col))})
+    rows = join_counted(rows, gone, ["_key", "_digest"], "left_anti")
+    if not found.where("kept").groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["_key", "_digest"])
+    return rows.select(*map(col, docs.columns))
