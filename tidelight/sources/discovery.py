@@ -11,8 +11,8 @@ from ..functions.names import SCAN_EXTENSIONS, base_name, strip_extension
 from ..operators.skew import first_per_key
 
 # ---- Fixed values: order is priority ----
-XRAY_PATTERNS = ["_maxi_lc.csv", "_maxi.csv", "_maxi"]
-ZTF_PATTERNS = ["_ztf_lc.csv", "_ztf.csv", "_ztf"]
+XRAY_PATTERNS = ["_maxi_lc.csv", "_maxi.csv", "_maxi_lc", "_maxi"]
+ZTF_PATTERNS = ["_ztf_lc.csv", "_ztf.csv", "_ztf_lc", "_ztf"]
 OPTICAL_PATTERNS = [
     "_atlas_lc.csv", "_atlas.csv", "_ztf_lc.csv", "_ztf.csv", "_opt_lc.csv", "_opt.csv", "_optical.csv",
 ]
@@ -20,9 +20,11 @@ OPTICAL_PATTERNS = [
 
 
 def list_files(spark: SparkSession, folder: str, extensions: Sequence[str] = SCAN_EXTENSIONS) -> DataFrame:
-    """path, name, size of the files in a folder; only the listing is read, no content."""
+    """path, name, size of the files in a folder with one of the extensions or with none of them
+    but a known ending (``_maxi_lc``); only the listing is read, no content."""
     files = spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("size"))
-    pattern = r"(?i)\.(" + "|".join(extensions) + ")$"
+    endings = sorted({p for p in XRAY_PATTERNS + ZTF_PATTERNS if "." not in p})
+    pattern = r"(?i)(\.(" + "|".join(extensions) + ")|" + "|".join(endings) + ")$"
     return files.withColumn("name", base_name(F.col("path"))).where(F.col("name").rlike(pattern))
 
 

@@ -1,11 +1,13 @@
 """Light-curve, span and classification files to the engine's tables.
 
-All readers take a folder or glob: one scan per instrument, never one frame per file.
-The source comes from the file name in the ``_metadata`` column.
+All readers take a folder or glob: one scan for each distinct header, never one frame per file;
+columns are resolved by name for each header. The source comes from the file name in the
+``_metadata`` column, and the file itself is part of a series' key.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,35 +15,31 @@ from ..functions import photometry as ph
 from ..functions.expr import no_nan
 from ..functions.names import canonical_key, class_label, parse_curve_file
 from ..operators.rebin import dedupe_exact, rebin_series
-from ..operators.skew import first_per_key, join_small, salted_join
-from ..schema import MAG_KEYWORDS, SPAN_END, SPAN_START, by_keyword, by_name, need, tidy_header
+from ..operators.skew import join_small, salted_join
+from ..schema import MAG_KEYWORDS, SPAN_END, SPAN_START, by_keyword, by_name, need, standard_energy_band, tidy_header
+from .headed import FILE, ORDER, PATH, read_headed
 
-KEYS = ["source", "file_stem", "instrument", "band"]
+KEYS = ["source", "file_stem", "instrument", "band", "file"]
 XRAY_BAND = "2-20keV"
 
 
-def read_csv(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """Headed CSV as text columns plus the file name; values are cast where they are used."""
-    df = spark.read.option("header", True).option("comment", "\\").option("pathGlobFilter", glob).csv(path)
-    return df.select("*", F.col("_metadata.file_name").alias("_file"))
-
-
 def number(name: str):
     return no_nan(F.trim(F.col(f"`{name}`")).try_cast("double"))
 
 
-def raw_xray(spark: SparkSession, path: str, glob: str = "*_maxi*.csv") -> DataFrame:
-    df = read_csv(spark, path, glob)
-    t, f = need(df, ["mjd"], "time"), need(df, ["flux_2_20"], "flux")
-    e = need(df, ["error_2_20", "err_2_20"], "error")
-    rows = parse_curve_file(df, "_file").select(
-        "source", "file_stem", "instrument", F.lit(XRAY_BAND).alias("band"),
-        number(t).alias("mjd"), number(f).alias("val"), number(e).alias("err"),
-    )
-    return rows.where("mjd IS NOT NULL AND val IS NOT NULL AND err > 0")
+def raw_xray(spark: SparkSession, path: str, glob: str = "*_maxi*") -> DataFrame:
+    def pick(df: DataFrame) -> DataFrame:
+        t = need(df, ["mjd"], "time")
+        df = standard_energy_band(df)
+        return parse_curve_file(df, FILE).select(
+            "source", "file_stem", "instrument", F.lit(XRAY_BAND).alias("band"), F.col(FILE).alias("file"),
+            number(t).alias("mjd"), number("flux_2_20").alias("val"), number("err_2_20").alias("err"),
+        )
+
+    return read_headed(spark, path, pick, glob).where("mjd IS NOT NULL AND val IS NOT NULL AND err > 0")
 
 
-def load_xray(spark: SparkSession, path: str, glob: str = "*_maxi*.csv") -> DataFrame:
+def load_xray(spark: SparkSession, path: str, glob: str = "*_maxi*") -> DataFrame:
     """Clean X-ray curves, daily where dense, exact-merged where sparse."""
     return rebin_series(raw_xray(spark, path, glob), KEYS)
 
@@ -63,51 +61,62 @@ def clean_optical(df: DataFrame, keys: list[str], min_rows: int = 10) -> DataFra
     return dedupe_exact(flux, keys)
 
 
-def load_optical_bands(spark: SparkSession, path: str, glob: str = "*_ztf*.csv") -> DataFrame:
-    df = read_csv(spark, path, glob)
-    cols = {n: need(df, [n], n) for n in ("mjd", "mag", "magerr", "filtercode")}
-    flag = by_name(df.columns, ["catflags"])
-    rows = parse_curve_file(df, "_file").select(
-        "source", "file_stem", "instrument", F.col(cols["filtercode"]).alias("band"),
-        *[number(cols[n]).alias(n) for n in ("mjd", "mag", "magerr")],
-        *([number(flag).alias("catflags")] if flag else []),
-    )
-    return clean_optical(rows, KEYS)
+def load_optical_bands(spark: SparkSession, path: str, glob: str = "*_ztf*") -> DataFrame:
+    def pick(df: DataFrame) -> DataFrame:
+        cols = {n: need(df, [n], n) for n in ("mjd", "mag", "magerr", "filtercode")}
+        flag = by_name(df.columns, ["catflags"])
+        return parse_curve_file(df, FILE).select(
+            "source", "file_stem", "instrument", F.col(cols["filtercode"]).alias("band"), F.col(FILE).alias("file"),
+            *[number(cols[n]).alias(n) for n in ("mjd", "mag", "magerr")],
+            # a file without quality flags has good rows only
+            (number(flag) if flag else F.lit(0.0)).alias("catflags"),
+        )
+
+    return clean_optical(read_headed(spark, path, pick, glob), KEYS)
 
 
 def load_magnitudes(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """Tolerant magnitude reader: columns by keyword, default error 0.05, filter lower-cased."""
-    df = read_csv(spark, path, glob)
-    files = df.columns[:-1]
-    df = tidy_header(df, None)
-    cols = {k: by_keyword(df.columns[:-1], words) for k, words in MAG_KEYWORDS.items()}
-    if cols["mjd"] is None or cols["mag"] is None:
-        raise ValueError(f"no time or magnitude column among {files}")
-    err = number(cols["magerr"]) if cols["magerr"] else F.lit(0.05)
-    filt = F.lower(F.trim(F.col(cols["filter"]))) if cols["filter"] else F.lit("unknown")
-    rows = df.select(
-        F.col("_file"), number(cols["mjd"]).alias("mjd"), number(cols["mag"]).alias("mag"),
-        err.alias("magerr"), filt.alias("filter"),
-    )
-    return rows.where("mjd IS NOT NULL AND mag IS NOT NULL")
+    """Tolerant magnitude reader: columns by keyword, default error 0.05, filter lower-cased.
+
+    Files without a time or magnitude column are left out."""
+    def pick(df: DataFrame) -> DataFrame | None:
+        names = [c for c in df.columns if c not in (FILE, PATH, ORDER)]
+        cols = {k: by_keyword(names, words) for k, words in MAG_KEYWORDS.items()}
+        if cols["mjd"] is None or cols["mag"] is None:
+            return None
+        err = number(cols["magerr"]) if cols["magerr"] else F.lit(0.05)
+        filt = F.lower(F.trim(F.col(f"`{cols['filter']}`"))) if cols["filter"] else F.lit("unknown")
+        return df.select(
+            FILE, number(cols["mjd"]).alias("mjd"), number(cols["mag"]).alias("mag"),
+            err.alias("magerr"), filt.alias("filter"),
+        )
 
+    return read_headed(spark, path, pick, glob).where("mjd IS NOT NULL AND mag IS NOT NULL")
 
-def load_hardness(spark: SparkSession, path: str, glob: str = "*_maxi*.csv") -> DataFrame:
+
+def load_hardness(spark: SparkSession, path: str, glob: str = "*_maxi*") -> DataFrame:
     """Cleaned flux ratio per scan."""
-    df = tidy_header(read_csv(spark, path, glob))
-    for c in ("mjd", "flux_4_10", "flux_10_20"):
-        need(df, [c], c)
     wanted = ["mjd", "flux_4_10", "err_4_10", "flux_10_20", "err_10_20", "flux_2_20"]
-    df = df.select(
-        "_file", *[(number(c) if c in df.columns else F.lit(None).cast("double")).alias(c) for c in wanted]
-    )
-    df = df.where("mjd IS NOT NULL AND flux_4_10 > 0 AND flux_10_20 > 0")
+
+    def pick(df: DataFrame) -> DataFrame:
+        df = tidy_header(df)
+        for c in ("mjd", "flux_4_10", "flux_10_20"):
+            need(df, [c], c)
+        cols = {c: by_name(df.columns, [c, c.replace("err_", "error_")]) for c in wanted}
+        return df.select(FILE, *[(number(k) if k else F.lit(None).cast("double")).alias(c) for c, k in cols.items()])
+
+    df = read_headed(spark, path, pick, glob).where("mjd IS NOT NULL AND flux_4_10 > 0 AND flux_10_20 > 0")
     for b in ("4_10", "10_20"):
         df = df.where(f"err_{b} IS NULL OR abs(err_{b} / flux_{b}) <= 1")
     hr, err = ph.hardness(F.col("flux_4_10"), F.col("flux_10_20"), F.col("err_4_10"), F.col("err_10_20"))
     return df.withColumn("hr_x", hr).withColumn("hr_x_err", err)
 
 
+def load_spans(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Span files of any of the known layouts."""
+    return read_headed(spark, path, spans_of, glob)
+
+
 def spans_of(df: DataFrame) -> DataFrame:
     """source, t_start, t_end under any of the known column spellings; bad spans dropped."""
     df = tidy_header(df)
@@ -154,28 +163,32 @@ def qualified_outbursts(
     ).orderBy("file_stem", "mjd_start")
 
 
-def load_classification(spark: SparkSession, path: str) -> DataFrame:
-    """ckey, raw_name, compact_object, src_type; the last row of a key wins."""
-    df = spark.read.option("header", True).csv(path)
-    df = tidy_header(df, None)
-    name = by_keyword(df.columns, ["source", "name"])
-    obj = by_keyword(df.columns, ["compact", "bh_ns", "object_type", "co_type"])
-    kind = by_keyword(df.columns, ["src_type", "xrb_type", "type"])
-    if name is None:
-        raise ValueError(f"no source name column among {df.columns}")
-    rows = df.where(F.col(name).isNotNull()).select(
-        canonical_key(F.col(name)).alias("ckey"), F.col(name).alias("raw_name"),
-        (class_label(F.col(obj)) if obj else F.lit("UNKNOWN")).alias("compact_object"),
-        (F.coalesce(F.upper(kind), F.lit("UNKNOWN")) if kind else F.lit("UNKNOWN")).alias("src_type"),
-        F.monotonically_increasing_id().alias("_pos"),
-    )
-    return first_per_key(rows, ["ckey"], -F.col("_pos")).drop("_pos")
+def load_classification(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """ckey, raw_name, compact_object, src_type; the last row of a key wins, files in order of path."""
+    def pick(df: DataFrame) -> DataFrame | None:
+        names = [c for c in df.columns if c not in (FILE, PATH, ORDER)]
+        name = by_keyword(names, ["source", "name"])
+        obj = by_keyword(names, ["compact", "bh_ns", "object_type", "co_type"])
+        kind = by_keyword(names, ["src_type", "xrb_type", "type"])
+        if name is None:
+            return None
+        return df.where(F.col(f"`{name}`").isNotNull()).select(
+            canonical_key(F.col(f"`{name}`")).alias("ckey"), F.col(f"`{name}`").alias("raw_name"),
+            (class_label(F.col(f"`{obj}`")) if obj else F.lit("UNKNOWN")).alias("compact_object"),
+            (F.coalesce(F.upper(F.col(f"`{kind}`")), F.lit("UNKNOWN")) if kind else F.lit("UNKNOWN")).alias("src_type"), ORDER,
+        )
+
+    rows = read_headed(spark, path, pick, glob)
+    last = rows.groupBy("ckey").agg(F.max_by(F.struct("raw_name", "compact_object", "src_type"), ORDER).alias("r"))
+    return last.select("ckey", "r.*")
 
 
 def union_files(spark: SparkSession, master: str, fallback_glob: str) -> DataFrame:
-    """The master summary if it exists, else the union of the per-source files."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(master)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    chosen = master if fs.exists(path) else fallback_glob
-    return spark.read.option("header", True).csv(chosen)
+    """The master summary if it exists, else the union of the per-source files; columns by name."""
+    try:
+        df = read_headed(spark, master)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        df = read_headed(spark, fallback_glob)
+    return df.drop(FILE, PATH, ORDER)

@@ -48,23 +48,11 @@ def read_pipe(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame
     return split_lines(spark.read.text(path), names, sep=r"\s*\|\s*", comments="\\")
 
 
-def read_headed(spark: SparkSession, path: str) -> DataFrame:
-    """Whitespace table whose first line is a header that may start with #."""
-    lines = spark.read.text(path)
-    head = lines.where(F.trim("value") != "").head(1)
-    if not head:
-        return lines.limit(0)
-    names = head[0][0].strip().lstrip("#").split()
-    body = lines.where(F.trim("value") != head[0][0].strip())
-    fields = F.split(F.trim("value"), r"\s+")
-    return body.where(F.trim("value") != "").select(
-        *[F.get(fields, F.lit(i)).alias(n) for i, n in enumerate(names)]
-    )
-
+def read_headed(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Whitespace tables whose first line is a header that may start with #; files of other headers join by name."""
+    from . import headed
 
-def read_commented_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header and comment lines that start with a backslash."""
-    return spark.read.option("header", True).option("comment", "\\").csv(path)
+    return headed.read_headed(spark, path, None, glob, sep=None).drop(headed.FILE, headed.PATH, headed.ORDER)
 
 
 def valid_scan(df: DataFrame, flux: str = "flux_2_20") -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..schema import by_name
+from ..sources.headed import FILE, read_headed
+
 
 def pending(
     wanted: DataFrame, done: DataFrame, keys: Sequence[str], force: Sequence[str] = (), force_on: str = "source"
@@ -39,20 +42,27 @@ def append_new_files(
 ) -> None:
     """Process the CSV files not seen before and append their results.
 
+    The stream only tells which files are new; their columns are resolved by name for each
+    header, cast to ``schema``, NULL where a file lacks one. ``work`` also sees ``file_name``.
+
     The checkpoint remembers files. Each batch overwrites its own folder, so a batch that is
     repeated after a failure leaves no duplicates. ``checkpoint_dir`` and ``out_dir`` must be
     shared by all executors.
     """
     stream = (
-        spark.readStream.schema(schema)
-        .option("header", True)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .csv(in_dir)
-        .select("*", F.col("_metadata.file_name").alias("file_name"))
+        spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(in_dir).select(F.col("_metadata.file_path").alias("path"))
     )
 
+    def pick(part: DataFrame) -> DataFrame:
+        cols = {f.name: by_name(part.columns, [f.name]) for f in schema}
+        return part.select(
+            *[(F.trim(F.col(f"`{cols[f.name]}`")).try_cast(f.dataType) if cols[f.name] else F.lit(None).cast(f.dataType)).alias(f.name)
+              for f in schema], F.col(FILE).alias("file_name"))
+
     def save(batch: DataFrame, batch_id: int) -> None:
-        work(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        paths = [r.path for r in batch.select("path").distinct().collect()]  # files_per_batch at most
+        if paths:
+            work(read_headed(batch.sparkSession, paths, pick)).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(save)
