@@ -94,7 +94,7 @@ class SkyConfig:
 
 # Groups above this many rows are never handed to one task (see operators.skew).
 HOT_GROUP_ROWS = 5_000_000
-# Replicas of the small side in a salted join.
-SALTS = 16
 # Largest table, in rows, that is broadcast; it is counted first.
 BROADCAST_ROWS = 200_000
+# Largest such table in bytes.
+BROADCAST_BYTES = 64 << 20

@@ -14,7 +14,7 @@ from ..config import SkyConfig
 from ..functions.coords import with_j_position, with_plain_candidates
 from ..functions.names import name_variants
 from ..session import cut_lineage
-from .skew import salted_join
+from .skew import split_join
 from .sky import nearest_in_cone
 
 # ---- Fixed values ----
@@ -92,7 +92,7 @@ def resolve_direct(names: DataFrame, catalogs: DataFrame, cfg: SkyConfig = SkyCo
         cand, catalogs.select("ra", "dec", "priority", "row_idx"), cfg.sanity_radius_arcsec,
         ["priority", "row_idx"],
     )
-    confirmed = salted_join(cand, hits, ["ra", "dec"], F.col("src")).select(
+    confirmed = split_join(cand, hits, ["ra", "dec"]).select(
         "src",
         F.struct("which", "step", F.when(F.col("step") == 2, F.col("sep")).otherwise(0.0).alias("sep"), "i").alias("rank"),
         F.col("m_ra").alias("r_ra"), F.col("m_dec").alias("r_dec"), "how",
@@ -121,7 +121,7 @@ def resolve_by_index(names: DataFrame, index: DataFrame, cfg: SkyConfig = SkyCon
             F.col("e.ra").alias("r_ra"), F.col("e.dec").alias("r_dec"), F.lit(how).alias("how"),
         )
 
-    exact = found(salted_join(reads, entry, ["name"], F.col("src")), 0, F.lit(0), "index, exact")
+    exact = found(split_join(reads, entry, ["name"]), 0, F.lit(0), "index, exact")
     hints = reads.where("j IS NOT NULL").select(
         "src", "which", F.col("j.ra").alias("ra"), F.col("j.dec").alias("dec"),
         F.least(
@@ -129,12 +129,12 @@ def resolve_by_index(names: DataFrame, index: DataFrame, cfg: SkyConfig = SkyCon
         ).alias("radius"),
     )
     near = nearest_in_cone(hints, index.select("ra", "dec", "pos"), cfg.sanity_radius_arcsec, ["pos"])
-    cone = salted_join(hints, near, ["ra", "dec"], F.col("src")).where(F.col("sep") <= F.col("radius"))
+    cone = split_join(hints, near, ["ra", "dec"]).where(F.col("sep") <= F.col("radius"))
     cone = cone.withColumn("e", F.struct(F.col("m_ra").alias("ra"), F.col("m_dec").alias("dec")))
     cone = found(cone, 1, F.lit(0), "index, cone")
     variants = reads.select("src", "which", F.posexplode(name_variants(F.col("name"))).alias("i", "v"))
     alias = variants.where("NOT v.wildcard").select("src", "which", "i", F.col("v.name").alias("name"))
-    alias = found(salted_join(alias, entry, ["name"], F.col("src")), 2, F.col("i"), "index, alias")
+    alias = found(split_join(alias, entry, ["name"]), 2, F.col("i"), "index, alias")
     # a wildcard stem ends after two declination digits, so the index can be keyed by it
     stems = index.withColumn("stem", F.regexp_extract("name", STEM, 1)).where("stem <> ''").groupBy("stem").agg(
         F.countDistinct("main_id").alias("n"), F.min_by(F.struct("ra", "dec"), "pos").alias("e")
@@ -142,7 +142,7 @@ def resolve_by_index(names: DataFrame, index: DataFrame, cfg: SkyConfig = SkyCon
     wild = variants.where("v.wildcard").select(
         "src", "which", "i", F.expr("left(v.name, length(v.name) - 1)").alias("stem")
     )
-    wild = salted_join(wild, stems.where("n = 1"), ["stem"], F.col("src"))
+    wild = split_join(wild, stems.where("n = 1"), ["stem"])
     wild = found(wild, 2, F.col("i"), "index, wildcard")
     return _best(exact.unionByName(cone).unionByName(alias).unionByName(wild))
 
@@ -173,12 +173,10 @@ def classify(
     near_type = otypes.select("ra", "dec", F.col("m_otype").alias("o_near"))
     by_name = index.groupBy("name").agg(F.min_by("otype", "pos").alias("o_name"))
     placed = placed.withColumnsRenamed({"r_ra": "ra", "r_dec": "dec"})
-    df = salted_join(placed, wide, ["ra", "dec"], F.col("src"), "left")
-    df = salted_join(df, near_type, ["ra", "dec"], F.col("src"), "left")
+    df = split_join(placed, wide, ["ra", "dec"], "left")
+    df = split_join(df, near_type, ["ra", "dec"], "left")
     df = names.join(df, "src", "left")
-    df = salted_join(
-        df.withColumn("name", F.col("query_name")), by_name, ["name"], F.col("src"), "left"
-    ).drop("name")
+    df = split_join(df.withColumn("name", F.col("query_name")), by_name, ["name"], "left").drop("name")
 
     wd, bc = (F.col(c) for c in BH_CATALOGS)
     lm, hm = F.col(LMXB_CATALOG), F.col(HMXB_CATALOG)

@@ -36,7 +36,7 @@ def equal_width_histogram(
     )
     med = grouped_quantiles(vals, ["grp"], "v", {"median": 0.5})
     stats = cut_lineage(stats)
-    bins = join_small(vals, stats, ["grp"], F.struct("v", "src"))
+    bins = join_small(vals, stats, ["grp"])
     width = (F.col("hi2") - F.col("lo2")) / F.col("nb")
     pos = F.floor((F.col("v") - F.col("lo2")) / width)
     counts = bins.select("grp", F.least(pos, F.col("nb") - 1).cast("int").alias("bin")).groupBy(

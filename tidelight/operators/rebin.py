@@ -102,7 +102,7 @@ def rebin_series(
     sparse = cut_lineage(sparse)
     if sparse.isEmpty():
         return daily
-    times = join_small(lc.select(*keys, "mjd", "val", "err"), sparse, keys, F.col("mjd"))
+    times = join_small(lc.select(*keys, "mjd", "val", "err"), sparse, keys)
     times = times.groupBy(*keys, "mjd").agg(*_sums(cfg), F.max("_daily").alias("_daily"))
     gap = F.col("mjd") - F.lag("mjd").over(Window.partitionBy(*keys).orderBy("mjd"))
     whole = Window.partitionBy(*keys)

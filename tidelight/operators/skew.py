@@ -1,8 +1,8 @@
 """Skew-safe building blocks.
 
-A key may own a third of all rows. Nothing here lets such a key land in one task:
-joins are salted, first-wins picks combine map-side, and exact quantiles of a hot
-group are found by narrowing a value bracket instead of sorting the group.
+A key may own a third of all rows. Nothing here lets such a key land in one task: hot keys of a
+join are split by adaptive execution, first-wins picks combine map-side, and exact quantiles of
+a hot group are found by narrowing a value bracket instead of sorting the group.
 """
 
 from __future__ import annotations
@@ -13,47 +13,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import BROADCAST_ROWS, HOT_GROUP_ROWS, SALTS
+from ..config import BROADCAST_BYTES, BROADCAST_ROWS, HOT_GROUP_ROWS
 from ..session import cut_lineage
 
 
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    keys: Sequence[str],
-    salt_on: Column,
-    how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join where a hot key of ``big`` is spread over ``salts`` shuffle partitions.
-
-    ``salt_on`` must vary inside a key. ``small`` (one or few rows per key) is
-    replicated once per salt; when Spark finds it small enough it is broadcast
-    under its own size check and the salt costs nothing on the big side.
-    """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
-    right = small.selectExpr("*", f"explode(sequence(0L, {salts - 1}L)) AS _salt")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+def split_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Shuffled join. Adaptive execution splits the partitions of hot keys of ``big`` and
+    reads those of ``small`` once for each part; keys that are not hot cost nothing extra."""
+    return big.join(small, list(keys), how)
 
 
 def join_small(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
-    salt_on: Column,
     how: str = "inner",
     limit: int = BROADCAST_ROWS,
+    limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join raw rows with a table of few rows per key without shuffling the raw rows.
 
-    ``small`` is materialised and counted. Up to ``limit`` rows it is broadcast; beyond
-    that the join is salted. Deciding before the join starts matters: at run time the raw
-    side would already have been written to shuffle files.
+    ``small`` is materialised, counted and measured. Up to ``limit`` rows of at most
+    ``limit_bytes`` in all it is broadcast; beyond that it is a shuffled join. Deciding before the
+    join starts matters: at run time the raw side would already have been written to shuffle files.
     """
     small = cut_lineage(small)
-    if small.limit(limit + 1).count() <= limit:
-        return big.join(F.broadcast(small), list(keys), how)
-    return salted_join(big, small, keys, salt_on, how)
+    if small.limit(limit + 1).count() > limit:
+        return split_join(big, small, keys, how)
+    # JSON is longer than the rows in memory are, fixed-width fields included
+    size = small.agg(F.sum(F.length(F.to_json(F.struct(*small.columns))) + 16 * len(small.columns))).first()[0] or 0
+    return split_join(big, F.broadcast(small) if size <= limit_bytes else small, keys, how)
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -82,34 +71,32 @@ def grouped_quantiles(
     probs: dict[str, float],
     hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
-    """Exact interpolated quantiles of ``value`` per key, NULLs ignored.
+    """Exact interpolated quantiles of ``value`` per key, NULL and NaN ignored.
 
     One counting job decides which groups are hot. Groups of at most ``hot_rows``
     rows use the built-in exact percentile; larger ones go through
     :func:`_narrowed_quantiles`. Both give identical values.
     """
-    rows = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_rows)
+    hot = cut_lineage(sizes.where(F.col("_n") > hot_rows))
     plain = [F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]
     if hot.isEmpty():
         return rows.groupBy(*keys).agg(*plain)
-    hot = cut_lineage(hot)
-    tagged = salted_join(rows, hot, keys, F.col("_v"), "left")
+    tagged = join_small(rows, hot, keys, "left")
     cold = tagged.where(F.col("_n").isNull()).groupBy(*keys).agg(*plain)
-    hot_part = _narrowed_quantiles(
-        tagged.where(F.col("_n").isNotNull()).drop("_n"), hot, keys, probs, hot_rows
-    )
+    hot_part = _narrowed_quantiles(tagged.where(F.col("_n").isNotNull()).drop("_n"), hot, keys, probs, hot_rows)
     return cold.unionByName(hot_part)
 
 
 def _narrowed_quantiles(rows, sizes, keys, probs, budget):
-    """Quantiles of hot groups: shrink [lo, hi] around the wanted rank until few
-    distinct values are left, then rank only those.
+    """Quantiles of hot groups: shrink [lo, hi] around the wanted ranks until few distinct
+    values are left, then rank only those.
 
-    Every pass is a grouped sketch or count with bounded, map-side combined state.
-    The sketch only proposes a bracket; it is kept only when exact counts show that
-    it holds both neighbouring ranks, so the result does not depend on its accuracy.
+    Brackets are one row for each hot group and quantile, so they are broadcast and the raw rows
+    are not shuffled. A mergeable sketch proposes a bracket, exact counts check it. If
+    the ranks lie beside it, the old bracket is cut there instead; both ends are values of the
+    data, so every pass leaves less, until the budget holds or nothing but equal values is left.
     """
     wanted = F.explode(
         F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
@@ -127,60 +114,46 @@ def _narrowed_quantiles(rows, sizes, keys, probs, budget):
     )
     group = [*keys, "_name"]
     meta = [*group, "_n", "_p", "_r0", "_r1", "_frac"]
-
-    def inside(br):
-        joined = salted_join(rows, br, keys, F.col("_v"))
-        return joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-
-    below = F.count_if(F.col("_v") < F.col("_nlo"))
-    upto = F.count_if(F.col("_v") <= F.col("_nhi"))
-    for _ in range(8):
-        if bracket.where(F.col("_left") > budget).isEmpty():
+    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    before = None
+    while True:
+        most, total = bracket.agg(F.max("_left"), F.sum("_left")).first()
+        if most <= budget or total == before:
             break
+        before = total
         # rank inside the bracket, as a fraction of the rows it still holds
-        under = salted_join(rows, bracket, keys, F.col("_v")).groupBy(*meta, "_lo", "_hi").agg(
-            F.count_if(F.col("_v") < F.col("_lo")).alias("_under"),
-            F.count_if((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).alias("_in"),
-        )
-        mid = (F.col("_r0") - F.col("_under")) / F.col("_in")
-        sketch = (
-            inside(under)
-            .groupBy(*meta, "_lo", "_hi", "_under", "_in")
-            .agg(F.percentile_approx("_v", [i / 200 for i in range(201)], 10000).alias("_q"))
-            .withColumn("_i", F.floor(mid * 200).cast("int"))
-            .withColumn("_nlo", F.element_at("_q", F.greatest(F.col("_i") - 1, F.lit(1))))
-            .withColumn("_nhi", F.element_at("_q", F.least(F.col("_i") + 4, F.lit(201))))
-            .drop("_q", "_i")
+        under = join_small(rows, bracket.drop("_left"), keys).groupBy(*meta, "_lo", "_hi").agg(
+            F.count_if(F.col("_v") < F.col("_lo")).alias("_under"), F.count_if(inside).alias("_in"),
+            F.percentile_approx(F.when(inside, F.col("_v")), [i / 200 for i in range(201)], 10000).alias("_q"),
         )
-        checked = salted_join(rows, sketch, keys, F.col("_v")).groupBy(
-            *meta, "_lo", "_hi", "_nlo", "_nhi"
-        ).agg(below.alias("_b"), upto.alias("_u"))
-        holds = (F.col("_b") <= F.col("_r0")) & (F.col("_u") > F.col("_r1"))
-        narrowed = checked.select(
-            *meta,
-            F.when(holds, F.col("_nlo")).otherwise(F.col("_lo")).alias("_lo"),
-            F.when(holds, F.col("_nhi")).otherwise(F.col("_hi")).alias("_hi"),
+        at = F.floor((F.col("_r0") - F.col("_under")) / F.col("_in") * 200).cast("int")
+        sketch = under.select(
+            *meta, "_lo", "_hi", F.element_at("_q", F.greatest(at - 1, F.lit(1))).alias("_nlo"),
+            F.element_at("_q", F.least(at + 4, F.lit(201))).alias("_nhi"),
         )
-        bracket = cut_lineage(
-            salted_join(rows, narrowed, keys, F.col("_v"))
-            .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-            .groupBy(*meta, "_lo", "_hi", "_v").agg(F.lit(1).alias("_one"))
-            .groupBy(*meta, "_lo", "_hi").agg(F.count("*").alias("_left"))
+        checked = join_small(rows, sketch, keys).groupBy(*meta, "_lo", "_hi", "_nlo", "_nhi").agg(
+            F.count_if(F.col("_v") < F.col("_nlo")).alias("_b"), F.count_if(F.col("_v") <= F.col("_nhi")).alias("_u"),
         )
+        low = F.when(F.col("_r1") >= F.col("_u"), F.col("_nhi")).when(F.col("_r0") >= F.col("_b"), F.col("_nlo"))
+        high = F.when(F.col("_r0") < F.col("_b"), F.col("_nlo")).when(F.col("_r1") < F.col("_u"), F.col("_nhi"))
+        # two neighbouring ranks on both sides of an end: that end is the value of one of them
+        narrowed = checked.select(*meta, F.coalesce(low, F.col("_lo")).alias("_lo"), F.coalesce(high, F.col("_hi")).alias("_hi"))
+        left = join_small(rows, narrowed, keys).where(inside).groupBy(*meta, "_lo", "_hi", "_v").agg(F.lit(1).alias("_one"))
+        bracket = cut_lineage(left.groupBy(*meta, "_lo", "_hi").agg(F.count("*").alias("_left")))
     # distinct values left in the bracket, with their exact cumulative ranks
-    start = salted_join(rows, bracket, keys, F.col("_v")).groupBy(*group).agg(
-        F.count_if(F.col("_v") < F.col("_lo")).alias("_under")
-    )
-    cands = inside(bracket).groupBy(*meta, "_v").agg(F.count("*").alias("_c"))
+    met = join_small(rows, bracket.drop("_left"), keys)
+    start = met.groupBy(*group).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_under"))
+    cands = met.where(inside).groupBy(*meta, "_v").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = cands.join(start, group).withColumn("_end", F.col("_under") + F.sum("_c").over(w))
     begin = F.col("_end") - F.col("_c")
 
-    def at(rank):
+    def at_rank(rank):
         return F.max(F.when((begin <= F.col(rank)) & (F.col("_end") > F.col(rank)), F.col("_v")))
 
-    found = ranked.groupBy(*group, "_frac").agg(at("_r0").alias("_a"), at("_r1").alias("_b"))
-    found = found.withColumn("_x", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac"))
+    found = ranked.groupBy(*group, "_frac").agg(at_rank("_r0").alias("_a"), at_rank("_r1").alias("_b"))
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")
+    found = found.withColumn("_x", F.when((F.col("_a") == F.col("_b")) | (F.col("_frac") == 0), F.col("_a")).otherwise(between))
     return found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in probs]
     )

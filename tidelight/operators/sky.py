@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import separation_sql
 from ..session import cut_lineage
-from .skew import salted_join
+from .skew import split_join
 
 CELL = ["_cx", "_cy", "_cz"]
 
@@ -128,7 +128,7 @@ def cone_join(
 ) -> DataFrame:
     """``points`` with their nearest catalog row within the radius (NULL if none)."""
     hits = nearest_in_cone(points, catalog, radius_arcsec, order)
-    return salted_join(points, hits, ["ra", "dec"], F.struct(*points.columns), how)
+    return split_join(points, hits, ["ra", "dec"], how)
 
 
 def cone_aggregate(

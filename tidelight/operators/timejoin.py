@@ -15,7 +15,7 @@ def crop_to_spans(
     points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str = "mjd", pad: float = 0.0
 ) -> DataFrame:
     """Closed range join: one output row per (point, span holding it)."""
-    joined = join_small(points, spans, keys, F.col(time))
+    joined = join_small(points, spans, keys)
     inside = (F.col(time) >= F.col("t_start") - pad) & (F.col(time) <= F.col("t_end") + pad)
     return joined.where(inside)
 
@@ -109,7 +109,7 @@ def peaks(points: DataFrame, keys: Sequence[str], value: str, time: str = "mjd")
 
 def with_peak(points: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Points joined back to the peak of their key; joined, not windowed."""
-    return join_small(points, peaks(points, keys, value), keys, F.col("mjd"))
+    return join_small(points, peaks(points, keys, value), keys)
 
 
 def phase(time: Column, peak: Column) -> Column:

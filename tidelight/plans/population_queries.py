@@ -194,7 +194,7 @@ def _shape_rows(spark, sf):
     """One row per (source, third): duration-like parameter with its classes."""
     s = thirds(spark, sf)
     lc = lightcurve(spark, sf).select("source", "mjd", "val")
-    j = join_small(lc, s, ["source"], F.col("mjd")).where("mjd BETWEEN t_start AND t_end")
+    j = join_small(lc, s, ["source"]).where("mjd BETWEEN t_start AND t_end")
     g = j.groupBy("source", "outburst_idx").agg(
         F.max_by("mjd", F.struct("val", -F.col("mjd"))).alias("pk"), F.min("mjd").alias("a"), F.max("val").alias("top")
     )

@@ -8,7 +8,7 @@ from ..functions import coords
 from ..functions.expr import rnd
 from ..operators import classify as cl
 from ..operators import sky
-from ..operators.skew import salted_join
+from ..operators.skew import split_join
 from ..sources.tables import GOLDEN_DEG, GOLDEN_FRAC, sphere, table
 from .sqltext import r, with_
 
@@ -162,7 +162,7 @@ def cone_archives(spark, sf):
         *[F.max(F.when(c, F.col("n_in_cone"))).alias(f"{x}_n") for x, c in hit.items()],
         *[F.max(F.when(c, F.col("max_value"))).alias(f"{x}_flux") for x, c in hit.items()],
     )
-    out = salted_join(pts, agg, ["ra", "dec"], F.col("row_idx"), "left")
+    out = split_join(pts, agg, ["ra", "dec"], "left")
     found = [F.coalesce(F.col(f"{x}_n"), F.lit(0)).cast("long") for x in labels.values()]
     return out.select(
         "row_idx", *[f.alias(f"{x}_n") for f, x in zip(found, labels.values())],

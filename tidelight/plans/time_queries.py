@@ -9,7 +9,7 @@ from ..functions import photometry as ph
 from ..functions.expr import rnd
 from ..functions.names import canonical_key, class_label
 from ..operators import slope, timejoin
-from ..operators.skew import first_per_key, grouped_quantiles, join_small, salted_join
+from ..operators.skew import first_per_key, grouped_quantiles, join_small, split_join
 from ..session import cut_lineage
 from ..sources.tables import lightcurve, multiband, optical, table, xray
 from . import sqltext as q
@@ -59,7 +59,7 @@ def class_lookup(spark, sf):
 def with_class(df, spark, sf):
     """Left join on the canonical key; a miss is UNKNOWN."""
     df = df.withColumn("ckey", canonical_key(F.concat(F.lit("SRC_"), F.col("source").cast("string"))))
-    out = join_small(df, class_lookup(spark, sf), ["ckey"], F.struct(*df.columns), "left")
+    out = join_small(df, class_lookup(spark, sf), ["ckey"], "left")
     return out.drop("ckey").fillna("UNKNOWN", ["cls", "src_type"])
 
 
@@ -103,7 +103,7 @@ def phase_pairs_df(spark, sf, which="rise", cfg=SlopeConfig()):
     left = timejoin.crop_to_spans(opt, spans, ["source"]).drop("t_start", "t_end")
     near = timejoin.nearest_in_time(left, xr, SPAN, cfg.tol_days, "row_id")
     floor = grouped_quantiles(opt, ["source"], "of", {"quiet": cfg.baseline_percentile})
-    near = salted_join(near, floor, ["source"], F.col("row_id"))
+    near = split_join(near, floor, ["source"])
     near = near.withColumn("excess", F.col("of") - F.col("quiet"))
     snr = F.col("r_xf") / F.greatest("r_xe", F.lit(1e-30))
     return near.where((F.col("r_xf") > 0) & (snr >= cfg.min_snr) & (F.col("excess") > 0))
@@ -186,7 +186,7 @@ def _span_points(spark, sf):
 def _with_beta(df, fit):
     """Slope per class with the default for classes that have none."""
     betas = fit.select(F.col("compact_object").alias("cls"), "beta")
-    out = join_small(df, betas, ["cls"], F.col("row_id"), "left")
+    out = join_small(df, betas, ["cls"], "left")
     return out.withColumn("beta", F.coalesce("beta", F.lit(SlopeConfig().fallback_beta)))
 
 

@@ -13,6 +13,8 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .appName("tidelight")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
@@ -27,14 +29,18 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder of the session.
 
-    The folder named in ``spark.checkpoint.dir`` is used; only where it is unset
-    (local tests) a temporary one is made.
+    The folder named in ``spark.checkpoint.dir`` is used. Only a local session may do without: a
+    temporary folder is made there; on a cluster executors could not share it.
     """
-    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRDD":
+    if getattr(df, "_is_cut", False):
         return df  # already materialised
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidelight-ckpt-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    out._is_cut = True
+    return out

@@ -15,7 +15,7 @@ from ..functions import photometry as ph
 from ..functions.expr import no_nan
 from ..functions.names import canonical_key, class_label, parse_curve_file
 from ..operators.rebin import dedupe_exact, rebin_series
-from ..operators.skew import join_small, salted_join
+from ..operators.skew import join_small, split_join
 from ..schema import MAG_KEYWORDS, SPAN_END, SPAN_START, by_keyword, by_name, need, standard_energy_band, tidy_header
 from .headed import FILE, ORDER, PATH, read_headed
 
@@ -53,7 +53,7 @@ def clean_optical(df: DataFrame, keys: list[str], min_rows: int = 10) -> DataFra
         df = df.where("catflags = 0")
     df = df.where("mjd IS NOT NULL AND mag IS NOT NULL AND magerr > 0")
     enough = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
-    df = join_small(df, enough.drop("_n"), keys, F.col("mjd"))
+    df = join_small(df, enough.drop("_n"), keys)
     flux = df.select(
         *keys, "mjd", ph.relative_flux(F.col("mag")).alias("val"),
         ph.relative_flux_err(F.col("mag"), F.col("magerr")).alias("err"),
@@ -138,8 +138,7 @@ def first_stored_spans(candidates: list[DataFrame]) -> DataFrame:
 def best_rank(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
     """Rows that carry the smallest rank of their key."""
     best = df.groupBy(*keys).agg(F.min(rank).alias("_best"))
-    rest = F.struct(*[c for c in df.columns if c not in keys])
-    return salted_join(df, best, keys, rest).where(F.col(rank) == F.col("_best")).drop("_best", rank)
+    return split_join(df, best, keys).where(F.col(rank) == F.col("_best")).drop("_best", rank)
 
 
 def upsert_spans(existing: DataFrame, new: DataFrame) -> DataFrame:
