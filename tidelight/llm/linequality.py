@@ -116,7 +116,7 @@ def frequent_lines(feats: DataFrame, limits: Limits = Limits()) -> DataFrame:
     texts = feats.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
     lines = feats.select("host", "digest", F.explode("lines").alias("line")).distinct()
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= limits.min_texts)
-    joined = join_small(counts, texts, ["host"], F.col("line"))
+    joined = join_small(counts, texts, ["host"])
     return joined.where(F.col("n") > limits.share * F.col("n_texts")).select("host", "line")
 
 
@@ -124,7 +124,7 @@ def judge(feats: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row for each row of ``feats``, with base_failed, words left and kept."""
     lines = feats.select("host", "digest", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     lines = lines.select("host", "digest", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w"))
-    hit = join_small(lines, frequent_lines(feats, limits), ["host", "line"], F.col("digest"))
+    hit = join_small(lines, frequent_lines(feats, limits), ["host", "line"])
     taken = hit.groupBy("host", "digest", "line").agg(F.max("w").alias("w"))
     taken = taken.groupBy("host", "digest").agg(F.sum("w").alias("n_removed_words"))
     left = F.col("n_words") - F.col("n_removed_words")
@@ -152,7 +152,7 @@ def strip_lines(docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", tex
     """(doc_id, text) of all documents, the boilerplate lines taken out of the texts."""
     feats = features(docs, id_col, text_col, host_col)
     lines = feats.select("host", "digest", F.explode("lines").alias("line")).distinct()
-    hit = join_small(lines, frequent_lines(feats, limits), ["host", "line"], F.col("digest"))
+    hit = join_small(lines, frequent_lines(feats, limits), ["host", "line"])
     drop = hit.groupBy("host", "digest").agg(F.collect_set("line").alias("drop"))  # lines of one text
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), host_key(host_col).alias("host"), digest(text_col).alias("digest"),
                        col(text_col).alias("text"))

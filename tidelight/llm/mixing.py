@@ -100,8 +100,7 @@ def copies(docs: DataFrame, seed: int = 7, bucket: int = BUCKET, **columns) -> D
     goals = stage(targets(rows))
     skey = lambda: F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = join_small(rows.withColumn("skey", skey()), goals.withColumn("skey", skey()).drop("source"), ["skey"],
-                      F.xxhash64("doc_id", "copy"))
+    rows = join_small(rows.withColumn("skey", skey()), goals.withColumn("skey", skey()).drop("source"), ["skey"])
     rows = rows.withColumn("base", F.floor(ratio).cast("int")).withColumn("p", ratio - F.floor(ratio))
     sure = (F.col("size") == 0) | (F.col("p") <= 0)
     done = rows.where(sure).withColumn("more", F.lit(0))
