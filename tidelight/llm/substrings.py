@@ -187,49 +187,89 @@ def _shards(contexts: DataFrame, length: int, limit: int) -> tuple[DataFrame, li
     return out, spans
 
 
+def _window_hashes(b: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` bytes from each place on, put together from powers of two."""
+    h, width, factor, out, done = _TABLE[b], 1, _MULT, None, 0
+    while True:
+        if length & width:
+            part = h[done:] if done else h
+            out = part.copy() if out is None else out[: len(part)] * np.uint64(factor) + part[: len(out)]
+            done += width
+        if done == length:
+            return out[: len(b) - length + 1]
+        h = h[:-width] * np.uint64(factor) + h[width:]
+        factor, width = factor * factor % (1 << 64), width * 2
+
+
+def _several_places(group: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """True where a run of equal ``group`` has two places."""
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    several = np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
+    return np.repeat(several, np.diff(np.append(first, len(group))))
+
+
+def _promising(rows: list[tuple], length: int) -> list[tuple]:
+    """The parts of contexts (document number, start, bytes) where hashes of windows repeat."""
+    sizes = np.array([len(r[2]) for r in rows])
+    ends = np.cumsum(sizes)
+    hashes = _window_hashes(np.frombuffer(b"".join(r[2] for r in rows), np.uint8), length)
+    of = np.repeat(np.arange(len(rows)), sizes)[: len(hashes)]
+    offset = np.arange(len(hashes)) - (ends - sizes)[of]
+    whole = offset + length <= sizes[of]
+    of, offset, hashes = of[whole], offset[whole], hashes[whole]
+    starts, docs = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    place = docs[of] << 40 | starts[of] + offset
+    order = np.argsort(hashes)
+    hit = np.zeros(len(order), bool)
+    hit[order] = _several_places(hashes[order], place[order])
+    of, offset = of[hit], offset[hit]
+    if not len(of):
+        return []
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    last = np.append(first[1:], len(of)) - 1
+    return [(rows[i][0], rows[i][1] + a, rows[i][2][a : b + length])
+            for i, a, b in zip(of[first].tolist(), offset[first].tolist(), offset[last].tolist())]
+
+
 def repeated_windows(rows: list[tuple], length: int) -> list[tuple]:
-    """(doc, key, start, stop) of the repeated windows in contexts (doc, key, start, bytes), by a suffix array."""
-    whole = sorted(set(rows))
-    sizes = np.array([len(r[3]) for r in whole])
+    """(doc, key, start, stop) of the repeated windows in contexts (doc, key, start, bytes).
+
+    Contexts are cut to where hashes of windows repeat, then a suffix array of what is left decides."""
+    number: dict[tuple, int] = {}
+    whole = sorted({(number.setdefault(r[:2], len(number)), *r[2:]) for r in rows})
+    names = list(number)
+    whole = _promising(whole, length)
+    if not whole:
+        return []
+    sizes = np.array([len(r[2]) for r in whole])
     ends = np.cumsum(sizes + 1)
     # separators are 1, bytes from 2 on, and the last symbol is 0
     t = np.ones(int(ends[-1]) + 1, np.int64)
     body = np.ones(len(t), bool)
     body[ends - 1] = False
     body[-1] = False
-    t[body] = np.frombuffer(b"".join(r[3] for r in whole), np.uint8).astype(np.int64) + 2
+    t[body] = np.frombuffer(b"".join(r[2] for r in whole), np.uint8).astype(np.int64) + 2
     t[-1] = 0
-    sa = suffix_array(t, length)
+    sa = suffix_array(t, len(t))  # the prefixes below are those of the exact order
     lcp = permuted_lcp(t, sa, length)[sa]
-    of = np.repeat(np.arange(len(whole)), sizes + 1)
-    number: dict[tuple, int] = {}
-    docs = np.array([number.setdefault(r[:2], len(number)) for r in whole])
-    starts = np.array([r[2] for r in whole])
+    of = np.append(np.repeat(np.arange(len(whole)), sizes + 1), 0)
     begins = ends - sizes - 1
+    own = of[sa]
+    offset = sa - begins[own]
     # suffixes with a whole window before the next separator, by runs that share one
-    inside = sa < len(t) - 1
-    own = of[np.where(inside, sa, 0)]
-    offset = np.where(inside, sa - begins[own], 0)
-    usable = inside & (offset + length <= sizes[own])
-    run = np.cumsum(lcp < length)
-    run, own, offset = run[usable], own[usable], offset[usable]
-    if not len(run):
-        return []
-    place = docs[own] * (int(starts.max()) + int(sizes.max()) + 1) + starts[own] + offset
-    first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-    several = np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
-    hit = np.repeat(several, np.diff(np.append(first, len(run))))
+    usable = (sa < len(t) - 1) & (offset + length <= sizes[own])
+    run, own, offset = np.cumsum(lcp < length)[usable], own[usable], offset[usable]
+    starts, docs = np.array([r[1] for r in whole]), np.array([r[0] for r in whole])
+    hit = _several_places(run, docs[own] << 40 | starts[own] + offset)
     own, offset = own[hit], offset[hit]
+    if not len(own):
+        return []
     order = np.lexsort((offset, own))
     own, offset = own[order], offset[order]
-    out = []
-    if len(own):
-        cut = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (offset[1:] > offset[:-1] + length)))
-        last = np.append(cut[1:], len(own)) - 1
-        for i, a, b in zip(own[cut].tolist(), offset[cut].tolist(), offset[last].tolist()):
-            doc, key, start, _ = whole[i]
-            out.append((doc, key, start + a, start + b + length))
-    return out
+    cut = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (offset[1:] > offset[:-1] + length)))
+    last = np.append(cut[1:], len(own)) - 1
+    return [(*names[whole[i][0]], whole[i][1] + a, whole[i][1] + b + length)
+            for i, a, b in zip(own[cut].tolist(), offset[cut].tolist(), offset[last].tolist())]
 
 
 def repeated_spans(docs: DataFrame, length: int, limit: int = GROUP_LIMIT) -> DataFrame:

@@ -130,16 +130,23 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix, in text order, symbols shared with the one before it in ``sa``, up to ``most``."""
+    """For each suffix, in text order, symbols shared with the one before it in ``sa``, up to ``most``.
+    ``sa`` must be in exact order.
+
+    Where the symbols before a suffix and before its neighbour agree, the prefix is that of the
+    suffix one place earlier less one. Only the others, and every ``most``-th, are compared."""
     n = len(t)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
+    at = np.arange(n)
+    follows = (phi > 0) & (at > 0) & (t[at - 1] == t[phi - 1]) & (at % most != 0)
     out = np.zeros(n, np.int64)
-    live = np.flatnonzero(phi >= 0)
-    for k in range(most):
+    live = np.flatnonzero((phi >= 0) & ~follows)
+    for k in range(2 * most):
         live = live[(live + k < n) & (phi[live] + k < n)]
         live = live[t[live + k] == t[phi[live] + k]]
         if not len(live):
             break
         out[live] = k + 1
-    return out
+    known = np.maximum.accumulate(np.where(follows, 0, at))
+    return np.minimum(out[known] - (at - known), most)
