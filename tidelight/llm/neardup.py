@@ -155,6 +155,29 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return stage(met.select("a", "b", "sa", "sb").mapInArrow(keep, "a binary, b binary"))
 
 
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, kind: str) -> DataFrame:
+    """c and items (the shingle set) of the wanted classes, and of rows that share their id."""
+    needed = stage(classes.join(wanted, "c").select(F.col("rep").alias("_k")).distinct())
+    rows = docs.select(F.col("doc_id").alias("_k"), "text").withColumn("_null", F.col("_k").isNull()).fillna(0, ["_k"])
+    needed = needed.withColumn("_null", F.col("_k").isNull()).fillna(0, ["_k"])
+    rows = join_counted(rows, needed, ["_k", "_null"]).select("text")
+
+    def make(cols):
+        values = [shingle_set(t, words) for t in cols[0]]
+        items = [v.tobytes() if kind == "binary" else v.view(np.int64) for v in values]
+        return {"c": [_digest(v) for v in values], "items": items}
+
+    return arrow_map(rows, make, f"c binary, items {kind}")
+
+
+def _shared(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """c, s: shingles of each wanted class that some other of them has too, written."""
+    items = _sets(docs, classes, wanted, words, "array<long>").join(wanted, "c").select("c", F.explode("items").alias("h"))
+    # equal sets are one class; a repeated row may count itself, which rules out less
+    common = items.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    return stage(items.join(common, "h").groupBy("c").agg(F.count("*").alias("s")))
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (member a, hub b) whose full sets are similar, written."""
     per_hub = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(HUB_SHARE)).alias("salts"))
@@ -162,17 +185,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, pe
     members = salted.select(F.col("a").alias("c"), F.col("b").alias("hub"), "salt", F.lit(1).alias("role"))
     hubs = salted.select(F.col("b").alias("c"), F.col("b").alias("hub"), "salt", F.lit(0).alias("role")).distinct()
     sends = stage(members.unionByName(hubs))
-    needed = stage(classes.join(sends.select("c").distinct(), "c").select(F.col("rep").alias("_k"), F.lit(1).alias("_one")).distinct())
-
-    rows = docs.select(F.col("doc_id").alias("_k"), "text").withColumn("_null", F.col("_k").isNull()).fillna(0, ["_k"])
-    wanted = needed.withColumn("_null", F.col("_k").isNull()).fillna(0, ["_k"])
-    rows = join_counted(rows, wanted, ["_k", "_null"]).select("text")
-
-    def sets(cols):
-        values = [shingle_set(t, words) for t in cols[0]]
-        return {"c": [_digest(v) for v in values], "items": [v.tobytes() for v in values]}
-
-    sent = join_counted(arrow_map(rows, sets, "c binary, items binary"), sends, ["c"])
+    sent = join_counted(_sets(docs, classes, sends.select("c").distinct(), words, "binary"), sends, ["c"])
     dealt = sent.repartition(partitions(docs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "role")
 
     def compare(batches):
@@ -193,18 +206,23 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, pe
     return stage(dealt.select("c", "items", "hub", "salt", "role").mapInArrow(compare, "a binary, b binary").distinct())
 
 
-def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, na, b, nb: pairs of different components that share a bucket."""
+def _across(members: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, na, b, nb: pairs of different components that share a bucket and may be similar."""
     rows = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select(
         "key", "c", "n", F.coalesce("root", "c").alias("root"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     rows = stage(rows.join(mixed, "key", "left_semi"))
+    shared = _shared(docs, classes, stage(rows.select("c").distinct()), words)
+    rows = stage(rows.join(shared, "c").where(100 * F.col("s") >= percent * F.col("n")))
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("rows"))
     top = sizes.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("t")).select("key", F.col("t.root").alias("top"))
     rows = rows.join(top, "key")
-    few = rows.where("root != top").select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    all_ = rows.select("key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") != F.col("top")).alias("fb"))
-    met = few.join(all_, "key").where("ra != rb AND (NOT fb OR a < b)")
+    few = rows.where("root != top").select(
+        "key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("s").alias("sa"))
+    all_ = rows.select("key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("s").alias("sb"),
+                       (F.col("root") != F.col("top")).alias("fb"))
+    met = few.join(all_, "key").where("ra != rb AND (NOT fb OR a < b)").where(
+        (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb")))
     return met.select("a", "na", "b", "nb")
 
 
@@ -224,7 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col="
     links = _links(_candidates(stars, classes, percent), classes, docs, words, percent)
     edge = lambda x: x.select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = stage(components(edge(links)))
-    rest = _candidates(_across(members, roots), classes, percent)
+    rest = _candidates(_across(members, roots, docs, classes, words, percent), classes, percent)
     more = _links(rest, classes, docs, words, percent)
     if not more.isEmpty():
         links = links.unionByName(more)
