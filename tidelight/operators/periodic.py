@@ -14,7 +14,11 @@ from pyspark.sql.window import Window
 
 from ..config import PeriodConfig
 from ..functions.expr import inv_var
+from ..session import cut_lineage
 from .detect import cadence
+from .skew import join_small
+
+FREQUENCIES = 64
 
 
 def spacing(events: DataFrame, keys: Sequence[str], start: str, cfg: PeriodConfig = PeriodConfig()) -> DataFrame:
@@ -39,27 +43,32 @@ def periodogram(series: DataFrame, keys: Sequence[str], cfg: PeriodConfig = Peri
     ``samples_per_peak`` steps per 1/span. Every (row, frequency) term is summed in the
     JVM with map-side combine; a series is not gathered anywhere.
     """
-    whole = Window.partitionBy(*keys)
-    df = cadence(series, keys)
-    w = inv_var(F.col("err"))
-    df = df.withColumn("_w", w / F.sum(w).over(whole))
-    df = df.withColumn("_t0", F.min("mjd").over(whole)).withColumn("_span", F.max("mjd").over(whole) - F.col("_t0"))
-    df = df.withColumn("_y", F.col("val") - F.sum(F.col("_w") * F.col("val")).over(whole))
-    df = df.withColumn("_n", F.count("*").over(whole)).withColumn("_t2", F.col("mjd") - F.avg("mjd").over(whole))
-    df = df.withColumn("_fmin", F.try_divide(F.lit(2.0), "_span")).withColumn(
-        "_fmax", 1.0 / F.greatest(F.lit(cfg.min_period_days), cfg.cadence_factor * F.col("cadence"))
+    df = cut_lineage(cadence(series, keys).withColumn("_w0", inv_var(F.col("err"))))
+    const = df.groupBy(*keys).agg(
+        F.sum("_w0").alias("_sw"), F.min("mjd").alias("_t0"), (F.max("mjd") - F.min("mjd")).alias("_span"), F.count("*").alias("_n"),
+        F.avg("mjd").alias("_tm"), (F.sum(F.col("_w0") * F.col("val")) / F.sum("_w0")).alias("_ym"), F.max("cadence").alias("_cad"),
     )
-    df = df.withColumn("_df", F.try_divide(F.lit(1.0 / cfg.samples_per_peak), "_span"))
+    const = const.withColumn("_fmin", F.try_divide(F.lit(2.0), "_span")).withColumn(
+        "_fmax", 1.0 / F.greatest(F.lit(cfg.min_period_days), cfg.cadence_factor * F.col("_cad"))
+    ).withColumn("_df", F.try_divide(F.lit(1.0 / cfg.samples_per_peak), "_span"))
     steps = F.bround((F.col("_fmax") - F.col("_fmin")) / F.col("_df")).cast("int")
-    df = df.where(F.col("_fmax") > F.col("_fmin")).withColumn("_steps", steps)
-    df = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_steps"))))
+    const = const.where(F.col("_fmax") > F.col("_fmin")).withColumn("_steps", steps)
+    df = join_small(df.select(*keys, "mjd", "val", "_w0"), const, keys).select(
+        *keys, "_steps", "_n", "_span", "_fmin", "_df", (F.col("_w0") / F.col("_sw")).alias("_w"),
+        (F.col("val") - F.col("_ym")).alias("_y"), (F.col("mjd") - F.col("_tm")).alias("_t2"), (F.col("mjd") - F.col("_t0")).alias("_t"),
+    )
+    # a task gets a series' points for one block of frequencies, not for all of them
+    df = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor(F.col("_steps") / FREQUENCIES).cast("int"))))
+    df = df.repartition(*keys, "_block")
+    first = F.col("_block") * FREQUENCIES
+    df = df.withColumn("_i", F.explode(F.sequence(first, F.least(F.col("_steps"), first + FREQUENCIES - 1))))
     df = df.withColumn("_f", F.col("_fmin") + F.col("_df") * F.col("_i"))
-    arg = F.lit(2.0 * math.pi) * F.col("_f") * (F.col("mjd") - F.col("_t0"))
+    arg = F.lit(2.0 * math.pi) * F.col("_f") * F.col("_t")
     df = df.select(
-        *keys, "_i", "_f", "_steps", "_n", "_span", "_w", "_y", "_t2", F.cos(arg).alias("_c"), F.sin(arg).alias("_s")
+        *keys, "_block", "_i", "_f", "_steps", "_n", "_span", "_w", "_y", "_t2", F.cos(arg).alias("_c"), F.sin(arg).alias("_s")
     )
     term = lambda e: F.expr(f"sum(_w * {e})")
-    sums = df.groupBy(*keys, "_i", "_f", "_steps", "_n", "_span").agg(
+    sums = df.groupBy(*keys, "_block", "_i", "_f", "_steps", "_n", "_span").agg(
         term("_c").alias("c"), term("_s").alias("s"), term("_y * _c").alias("yc"), term("_y * _s").alias("ys"),
         term("_c * _c").alias("cc0"), term("_c * _s").alias("cs0"), term("_y * _y").alias("yy"),
         term("_t2 * _t2").alias("tt"), term("_t2").alias("t1"),

@@ -56,17 +56,20 @@ def smeared_pulse(p, grid, step, at, slopes: bool = False) -> np.ndarray:
 def bounded_least_squares(model, f, s, p, lo, hi, max_iter):
     """Damped Gauss-Newton inside a box on the parameters that have a derivative.
 
-    ``model(p, slopes)`` gives the curve at the data. Returns parameters and (curve-f)/s.
+    ``model(p, slopes)`` gives the curve at the data. Returns parameters, (curve-f)/s and whether
+    no step could lower the cost any more before ``max_iter`` steps were done.
     """
     p = np.clip(p, lo, hi)
     m = 4
     r = (model(p, False) - f) / s
     cost, damp = r @ r, 1e-2
+    converged = False
     for _ in range(max_iter):
         jac = (model(p, True)[1:] / s).T
         g, curv = jac.T @ r, jac.T @ jac
         free = ~(((p[:m] <= lo[:m]) & (g > 0)) | ((p[:m] >= hi[:m]) & (g < 0)))
         if not free.any():
+            converged = True
             break
         gain = 0.0
         for _ in range(12):
@@ -82,8 +85,9 @@ def bounded_least_squares(model, f, s, p, lo, hi, max_iter):
                 break
             damp *= 4
         if gain <= 1e-7 * max(cost, 1e-12):
+            converged = True
             break
-    return p, r
+    return p, r, converged
 
 
 def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | None:
@@ -122,7 +126,7 @@ def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | No
 
         return value
 
-    p, r = bounded_least_squares(sampler(t), f, s, guess - shift, lo - shift, hi - shift, cfg.max_iter)
+    p, r, converged = bounded_least_squares(sampler(t), f, s, guess - shift, lo - shift, hi - shift, cfg.max_iter)
     resid = -r * s
     chi2, k, n = float(r @ r), 5, len(t)
     out = dict(
@@ -130,6 +134,7 @@ def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | No
         dof=n - k, chi2_red=chi2 / (n - k) if n > k else np.inf,
         aic=chi2 + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1),
         resid_mean=resid.mean(), resid_std=resid.std(), resid_max_abs=np.abs(resid).max(),
+        converged=converged, resid_sigma=(resid / s).tolist(),
     )
     fine = np.linspace(t[0], t[-1], cfg.shape_grid)
     g = np.clip(sampler(fine)(p), 0, None)
@@ -145,6 +150,11 @@ def fit_pulses(
 ) -> DataFrame:
     """One row per (keys, outburst_idx) with at least ``min_points`` points in the span.
 
+    ``converged`` tells whether the fit came to rest within ``max_iter`` steps, ``error`` why a
+    span has no fit, ``resid_sigma`` the residuals in units of the errors, in time order.
+    The width is a fifth parameter of the model and counts in ``dof``, though the smeared curve
+    is flat in it below one grid step.
+
     ``series``: keys, mjd, val, err plus per-series ``baseline`` and ``threshold``.
     """
     ids = [*keys, "outburst_idx"]
@@ -162,17 +172,24 @@ def fit_pulses(
     fitted = [c for c in FIT_FIELDS if c not in copied]
     out = T.StructType(
         [rows.schema[c] for c in copied]
-        + [T.StructField("dof", T.LongType())]
+        + [T.StructField("dof", T.LongType()), T.StructField("converged", T.BooleanType()), T.StructField("error", T.StringType()),
+           T.StructField("resid_sigma", T.ArrayType(T.DoubleType()))]
         + [T.StructField(c, T.DoubleType()) for c in fitted]
     )
 
     def run(batches):
         for pdf in batches:
-            res = [
-                fit_span(np.asarray(r.mjd), np.asarray(r.val), np.asarray(r.err), r.span_start_mjd, r.span_end_mjd, cfg)
-                for r in pdf.itertuples(index=False)
-            ]
-            done = pd.DataFrame([{c: x.get(c, np.nan) for c in ["dof", *fitted]} for x in res], index=pdf.index)
+            res = []
+            for r in pdf.itertuples(index=False):
+                points = [np.asarray(x) for x in (r.mjd, r.val, r.err)]
+                try:
+                    res.append(fit_span(*points, r.span_start_mjd, r.span_end_mjd, cfg))
+                except (np.linalg.LinAlgError, ValueError, FloatingPointError) as e:
+                    res.append({"error": f"{type(e).__name__}: {e}"})
+            done = pd.DataFrame({c: [x.get(c, np.nan) for x in res] for c in fitted}, index=pdf.index)
+            done.insert(0, "dof", pd.array([x.get("dof") for x in res], "Int64"))
+            for i, c in enumerate(["converged", "error", "resid_sigma"]):
+                done.insert(i + 1, c, pd.Series([x.get(c) for x in res], index=pdf.index, dtype=object))
             yield pd.concat([pdf[copied], done], axis=1)
 
     return spread(rows).mapInPandas(run, out)

@@ -13,7 +13,7 @@ from ..config import SlopeConfig
 from ..functions.expr import finite
 from ..functions.photometry import log_sigma
 from ..session import cut_lineage
-from .skew import grouped_quantiles, split_join
+from .skew import grouped_quantiles, join_small
 
 CLASSES = ["BH", "NS", "UNKNOWN"]
 
@@ -37,7 +37,7 @@ def pooled_slope(
     # the pairs are read once per pass below: materialise them once
     rows = cut_lineage(rows.withColumn("good", F.when(good, F.col("s"))))
     fill = grouped_quantiles(rows, ["cls"], "good", {"fill": 0.5})
-    rows = split_join(rows, fill, ["cls"], "left")
+    rows = join_small(rows, fill, ["cls"], "left")
     rows = rows.withColumn(
         "w", 1.0 / F.pow(F.coalesce("good", "fill", F.lit(1.0)), F.lit(2.0))
     )
@@ -47,7 +47,7 @@ def pooled_slope(
         (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"),
         (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"),
     )
-    rows = split_join(rows, sums, ["cls"])
+    rows = join_small(rows, sums, ["cls"])
     dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     fit = rows.groupBy("cls", "n_pairs").agg(
         F.sum(F.col("w") * dx * dx).alias("sxx"), F.sum(F.col("w") * dx * dy).alias("sxy")
@@ -87,7 +87,7 @@ def fixed_effects_slope(
         F.count("*").alias("n_sources_total"),
         F.count_if(F.col("nv") >= cfg.min_pairs_per_source).alias("n_sources_used"),
     )
-    rows = split_join(rows.where("ok"), usable.select(*keys, "weighted"), keys)
+    rows = join_small(rows.where("ok"), usable.select(*keys, "weighted"), keys)
     dex = F.greatest(log_sigma(F.col("oe"), F.col("of")), F.lit(cfg.sigma_floor_dex))
     rows = rows.select(
         *keys, F.log10("xf").alias("x"), F.log10("of").alias("y"),
@@ -97,7 +97,7 @@ def fixed_effects_slope(
         (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"),
         (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"),
     )
-    rows = split_join(rows, means, keys)
+    rows = join_small(rows, means, keys)
     rows = rows.select(
         "cls", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"), "s", "w"
     )
@@ -108,7 +108,7 @@ def fixed_effects_slope(
     first = first.where((F.col("n0") >= cfg.min_pairs) & (F.col("sxx") > 0)).select(
         "cls", "n0", (F.col("sxy") / F.col("sxx")).alias("b0")
     )
-    rows = split_join(rows, first, ["cls"])
+    rows = join_small(rows, first, ["cls"])
     rows = rows.withColumn(
         "keep", F.abs((F.col("y") - F.col("b0") * F.col("x")) / F.col("s")) <= cfg.clip_sigma
     )

@@ -203,11 +203,15 @@ cs AS (SELECT *, CASE WHEN ends_with(lower(b), '_maxi_lc.csv') THEN substr(b, 1,
          CASE WHEN ends_with(lower(b), '_maxi_lc.csv') OR ends_with(lower(b), '_maxi.csv') THEN 'maxi' WHEN ends_with(lower(b), '_ztf.csv') THEN 'ztf' END AS inst FROM cb),
 cm AS (SELECT row_id, stem, coalesce(inst, CASE WHEN contains(lower(stem), 'ztf') THEN 'ztf' ELSE 'maxi' END) AS instrument,
          regexp_extract(stem, '^(.*?)(J\d{4,6})([pm])(\d{2,4})', ['a', 'j', 's', 'd'], 'i') AS m FROM cs)"""
+# split at the ends of anchors, then read the opening tag of each piece
 ANCHOR = r"""
-an AS (
-  SELECT page_id, unnest(range(1, len(h) + 1)) AS idx, unnest(h) AS href, unnest(t) AS raw FROM (
-    SELECT page_id, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>', 1, 'i') AS h,
-           regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>', 2, 'i') AS t FROM pages)),
+pc AS (SELECT page_id, unnest(range(1, len(s))) AS pos, unnest(s[:-2]) AS piece FROM (
+    SELECT page_id, regexp_split_to_array(html, '(?i)</a\s*>') AS s FROM pages)),
+op AS (SELECT page_id, pos, regexp_extract(piece, '(?is)<a\s(?:[^>]*?\s)?href\s*=[^>]*>', 0) AS tag,
+         regexp_extract(piece, '(?is)<a\s(?:[^>]*?\s)?href\s*=[^>]*>(.*)$', 1) AS inner_html FROM pc),
+an AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS idx,
+         trim(regexp_extract(tag, '(?is)\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), chr(34) || chr(39)) AS href,
+         regexp_replace(inner_html, '<[^>]*>', '', 'g') AS raw FROM op WHERE tag <> ''),
 al AS (SELECT page_id, idx, href, trim(regexp_replace(trim(raw), '[^\x00-\x7F]', '', 'g')) AS text,
          list_filter(string_split(href, '/'), lambda x: x <> '') AS p FROM an),
 ah AS (SELECT page_id, idx, href, text, coalesce(CASE WHEN len(p) >= 2 THEN p[len(p) - 1] ELSE replace(p[1], '.html', '') END, '') AS target FROM al)"""

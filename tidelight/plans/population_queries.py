@@ -21,6 +21,12 @@ from .time_queries import CLS, SPANS, thirds, with_class
 # ------------------------------------------------------------------ events and periods
 
 
+GIVEN_TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+]
+
+
 def outburst_report(spark, sf):
     """The full event record: detection, false-alarm probability and recurrence."""
     cfg = DetectorConfig()
@@ -51,7 +57,7 @@ def outburst_report(spark, sf):
 def null_draws(spark, sf):
     """Per resampling draw: size and level of the null curves and their false events."""
     based = cut_lineage(based_series(spark, sf))
-    nulls = cut_lineage(bootstrap.null_series(based, SRC))
+    nulls = bootstrap.null_series(based, SRC)
     fake = detect.detect_events(nulls, [*SRC, "draw"]).groupBy("draw").agg(F.count("*").alias("n_null_events"))
     size = nulls.groupBy("draw").agg(
         F.countDistinct("source").alias("n_series"), F.count("*").alias("n_points"), rnd(F.avg("val"), 4).alias("mean_val")
@@ -86,8 +92,8 @@ def recurrence_cv(spark, sf):
 
 
 def candidate_periodic(spark, sf):
-    s = cut_lineage(series(spark, sf))
-    gaps = periodic.spacing(_starts(spark, sf), SRC, "mjd_start")
+    gaps = cut_lineage(periodic.spacing(_starts(spark, sf), SRC, "mjd_start"))
+    s = series(spark, sf).join(gaps.select("source"), "source", "left_semi")
     df = periodic.candidate_periodic(gaps, periodic.periodogram(s, SRC), SRC)
     return df.select("source", "n_events", "candidate_periodic")
 
@@ -383,10 +389,13 @@ def chunked_union_distinct(spark, sf):
     A row on a chunk border belongs to both chunks. Chunk numbers are computed, not joined.
     """
     lc = lightcurve(spark, sf).select("source", (F.floor(F.col("mjd") * 2) / 2).alias("mjd"), "band")
-    pos = (F.col("mjd") - 60310.0) / 5.0
+    start, end = lc.agg(F.floor(F.min("mjd")), F.max("mjd")).first()
+    if start is None:
+        start = end = 0.0
+    last = max(int(-(-(end - start) // 5.0)) - 1, 0)
+    pos = (F.col("mjd") - float(start)) / 5.0
     k = F.floor(pos)
-    lc = lc.where("mjd >= 60310.0 AND mjd <= 60340.0")
-    chunks = F.when((pos == k) & (k > 0), F.when(k < 6, F.array(k - 1, k)).otherwise(F.array(k - 1))).otherwise(F.array(k))
+    chunks = F.when((pos == k) & (k > 0), F.when(k <= last, F.array(k - 1, k)).otherwise(F.array(k - 1))).otherwise(F.array(k))
     fetched = lc.withColumn("chunk", F.explode(chunks))
     n = fetched.groupBy("source").agg(F.count("*").alias("n_fetched"))
     d = fetched.drop("chunk").dropDuplicates().groupBy("source").agg(F.count("*").alias("n_distinct"))
@@ -437,14 +446,14 @@ def mjd_datetime(spark, sf):
 
 
 def largest_table(spark, sf):
-    """The largest given table that has both required columns."""
-    names = ["customer", "supplier", "part", "orders", "lineitem", "events"]
-    need = {"customer": 2, "supplier": 2, "part": 1, "orders": 2, "lineitem": 2, "events": 2}
+    """The largest given table with two key columns or more, as its schema tells."""
     parts = None
-    for n in names:
-        one = table(spark, sf, n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), "n_rows", F.lit(need[n]).alias("has"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.where("has = 2").agg(F.max_by("name", "n_rows").alias("name"), F.max("n_rows").alias("n_rows"))
+    for n in GIVEN_TABLES:
+        df = table(spark, sf, n)
+        if sum(c.endswith(("key", "_id")) for c in df.columns) >= 2:
+            one = df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), "n_rows")
+            parts = one if parts is None else parts.unionByName(one)
+    return parts.agg(F.max_by("name", F.struct("n_rows", "name")).alias("name"), F.max("n_rows").alias("n_rows"))
 
 
 def top_series(spark, sf):
@@ -603,7 +612,9 @@ WHERE row_id % 19 <> 0 AND row_id % 23 <> 0 AND row_id % 29 <> 0 AND row_id % 31
     "pipe_table": "SELECT user_id AS source, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events WHERE event_id % 10 <> 0 GROUP BY 1",
     "chunked_union_distinct": with_(
         LC, "h AS (SELECT source, floor(mjd * 2) / 2 AS mjd, band FROM lc)",
-        "c AS (SELECT h.* FROM h JOIN (SELECT unnest(range(0, 6)) AS k) ON mjd BETWEEN 60310 + 5 * k AND 60315 + 5 * k)",
+        "lim AS (SELECT floor(min(mjd)) AS a, max(mjd) AS z FROM h)",
+        "ch AS (SELECT a + 5 * k AS s FROM (SELECT a, unnest(range(0, greatest(CAST(ceil((z - a) / 5) AS BIGINT), 1))) AS k FROM lim))",
+        "c AS (SELECT h.* FROM h JOIN ch ON mjd BETWEEN s AND s + 5)",
         "d AS (SELECT DISTINCT * FROM c)",
     ) + "SELECT source, n AS n_fetched, m AS n_distinct FROM (SELECT source, count(*) AS n FROM c GROUP BY 1) JOIN (SELECT source, count(*) AS m FROM d GROUP BY 1) USING (source)",
     "stored_spans": with_(
@@ -621,9 +632,9 @@ SELECT source, 'S' || source AS file_stem, count(*) AS n_points, round(max(mjd)
 WHERE source % 6 = 0 GROUP BY source HAVING count(*) >= 20 AND max(mjd) - min(mjd) >= 0.5""",
     "mjd_datetime": with_(LC) + """
 SELECT row_id, strftime(ts, '%Y%m%d') AS stamp, round(mjd, 6) + 0.0 AS mjd FROM lc JOIN events ON event_id = row_id""",
-    "largest_table": """
-SELECT arg_max(name, n_rows) AS name, max(n_rows) AS n_rows FROM (
-  SELECT 'customer' AS name, count(*) AS n_rows FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier
-  UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events)""",
+    "largest_table": "SELECT arg_max(name, n_rows) AS name, max(n_rows) AS n_rows FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows FROM {n}" for n in GIVEN_TABLES)
+    + """) WHERE name IN (SELECT table_name FROM information_schema.columns WHERE regexp_matches(column_name, '(key|_id)$')
+  GROUP BY table_name HAVING count(*) >= 2)""",
     "top_series": "SELECT user_id AS source, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, source LIMIT 10",
 }

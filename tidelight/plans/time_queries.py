@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import SlopeConfig
 from ..functions import photometry as ph
 from ..functions.expr import rnd
 from ..functions.names import canonical_key, class_label
 from ..operators import slope, timejoin
-from ..operators.skew import first_per_key, grouped_quantiles, join_small, split_join
+from ..operators.skew import first_per_key, grouped_quantiles, join_small
 from ..session import cut_lineage
 from ..sources.tables import lightcurve, multiband, optical, table, xray
 from . import sqltext as q
@@ -103,7 +104,7 @@ def phase_pairs_df(spark, sf, which="rise", cfg=SlopeConfig()):
     left = timejoin.crop_to_spans(opt, spans, ["source"]).drop("t_start", "t_end")
     near = timejoin.nearest_in_time(left, xr, SPAN, cfg.tol_days, "row_id")
     floor = grouped_quantiles(opt, ["source"], "of", {"quiet": cfg.baseline_percentile})
-    near = split_join(near, floor, ["source"])
+    near = join_small(near, floor, ["source"])
     near = near.withColumn("excess", F.col("of") - F.col("quiet"))
     snr = F.col("r_xf") / F.greatest("r_xe", F.lit(1e-30))
     return near.where((F.col("r_xf") > 0) & (snr >= cfg.min_snr) & (F.col("excess") > 0))
@@ -164,11 +165,15 @@ def wls_loglog(spark, sf):
     )
 
 
-def fixed_effects_beta(spark, sf):
+def _fixed_effects_fit(spark, sf):
     near = with_class(phase_pairs_df(spark, sf, "rise"), spark, sf)
-    fit = slope.fixed_effects_slope(
+    return slope.fixed_effects_slope(
         near.select("cls", "source", F.col("r_xf").alias("xf"), F.col("excess").alias("of"), "oe")
     )
+
+
+def fixed_effects_beta(spark, sf):
+    fit = _fixed_effects_fit(spark, sf)
     return fit.select(
         "compact_object", rnd(F.col("beta"), 6).alias("beta"), rnd(F.col("beta_err"), 6).alias("beta_err"),
         rnd(F.col("scatter_dex"), 6).alias("scatter_dex"),
@@ -203,7 +208,7 @@ def forward_sim(spark, sf):
 
 def forward_sim_tapered(spark, sf):
     cfg = SlopeConfig()
-    df = _span_points(spark, sf).withColumn("beta", F.lit(cfg.fallback_beta))
+    df = _with_beta(_span_points(spark, sf), _fixed_effects_fit(spark, sf))
     snr = F.col("xf") / F.greatest("xe", F.lit(1e-30))
     clean = ph.snr_weight(snr, cfg.snr_floor, cfg.taper_width) * F.greatest("xf", F.lit(0.0))
     return df.select(
@@ -240,6 +245,47 @@ def hardness_in_spans(spark, sf):
     )
 
 
+def hardness_series(spark, sf):
+    """Hardness points of each span, in time order, and whether they make a hardness-intensity track."""
+    df = timejoin.crop_to_spans(hardness_points(spark, sf), thirds(spark, sf), SPAN[:1])
+    # a span's daily points are bounded by its length
+    whole = Window.partitionBy(*SPAN)
+    df = df.withColumn("point", F.row_number().over(whole.orderBy("mjd")))
+    track = (F.count("flux_2_20").over(whole) >= 2) & F.col("flux_2_20").isNotNull()
+    return df.select(
+        *SPAN, F.col("point").cast("long").alias("point"), rnd(F.col("mjd"), 1).alias("mjd"), rnd(F.col("hr_x"), 6).alias("hr_x"),
+        rnd(F.col("hr_x_err"), 6).alias("hr_x_err"), rnd(F.col("flux_2_20"), 6).alias("flux_2_20"), track.alias("in_track"),
+    )
+
+
+def observed_vs_predicted(spark, sf):
+    """Observed excess beside the prediction of the pooled slope, scaled to the span's own median."""
+    near = with_class(simple_pairs(spark, sf), spark, sf)
+    fit = slope.pooled_slope(near.select("cls", F.col("r_xf").alias("xf"), "of", "oe"))
+    df = _with_beta(near, fit).withColumn("model", ph.reprocessed(F.col("r_xf"), F.col("beta")))
+    scale = df.groupBy(*SPAN).agg(F.median("of").alias("mo"), F.median("model").alias("mm"))
+    df = join_small(df, scale, SPAN)
+    return df.select(
+        *SPAN, "row_id", rnd(F.col("of"), 4).alias("observed"),
+        rnd(F.col("model") * F.try_divide("mo", "mm"), 4).alias("predicted"),
+    )
+
+
+def four_panels(spark, sf):
+    """Points of the sources that have both curves: panel, time, value and error of each."""
+    x, o = xray(spark, sf), optical(spark, sf)
+    both = x.select("source").distinct().join(o.select("source").distinct(), "source")
+    bands = o.where("filtercode IN ('zg', 'zr')")
+    parts = [
+        x.select("source", F.lit("xray").alias("panel"), "mjd", F.col("xf").alias("val"), F.col("xe").alias("err")),
+        bands.select("source", F.col("filtercode").alias("panel"), "mjd", F.col("mag").alias("val"), F.col("magerr").alias("err")),
+    ]
+    hard = hardness_points(spark, sf).select("source", F.lit("hardness").alias("panel"), "mjd", F.col("hr_x").alias("val"), F.col("hr_x_err").alias("err"))
+    df = parts[0].unionByName(parts[1]).unionByName(hard)
+    df = join_small(df, both, ["source"])
+    return df.select("source", "panel", rnd(F.col("mjd"), 4).alias("mjd"), rnd(F.col("val"), 6).alias("val"), rnd(F.col("err"), 6).alias("err"))
+
+
 def mag_to_flux(spark, sf):
     return optical(spark, sf).select(
         "row_id",
@@ -264,6 +310,9 @@ QUERIES = {
     "forward_sim_tapered": forward_sim_tapered,
     "hardness_ratio": hardness_ratio,
     "hardness_in_spans": hardness_in_spans,
+    "hardness_series": hardness_series,
+    "observed_vs_predicted": observed_vs_predicted,
+    "four_panels": four_panels,
     "mag_to_flux": mag_to_flux,
 }
 
@@ -398,13 +447,29 @@ SELECT source, outburst_idx, row_id, CASE WHEN mjd <= peak_mjd THEN 'rise' ELSE
        round(pow(greatest(xf, 0.0), coalesce(beta, 0.5)), 8) + 0.0 AS predicted,
        round(pow(greatest(xf, 1e-30), coalesce(beta, 0.5)), 8) + 0.0 AS floored
 FROM xc LEFT JOIN fit ON fit.cls = xc.cls""",
-    "forward_sim_tapered": with_(*BASE, CLS, XCLASSED) + """
+    "forward_sim_tapered": with_(*BASE, phase_ctes("<="), CLS, CLASSED, FIXED, XCLASSED) + """
 SELECT source, outburst_idx, row_id, CASE WHEN mjd <= peak_mjd THEN 'rise' ELSE 'decay' END AS phase,
-       round(pow(greatest(xf, 0.0) / (1.0 + exp(-(xf / greatest(xe, 1e-30) - 3.0) / 1.5)), 0.5) * 1e4, 8) + 0.0 AS shape_e4
-FROM xc""",
+       round(pow(greatest(xf, 0.0) / (1.0 + exp(-(xf / greatest(xe, 1e-30) - 3.0) / 1.5)), coalesce(beta, 0.5)) * 1e4, 8) + 0.0 AS shape_e4
+FROM xc LEFT JOIN (SELECT * FROM fa WHERE cls <> 'UNKNOWN') fa ON fa.cls = xc.cls""",
     "hardness_ratio": with_(LC, MULTI, HARD) + f"""
 SELECT source, {r('mjd', 1, 'mjd')}, {r('hr_x', 6, 'hr_x')}, {r('hr_x_err', 6, 'hr_x_err')},
        {r('flux_2_20', 6, 'flux_2_20')} FROM hr""",
+    "hardness_series": with_(LC, MULTI, HARD, SPANS) + f"""
+SELECT h.source, outburst_idx, row_number() OVER (PARTITION BY h.source, outburst_idx ORDER BY mjd) AS point,
+       {r('mjd', 1, 'mjd')}, {r('hr_x', 6, 'hr_x')}, {r('hr_x_err', 6, 'hr_x_err')}, {r('flux_2_20', 6, 'flux_2_20')},
+       flux_2_20 IS NOT NULL AND count(flux_2_20) OVER (PARTITION BY h.source, outburst_idx) >= 2 AS in_track
+FROM hr h JOIN spans s ON s.source = h.source AND mjd BETWEEN t_start AND t_end""",
+    "observed_vs_predicted": with_(*BASE, near("xw"), SIMPLE, CLS, CLASSED, POOLED,
+        "mo AS (SELECT cp.*, pow(greatest(xf, 0.0), coalesce(beta, 0.5)) AS model FROM cp LEFT JOIN fit ON fit.cls = cp.cls)") + f"""
+SELECT source, outburst_idx, row_id, {r('of', 4, 'observed')},
+       round(model * median(of) OVER g / nullif(median(model) OVER g, 0), 4) + 0.0 AS predicted
+FROM mo WINDOW g AS (PARTITION BY source, outburst_idx)""",
+    "four_panels": with_(LC, OPT, XRAY, MULTI, HARD, """p4 AS (
+  SELECT source, 'xray' AS panel, mjd, xf AS val, xe AS err FROM xr
+  UNION ALL SELECT source, filtercode, mjd, mag, magerr FROM opt WHERE filtercode IN ('zg', 'zr')
+  UNION ALL SELECT source, 'hardness', mjd, hr_x, hr_x_err FROM hr)""") + f"""
+SELECT source, panel, {r('mjd', 4, 'mjd')}, {r('val', 6, 'val')}, {r('err', 6, 'err')} FROM p4
+WHERE source IN (SELECT source FROM xr) AND source IN (SELECT source FROM opt)""",
     "hardness_in_spans": with_(LC, MULTI, HARD, SPANS) + """
 SELECT h.source, outburst_idx, count(*) AS n_hr, round(min(hr_x), 6) + 0.0 AS hr_min,
        round(max(hr_x), 6) + 0.0 AS hr_max, count(flux_2_20) >= 2 AS has_hid
