@@ -112,7 +112,7 @@ def daily_tail_probability(spark, sf):
 # ------------------------------------------------------------------------- pulse shapes
 
 
-def _with_level(spark, sf):
+def with_level(spark, sf):
     """Daily series with the median and the 3-sigma line of its source."""
     s = series(spark, sf)
     w = Window.partitionBy("source")
@@ -133,7 +133,7 @@ def _whole_spans(spark, sf):
 
 
 def pulse_fit(spark, sf):
-    fit = pulsefit.fit_pulses(_with_level(spark, sf), _whole_spans(spark, sf), SRC)
+    fit = pulsefit.fit_pulses(with_level(spark, sf), _whole_spans(spark, sf), SRC)
     digits = {"chi2": 3, "chi2_red": 3, "aic": 3, "t90": 3, "baseline": 5, "threshold": 5}
     return fit.select(
         "source", "outburst_idx", "span_start_mjd", "span_end_mjd", "n_points", "dof",
@@ -143,7 +143,7 @@ def pulse_fit(spark, sf):
 
 def pulse_model(spark, sf):
     """Residuals of a fixed pulse on every daily point: chi2, reduced chi2, AIC, residual moments."""
-    s = _with_level(spark, sf)
+    s = with_level(spark, sf)
     t0 = F.min("mjd").over(Window.partitionBy("source"))
     s = s.withColumn("t0", t0)
     model = F.col("baseline") + ph.norris(F.col("mjd"), F.lit(40.0), F.col("t0"), F.lit(2.0), F.lit(9.0))

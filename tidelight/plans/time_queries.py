@@ -85,8 +85,8 @@ def _pairs(opt, xr, spans, cfg=SlopeConfig()):
     return timejoin.nearest_in_time(left, right, SPAN, cfg.tol_days, "row_id")
 
 
-def simple_pairs(spark, sf):
-    near = _pairs(optical_flux(spark, sf), xray_flux(spark, sf), thirds(spark, sf))
+def simple_pairs(spark, sf, spans=None):
+    near = _pairs(optical_flux(spark, sf), xray_flux(spark, sf), thirds(spark, sf) if spans is None else spans)
     return near.where((F.col("r_xf") > 0) & (F.col("of") > 0))
 
 
@@ -181,14 +181,14 @@ def fixed_effects_beta(spark, sf):
     )
 
 
-def _span_points(spark, sf):
+def span_points(spark, sf, spans=None):
     """X-ray points of spans with at least three of them, with their peak and class."""
-    df = timejoin.crop_to_spans(xray_flux(spark, sf), thirds(spark, sf), ["source"])
+    df = timejoin.crop_to_spans(xray_flux(spark, sf), thirds(spark, sf) if spans is None else spans, ["source"])
     df = timejoin.with_peak(df, SPAN, "xf").where("n_span >= 3")
     return with_class(df, spark, sf)
 
 
-def _with_beta(df, fit):
+def with_beta(df, fit):
     """Slope per class with the default for classes that have none."""
     betas = fit.select(F.col("compact_object").alias("cls"), "beta")
     out = join_small(df, betas, ["cls"], "left")
@@ -198,7 +198,7 @@ def _with_beta(df, fit):
 def forward_sim(spark, sf):
     near = with_class(simple_pairs(spark, sf), spark, sf)
     fit = slope.pooled_slope(near.select("cls", F.col("r_xf").alias("xf"), "of", "oe"))
-    df = _with_beta(_span_points(spark, sf), fit)
+    df = with_beta(span_points(spark, sf), fit)
     return df.select(
         "source", "outburst_idx", "row_id", timejoin.phase(F.col("mjd"), F.col("peak_mjd")).alias("phase"),
         rnd(ph.reprocessed(F.col("xf"), F.col("beta")), 8).alias("predicted"),
@@ -208,7 +208,7 @@ def forward_sim(spark, sf):
 
 def forward_sim_tapered(spark, sf):
     cfg = SlopeConfig()
-    df = _with_beta(_span_points(spark, sf), _fixed_effects_fit(spark, sf))
+    df = with_beta(span_points(spark, sf), _fixed_effects_fit(spark, sf))
     snr = F.col("xf") / F.greatest("xe", F.lit(1e-30))
     clean = ph.snr_weight(snr, cfg.snr_floor, cfg.taper_width) * F.greatest("xf", F.lit(0.0))
     return df.select(
@@ -262,7 +262,7 @@ def observed_vs_predicted(spark, sf):
     """Observed excess beside the prediction of the pooled slope, scaled to the span's own median."""
     near = with_class(simple_pairs(spark, sf), spark, sf)
     fit = slope.pooled_slope(near.select("cls", F.col("r_xf").alias("xf"), "of", "oe"))
-    df = _with_beta(near, fit).withColumn("model", ph.reprocessed(F.col("r_xf"), F.col("beta")))
+    df = with_beta(near, fit).withColumn("model", ph.reprocessed(F.col("r_xf"), F.col("beta")))
     scale = df.groupBy(*SPAN).agg(F.median("of").alias("mo"), F.median("model").alias("mm"))
     df = join_small(df, scale, SPAN)
     return df.select(
