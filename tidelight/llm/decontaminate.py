@@ -1,15 +1,14 @@
 """Documents that contain test items, found by BM25 retrieval and confirmed word by word.
 
 Index: for each item, BM25 weights of its words (document frequencies over all items), divided by
-the item's own score, so that a passage with all its words scores 1. Items stand in blocks of 16;
+the item's own score, so that a passage with all its words scores 1. Items stand in blocks of 4;
 a block keeps its weights and, for each word, their maximum.
 
 Query: every passage of every document, two stretches of words that overlap by one, a stretch
-being the longest item; so each item lies in one passage whole. As in block-max WAND, words that
-even together cannot lift an item over the threshold raise no candidates: only an item's
-heaviest words, its essential ones, point at its block. For such a block the maxima of the
-passage's words are summed, and only if that reaches the threshold the block's items are
-scored. All items at or over the threshold are retrieved.
+being the longest item; so each item lies in one passage whole. The test of block-max WAND is
+made for all passages of many documents at once: the maxima of a stretch's words are summed for
+each block, two stretches bound a passage, and only blocks that reach the threshold are looked
+at again with the passage's own words, then scored item by item. All items at or over the threshold are retrieved.
 
 Check: of the five-word runs of the item's question, and of those of its answer, a share of
 ``overlap`` at least must stand in the passage. The answer is what follows the last question
@@ -27,18 +26,20 @@ of their own, in documents and items; empty tables give no hits; other columns a
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, col, stage
+from .common import ascii_lower, col, collector_off, stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 4
+WORDS_AT_ONCE = 40_000
 GRAM = 5
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
@@ -77,26 +78,27 @@ def postings(items: DataFrame, id_col="item_id", text_col="text") -> DataFrame:
     return stage(rows.drop("ws").join(words, "row"))
 
 
+class _Vocab(dict):
+    """Number of each word of the items; of any other word, the number after the last."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self)
+
+
 class Index:
-    """Blocks of items, their weights and the words that point at them."""
+    """Blocks of items, their weights and the greatest weight of each word in each block."""
 
     def __init__(self, rows: list, stretch: int, threshold: float, overlap: float):
         rows = sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.row))
-        self.stretch, self.threshold, self.overlap = stretch, threshold, overlap
-        self.vocab: dict[bytes, int] = {}
+        self.stretch, self.threshold, self.overlap = stretch, threshold - 1e-9, overlap
         self.items, self.blocks = [], []
-        point: dict[int, set[int]] = {}
+        vocab: dict[bytes, int] = {}
         for at in range(0, len(rows), BLOCK):
             terms: dict[int, dict[int, float]] = {}
             for k, r in enumerate(rows[at : at + BLOCK]):
                 own = sum(w for _, w in r.words)
-                weights = sorted((w / own, self.vocab.setdefault(word.encode(), len(self.vocab))) for word, w in r.words)
-                light = 0.0
-                for w, term in weights:
-                    terms.setdefault(term, {})[k] = w
-                    light += w
-                    if light >= threshold - 1e-9:  # what is lighter cannot reach it alone
-                        point.setdefault(term, set()).add(at // BLOCK)
+                for word, w in r.words:
+                    terms.setdefault(vocab.setdefault(word.encode(), len(vocab)), {})[k] = w / own
                 question, answer = parts(r.text)
                 self.items.append((r.item_id, runs(question), runs(answer)))
             ids = np.array(sorted(terms))
@@ -104,54 +106,77 @@ class Index:
             for i, term in enumerate(ids.tolist()):
                 for k, w in terms[term].items():
                     table[i, k] = w
-            self.blocks.append((ids, table, table.max(axis=1)))
-        self.pointing = np.zeros(len(self.vocab) + 1, bool)
-        self.pointing[list(point)] = True
-        self.point = {t: sorted(b) for t, b in point.items()}
-
-    def passages(self, words: list[bytes]):
-        """(first, last) word of each passage and the blocks that its words point at."""
-        get, none = self.vocab.get, len(self.vocab)
-        ids = np.fromiter((get(w, none) for w in words), np.int64, len(words))
-        at = np.flatnonzero(self.pointing[ids])
-        found: dict[int, set[int]] = {}
-        last = max(0, -(-len(words) // self.stretch) - 2)
-        for s, term in zip((at // self.stretch).tolist(), ids[at].tolist()):
-            for p in {max(0, min(s - 1, last)), min(s, last)}:
-                found.setdefault(p, set()).update(self.point[term])
-        for p, blocks in found.items():
-            a, b = p * self.stretch, (p + 2) * self.stretch
-            yield a, min(b, len(words)), np.unique(ids[a:b]), blocks
-
-    def retrieve(self, words: list[bytes]):
-        """(item number, score, first, last) of all items at or over the threshold."""
-        for a, b, ids, blocks in self.passages(words):
-            for k in blocks:
-                terms, table, top = self.blocks[k]
-                has = np.isin(terms, ids, assume_unique=True)
-                if top[has].sum() >= self.threshold - 1e-9:
-                    scores = table[has].sum(axis=0)
-                    for i in np.flatnonzero(scores >= self.threshold - 1e-9):
-                        yield k * BLOCK + int(i), float(scores[i]), a, b
-
-    def hits(self, text: str | None) -> list[tuple]:
-        """(item_id, score, question overlap, answer overlap): the best confirmed passage of each item."""
-        words = split_words(text)
-        best: dict[int, tuple] = {}
-        for item, score, a, b in self.retrieve(words):
-            key, question, answer = self.items[item]
+            self.blocks.append((ids, table))
+        self.vocab = _Vocab(vocab)
+        self.bounds = np.zeros((len(vocab) + 1, len(self.blocks)), np.float32)
+        for k, (ids, table) in enumerate(self.blocks):
+            self.bounds[ids, k] = table.max(axis=1)
+
+    def retrieve(self, docs: list[list[bytes]]):
+        """(document, item number, score, first, last word) of all items at or over the threshold in ``docs``."""
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        ids = np.fromiter(map(self.vocab.__getitem__, chain.from_iterable(docs)), np.int64, int(sizes.sum()))
+        begins = np.cumsum(sizes) - sizes
+        stretches = np.maximum(-(-sizes // self.stretch), 1)
+        bases = np.cumsum(stretches) - stretches
+        of = np.repeat(np.arange(len(docs)), sizes)
+        known = np.flatnonzero(ids < len(self.vocab))
+        if not len(known):
+            return
+        where = bases[of[known]] + (known - begins[of[known]]) // self.stretch
+        keys = np.unique(where << 32 | ids[known])
+        where, words = keys >> 32, keys & 0xFFFFFFFF
+        first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+        # one row more than there are stretches: what follows the only stretch of a document
+        sums = np.zeros((int(stretches.sum()) + 1, len(self.blocks)), np.float32)
+        sums[where[first]] = np.add.reduceat(self.bounds[words], first, axis=0)
+        count = np.maximum(stretches - 1, 1)
+        doc = np.repeat(np.arange(len(docs)), count)
+        p = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        at = bases[doc] + p
+        reach = sums[at] + sums[np.where(stretches[doc] > 1, at + 1, len(sums) - 1)] >= self.threshold - 1e-4
+        seen, own = -1, None
+        for i, k in zip(*(x.tolist() for x in np.nonzero(reach))):
+            d = int(doc[i])
+            a = int(p[i]) * self.stretch
+            b = min(a + 2 * self.stretch, int(sizes[d]))
+            if i != seen:
+                seen, own = i, np.unique(ids[begins[d] + a : begins[d] + b])
+            if self.bounds[own, k].sum() < self.threshold - 1e-4:
+                continue
+            terms, table = self.blocks[k]
+            scores = table[np.isin(terms, own, assume_unique=True)].sum(axis=0)
+            for j in np.flatnonzero(scores >= self.threshold):
+                yield d, k * BLOCK + int(j), float(scores[j]), a, b
+
+    def hits(self, texts: list[str | None]) -> list[tuple]:
+        """(text number, item_id, score, question overlap, answer overlap): the best confirmed passage of each item."""
+        out, docs, start, size = [], [], 0, 0
+        for t in texts:
+            docs.append(split_words(t))
+            size += len(docs[-1])
+            if size >= WORDS_AT_ONCE:
+                out += self._confirmed(docs, start)
+                docs, start, size = [], start + len(docs), 0
+        return out + self._confirmed(docs, start)
+
+    def _confirmed(self, docs: list[list[bytes]], start: int) -> list[tuple]:
+        best: dict[tuple, tuple] = {}
+        for d, item, score, a, b in self.retrieve(docs) if docs else ():
+            _, question, answer = self.items[item]
+            passage = docs[d][a:b]
             there: dict[int, set] = {}
             shares = []
             for part in (question, answer):
                 if part:
                     n = len(part[0])
-                    have = there.setdefault(n, {tuple(words[i : i + n]) for i in range(a, b - n + 1)})
+                    have = there.setdefault(n, {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)})
                     shares.append(sum(r in have for r in part) / len(part))
                 else:
                     shares.append(1.0)
-            if min(shares) >= self.overlap and (score, *shares) > best.get(item, (0.0,))[:4]:
-                best[item] = (score, *shares)
-        return [(self.items[i][0], *v) for i, v in sorted(best.items())]
+            if min(shares) >= self.overlap:
+                best[d, item] = max(best.get((d, item), (0.0,)), (score, *shares))
+        return [(start + d, self.items[i][0], *v) for (d, i), v in sorted(best.items())]
 
 
 def _groups(items: DataFrame, group_bytes: int, id_col: str, text_col: str):
@@ -164,16 +189,18 @@ def _groups(items: DataFrame, group_bytes: int, id_col: str, text_col: str):
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, id_col="doc_id", text_col="text",
-            item_id_col="item_id", item_text_col="text", group_bytes: int = 8 << 20) -> DataFrame:
+            item_id_col="item_id", item_text_col="text", group_bytes: int = 256 << 10) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every document and item it holds."""
     rows = docs.select(col(id_col).cast("long"), col(text_col))
     out = docs.sparkSession.createDataFrame([], HITS)
     for group, longest in _groups(items, group_bytes, item_id_col, item_text_col):
         index = Index(group, longest, threshold, overlap)
 
+        @collector_off
         def find(batches, index=index):
             for batch in batches:
-                found = [(k, *h) for k, t in zip(*(c.to_pylist() for c in batch.columns)) for h in index.hits(t)]
+                keys, texts = (c.to_pylist() for c in batch.columns)
+                found = [(keys[i], *h) for i, *h in index.hits(texts)]
                 cols = list(zip(*found)) or [[]] * 5
                 kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in HITS.split(", ")])
@@ -183,15 +210,17 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap:
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, text_col="text", item_id_col="item_id",
-          item_text_col="text", group_bytes: int = 8 << 20) -> DataFrame:
+          item_text_col="text", group_bytes: int = 256 << 10) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     at = docs.columns.index(text_col)
     for group, longest in _groups(items, group_bytes, item_id_col, item_text_col):
         index = Index(group, longest, threshold, overlap)
 
+        @collector_off
         def keep(batches, index=index):
             for batch in batches:
-                yield batch.filter(pa.array([not index.hits(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                bad = {i for i, *_ in index.hits(batch.column(at).to_pylist())}
+                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
