@@ -178,3 +178,18 @@ def short_j_position(name: Column) -> Column:
     ok = name.rlike(SHORT_J_NAME) & (hh <= 24) & (mm <= 60) & (F.abs(dec) <= 90)
     ra = F.pmod((hh + mm / 60.0) * 15.0, F.lit(360.0))
     return F.when(ok, F.struct(ra.alias("ra"), dec.alias("dec")))
+
+
+def above_southern_limit(dec: Column, limit: float = -30.0) -> Column:
+    """Can a northern survey see this declination?"""
+    return F.coalesce(dec >= limit, F.lit(False))
+
+
+def has_position(ra: Column, dec: Column) -> Column:
+    """A position of exactly (0, 0) stands for a missing one."""
+    return F.coalesce(~((ra == 0.0) & (dec == 0.0)), F.lit(False))
+
+
+def mjd_now() -> Column:
+    """The current time as MJD."""
+    return F.unix_micros(F.current_timestamp()) / F.lit(8.64e10) + F.lit(40587.0)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import BAND_COLUMN_ALTERNATIVES, FILTER_COLUMNS, by_name
 from ..session import cut_lineage
 from .skew import grouped_quantiles, join_small
 
@@ -69,3 +70,25 @@ def column_audit(df: DataFrame, col: str, expected: Sequence[str]) -> DataFrame:
     return bad.where(F.col("problem").isNotNull()).groupBy("problem", "value").agg(
         F.count("*").alias("n_rows")
     )
+
+
+def in_band(df: DataFrame, column: str = "band", pattern: str = r"2(?:\.0)?\s*-\s*20(?:\.0)?") -> DataFrame:
+    """Rows whose band label fits; the column may have one of its other names. Without any, all rows."""
+    found = column if column in df.columns else by_name(df.columns, BAND_COLUMN_ALTERNATIVES)
+    return df.where(F.coalesce(F.col(found).cast("string").rlike(pattern), F.lit(False))) if found else df
+
+
+def count_bands(tables: Sequence[DataFrame], key: str) -> DataFrame:
+    """key, n_bands: distinct filters over all tables, each under its first known filter column."""
+    parts = [t.select(key, F.col(c).cast("string").alias("_f")) for t in tables if (c := by_name(t.columns, FILTER_COLUMNS))]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.where("_f IS NOT NULL").groupBy(key).agg(F.countDistinct("_f").alias("n_bands"))
+
+
+def named_like(columns: Sequence[str], pattern: str) -> list[str]:
+    """Columns or catalog names that contain one of the words of ``pattern``, case ignored."""
+    import re
+
+    return [c for c in columns if re.search(pattern, c, re.IGNORECASE)]

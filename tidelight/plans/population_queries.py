@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import DetectorConfig, FitConfig
+from ..functions import coords
 from ..functions import photometry as ph
 from ..functions.expr import rnd
 from ..operators import bootstrap, detect, periodic, population, pulsefit
@@ -27,12 +28,14 @@ GIVEN_TABLES = [
 ]
 
 
-def outburst_report(spark, sf):
-    """The full event record: detection, false-alarm probability and recurrence."""
-    cfg = DetectorConfig()
+def outburst_report(spark, sf, cfg=DetectorConfig()):
+    """The full event record: detection, false-alarm probability unless skipped, and recurrence."""
     based = cut_lineage(based_series(spark, sf, cfg))
     events = cut_lineage(detect.detect_events(based, SRC, cfg))
-    rows = bootstrap.false_alarm(events, based, SRC, cfg)
+    if cfg.skip_fap:
+        rows = events.withColumn("fap_empirical", F.lit(None).cast("double"))
+    else:
+        rows = bootstrap.false_alarm(events, based, SRC, cfg)
     gaps = periodic.spacing(events, SRC, "mjd_start")
     repeat = based.join(gaps.select("source"), "source", "left_semi")
     period = periodic.candidate_periodic(gaps, periodic.periodogram(repeat, SRC), SRC)
@@ -54,6 +57,12 @@ def outburst_report(spark, sf):
     )
 
 
+def outburst_report_no_fap(spark, sf):
+    """The event record of a run that skips the resampling."""
+    df = outburst_report(spark, sf, DetectorConfig(skip_fap=True)).drop("fap_empirical", "period_fap")
+    return df.withColumn("source", F.col("source").cast("long"))
+
+
 def null_draws(spark, sf):
     """Per resampling draw: size and level of the null curves and their false events."""
     based = cut_lineage(based_series(spark, sf))
@@ -242,11 +251,29 @@ def column_audit(spark, sf):
 
 
 def band_filter(spark, sf):
-    """Rows whose free-text band means 2-20 keV."""
+    """Rows whose free-text band means 2-20 keV; the band stands under one of its other names."""
     li = table(spark, sf, "lineitem")
     n = F.col("l_linenumber")
     band = F.when(n == 1, "2-20 keV").when(n == 2, "2.0 - 20.0keV").when(n == 3, "4-10 keV").when(n == 4, "2-20").otherwise("10-20 keV")
-    return li.where(band.rlike(r"2(?:\.0)?\s*-\s*20(?:\.0)?")).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+    kept = population.in_band(li.select(band.alias("E_Band")))
+    return kept.groupBy(F.col("E_Band").alias("band")).agg(F.count("*").alias("n"))
+
+
+def observable(spark, sf):
+    """Positions each survey can look at: none far south for one, no missing position for the other."""
+    pos = table(spark, sf, "customer").select(
+        "c_custkey", (F.col("c_custkey") % 3 * 100.0).alias("ra"), F.when(F.col("c_custkey") % 3 == 0, 0.0).otherwise(
+            F.col("c_acctbal") / 120.0).alias("dec"))
+    return pos.select("c_custkey", coords.above_southern_limit(F.col("dec")).alias("ztf"),
+                      coords.has_position(F.col("ra"), F.col("dec")).alias("atlas"))
+
+
+def distinct_bands(spark, sf):
+    """Optical bands of each source over two tables, whatever each calls its filter column."""
+    opt = optical(spark, sf).select("source", "filtercode", F.lit(1).alias("x"))
+    other = lightcurve(spark, sf).where("band = 'signup'").select(
+        "source", F.when(F.col("row_id") % 2 == 0, "o").otherwise("c").alias("F"), F.lit("y").alias("filter_id"))
+    return population.count_bands([opt, other], "source")
 
 
 # --------------------------------------------------------------------- tiers and ingest
@@ -464,9 +491,9 @@ def top_series(spark, sf):
 QUERIES = {
     f.__name__.lstrip("_"): f
     for f in [
-        outburst_report, null_draws, lomb_scargle, recurrence_cv, candidate_periodic, daily_tail_probability,
+        outburst_report, outburst_report_no_fap, null_draws, lomb_scargle, recurrence_cv, candidate_periodic, daily_tail_probability,
         pulse_fit, pulse_model, cumulative_trapezoid_t90, boxcar_smooth, histogram_bins, parameter_histogram,
-        class_label_sets, column_audit, band_filter, tier_counts, band_conditional_stats, optical_bands, key_audit,
+        class_label_sets, column_audit, band_filter, observable, distinct_bands, tier_counts, band_conditional_stats, optical_bands, key_audit,
         existing_only, pending_work, first_available, sentinel_clean, whitespace_table, pipe_table,
         chunked_union_distinct, stored_spans, span_upsert, qualified_outbursts, mjd_datetime, largest_table, top_series,
     ]
@@ -535,7 +562,18 @@ tiers AS (SELECT source_id, CASE WHEN maxi_rows > 0 AND ztf_rows + atlas_rows >
          maxi_rows > 0 AS has_maxi, swift_rows > 0 AS has_swift, ztf_rows > 0 AS has_ztf, atlas_rows > 0 AS has_atlas,
          n_xray_bands, n_optical_bands, maxi_rows, swift_rows, ztf_rows, atlas_rows FROM tj)"""
 
+EVENT_GAPS = GAPS.replace(GAPS[GAPS.index("st AS"):GAPS.index("gp AS")], "st AS (SELECT source, mjd_start AS t FROM e),\n")
+
 ORACLE = {
+    "outburst_report_no_fap": with_(LC, S, SG, q.based("b", "sg", "source"), q.events_of("e", "b", "source"), LS, EVENT_GAPS) + """
+SELECT e.source, 's' || e.source AS file_stem, 'maxi' AS instrument, '2-20keV' AS band, outburst_id, round(mjd_start, 4) + 0.0 AS mjd_start,
+  round(mjd_end, 4) + 0.0 AS mjd_end, round(duration_days, 4) + 0.0 AS duration_days, n_points, round(peak_value, 6) + 0.0 AS peak_value,
+  round(peak_mjd, 4) + 0.0 AS peak_mjd, round(baseline_value, 6) + 0.0 AS baseline_value,
+  round(significance_sigma, 2) + 0.0 AS significance_sigma,
+  coalesce(coalesce(cv < 0.3, false) OR coalesce(fap < 0.05 AND abs(best_period - mg) / mg < 0.25, false), false) AS candidate_periodic,
+  CASE WHEN sp.source IS NOT NULL THEN nullif(round(best_period, 3) + 0.0, 0) END AS best_period_days,
+  nullif(round(cv, 3) + 0.0, 0) AS spacing_cv
+FROM e LEFT JOIN sp USING (source) LEFT JOIN per ON per.source = sp.source""",
     "lomb_scargle": with_(LC, S, LS) + """
 SELECT source, round(best_period, 3) + 0.0 AS best_period, round(power, 6) + 0.0 AS power, round(fap, 5) + 0.0 AS fap FROM per""",
     "recurrence_cv": with_(LC, GAPS) + """
@@ -610,6 +648,12 @@ WHERE c_custkey % 17 <> 0 AND c_custkey % 13 <> 0 AND c_acctbal > -900 GROUP BY
 SELECT CAST(floor(mjd) AS BIGINT) AS day, count(*) AS n, round(sum(val), 4) + 0.0 AS total FROM lc
 WHERE row_id % 19 <> 0 AND row_id % 23 <> 0 AND row_id % 29 <> 0 AND row_id % 31 <> 0 AND floor(mjd) >= 60315 GROUP BY 1""",
     "pipe_table": "SELECT user_id AS source, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events WHERE event_id % 10 <> 0 GROUP BY 1",
+    "observable": """
+SELECT c_custkey, dec >= -30.0 AS ztf, NOT (ra = 0.0 AND dec = 0.0) AS atlas FROM (
+  SELECT c_custkey, c_custkey % 3 * 100.0 AS ra, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal / 120.0 END AS dec FROM customer)""",
+    "distinct_bands": with_(LC, OPT) + """
+SELECT source, count(DISTINCT f) AS n_bands FROM (SELECT source, filtercode AS f FROM opt
+  UNION ALL SELECT source, CASE WHEN row_id % 2 = 0 THEN 'o' ELSE 'c' END FROM lc WHERE band = 'signup') GROUP BY source""",
     "chunked_union_distinct": with_(
         LC, "h AS (SELECT source, floor(mjd * 2) / 2 AS mjd, band FROM lc)",
         "lim AS (SELECT floor(min(mjd)) AS a, max(mjd) AS z FROM h)",

@@ -17,6 +17,9 @@ MAG_KEYWORDS = {
     "filter": ["filter", "fid", "band", "flt", "passband", "f"],
 }
 BAND_COLUMN_ALTERNATIVES = ["energy_band", "e_band", "passband"]
+FILTER_COLUMNS = ["filtercode", "filt", "filter", "band", "F"]
+MISSION_NAMES = "xmm|csc|swift|chandra"
+FLUX_NAMES = "flux|rate"
 # ----------------------
 
 

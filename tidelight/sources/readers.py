@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import photometry as ph
+from ..functions.coords import DEC_COLUMNS, RA_COLUMNS, with_position
 from ..functions.expr import no_nan
 from ..functions.names import canonical_key, class_label, parse_curve_file
 from ..operators.rebin import dedupe_exact, rebin_series
@@ -191,3 +192,17 @@ def union_files(spark: SparkSession, master: str, fallback_glob: str) -> DataFra
             raise
         df = read_headed(spark, fallback_glob)
     return df.drop(FILE, PATH, ORDER)
+
+
+def load_catalog(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Catalog tables under any of the known position columns: ra and dec in degrees, decimal or
+    sexagesimal, before all other columns as text. Rows without a position drop out."""
+    def pick(df: DataFrame) -> DataFrame | None:
+        ra, dec = by_name(df.columns, RA_COLUMNS), by_name(df.columns, DEC_COLUMNS)
+        if ra is None or dec is None:
+            return None
+        rest = [F.col(f"`{c}`") for c in df.columns if c not in (ra, dec, FILE, PATH, ORDER)]
+        df = df.select(F.col(f"`{ra}`").alias("_ra_text"), F.col(f"`{dec}`").alias("_dec_text"), *rest)
+        return with_position(df, "_ra_text", "_dec_text").drop("_ra_text", "_dec_text")
+
+    return read_headed(spark, path, pick, glob).where("ra IS NOT NULL AND dec IS NOT NULL")

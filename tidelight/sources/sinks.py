@@ -24,11 +24,14 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode:
     out.write.mode(mode).option("header", True).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition: list[str] | None = None, mode: str = "overwrite") -> None:
-    writer = df.write.mode(mode)
-    if partition:
-        writer = writer.partitionBy(*partition)
-    writer.parquet(path)
+def write_outbursts(df: DataFrame, path: str) -> None:
+    """Event records in their file order of columns."""
+    write_csv(df, path, OUTBURST_COLUMNS)
+
+
+def write_review(df: DataFrame, path: str) -> None:
+    """Parsed names for review."""
+    write_csv(df, path, REVIEW_COLUMNS)
 
 
 def write_log(df: DataFrame, path: str) -> None:

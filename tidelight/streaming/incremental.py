@@ -25,12 +25,6 @@ def pending(
     return wanted.join(finished.distinct(), list(keys), "left_anti")
 
 
-def with_status(rows: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Status table: one row per wanted key, ``ok`` where data came back, else ``empty``."""
-    out = rows.select(*keys).distinct().join(counts, list(keys), "left")
-    return out.withColumn("status", F.when(F.coalesce("n_rows", F.lit(0)) > 0, "ok").otherwise("empty"))
-
-
 def append_new_files(
     spark: SparkSession,
     in_dir: str,
