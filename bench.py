@@ -20,7 +20,7 @@ HEADLINE = [
     "cone_nearest", "cone_best_catalog", "cone_archives", "positional_dedup", "classify_sources",
     "parse_name", "canonical_key", "name_variants", "html_links", "first_wins_dedup", "histogram_bins",
     "class_label_sets", "tier_summary", "band_conditional_stats", "chunked_union_distinct", "stored_spans",
-    "whitespace_table",
+    "whitespace_table", "event_simulation", "event_fit", "hardness_series", "four_panels",
 ]
 
 

@@ -213,7 +213,7 @@ def forward_sim_tapered(spark, sf):
     clean = ph.snr_weight(snr, cfg.snr_floor, cfg.taper_width) * F.greatest("xf", F.lit(0.0))
     return df.select(
         "source", "outburst_idx", "row_id", timejoin.phase(F.col("mjd"), F.col("peak_mjd")).alias("phase"),
-        rnd(ph.reprocessed(clean, F.col("beta")) * 1e4, 8).alias("shape_e4"),
+        rnd(ph.reprocessed(clean, F.col("beta")) * 1e4, 4).alias("shape_e4"),
     )
 
 
@@ -449,7 +449,7 @@ SELECT source, outburst_idx, row_id, CASE WHEN mjd <= peak_mjd THEN 'rise' ELSE
 FROM xc LEFT JOIN fit ON fit.cls = xc.cls""",
     "forward_sim_tapered": with_(*BASE, phase_ctes("<="), CLS, CLASSED, FIXED, XCLASSED) + """
 SELECT source, outburst_idx, row_id, CASE WHEN mjd <= peak_mjd THEN 'rise' ELSE 'decay' END AS phase,
-       round(pow(greatest(xf, 0.0) / (1.0 + exp(-(xf / greatest(xe, 1e-30) - 3.0) / 1.5)), coalesce(beta, 0.5)) * 1e4, 8) + 0.0 AS shape_e4
+       round(pow(greatest(xf, 0.0) / (1.0 + exp(-(xf / greatest(xe, 1e-30) - 3.0) / 1.5)), coalesce(beta, 0.5)) * 1e4, 4) + 0.0 AS shape_e4
 FROM xc LEFT JOIN (SELECT * FROM fa WHERE cls <> 'UNKNOWN') fa ON fa.cls = xc.cls""",
     "hardness_ratio": with_(LC, MULTI, HARD) + f"""
 SELECT source, {r('mjd', 1, 'mjd')}, {r('hr_x', 6, 'hr_x')}, {r('hr_x_err', 6, 'hr_x_err')},
