@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, linequality, mixing, neardup, ranker, substrings, tokenfiles, urlfilter
+from . import chunks, decontaminate, licenses, linequality, mixing, neardup, ranker, substrings, tokenfiles, urlfilter
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in repeated content-defined chunks, and in those removed as later copies."""
+    return chunks.dedup_chunks(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the URL of every page; listed are the canonical URLs that several pages share."""
     pages = table(spark, sf_dir, "pages")
@@ -70,6 +75,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_chunk_dedup": op4_chunk_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_line_quality": op6_line_quality,
     "op7_quality_ranker": op7_quality_ranker,
