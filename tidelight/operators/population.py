@@ -21,7 +21,8 @@ def equal_width_histogram(
     the median is taken skew-safe. Empty bins are present with zero.
     """
     vals = df.select(F.col(group).alias("grp"), F.col(value).alias("v"), F.col(source).alias("src"))
-    vals = vals.where(F.col("grp").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
+    # read by every count below
+    vals = cut_lineage(vals.where(F.col("grp").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v")))
     seen = vals.groupBy("grp").agg(F.countDistinct("src").alias("n_sources"))
     vals = vals.where(F.abs("v") < float("inf"))
     stats = vals.groupBy("grp").agg(

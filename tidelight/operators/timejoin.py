@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
 from .skew import join_small
 
 
@@ -52,7 +53,8 @@ def nearest_in_time(
         *keys, "mjd", slice_.alias("_s"), F.lit(1).alias("_k"),
         F.lit(None).alias("_r"), F.struct(*left.columns).alias("_l"),
     )
-    rows = lefts.unionByName(rights)
+    # read by the summary and by the stream
+    rows = cut_lineage(lefts.unionByName(rights))
 
     right_time = F.when(F.col("_k") == 0, F.col("mjd"))
     summary = rows.groupBy(*keys, "_s").agg(
