@@ -213,14 +213,16 @@ def _across(members: DataFrame, roots: DataFrame, docs: DataFrame, classes: Data
     mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     rows = stage(rows.join(mixed, "key", "left_semi"))
     shared = _shared(docs, classes, stage(rows.select("c").distinct()), words)
-    rows = stage(rows.join(shared, "c").where(100 * F.col("s") >= percent * F.col("n")))
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("rows"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("t")).select("key", F.col("t.root").alias("top"))
-    rows = rows.join(top, "key")
-    few = rows.where("root != top").select(
-        "key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("s").alias("sa"))
-    all_ = rows.select("key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("s").alias("sb"),
-                       (F.col("root") != F.col("top")).alias("fb"))
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("rows"), F.min("n").alias("n"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("t"), F.min("n").alias("least"))
+    # a member outside the largest component goes on if the smallest set of its bucket could be similar to it
+    few = rows.join(top.select("key", F.col("t.root").alias("top"), "least"), "key").where("root != top")
+    few = few.join(shared, "c").where((100 * F.col("s") >= percent * F.col("n")) & (
+        (100 + percent) * F.col("s") >= percent * (F.col("n") + F.col("least"))))
+    few = stage(few.select("key", "top", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("s").alias("sa")))
+    all_ = rows.join(few.select("key", "top").distinct(), "key").join(shared.withColumnRenamed("s", "sb"), "c").select(
+        "key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "sb", (F.col("root") != F.col("top")).alias("fb"))
+    few = few.drop("top")
     met = few.join(all_, "key").where("ra != rb AND (NOT fb OR a < b)").where(
         (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb")))
     return met.select("a", "na", "b", "nb")
