@@ -67,13 +67,17 @@ def arrow_map(df: DataFrame, fn: Callable[[list[list]], Iterator[dict] | dict],
     return df.mapInArrow(run, schema)
 
 
-def collector_off(kernel):
+def collector_off(kernel, keep_values: bool = False):
     """Run a kernel without the cyclic garbage collector, which would walk its large tables of
-    words again and again; what it makes has no cycles."""
+    words again and again; what it makes has no cycles. Values that a worker keeps for another
+    kernel are let go, unless this one uses them."""
 
     def run(batches):
         import gc
+        import sys
 
+        if not keep_values and "_tidelight_worker" in sys.modules:
+            sys.modules.pop("_tidelight_worker").__dict__.clear()
         gc.disable()
         try:
             yield from kernel(batches)

@@ -39,6 +39,7 @@ TRAILER = np.dtype([("docs", "<u8"), ("nulls", "<u8"), ("ids", "<u8"), ("ends_at
 SELECT_STEP = 256
 CACHE_WORDS = 450_000
 TEXTS_AT_ONCE = 1000
+LINES_AT_ONCE = 20_000
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
@@ -197,10 +198,11 @@ class Encoder:
         words.new = []
         grown = np.zeros(number - len(self.starts), np.int64)
         self.starts, self.sizes, self.uses = (np.concatenate([x, grown]) for x in (self.starts, self.sizes, self.uses))
-        if lines:
-            ids = self._plain(["\n".join(t for _, t in lines)])[0]
+        for at in range(0, len(lines), LINES_AT_ONCE):
+            part = lines[at : at + LINES_AT_ONCE]
+            ids = self._plain(["\n".join(t for _, t in part)])[0]
             ends = np.flatnonzero(np.append(ids, self.line_end) == self.line_end[0])
-            self._add([k for k, _ in lines], ids[ids != self.line_end[0]], np.diff(ends, prepend=-1) - 1)
+            self._add([k for k, _ in part], ids[ids != self.line_end[0]], np.diff(ends, prepend=-1) - 1)
         if odd:
             got = self._plain([t for _, t in odd])
             self._add([k for k, _ in odd], np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)))
@@ -262,7 +264,6 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc
     n = max(1, -(-size // shard_bytes), partitions(spark) if size > shard_bytes // 8 else 1)
     dealt = rows.repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
 
-    @collector_off
     def write(batches):
         from pyspark import TaskContext
 
@@ -308,7 +309,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc
                                pa.array([len(keys)], pa.int64()), pa.array([total], pa.int64())],
                               names=["shard", "path", "n_docs", "n_tokens"])
 
-    dealt.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    dealt.mapInArrow(collector_off(write, keep_values=True), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
