@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 
 
+#: Most bytes of a batch that goes to a Python kernel, so that long texts do not add up.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit the batches of this session's Python kernels by bytes, where Spark's default holds."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+    if spark.conf.get(name, "").rstrip("b") == default:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here,
     and a lost executor costs nothing that is already written."""
+    bounded_batches(df.sparkSession)
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
