@@ -20,7 +20,7 @@ BATCH_BYTES = 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Limit the batches of this session's Python kernels by bytes, where Spark's default holds."""
     name, default = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
-    if spark.conf.get(name, "").rstrip("b") == default:
+    if spark.conf.get(name).rstrip("b") == default:
         spark.conf.set(name, BATCH_BYTES)
 
 
