@@ -8,8 +8,8 @@ leading zeros and 10 mantissa bits, 16 bits in all. An empty bucket borrows from
 one in a fixed random order. Bands of four registers are the join keys: a pair at 0.8 misses all
 32 bands with odds of about 5e-8.
 
-Links: in each band bucket every class is paired with one class of the bucket, its hub, drawn by
-a hash of band and class, so that the bands of a large group have different hubs. Pairs whose
+Links: in each band bucket every class is paired with one class of the bucket, its hub: the one
+whose buckets hold most classes in all, which is one in the middle of its group. Pairs whose
 sizes or whose collision-corrected estimate rule out the threshold by far (see ``MARGIN``) are
 dropped, the rest compared on full sets. Confirmed links make components. Only where a bucket
 then still holds several components are pairs across them compared: each member outside the
@@ -17,8 +17,8 @@ bucket's largest component with the members of the others. Pairs inside a compon
 made, so a group of n copies costs n comparisons in a bucket, and no link that joins two
 components is lost.
 
-Sets move to their hub, salted for hubs with many members; a task holds one hub's set and reads
-the members' one after another.
+Sets of hubs meet in blocks of about 64, salted for blocks with many pairs; a task holds a
+block's sets and reads the members' one after another, each sent once for a block and not once for a hub.
 
 Defined cases: a text of one word is one shingle; a null text or one without words has an empty
 set, is linked with nothing and its own component; rows of equal ids are separate rows, a
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col, join_counted, partitions, stage
+from .common import arrow_map, col, collector_off, join_counted, partitions, stage
 from .components import components
 
 REGISTERS, MANTISSA, BAND = 128, 10, 4
@@ -45,7 +45,8 @@ REGISTERS, MANTISSA, BAND = 128, 10, 4
 MARGIN = 0.3
 #: Odds that registers of different minima agree: leading zeros alike (1/3), then the mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
-HUB_SHARE = 256
+HUBS_PER_BLOCK = 64
+PAIRS_PER_TASK = 1 << 14
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _rng = np.random.default_rng(2024)
@@ -133,9 +134,12 @@ def buckets(classes: DataFrame) -> DataFrame:
     width = 2 * BAND
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + width * i, width)) for i in range(REGISTERS // BAND)])
     rows = classes.select("c", "n", F.explode(bands).alias("key"))
-    drawn = F.min(F.struct(F.xxhash64("key", "c").alias("order"), "c"))["c"]
-    hubs = rows.groupBy("key").agg(F.count("*").alias("rows"), drawn.alias("hub")).where("rows > 1").drop("rows")
-    return stage(rows.join(hubs, "key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = stage(rows.join(sizes, "key"))
+    reach = shared.groupBy("c").agg(F.sum("rows").alias("reach"))
+    best = F.max(F.struct("reach", F.xxhash64("key", "c").alias("order"), "c"))["c"]
+    hubs = shared.join(reach, "c").groupBy("key").agg(best.alias("hub"))
+    return stage(shared.drop("rows").join(hubs, "key"))
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -180,30 +184,37 @@ def _shared(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int)
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (member a, hub b) whose full sets are similar, written."""
-    per_hub = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(HUB_SHARE)).alias("salts"))
-    salted = pairs.join(per_hub, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
-    members = salted.select(F.col("a").alias("c"), F.col("b").alias("hub"), "salt", F.lit(1).alias("role"))
-    hubs = salted.select(F.col("b").alias("c"), F.col("b").alias("hub"), "salt", F.lit(0).alias("role")).distinct()
+    blocks = max(1, -(-pairs.select("b").distinct().count() // HUBS_PER_BLOCK))
+    blocked = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)))
+    per_block = blocked.groupBy("block").agg(F.ceil(F.count("*") / F.lit(PAIRS_PER_TASK)).alias("salts"))
+    salted = blocked.join(per_block, "block").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+    members = salted.groupBy("block", "salt", F.col("a").alias("c")).agg(F.collect_set("b").alias("hubs"))  # hubs of one block
+    members = members.select("c", "block", "salt", F.lit(1).alias("role"), "hubs")
+    hubs = salted.select(F.col("b").alias("c"), "block", "salt").distinct().select(
+        "c", "block", "salt", F.lit(0).alias("role"), F.array().cast("array<binary>").alias("hubs"))
     sends = stage(members.unionByName(hubs))
     sent = join_counted(_sets(docs, classes, sends.select("c").distinct(), words, "binary"), sends, ["c"])
-    dealt = sent.repartition(partitions(docs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "role")
+    dealt = sent.repartition(partitions(docs.sparkSession), "block", "salt").sortWithinPartitions("block", "salt", "role")
 
+    @collector_off
     def compare(batches):
-        hub, own = None, None
+        at, own = None, {}
         for batch in batches:
             a, b = [], []
-            for c, items, h, salt, role in zip(*(x.to_pylist() for x in batch.columns)):
+            for c, items, block, salt, role, wanted in zip(*(x.to_pylist() for x in batch.columns)):
                 values = np.frombuffer(items, np.uint64)
+                if at != (block, salt):
+                    at, own = (block, salt), {}
                 if role == 0:
-                    hub, own = (h, salt), values
-                elif hub != (h, salt):
-                    raise ValueError("a member came without its hub")
-                elif similar(values, own, percent):
-                    a.append(c)
-                    b.append(h)
+                    own[c] = values
+                    continue
+                for hub in wanted:
+                    if similar(values, own[hub], percent):
+                        a.append(c)
+                        b.append(hub)
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return stage(dealt.select("c", "items", "hub", "salt", "role").mapInArrow(compare, "a binary, b binary").distinct())
+    return stage(dealt.select("c", "items", "block", "salt", "role", "hubs").mapInArrow(compare, "a binary, b binary").distinct())
 
 
 def _across(members: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
