@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import collector_off, col, stage
-from .substrings import _join_sized, _key, merge
+from .substrings import _key, merge
 
 WIDTH = 16
 REACH = 32
@@ -116,8 +116,8 @@ def dedup_chunks(docs: DataFrame, reach: int = REACH, id_col="doc_id", text_col=
     rows = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), col(text_col).alias("text"),
                        col(id_col).cast("long").alias("doc_id"))
     spans = repeated_chunks(rows.select("doc", "text"), reach)
-    per = stage(spans.groupBy("doc").agg(F.collect_set(F.struct("key", "a", "b", "first")).alias("spans")))  # of one document
-    joined = _join_sized(rows, per, "spans", "left").select("doc_id", "text", "spans")
+    per = spans.groupBy("doc").agg(F.collect_set(F.struct("key", "a", "b", "first")).alias("spans"))  # of one document
+    joined = rows.join(per, "doc", "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_bytes", "n_repeated", "n_removed", "n_spans", "kept_sha256", "kept"]
     kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
 

@@ -17,8 +17,7 @@ contexts is split without loss: a window that holds the anchor also holds half o
 to its right, so the group is divided by the anchor extended to the left and, once more, by the
 anchor extended to the right, until groups are small or the extended anchor is a whole window.
 
-Text moves only to where few requests are wanted: requests and spans of a document are joined to it, by a
-broadcast below a counted size. Documents are known by id and hash of the text, so rows that
+Requests and spans of a document are joined to its text, alike at every size. Documents are known by id and hash of the text, so rows that
 agree in both are copies of each other, and both are repeated.
 
 Defined cases: a null or empty text has 0 bytes and no spans; a text shorter than ``length`` keeps all its
@@ -43,7 +42,6 @@ ANCHOR = 64
 CHUNK = 1 << 20
 GROUP_LIMIT = 2000
 SHARD_BYTES = 2 << 20
-BROADCAST_ITEMS = 1_000_000
 _MULT = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(64).integers(1, 2**64, 256, dtype=np.uint64)
 _LOW = np.uint64((1 << 24) - 1)
@@ -127,16 +125,10 @@ def _high(c="loc"):
     return F.shiftright(c, 32) + F.col(c).bitwiseAND(F.lit(0xFFFF))
 
 
-def _join_sized(docs: DataFrame, per_doc: DataFrame, items: str, how: str) -> DataFrame:
-    """Documents with a written table of arrays for each; broadcast while those have few items in all."""
-    n = per_doc.agg(F.sum(F.size(items))).first()[0] or 0
-    return docs.join(F.broadcast(per_doc) if n <= BROADCAST_ITEMS else per_doc, ["doc"], how)
-
-
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """anchor, n, doc, key, start, at, bytes of the wanted contexts (anchor, n, doc, key, loc), written."""
     asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "loc", "anchor", "n")).alias("asked"))
-    met = _join_sized(docs, stage(asked), "asked", "inner").select("doc", "text", "asked")
+    met = docs.join(asked, "doc").select("doc", "text", "asked")
     names = ["anchor", "n", "doc", "key", "start", "at", "bytes"]
 
     @collector_off
@@ -329,8 +321,8 @@ def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, limit:
     rows = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(none)).alias("doc"), col(text_col).alias("text"),
                        col(id_col).cast("long").alias("doc_id"))
     spans = repeated_spans(rows.select("doc", "text"), length, limit)
-    per = stage(spans.groupBy("doc").agg(F.collect_set(F.struct("key", "a", "b")).alias("spans")))  # of one document
-    return _join_sized(rows, per, "spans", "left").select("doc_id", "text", "spans")
+    per = spans.groupBy("doc").agg(F.collect_set(F.struct("key", "a", "b")).alias("spans"))  # of one document
+    return rows.join(per, "doc", "left").select("doc_id", "text", "spans")
 
 
 def _own_spans(raw: bytes, spans) -> list[tuple[int, int]]:
