@@ -57,3 +57,13 @@ def test_strip_lines(make_docs):
     rows = [(i, f"MENU  one\nbody {i} here", "a") for i in range(40)] + [(99, None, None)]
     got = dict(map(tuple, L.strip_lines(make_docs(rows)).collect()))
     assert got[3] == "body 3 here" and got[99] is None
+
+
+def test_limit_of_hosts_of_very_different_size(spark):
+    # (texts of the host, texts with the line, boilerplate)
+    cases = [(19, 19, False), (50, 19, False), (50, 20, True), (200, 20, False), (200, 21, True), (5000, 500, False), (5000, 501, True),
+             (30_000, 1000, False), (30_000, 1001, True), (30_000, 2700, True)]
+    parts = [f"SELECT 'h{k}' AS host, id AS digest, CASE WHEN id < {n} THEN array(7L, 100 + id) ELSE array(100 + id) END AS lines FROM range({size})"
+             for k, (size, n, _) in enumerate(cases)]
+    got = {tuple(r) for r in L.frequent_lines(spark.sql(" UNION ALL ".join(parts))).collect()}
+    assert got == {(f"h{k}", 7) for k, (_, _, yes) in enumerate(cases) if yes}

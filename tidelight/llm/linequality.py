@@ -3,8 +3,13 @@
 Rules on one text: number of words, words inside repeated three-word windows, repeated lines.
 Rules across documents: a line is normalised (A-Z lowered, white space folded) and hashed; for
 each host the distinct texts that hold it are counted. A line is boilerplate where it stands in
-at least ``min_texts`` distinct texts of a host and in more than ``share`` of them. Exact copies
-count once: they are the business of deduplication. A document is depleted, and rejected, if
+at least ``min_texts`` distinct texts of a host and in more than ``share`` of them or more than
+``most_texts``, whichever is less. So the limit is ``min_texts`` for hosts of few texts, where a
+share of them is a handful and chance, and does not grow beyond ``most_texts``: what a host says
+word for word in over a thousand texts is its template, however many more texts it has. The SQL
+below states the first two limits only; both agree while no line stands in more than
+``most_texts`` texts of a host. Exact copies count once: they are the business of deduplication.
+Near copies are texts of their own, so their common lines count once for each. A document is depleted, and rejected, if
 lines were taken out and fewer than ``min_words`` words or less than ``min_left`` of them remain.
 
 Texts are read once, by a kernel that returns figures and line hashes; counting and joining work
@@ -40,6 +45,7 @@ class Limits:
     max_repeat_percent: int = 50
     min_texts: int = 20
     share: float = 0.1
+    most_texts: int = 1000
     min_left: float = 0.3
 
 
@@ -117,7 +123,8 @@ def frequent_lines(feats: DataFrame, limits: Limits = Limits()) -> DataFrame:
     lines = feats.select("host", "digest", F.explode("lines").alias("line")).distinct()
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= limits.min_texts)
     joined = join_small(counts, texts, ["host"])
-    return joined.where(F.col("n") > limits.share * F.col("n_texts")).select("host", "line")
+    most = F.least(limits.share * F.col("n_texts"), F.lit(float(limits.most_texts)))
+    return joined.where(F.col("n") > most).select("host", "line")
 
 
 def judge(feats: DataFrame, limits: Limits = Limits()) -> DataFrame:
