@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +43,16 @@ def test_cases(spark, make_docs):
     none = ranker.score(docs, labels.where(F.lit(False))).collect()
     assert {r.predicted for r in none} == {1} and all(r.score == pytest.approx(0.3) for r in none)
     assert ranker.score(make_docs([]), labels).collect() == []
+
+
+def test_threshold_covers_all_labelled_rows(spark, make_docs):
+    rows = [(i, f"Some words, number {i}. " * (1 + i % 7) + "BAD!! " * (i * i % 11)) for i in range(300)]
+    labels = [(i, int(i * i % 11 < 3), 0) for i in range(300)]
+    docs, known = make_docs(rows), spark.createDataFrame(labels, LABEL)
+    weights, at = ranker.fit(ranker.features(docs), known, max_rows=40)
+    used = [(sum(x * w for x, w in zip(ranker.text_features(t), weights)), y) for (i, t), (_, y, _) in zip(rows, labels)
+            if zlib.crc32(str(i).encode()) % 5]
+    want = np.quantile([s for s, _ in used], sum(1 - y for _, y in used) / len(used))
+    assert len(used) > 200 and at == pytest.approx(want, abs=1e-9)
+    every = ranker.training_rows(ranker.features(docs), known)
+    assert ranker.threshold(every, weights, hot_rows=20) == pytest.approx(want, abs=1e-9)

@@ -3,16 +3,18 @@
 A document's strength is linear in its features; that a document of label 1 beats one of label 0
 is a logistic loss on the difference of their features, without an intercept. Features are
 shares and logarithms of counts in the text alone (letters, cases, marks, repeats, lines), never
-labels, language, source or id. The threshold is a quantile of the strengths of the training
-rows, at the share of label 0 among them; scores are shifted so that it scores ``cut``.
+labels, language, source or id. The threshold is an exact quantile of the strengths of all
+labelled rows that are not held out, at the share of label 0 among them; scores are shifted so
+that it scores ``cut``.
 
 Features of all documents are computed in one pass and written; labels join those. The fit uses
 at most ``max_rows`` labelled rows, those of the lowest hash of id, each paired with
-``pairs`` rows of the other label; it runs as a Spark ML job. All rows are scored by column
-arithmetic on their features.
+``pairs`` rows of the other label; it runs as a Spark ML job. Only the fit is bounded so: class
+share and threshold come from all labelled rows, at any size; the quantile of many rows is found
+by narrowing a bracket. All rows are scored by column arithmetic on their features.
 
 Defined cases: a null or empty text has features of 0 and a score; rows without a label, with a
-null one or with conflicting ones do not train; without both labels all strengths are 0 and all
+null one or with conflicting ones do not train; without both labels in the fit all strengths are 0 and all
 scores ``cut``; equal ids and repeated rows each get their row; a null id is not held out;
 empty tables give no rows; other columns are not read.
 """
@@ -30,10 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.skew import grouped_quantiles
 from .common import arrow_map, col, stage
 
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 N_FEATURES = 16 + len(MARKS)
+#: Rows up to which one task finds the quantile of all strengths.
+QUANTILE_ROWS = 50_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -68,12 +73,12 @@ def features(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return stage(made)
 
 
-def training_rows(feats: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """f, y, h of at most ``max_rows`` rows that are not held out."""
+def training_rows(feats: DataFrame, labels: DataFrame) -> DataFrame:
+    """f, y, h of all labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").alias("k"), F.col("quality").alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top")
     rows = feats.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("k"))
-    return rows.select("f", "y", F.xxhash64("doc_id", "f").alias("h")).orderBy("h").limit(max_rows)
+    return rows.select("f", "y", F.xxhash64("doc_id", "f").alias("h"))
 
 
 def held_out(key):
@@ -82,7 +87,8 @@ def held_out(key):
 
 def fit(feats: DataFrame, labels: DataFrame, max_rows: int = 20_000, pairs: int = 4) -> tuple[list[float], float]:
     """Weights on raw features and the strength at the threshold."""
-    rows = stage(training_rows(feats, labels, max_rows))
+    every = stage(training_rows(feats, labels))
+    rows = stage(every.orderBy("h").limit(max_rows))
     counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(counts) < 2:
         return [0.0] * N_FEATURES, 0.0
@@ -103,8 +109,14 @@ def fit(feats: DataFrame, labels: DataFrame, max_rows: int = 20_000, pairs: int
     train = stage(met.select(array_to_vector(diff).alias("features"), flip.alias("label")))
     model = LogisticRegression(fitIntercept=False, standardization=False, regParam=1e-4, maxIter=60).fit(train)
     weights = [float(w) / s if s else 0.0 for w, s in zip(model.coefficients.toArray(), scale)]
-    share = n_bad / (n_good + n_bad)
-    return weights, rows.agg(F.percentile(strength(F.col("f"), weights), F.lit(share))).first()[0]
+    return weights, threshold(every, weights)
+
+
+def threshold(rows: DataFrame, weights: list[float], hot_rows: int = QUANTILE_ROWS) -> float:
+    """The quantile of all strengths at the share of label 0; above ``hot_rows`` rows by narrowing."""
+    values = stage(rows.select(F.lit(0).alias("k"), "y", strength(F.col("f"), weights).alias("v")))
+    share = values.agg(F.avg(1 - F.col("y"))).first()[0]
+    return grouped_quantiles(values, ["k"], "v", {"at": share}, hot_rows).first().at
 
 
 def strength(f, weights):
@@ -114,8 +126,8 @@ def strength(f, weights):
 def score(docs: DataFrame, labels: DataFrame, cut: float = 0.3, max_rows: int = 20_000, pairs: int = 4, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
     feats = features(docs, id_col, text_col)
-    weights, threshold = fit(feats, labels, max_rows, pairs)
-    shifted = strength(F.col("f"), weights) - F.lit(threshold) + F.lit(math.log(cut / (1 - cut)))
+    weights, at = fit(feats, labels, max_rows, pairs)
+    shifted = strength(F.col("f"), weights) - F.lit(at) + F.lit(math.log(cut / (1 - cut)))
     value = 1 / (1 + F.exp(-shifted))
     return feats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), value.alias("score")).withColumn(
         "predicted", (F.col("score") >= cut).cast("int"))
