@@ -85,3 +85,25 @@ def test_empty(spark, make_docs):
     assert D.matches(make_docs([(1, "a")]), none).collect() == [] and D.clean(make_docs([(1, "a")]), none).count() == 1
     some = spark.createDataFrame([(1, "a b", "x")], ITEM)
     assert D.matches(make_docs([]), some).collect() == [] and D.clean(make_docs([]), some).count() == 0
+
+
+def test_one_word_changed(spark, make_docs):
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in (16, 35, 59)]
+
+    def changed(n, at):
+        words = items[[k for k, _ in items].index(n)][1].split()
+        words[at] = "other"
+        return " ".join(["before", *words, "after"])
+
+    # in the last quarter of a long item; at either end and at the border of the last quarter of a short one
+    rows = [(k, changed(59, 45 + k)) for k in range(14)] + [(20, changed(35, 30)), (21, changed(16, 15)), (22, changed(16, 11))]
+    rows += [(30, changed(16, 7)), (31, "before " + " ".join(items[2][1].split()[:45]) + " after")]
+    found = {r.doc_id for r in D.matches(make_docs(rows), spark.createDataFrame([(*i, "x") for i in items], ITEM)).collect()}
+    assert found == set(range(14)) | {20, 21, 22}
+
+
+def test_marked_answer_is_asked_for(spark, make_docs):
+    item = "What " + " ".join(f"q{j}" for j in range(60)) + "? forty two"
+    rows = [(1, item), (2, item.replace("forty two", "forty three"))]
+    found = D.matches(make_docs(rows), spark.createDataFrame([(1, item, "x")], ITEM)).collect()
+    assert [r.doc_id for r in found] == [1]

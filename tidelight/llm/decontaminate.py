@@ -12,7 +12,10 @@ at again with the passage's own words, then scored item by item. All items at or
 
 Check: of the five-word runs of the item's question, and of those of its answer, a share of
 ``overlap`` at least must stand in the passage. The answer is what follows the last question
-mark, else the last quarter of the words; a part shorter than five words is one run.
+mark; a part shorter than five words is one run. An item without a marked answer is all question,
+and its answer overlap is 1. A changed word breaks five runs, too many for a short item; so the
+first three quarters of its words and the last one may each reach ``overlap`` instead, where only
+runs across their border are broken. The overlaps are then those of these two parts.
 
 Items are few next to documents. They go to the tasks in groups of at most ``group_bytes`` of
 text, one pass over the documents for each group, so what is sent is bounded; documents are never
@@ -49,13 +52,21 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def parts(text: str) -> tuple[list[bytes], list[bytes]]:
-    """Question and answer of an item, as words."""
+    """Question and answer of an item, as words; no answer where the item marks none."""
     head, mark, tail = text.rpartition("?")
     if mark and split_words(head) and split_words(tail):
         return split_words(head), split_words(tail)
-    words = split_words(text)
-    n = len(words) - max(1, len(words) // 4) if len(words) > 1 else 1
-    return words[:n], words[n:]
+    return split_words(text), []
+
+
+def ways(text: str) -> list[tuple[list[tuple], list[tuple]]]:
+    """Runs of two parts of an item; all of any pair must be confirmed. The first is question and answer."""
+    question, answer = parts(text)
+    pairs = [(question, answer)]
+    if not answer and len(question) > 1:
+        n = len(question) - max(1, len(question) // 4)
+        pairs.append((question[:n], question[n:]))
+    return [(runs(a), runs(b)) for a, b in pairs]
 
 
 def runs(words: list[bytes]) -> list[tuple]:
@@ -99,8 +110,7 @@ class Index:
                 own = sum(w for _, w in r.words)
                 for word, w in r.words:
                     terms.setdefault(vocab.setdefault(word.encode(), len(vocab)), {})[k] = w / own
-                question, answer = parts(r.text)
-                self.items.append((r.item_id, runs(question), runs(answer)))
+                self.items.append((r.item_id, ways(r.text)))
             ids = np.array(sorted(terms))
             table = np.zeros((len(ids), min(BLOCK, len(rows) - at)))
             for i, term in enumerate(ids.tolist()):
@@ -163,19 +173,21 @@ class Index:
     def _confirmed(self, docs: list[list[bytes]], start: int) -> list[tuple]:
         best: dict[tuple, tuple] = {}
         for d, item, score, a, b in self.retrieve(docs) if docs else ():
-            _, question, answer = self.items[item]
             passage = docs[d][a:b]
             there: dict[int, set] = {}
-            shares = []
-            for part in (question, answer):
-                if part:
-                    n = len(part[0])
-                    have = there.setdefault(n, {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)})
-                    shares.append(sum(r in have for r in part) / len(part))
-                else:
-                    shares.append(1.0)
-            if min(shares) >= self.overlap:
-                best[d, item] = max(best.get((d, item), (0.0,)), (score, *shares))
+            for way in self.items[item][1]:
+                shares = []
+                for part in way:
+                    if part:
+                        n = len(part[0])
+                        if n not in there:
+                            there[n] = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
+                        shares.append(sum(r in there[n] for r in part) / len(part))
+                    else:
+                        shares.append(1.0)
+                if min(shares) >= self.overlap:
+                    best[d, item] = max(best.get((d, item), (0.0,)), (score, *shares))
+                    break
         return [(start + d, self.items[i][0], *v) for (d, i), v in sorted(best.items())]
 
 
