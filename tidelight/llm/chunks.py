@@ -7,6 +7,11 @@ nearby bytes only: text put in or taken out moves the cuts around it and no othe
 between two cuts are longer than ``reach``; only those at the ends of a text can be shorter, and
 chunks of up to ``reach`` bytes are never compared.
 
+There is no longest chunk. In a stretch that repeats with a period of at most ``reach`` bytes every
+hash has an equal within reach, so nothing is cut there: the stretch and what stands around it up to
+the next cuts is one chunk, whatever its length. Repeats inside it stay, and texts that hold such a
+stretch at different lengths share no chunk there.
+
 Chunks are known by 128-bit digests. Digests are counted first, with map-side sums, and only
 chunks of repeated digests go on; of each the occurrence with the least (doc_id, place) is kept
 and the others are removed. A chunk that stands in a third of all documents costs one row for
