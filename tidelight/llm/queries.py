@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, licenses, linequality, mixing, neardup, ranker, substrings, tokenfiles, urlfilter
+from . import chunks, decontaminate, licenses, linequality, mixing, neardup, ranker, substrings, tokenfiles, urlfilter, whitening
 from .common import table
 
 
@@ -71,6 +71,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings on their 32 leading components, whitened."""
+    return whitening.per_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_mixture": op9_mixture,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE: dict[str, str] = {
