@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, licenses, linequality, mixing, neardup, ranker, substrings, tokenfiles, urlfilter, whitening
+from . import chunks, decontaminate, licenses, linequality, mixing, neardup, prefixtrie, ranker, substrings
+from . import tokenfiles, toxicity, urlfilter, whitening
 from .common import table
 
 
@@ -76,6 +77,17 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.per_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, their heads exchanged by the rule of the contract."""
+    turns = prefixtrie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefixtrie.trie(*prefixtrie.with_shared_heads(turns))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, from matched clauses and labelled documents."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +100,8 @@ QUERIES = {
     "op9_mixture": op9_mixture,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE: dict[str, str] = {
