@@ -28,7 +28,7 @@ def test_query(spark, con, name):
 
 
 def test_only_random_and_fitted_queries_lack_sql():
-    assert set(all_queries()) - set(ORACLES) == {"outburst_report", "null_draws", "pulse_fit", "event_fit", "event_residuals"}
+    assert set(all_queries()) - set(ORACLES) == {"outburst_report", "null_draws", "pulse_fit", "event_fit", "event_residuals", "event_curves"}
 
 
 def test_entry(spark):

@@ -6,9 +6,10 @@ series is safe. All steps share a single exchange and sort on the series keys.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,11 +62,65 @@ def baseline_global(
     )
 
 
-def _median_of(sorted_arr: Column) -> Column:
-    n = F.size(sorted_arr)
-    lo = F.element_at(sorted_arr, F.floor((n + 1) / 2).cast("int"))
-    hi = F.element_at(sorted_arr, (F.floor(n / 2) + 1).cast("int"))
-    return (lo + hi) / 2
+class SlidingRanks:
+    """Sorted values of a moving window: insert, delete, median, median distance from a point."""
+
+    def __init__(self):
+        self.values: list[float] = []
+
+    def add(self, value: float) -> None:
+        insort(self.values, value)
+
+    def drop(self, value: float) -> None:
+        del self.values[bisect_left(self.values, value)]
+
+    def median(self) -> float:
+        n = len(self.values)
+        return (self.values[(n - 1) // 2] + self.values[n // 2]) / 2
+
+    def _distance(self, k: int, centre: float) -> float:
+        """The k-th smallest distance from ``centre``: the k nearest values stand side by side."""
+        a, low, high = self.values, 0, len(self.values) - k
+        while low < high:
+            mid = (low + high) // 2
+            if abs(centre - a[mid]) > abs(a[mid + k] - centre):
+                low = mid + 1
+            else:
+                high = mid
+        return max(abs(centre - a[low]), abs(a[low + k - 1] - centre))
+
+    def median_distance(self, centre: float) -> float:
+        n = len(self.values)
+        return (self._distance((n + 1) // 2, centre) + self._distance(n // 2 + 1, centre)) / 2
+
+
+def _slide(half: float, width: float, cfg: BaselineConfig):
+    """Kernel for the rows of one segment and their neighbours: local level of the segment's own rows."""
+
+    def run(df):
+        df = df.sort_values("mjd")
+        t, val, err, quiet = (df[c].tolist() for c in ("mjd", "val", "err", "quiet"))
+        seg, base, sigma = df["_seg"].iloc[0], df["base"].tolist(), df["sigma"].tolist()
+        values, errors, low, high, own = SlidingRanks(), SlidingRanks(), 0, 0, []
+        for i, at in enumerate(t):
+            if at // width != seg:
+                continue
+            own.append(i)
+            while high < len(t) and t[high] <= at + half:
+                if quiet[high]:
+                    values.add(val[high]), errors.add(err[high])
+                high += 1
+            while t[low] < at - half:
+                if quiet[low]:
+                    values.drop(val[low]), errors.drop(err[low])
+                low += 1
+            if len(values.values) >= cfg.rolling_min_points:
+                base[i] = values.median()
+                sigma[i] = max(cfg.mad_scale * values.median_distance(base[i]), errors.median())
+        df = df.assign(base=base, sigma=sigma)
+        return df.iloc[own].drop(columns="_seg")
+
+    return run
 
 
 def baseline_rolling(
@@ -77,28 +132,12 @@ def baseline_rolling(
     """Level and scatter in a closed time window around each row.
 
     Only globally quiet rows count; rows whose window holds fewer than
-    ``rolling_min_points`` of them take the global values. The frame holds at most
-    ``4 * window_days + 1`` rows of a rebinned series.
+    ``rolling_min_points`` of them take the global values. A task gets a stretch of four windows of one
+    series with half a window on either side, and moves the window over it by insert and delete.
     """
-    df = baseline_global(series, keys, cfg)
-    half = window_days / 2.0
-    part = ", ".join(keys)
-    over = (
-        f"OVER (PARTITION BY {part} ORDER BY mjd RANGE BETWEEN "
-        f"CAST({half!r} AS DOUBLE) PRECEDING AND CAST({half!r} AS DOUBLE) FOLLOWING)"
-    )
-    near = F.expr(f"collect_list(CASE WHEN quiet THEN struct(val, err) END) {over}")
-    df = df.withColumn("_near", near)
-    vals = F.array_sort(F.col("_near.val"))
-    df = df.withColumn("_med", F.when(F.size("_near") > 0, _median_of(vals)))
-    devs = F.array_sort(F.transform(F.col("_near.val"), lambda v: F.abs(v - F.col("_med"))))
-    scatter = F.greatest(
-        cfg.mad_scale * _median_of(devs), _median_of(F.array_sort(F.col("_near.err")))
-    )
-    enough = F.size("_near") >= cfg.rolling_min_points
-    return df.select(
-        *series.columns,
-        F.when(enough, F.col("_med")).otherwise(F.col("base")).alias("base"),
-        F.when(enough, scatter).otherwise(F.col("sigma")).alias("sigma"),
-        "quiet",
-    )
+    df = baseline_global(series, keys, cfg).select(*series.columns, "base", "sigma", "quiet")
+    half, width = window_days / 2.0, 4.0 * window_days
+    reach = half + 1e-6  # the kernel draws the exact line
+    first, last = (F.floor((F.col("mjd") + d) / F.lit(width)) for d in (-reach, reach))
+    near = df.withColumn("_seg", F.explode(F.sequence(first, last)))
+    return near.groupBy(*keys, "_seg").applyInPandas(_slide(half, width, cfg), df.schema)

@@ -134,7 +134,7 @@ def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | No
         dof=n - k, chi2_red=chi2 / (n - k) if n > k else np.inf,
         aic=chi2 + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1),
         resid_mean=resid.mean(), resid_std=resid.std(), resid_max_abs=np.abs(resid).max(),
-        converged=converged, resid_sigma=(resid / s).tolist(),
+        converged=converged, resid_sigma=(resid / s).tolist(), width_max=w_hi,
     )
     fine = np.linspace(t[0], t[-1], cfg.shape_grid)
     g = np.clip(sampler(fine)(p), 0, None)
@@ -169,7 +169,7 @@ def fit_pulses(
         F.col("t_end").alias("span_end_mjd"), "n_points", "_p.mjd", "_p.val", "_p.err",
     )
     copied = [*ids, "baseline", "threshold", "span_start_mjd", "span_end_mjd", "n_points"]
-    fitted = [c for c in FIT_FIELDS if c not in copied]
+    fitted = [*[c for c in FIT_FIELDS if c not in copied], "width_max"]
     out = T.StructType(
         [rows.schema[c] for c in copied]
         + [T.StructField("dof", T.LongType()), T.StructField("converged", T.BooleanType()), T.StructField("error", T.StringType()),
@@ -193,3 +193,43 @@ def fit_pulses(
             yield pd.concat([pdf[copied], done], axis=1)
 
     return spread(rows).mapInPandas(run, out)
+
+
+def curve_of_fit(p, t_start: float, t_end: float, width_max: float, points: int) -> tuple[np.ndarray, np.ndarray]:
+    """Times and values of a fitted pulse at ``points`` even times of its span, on the grid of the fit."""
+    step = max(max(t_end - t_start, 1.0) / 3000.0, 0.02)
+    pad = max(2 * width_max, 15.0)
+    grid = np.arange(t_start - pad, t_end + pad + step, step)
+    times = np.linspace(t_start, t_end, points)
+    left = np.clip(np.floor((times - grid[0]) / step).astype(int), 0, len(grid) - 2)
+    share = (times - grid[0] - (grid[left] - grid[0])) / step
+    value = smeared_pulse(np.asarray(p) - [0, grid[0], 0, 0, 0], grid - grid[0], step, np.concatenate([left, left + 1]))
+    return times, value[:points] * (1 - share) + value[points:] * share
+
+
+CURVE = "mjd double, model double, in_t90 boolean, is_peak boolean"
+
+
+def fitted_curves(fits: DataFrame, keys: Sequence[str], points: int = 3000) -> DataFrame:
+    """The fitted pulses as rows: keys, outburst_idx, point (from 1), mjd, model, in_t90, is_peak, baseline, threshold.
+
+    A table function is joined laterally with the fits; it yields the rows of one fit one after another,
+    so a task holds one curve at a time. The peak is the first of equal highest points. Spans without a
+    fit have no rows."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType=f"point long, {CURVE}")
+    class Curve:
+        def eval(self, amp, t0, rise, decay, width, width_max, t_start, t_end, t5, t95, points):
+            times, model = curve_of_fit([amp, t0, rise, decay, width], t_start, t_end, width_max, points)
+            top = int(np.argmax(model))
+            for i, (t, v) in enumerate(zip(times.tolist(), model.tolist())):
+                yield i + 1, t, v, t5 is not None and t5 <= t <= t95, i == top
+
+    ids = [*keys, "outburst_idx"]
+    good = fits.where("error IS NULL AND A IS NOT NULL AND NOT isnan(A)").select(
+        *ids, "baseline", "threshold", "A", "t0", "tau1", "tau2", "width", "width_max", "span_start_mjd", "span_end_mjd",
+        *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("t5", "t95")])
+    outer = [F.col(c).outer() for c in ("A", "t0", "tau1", "tau2", "width", "width_max", "span_start_mjd", "span_end_mjd", "t5", "t95")]
+    rows = spread(good).lateralJoin(Curve(*outer, F.lit(points)))
+    return rows.select(*ids, "point", "mjd", "model", "in_t90", "is_peak", "baseline", "threshold")

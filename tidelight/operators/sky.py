@@ -13,6 +13,7 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ from ..session import cut_lineage
 from .skew import split_join
 
 CELL = ["_cx", "_cy", "_cz"]
+SUB = ["_sx", "_sy", "_sz"]
+#: Cells on a side of a tile that one task resolves, and the most positions it takes.
+TILE, TILE_ROWS = 4096, 50_000
 
 
 def _chord(radius_arcsec: float) -> float:
@@ -84,33 +88,49 @@ def nearest_in_cone(
     the rows of those: crowded cells do not produce all pairs.
     """
     by = list(by)
+    rows, boxes = catalog_parts(catalog, radius_arcsec, order, by)
+    return nearest_of_parts(points, rows, boxes, radius_arcsec, order, by)
+
+
+def catalog_parts(catalog: DataFrame, radius_arcsec: float, order: Sequence[str], by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """What a cone join needs of a catalog: its rows by sub-cell, and the extents of the sub-cells in each
+    cell they can be met from."""
+    by = list(by)
     payload = [c for c in catalog.columns if c not in ("ra", "dec", *by)]
     first = catalog.where(F.col("ra").isNotNull() & F.col("dec").isNotNull()).groupBy("ra", "dec", *by).agg(
         F.min_by(F.struct(*payload), F.struct(*order)).alias("_m")
     )
-    sub = ["_sx", "_sy", "_sz"]
-    first = with_cell(with_cell(first, radius_arcsec), radius_arcsec / 8.0, sub)
+    first = with_cell(with_cell(first, radius_arcsec), radius_arcsec / 8.0, SUB)
     first = with_vector(first, "_")
-    boxes = first.groupBy(*CELL, *sub, *by).agg(
+    boxes = first.groupBy(*CELL, *SUB, *by).agg(
         *[F.expr(f"{fn}(_{a}) AS _{a}{i}") for a in "xyz" for i, fn in enumerate(("min", "max"))],
     )
+    rows = first.select(*SUB, *by, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_m")
+    return rows, with_neighbours(boxes)
+
+
+def nearest_of_parts(
+    points: DataFrame, rows: DataFrame, boxes: DataFrame, radius_arcsec: float, order: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`nearest_in_cone` on the two parts of a catalog."""
+    by = list(by)
+    payload = rows.schema["_m"].dataType.names
     pos = with_cell(_distinct_positions(points), radius_arcsec)
     pos = with_vector(pos, "_p")
     limit = (_chord(radius_arcsec) * (1 + 1e-7)) ** 2
-    cand = pos.join(with_neighbours(boxes), CELL).select(
-        "ra", "dec", *by, *sub, F.expr(f"{BOX_NEAR} AS _near"), F.expr(f"{BOX_FAR} AS _far")
+    cand = pos.join(boxes, CELL).select(
+        "ra", "dec", *by, *SUB, F.expr(f"{BOX_NEAR} AS _near"), F.expr(f"{BOX_FAR} AS _far")
     ).where(F.col("_near") <= limit)
     # one entry per sub-cell, and a neighbourhood has a fixed number of sub-cells
     best = cand.groupBy("ra", "dec", *by).agg(
-        F.min("_far").alias("_best"), F.collect_list(F.struct("_near", *sub)).alias("_boxes")
+        F.min("_far").alias("_best"), F.collect_list(F.struct("_near", *SUB)).alias("_boxes")
     )
     slack = F.col("_best") * (1 + 1e-7) + 1e-22
     best = best.select(
         "ra", "dec", *by,
         F.explode(F.filter("_boxes", lambda b: b["_near"] <= slack)).alias("_b"),
-    ).select("ra", "dec", *by, *[F.col(f"_b.{c}").alias(c) for c in sub])
-    rows = first.select(*sub, *by, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_m")
-    pairs = best.join(rows, [*sub, *by])
+    ).select("ra", "dec", *by, *[F.col(f"_b.{c}").alias(c) for c in SUB])
+    pairs = best.join(rows, [*SUB, *by])
     pairs = pairs.withColumn("sep", F.expr(SEP)).where(F.col("sep") <= radius_arcsec)
     key = F.struct(F.col("sep"), *[F.col(f"_m.{o}") for o in order])
     picked = pairs.groupBy("ra", "dec", *by).agg(
@@ -174,26 +194,12 @@ def greedy_dedup(rows: DataFrame, radius_arcsec: float, order: str, label: str)
     their columns, ``labels`` (distinct labels of every row in the cone, in row order,
     joined by '|') and ``n_close``.
 
-    The same set is found in rounds: a row that comes first in its cell and in all cells
-    around it has no earlier rival left, so it is a representative; the rows it covers
-    drop out. Cells hold few representatives, so a round compares each row with a bounded
-    number of them and never forms the pairs of a crowded cell. Equal positions are
-    represented by their first row. State is cut with a checkpoint per round.
+    See :func:`representatives` for how they are found; equal positions are represented by their
+    first row.
     """
     pts = rows.where(F.col("ra").isNotNull() & F.col("dec").isNotNull())
     spots = pts.groupBy("ra", "dec").agg(F.min(order).alias("_o"))
-    open_ = cut_lineage(with_cell(spots, radius_arcsec))
-    reps = None
-    while True:
-        first = open_.groupBy(*CELL).agg(F.min("_o").alias("_o"))
-        around = with_neighbours(first).groupBy(*CELL).agg(F.min("_o").alias("_lowest"))
-        chosen = first.join(around, CELL).where(F.col("_o") == F.col("_lowest")).drop("_lowest")
-        new = cut_lineage(open_.join(chosen.select("_o"), "_o", "left_semi"))
-        if new.isEmpty():
-            break
-        reps = new if reps is None else reps.unionByName(new)
-        covered = _covered(open_, new, radius_arcsec).select("ra", "dec").distinct()
-        open_ = cut_lineage(open_.join(covered, ["ra", "dec"], "left_anti"))
+    reps, _ = representatives(spots, radius_arcsec)
     if reps is None:
         return pts.limit(0).withColumn("labels", F.lit("")).withColumn("n_close", F.lit(0).cast("long"))
 
@@ -211,6 +217,77 @@ def greedy_dedup(rows: DataFrame, radius_arcsec: float, order: str, label: str)
     return rows.join(labels.withColumnRenamed("_rep", order), order)
 
 
+def representatives(spots: DataFrame, radius_arcsec: float, tile: int = TILE, most: int = TILE_ROWS) -> tuple[DataFrame | None, int]:
+    """Representatives among distinct positions (ra, dec, _o), with their cells, and the rounds it took.
+
+    A position is a representative if no earlier representative is strictly within the radius. Tiles of
+    ``tile`` cells on a side are resolved at once, each in one task, as far as positions beyond its border do
+    not matter: what depends on such a position stays open for the next round, in which tiles lie
+    elsewhere. A tile of more than ``most`` positions goes by cells instead: the first of a cell and
+    all cells around it has no earlier rival left. Every round ends with dropping what its
+    representatives cover, and is cut with a checkpoint. The number of rounds grows with the tiles that a
+    chain of neighbours crosses in order, not with its length.
+    """
+    open_ = cut_lineage(with_cell(spots.select("ra", "dec", "_o"), radius_arcsec))
+    reps, rounds = None, 0
+    while not open_.isEmpty():
+        new, crowded = _resolve_tiles(open_, radius_arcsec, tile, rounds * (tile // 3), most)
+        if crowded or new.isEmpty():
+            new = cut_lineage(new.unionByName(_first_of_cells(open_)).dropDuplicates(["_o"]))
+        reps, rounds = new if reps is None else reps.unionByName(new), rounds + 1
+        covered = _covered(open_, new, radius_arcsec).select("ra", "dec").distinct()
+        open_ = cut_lineage(open_.join(covered, ["ra", "dec"], "left_anti"))
+    return reps, rounds
+
+
+def _first_of_cells(open_: DataFrame) -> DataFrame:
+    first = open_.groupBy(*CELL).agg(F.min("_o").alias("_o"))
+    around = with_neighbours(first).groupBy(*CELL).agg(F.min("_o").alias("_lowest"))
+    chosen = first.join(around, CELL).where(F.col("_o") == F.col("_lowest")).select("_o")
+    return open_.join(chosen, "_o", "left_semi")
+
+
+def _resolve_tiles(open_: DataFrame, radius_arcsec: float, tile: int, shift: int, most: int) -> tuple[DataFrame, bool]:
+    """Representatives that the tiles of at most ``most`` positions can tell, and whether others were left out."""
+    at = [f"floor(({c} + {{d}} + {shift}) / {tile}D)" for c in CELL]
+    own = "struct(" + ", ".join(f"{e.format(d=0)} AS {n}" for e, n in zip(at, "abc")) + ")"
+    near = ", ".join(
+        "struct(" + ", ".join(f"{e.format(d=d)} AS {n}" for e, d, n in zip(at, ds, "abc")) + ")" for ds in itertools.product((-1, 0, 1), repeat=3))
+    dealt = open_.selectExpr("*", f"{own} AS _own", f"explode(array_distinct(array({near}))) AS _tile")
+    sizes = dealt.groupBy("_tile").agg(F.count("*").alias("_n"))
+    few = cut_lineage(sizes.where(F.col("_n") <= most))
+    crowded = few.count() < sizes.count()
+    dealt = dealt.join(few.select("_tile"), "_tile").select("ra", "dec", "_o", *CELL, (F.col("_own") == F.col("_tile")).alias("_core"), "_tile")
+
+    def run(df):
+        df = df.sort_values("_o")
+        ra, dec = np.radians(df["ra"].to_numpy()), np.radians(df["dec"].to_numpy())
+        cells, core = df[CELL].to_numpy(), df["_core"].to_numpy()
+        held: dict[tuple, list] = {}  # cell -> representatives and unknown positions
+        chosen = []
+        for i in range(len(df)):
+            x, y, z = cells[i]
+            covered, unknown = False, not core[i]
+            for dx, dy, dz in itertools.product((-1, 0, 1), repeat=3):
+                for j, is_rep in held.get((x + dx, y + dy, z + dz), ()):
+                    if (is_rep or not unknown) and _separation(ra[i], dec[i], ra[j], dec[j]) < radius_arcsec:
+                        covered, unknown = covered or is_rep, unknown or not is_rep
+            if covered:
+                continue
+            held.setdefault((x, y, z), []).append((i, not unknown))
+            if not unknown:
+                chosen.append(i)
+        return df.iloc[chosen][["ra", "dec", "_o", *CELL]]
+
+    return cut_lineage(dealt.groupBy("_tile").applyInPandas(run, open_.select("ra", "dec", "_o", *CELL).schema)), crowded
+
+
+def _separation(ra1, dec1, ra2, dec2) -> float:
+    """Great-circle distance in arc seconds of positions in radians."""
+    h = math.sin((dec2 - dec1) / 2.0) ** 2 + math.cos(dec1) * math.cos(dec2) * math.sin((ra2 - ra1) / 2.0) ** 2
+    return math.degrees(2.0 * math.asin(min(1.0, math.sqrt(h)))) * 3600.0
+
+
 def _covered(rows: DataFrame, reps: DataFrame, radius_arcsec: float) -> DataFrame:
     """Rows strictly within the radius of a representative, with its order as ``_rep``."""
     centres = with_neighbours(reps.select("ra", "dec", "_o", *CELL)).select(

@@ -103,6 +103,12 @@ def event_residuals(spark, sf):
     return df.select(*SPAN, (F.col("point") + 1).cast("long").alias("point"), rnd(F.col("sigma"), 3).alias("sigma"))
 
 
+def event_curves(spark, sf):
+    """The fitted pulses of the detected events at 200 even times of their span."""
+    df = pulsefit.fitted_curves(_fits(spark, sf), SRC, 200)
+    return df.select(*SPAN, "point", rnd(F.col("mjd"), 4).alias("mjd"), rnd(F.col("model"), 4).alias("model"), "in_t90", "is_peak")
+
+
 QUERIES = {
     "event_spans": event_spans,
     "event_hardness": event_hardness,
@@ -112,6 +118,7 @@ QUERIES = {
     "event_fit": event_fit,
     "event_fit_inputs": event_fit_inputs,
     "event_residuals": event_residuals,
+    "event_curves": event_curves,
 }
 
 FOUND = [S, SG, q.based("b", "sg", "source"), q.events_of("e", "b", "source"), f"""

@@ -11,8 +11,8 @@ from ..functions import photometry as ph
 from ..functions.expr import rnd
 from ..operators import bootstrap, detect, periodic, population, pulsefit
 from ..operators.skew import first_per_key, grouped_quantiles, join_small
-from ..session import cut_lineage
-from ..sources import readers, text
+from ..session import cut_lineage, shared_folder
+from ..sources import readers, stores, text
 from ..sources.tables import lightcurve, mjd_of, multiband, optical, table
 from . import sqltext as q
 from .series_queries import SG, SRC, S, based_series, series
@@ -145,7 +145,7 @@ def pulse_fit(spark, sf):
     fit = pulsefit.fit_pulses(with_level(spark, sf), _whole_spans(spark, sf), SRC)
     digits = {"chi2": 3, "chi2_red": 3, "aic": 3, "t90": 3, "baseline": 5, "threshold": 5}
     return fit.select(
-        "source", "outburst_idx", "span_start_mjd", "span_end_mjd", "n_points", "dof",
+        "source", "outburst_idx", "span_start_mjd", "span_end_mjd", "n_points", "dof", "converged", "error",
         *[rnd(F.col(c), digits.get(c, 4)).alias(c) for c in pulsefit.FIT_FIELDS],
     )
 
@@ -429,6 +429,20 @@ def chunked_union_distinct(spark, sf):
     return n.join(d, "source")
 
 
+def chunked_union_stored(spark, sf):
+    """The same chunks from curves stored by range of days, of which only the wanted files are read."""
+    lc = lightcurve(spark, sf).select("source", (F.floor(F.col("mjd") * 2) / 2).alias("mjd"), "band")
+    folder = shared_folder(spark)
+    stores.store_by_range(lc, folder, 3.0)
+    start, end = lc.agg(F.floor(F.min("mjd")), F.max("mjd")).first()
+    chunks = stores.even_chunks(spark, float(start or 0.0), float(end or 0.0), 5.0)
+    chunks = chunks.withColumn("end", F.col("start") + 5.0)
+    fetched = stores.scan_chunks(spark, folder, chunks, 3.0, closed=True)
+    n = fetched.groupBy("source").agg(F.count("*").alias("n_fetched"))
+    d = fetched.select("source", "mjd", "band").dropDuplicates().groupBy("source").agg(F.count("*").alias("n_distinct"))
+    return n.join(d, "source")
+
+
 def stored_spans(spark, sf):
     """Spans of the first of three stored lists that has any for the source."""
     t = thirds(spark, sf).select(F.col("source").cast("string").alias("source"), "outburst_idx", "t_start", "t_end")
@@ -495,7 +509,7 @@ QUERIES = {
         pulse_fit, pulse_model, cumulative_trapezoid_t90, boxcar_smooth, histogram_bins, parameter_histogram,
         class_label_sets, column_audit, band_filter, observable, distinct_bands, tier_counts, band_conditional_stats, optical_bands, key_audit,
         existing_only, pending_work, first_available, sentinel_clean, whitespace_table, pipe_table,
-        chunked_union_distinct, stored_spans, span_upsert, qualified_outbursts, mjd_datetime, largest_table, top_series,
+        chunked_union_distinct, chunked_union_stored, stored_spans, span_upsert, qualified_outbursts, mjd_datetime, largest_table, top_series,
     ]
 }
 QUERIES["tier_summary"] = _tiers
@@ -682,3 +696,4 @@ SELECT row_id, strftime(ts, '%Y%m%d') AS stamp, round(mjd, 6) + 0.0 AS mjd FROM
   GROUP BY table_name HAVING count(*) >= 2)""",
     "top_series": "SELECT user_id AS source, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, source LIMIT 10",
 }
+ORACLE["chunked_union_stored"] = ORACLE["chunked_union_distinct"]

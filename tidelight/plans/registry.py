@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chain_queries, name_queries, population_queries, series_queries, sky_queries, time_queries
+from . import chain_queries, long_queries, name_queries, population_queries, series_queries, sky_queries, time_queries
 
-MODULES = [series_queries, time_queries, sky_queries, name_queries, population_queries, chain_queries]
+MODULES = [series_queries, time_queries, sky_queries, name_queries, population_queries, chain_queries, long_queries]
 
 
 def all_queries():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import coords
@@ -9,6 +11,8 @@ from ..functions.expr import rnd
 from ..operators import classify as cl
 from ..operators import sky
 from ..operators.skew import split_join
+from ..session import shared_folder
+from ..sources import catalogs as catalogs_kept
 from ..sources.tables import GOLDEN_DEG, GOLDEN_FRAC, sphere, table
 from .sqltext import r, with_
 
@@ -146,6 +150,15 @@ def cone_nearest(spark, sf):
     return df.select("src", F.col("m_row_idx").alias("row_idx"), rnd(F.col("sep"), 4).alias("sep"))
 
 
+def cone_nearest_stored(spark, sf):
+    """The same matches from a catalog that is written once, clustered by sky cell, and opened again."""
+    folder, name = shared_folder(spark), f"parts_{uuid.uuid4().hex}"
+    store = lambda: catalogs_kept.kept_catalog(spark, folder, name, lambda: part_positions(spark, sf), 10.0, ["row_idx"])
+    store()
+    df = store().join(sources(spark, sf))
+    return df.select("src", F.col("m_row_idx").alias("row_idx"), rnd(F.col("sep"), 4).alias("sep"))
+
+
 def cone_best_catalog(spark, sf):
     cats = catalogs(spark, sf).select("ra", "dec", "cat", "priority", "row_idx")
     hits = sky.cone_join(sources(spark, sf), cats, 600.0, ["priority", "row_idx"], "inner")
@@ -234,6 +247,7 @@ def class_summary(spark, sf):
 
 QUERIES = {
     "cone_nearest": cone_nearest,
+    "cone_nearest_stored": cone_nearest_stored,
     "cone_best_catalog": cone_best_catalog,
     "cone_archives": cone_archives,
     "positional_dedup": positional_dedup,
@@ -488,3 +502,4 @@ SELECT 'xrb_type' AS what, xrb_type AS value, count(*) AS n FROM res GROUP BY 2
 UNION ALL SELECT 'compact_object', compact_object, count(*) FROM res GROUP BY 2
 UNION ALL SELECT 'confidence', confidence, count(*) FROM res GROUP BY 2""",
 }
+ORACLE["cone_nearest_stored"] = ORACLE["cone_nearest"]

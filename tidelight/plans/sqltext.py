@@ -90,7 +90,9 @@ def gated(name: str, src: str, keys: str, n: int = 10) -> str:
   WHERE sz >= {n})"""
 
 
-def events_of(name: str, src: str, keys: str) -> str:
+def events_of(
+    name: str, src: str, keys: str, enter: float = 5.0, exit_: float = 2.5, ratio: float = 1.5, gap: float = 4.0, dur: float = 1.0, factor: float = 3.0
+) -> str:
     """Hysteresis islands, gates and event aggregates of a series with base and sigma."""
     return f"""
 {name}_g AS (SELECT *, mjd - lag(mjd) OVER (PARTITION BY {keys} ORDER BY mjd) AS gap FROM {src}),
@@ -98,13 +100,13 @@ def events_of(name: str, src: str, keys: str) -> str:
                     min(sigma) OVER (PARTITION BY {keys}) > 0 AS usable FROM {name}_g),
 {name}_z AS (
   SELECT *, (val - base) / sigma AS z,
-         usable AND CASE WHEN base > 0 THEN val > 1.5 * base ELSE val - base > 1.5 * sigma END AS tall,
-         greatest(5.0 * cadence, 4.0) AS max_gap, greatest(1.0, 3.0 * cadence) AS min_dur
+         usable AND CASE WHEN base > 0 THEN val > {ratio} * base ELSE val - base > {ratio} * sigma END AS tall,
+         greatest(5.0 * cadence, {gap}) AS max_gap, greatest({dur}, {factor} * cadence) AS min_dur
   FROM {name}_c),
 {name}_w AS (
-  SELECT *, z > 5.0 AS seed,
+  SELECT *, z > {enter} AS seed,
          CASE WHEN mjd - lag(mjd) OVER (PARTITION BY {keys} ORDER BY mjd) > max_gap THEN 1 ELSE 0 END AS cut
-  FROM {name}_z WHERE tall AND z > 2.5),
+  FROM {name}_z WHERE tall AND z > {exit_}),
 {name}_r AS (SELECT *, sum(cut) OVER (PARTITION BY {keys} ORDER BY mjd) AS run FROM {name}_w),
 {name}_a AS (
   SELECT {keys}, run, min(mjd) AS mjd_start, max(mjd) AS mjd_end, max(mjd) - min(mjd) AS duration_days,
@@ -119,7 +121,7 @@ def events_of(name: str, src: str, keys: str) -> str:
          mjd_start, mjd_end, duration_days, n_points, peak_value, peak_mjd, baseline_value,
          significance_sigma, mean_significance_sigma, block_z
   FROM {name}_a
-  WHERE n_seed >= 2 AND n_points >= 4 AND duration_days >= min_dur AND block_z > 2.5)"""
+  WHERE n_seed >= 2 AND n_points >= 4 AND duration_days >= min_dur AND block_z > {exit_})"""
 
 
 def with_(*ctes: str) -> str:

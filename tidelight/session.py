@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     out = df.checkpoint()
     out._is_cut = True
     return out
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; only a local session may
+    do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidelight-shared-")
+    return f"{base.rstrip('/')}/tidelight-{uuid.uuid4().hex}"

@@ -76,6 +76,12 @@ def load_optical_bands(spark: SparkSession, path: str, glob: str = "*_ztf*") ->
     return clean_optical(read_headed(spark, path, pick, glob), KEYS)
 
 
+def filter_of_id(fid):
+    """Filter of a numeric filter id: 1 is g, 2 is r; others stay as they are."""
+    n = fid.try_cast("double")
+    return F.when(n == 1, "g").when(n == 2, "r").otherwise(fid.cast("string"))
+
+
 def load_magnitudes(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """Tolerant magnitude reader: columns by keyword, default error 0.05, filter lower-cased.
 
@@ -87,6 +93,8 @@ def load_magnitudes(spark: SparkSession, path: str, glob: str = "*.csv") -> Data
             return None
         err = number(cols["magerr"]) if cols["magerr"] else F.lit(0.05)
         filt = F.lower(F.trim(F.col(f"`{cols['filter']}`"))) if cols["filter"] else F.lit("unknown")
+        if cols["filter"] and cols["filter"].strip().lower() == "fid":
+            filt = filter_of_id(filt)
         return df.select(
             FILE, number(cols["mjd"]).alias("mjd"), number(cols["mag"]).alias("mag"),
             err.alias("magerr"), filt.alias("filter"),
@@ -160,7 +168,25 @@ def qualified_outbursts(
         & (band == band_tag.replace(" ", "").lower())
         & (F.col("n_points") >= min_points)
         & (F.col("duration_days") >= min_days)
-    ).orderBy("file_stem", "mjd_start")
+    )
+
+
+def load_outbursts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Event files: file_stem, instrument, band, outburst_id, mjd_start, mjd_end, n_points, duration_days.
+
+    A file without durations gets them from its times; rows without times drop out."""
+    def pick(df: DataFrame) -> DataFrame:
+        df = tidy_header(df)
+        text = {c: need(df, [c], c) for c in ("file_stem", "instrument", "band")}
+        start, end, size = need(df, ["mjd_start", "span_start_mjd"], "event start"), need(df, ["mjd_end", "span_end_mjd"], "event end"), need(df, ["n_points"], "size")
+        ordinal, length = by_name(df.columns, ["outburst_id", "outburst_idx"]), by_name(df.columns, ["duration_days"])
+        took = number(end) - number(start)
+        return df.select(
+            *[F.trim(F.col(f"`{c}`")).alias(n) for n, c in text.items()], (number(ordinal) if ordinal else F.lit(None)).cast("long").alias("outburst_id"),
+            number(start).alias("mjd_start"), number(end).alias("mjd_end"), number(size).cast("long").alias("n_points"),
+            (F.coalesce(number(length), took) if length else took).alias("duration_days"))
+
+    return read_headed(spark, path, pick, glob).where("mjd_start IS NOT NULL AND mjd_end IS NOT NULL")
 
 
 def load_classification(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -34,11 +34,22 @@ def write_review(df: DataFrame, path: str) -> None:
     write_csv(df, path, REVIEW_COLUMNS)
 
 
-def write_log(df: DataFrame, path: str) -> None:
-    """One text line per fitted event, ordered inside each source."""
-    line = F.format_string(
+def _log_line():
+    return F.format_string(
         "%s %s #%d  MJD %.4f to %.4f  A=%.6e t0=%.4f tau1=%.4f tau2=%.4f W=%.4f  chi2=%.4f dof=%d aic=%.4f  T90=%.4f",
         "source", "band", "outburst_idx", "span_start_mjd", "span_end_mjd", "A", "t0", "tau1", "tau2", "width",
         "chi2", "dof", "aic", "t90",
-    )
-    df.orderBy("source", "band", "outburst_idx").select(line.alias("value")).write.mode("overwrite").text(path)
+    ).alias("value")
+
+
+def write_log(df: DataFrame, path: str) -> None:
+    """One text line per fitted event; the lines of a source are in one file, in order."""
+    rows = df.repartition("source").sortWithinPartitions("source", "band", "outburst_idx")
+    rows.select(_log_line()).write.mode("overwrite").text(path)
+
+
+def write_source_logs(df: DataFrame, path: str) -> None:
+    """The same lines with a folder for each source; sources that are not in ``df`` keep their log."""
+    rows = df.withColumn("_source", F.col("source")).repartition("_source").sortWithinPartitions("_source", "band", "outburst_idx")
+    rows.select("_source", _log_line()).withColumnRenamed("_source", "log").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("log").text(path)

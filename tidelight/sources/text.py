@@ -60,6 +60,21 @@ def valid_scan(df: DataFrame, flux: str = "flux_2_20") -> DataFrame:
     return df.where((F.col(flux) > FLUX_SENTINEL) & F.col("mjd").isNotNull())
 
 
+def valid_rates(df: DataFrame, rate: str = "count_rate") -> DataFrame:
+    """Rows above the missing-rate sentinel with a time; count rates have a sentinel of their own."""
+    return df.where((F.col(rate) > RATE_SENTINEL) & F.col("mjd").isNotNull())
+
+
+def read_rates(spark: SparkSession, path: str, start: float | None = None, end: float | None = None) -> DataFrame:
+    """Count-rate tables: time, rate and error by position, comments with # or !."""
+    return in_range(valid_rates(read_whitespace(spark, path, BAT_COLUMNS, comments="#!")), start, end)
+
+
+def read_raw_rates(spark: SparkSession, path: str) -> DataFrame:
+    """Raw count-rate tables with all their columns, by position."""
+    return read_whitespace(spark, path, BAT_RAW_COLUMNS)
+
+
 def in_range(df: DataFrame, start: float | None, end: float | None, time: str = "mjd") -> DataFrame:
     """Closed, optionally open-ended time cut; plain predicates reach the scan."""
     if start is not None:
