@@ -317,4 +317,36 @@ def _recombine(nodes: DataFrame) -> DataFrame:
     every = whole.select("parent_key", *columns).unionByName(added.select("parent_key", *columns))
     parents = added.select(F.col("key").alias("parent_key"), (F.col("depth") + 1).alias("depth"), F.col("conv_id").alias("of"))
     found = join_counted(every, parents, ["parent_key", "depth"], "left")
-    return found.withColumn("parent_conv_id", F.coalesce("of", "parent_conv_id")).select(*columns)
+    found = found.withColumn("parent_conv_id", F.coalesce("of", "parent_conv_id")).withColumn("depth", F.col("depth").cast("long"))
+    return found.select(*columns)
+
+
+#: The heads exchanged for those of the first of 20 conversations, crc32 bit by bit, then nodes as lists of names.
+ORACLE = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+         length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS name,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c FROM t),
+bits AS (
+  SELECT c, list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),
+      lambda a, x: CASE WHEN x < 256 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS r FROM ids),
+h AS (SELECT c, CAST(xor(r, 4294967295) % 4 AS BIGINT) AS h FROM bits),
+parts AS (
+  SELECT h.c, 0 AS side, t.pos, t.name, t.words FROM h JOIN t ON t.c = h.c - h.c % 20 AND t.pos < h.h
+  UNION ALL SELECT h.c, 1, t.pos, t.name, t.words FROM h JOIN t ON t.c = h.c AND t.pos >= h.h),
+full_ AS (SELECT ids.c, coalesce(list(sha256(name) ORDER BY side, pos) FILTER (WHERE name IS NOT NULL), []) AS p,
+            coalesce(list(words ORDER BY side, pos) FILTER (WHERE name IS NOT NULL), []) AS w FROM ids LEFT JOIN parts USING (c) GROUP BY ids.c),
+pre AS (SELECT c, d, list_slice(p, 1, d) AS k, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words, d = len(p) AS ends
+        FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM full_)),
+node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+           sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM pre GROUP BY k, d),
+kids AS (SELECT list_slice(k, 1, d - 1) AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+up AS (SELECT list_slice(k, 1, e) AS k, sum((n_convs - 1) * words) AS saved, count(*) FILTER (WHERE leaf) AS leaves
+       FROM (SELECT node.*, unnest(range(0, d + 1)) AS e, kids.n IS NULL AS leaf FROM node LEFT JOIN kids USING (k)) GROUP BY 1)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, above.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children,
+       leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node JOIN up USING (k) LEFT JOIN kids USING (k) LEFT JOIN node above ON node.d > 0 AND above.k = list_slice(node.k, 1, node.d - 1)
+"""

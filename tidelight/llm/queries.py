@@ -108,4 +108,5 @@ ORACLE: dict[str, str] = {
     "op2_license_scan": licenses.oracle(),
     "op5_url_filter": urlfilter.ORACLE,
     "op6_line_quality": linequality.ORACLE,
+    "op12_prefix_trie": prefixtrie.ORACLE,
 }
