@@ -39,7 +39,7 @@ def spacing(events: DataFrame, keys: Sequence[str], start: str, cfg: PeriodConfi
     )
 
 
-def periodogram(series: DataFrame, keys: Sequence[str], cfg: PeriodConfig = PeriodConfig()) -> DataFrame:
+def periodogram(series: DataFrame, keys: Sequence[str], cfg: PeriodConfig = PeriodConfig(), cadences: DataFrame | None = None) -> DataFrame:
     """Best period per series: keys, best_period, power, fap; NULL period where the peak
     lies within the guarded edge of the frequency range or no range is left.
 
@@ -48,8 +48,11 @@ def periodogram(series: DataFrame, keys: Sequence[str], cfg: PeriodConfig = Peri
     by cell; a transform of a series' cells gives the power at all frequencies, and the
     ones that can be the best are computed exactly from the points. Rows are linear in points plus
     frequencies, and only cells, as many as a few times the frequencies, meet in one task.
+
+    ``cadences`` (keys, cadence) spares the window over each series, for curves that are not bounded.
     """
-    df = cut_lineage(cadence(series, keys).withColumn("_w0", inv_var(F.col("err"))))
+    paced = cadence(series, keys) if cadences is None else join_small(series, cadences, keys)
+    df = cut_lineage(paced.withColumn("_w0", inv_var(F.col("err"))))
     const = df.groupBy(*keys).agg(
         F.sum("_w0").alias("_sw"), F.min("mjd").alias("_t0"), (F.max("mjd") - F.min("mjd")).alias("_span"), F.count("*").alias("_n"),
         F.avg("mjd").alias("_tm"), (F.sum(F.col("_w0") * F.col("val")) / F.sum("_w0")).alias("_ym"), F.max("cadence").alias("_cad"),

@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage
 from .skew import join_small
 
+#: Rows of a time slice beyond which it is cut finer.
+SLICE_ROWS = 100_000
+
 
 def crop_to_spans(
     points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str = "mjd", pad: float = 0.0
@@ -28,6 +31,7 @@ def nearest_in_time(
     tol_days: float,
     right_order: str,
     slice_days: float = 1.0,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """For each left row the right row of the same key nearest in ``mjd``.
 
@@ -36,25 +40,25 @@ def nearest_in_time(
     prefixed ``r_`` and ``dt``.
 
     No pairs are formed. Both sides are cut into time slices, so a key that owns most
-    rows is spread over many tasks; each slice also receives the last right row before
+    rows is spread over many tasks; a slice of more than ``slice_rows`` rows is cut into a power of
+    two of even parts. Each slice also receives the last right row before
     it and the first one after it, taken from a per-slice summary that combines map-side
     and has one row per non-empty slice. Two running windows then carry the latest right
     row forwards and backwards over the left rows.
     """
     payload = [c for c in right.columns if c not in keys]
-    slice_ = F.floor(F.col("mjd") / slice_days)
     rights = right.groupBy(*keys, "mjd").agg(
         F.min_by(F.struct(*payload), F.col(right_order)).alias("_r")
     )
     rights = rights.select(
-        *keys, "mjd", slice_.alias("_s"), F.lit(0).alias("_k"), "_r"
+        *keys, "mjd", F.lit(0).alias("_k"), "_r"
     ).withColumn("_l", F.lit(None))
     lefts = left.select(
-        *keys, "mjd", slice_.alias("_s"), F.lit(1).alias("_k"),
+        *keys, "mjd", F.lit(1).alias("_k"),
         F.lit(None).alias("_r"), F.struct(*left.columns).alias("_l"),
     )
     # read by the summary and by the stream
-    rows = cut_lineage(lefts.unionByName(rights))
+    rows = _sliced(cut_lineage(lefts.unionByName(rights)), keys, slice_days, slice_rows)
 
     right_time = F.when(F.col("_k") == 0, F.col("mjd"))
     summary = rows.groupBy(*keys, "_s").agg(
@@ -100,6 +104,19 @@ def nearest_in_time(
     )
 
 
+def _sliced(rows: DataFrame, keys: Sequence[str], slice_days: float, slice_rows: int) -> DataFrame:
+    """Adds ``_s``, the time slice of a row: numbers in order of time, fractions in crowded slices."""
+    at = F.col("mjd") / slice_days
+    rows = rows.withColumn("_s", F.floor(at).cast("double"))
+    sizes = rows.groupBy(*keys, "_s").agg(F.count("*").alias("_n")).where(F.col("_n") > slice_rows)
+    crowded = cut_lineage(sizes.select(*keys, "_s", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_n") / slice_rows))).alias("_parts")))
+    if crowded.isEmpty():
+        return rows
+    rows = join_small(rows, crowded, [*keys, "_s"], "left")
+    part = F.floor((at - F.col("_s")) * F.col("_parts")) / F.col("_parts")
+    return rows.withColumn("_s", F.col("_s") + F.coalesce(part, F.lit(0.0))).drop("_parts")
+
+
 def peaks(points: DataFrame, keys: Sequence[str], value: str, time: str = "mjd") -> DataFrame:
     """Per key the time and value of the first maximum of ``value``."""
     return points.groupBy(*keys).agg(

@@ -9,7 +9,7 @@ from ..config import DetectorConfig, FitConfig
 from ..functions import coords
 from ..functions import photometry as ph
 from ..functions.expr import rnd
-from ..operators import bootstrap, detect, periodic, population, pulsefit
+from ..operators import bootstrap, detect, periodic, population, pulsefit, report
 from ..operators.skew import first_per_key, grouped_quantiles, join_small
 from ..session import cut_lineage, shared_folder
 from ..sources import readers, stores, text
@@ -32,28 +32,10 @@ def outburst_report(spark, sf, cfg=DetectorConfig()):
     """The full event record: detection, false-alarm probability unless skipped, and recurrence."""
     based = cut_lineage(based_series(spark, sf, cfg))
     events = cut_lineage(detect.detect_events(based, SRC, cfg))
-    if cfg.skip_fap:
-        rows = events.withColumn("fap_empirical", F.lit(None).cast("double"))
-    else:
-        rows = bootstrap.false_alarm(events, based, SRC, cfg)
-    gaps = periodic.spacing(events, SRC, "mjd_start")
-    repeat = based.join(gaps.select("source"), "source", "left_semi")
-    period = periodic.candidate_periodic(gaps, periodic.periodogram(repeat, SRC), SRC)
-    rows = rows.join(period, "source", "left")
-    drop0 = lambda c: F.when(c != 0, c)
+    rows = report.event_records(events, based, SRC, cfg)
     return rows.select(
         F.col("source").cast("string").alias("source"), F.concat(F.lit("s"), F.col("source").cast("string")).alias("file_stem"),
-        F.lit("maxi").alias("instrument"), F.lit(readers.XRAY_BAND).alias("band"), "outburst_id",
-        rnd(F.col("mjd_start"), 4).alias("mjd_start"), rnd(F.col("mjd_end"), 4).alias("mjd_end"),
-        rnd(F.col("duration_days"), 4).alias("duration_days"), "n_points",
-        rnd(F.col("peak_value"), 6).alias("peak_value"), rnd(F.col("peak_mjd"), 4).alias("peak_mjd"),
-        rnd(F.col("baseline_value"), 6).alias("baseline_value"),
-        rnd(F.col("significance_sigma"), 2).alias("significance_sigma"),
-        rnd(F.col("fap_empirical"), 4).alias("fap_empirical"),
-        F.coalesce("candidate_periodic", F.lit(False)).alias("candidate_periodic"),
-        drop0(rnd(F.col("best_period"), 3)).alias("best_period_days"),
-        F.when(F.col("fap") != 0, F.format_string("%.2e", "fap")).alias("period_fap"),
-        drop0(rnd(F.col("spacing_cv"), 3)).alias("spacing_cv"),
+        F.lit("maxi").alias("instrument"), F.lit(readers.XRAY_BAND).alias("band"), *report.FIELDS,
     )
 
 

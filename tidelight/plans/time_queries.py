@@ -213,7 +213,8 @@ def forward_sim_tapered(spark, sf):
     clean = ph.snr_weight(snr, cfg.snr_floor, cfg.taper_width) * F.greatest("xf", F.lit(0.0))
     return df.select(
         "source", "outburst_idx", "row_id", timejoin.phase(F.col("mjd"), F.col("peak_mjd")).alias("phase"),
-        rnd(ph.reprocessed(clean, F.col("beta")) * 1e4, 4).alias("shape_e4"),
+        # of the logarithm, so that small predictions are compared as closely as large ones
+        rnd(F.when(clean > 0, F.log10(ph.reprocessed(clean, F.col("beta")))), 6).alias("log_shape"),
     )
 
 
@@ -263,8 +264,9 @@ def observed_vs_predicted(spark, sf):
     near = with_class(simple_pairs(spark, sf), spark, sf)
     fit = slope.pooled_slope(near.select("cls", F.col("r_xf").alias("xf"), "of", "oe"))
     df = with_beta(near, fit).withColumn("model", ph.reprocessed(F.col("r_xf"), F.col("beta")))
-    scale = df.groupBy(*SPAN).agg(F.median("of").alias("mo"), F.median("model").alias("mm"))
-    df = join_small(df, scale, SPAN)
+    df = cut_lineage(df)
+    for value, name in (("of", "mo"), ("model", "mm")):
+        df = join_small(df, grouped_quantiles(df, SPAN, value, {name: 0.5}), SPAN)
     return df.select(
         *SPAN, "row_id", rnd(F.col("of"), 4).alias("observed"),
         rnd(F.col("model") * F.try_divide("mo", "mm"), 4).alias("predicted"),
@@ -449,7 +451,7 @@ SELECT source, outburst_idx, row_id, CASE WHEN mjd <= peak_mjd THEN 'rise' ELSE
 FROM xc LEFT JOIN fit ON fit.cls = xc.cls""",
     "forward_sim_tapered": with_(*BASE, phase_ctes("<="), CLS, CLASSED, FIXED, XCLASSED) + """
 SELECT source, outburst_idx, row_id, CASE WHEN mjd <= peak_mjd THEN 'rise' ELSE 'decay' END AS phase,
-       round(pow(greatest(xf, 0.0) / (1.0 + exp(-(xf / greatest(xe, 1e-30) - 3.0) / 1.5)), coalesce(beta, 0.5)) * 1e4, 4) + 0.0 AS shape_e4
+       CASE WHEN xf > 0 THEN round(log10(pow(xf / (1.0 + exp(-(xf / greatest(xe, 1e-30) - 3.0) / 1.5)), coalesce(beta, 0.5))), 6) + 0.0 END AS log_shape
 FROM xc LEFT JOIN (SELECT * FROM fa WHERE cls <> 'UNKNOWN') fa ON fa.cls = xc.cls""",
     "hardness_ratio": with_(LC, MULTI, HARD) + f"""
 SELECT source, {r('mjd', 1, 'mjd')}, {r('hr_x', 6, 'hr_x')}, {r('hr_x_err', 6, 'hr_x_err')},

@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import FitConfig
 from ..functions import photometry as ph
 from ..functions.coords import DEC_COLUMNS, RA_COLUMNS, with_position
 from ..functions.expr import no_nan
@@ -159,7 +160,8 @@ def upsert_spans(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def qualified_outbursts(
-    catalog: DataFrame, instrument: str, band_tag: str, min_points: int = 25, min_days: float = 0.5
+    catalog: DataFrame, instrument: str, band_tag: str, min_points: int = FitConfig().min_catalog_points,
+    min_days: float = FitConfig().min_duration_days,
 ) -> DataFrame:
     """Catalogued events worth a fit: instrument and band match (case and blanks ignored)."""
     band = F.lower(F.regexp_replace("band", " ", ""))
