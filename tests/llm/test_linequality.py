@@ -67,3 +67,29 @@ def test_limit_of_hosts_of_very_different_size(spark):
              for k, (size, n, _) in enumerate(cases)]
     got = {tuple(r) for r in L.frequent_lines(spark.sql(" UNION ALL ".join(parts))).collect()}
     assert got == {(f"h{k}", 7) for k, (_, _, yes) in enumerate(cases) if yes}
+
+
+def test_windows_of_very_many_distinct_words():
+    n = 2_200_000
+    words = [*range(n), 5, 6, 7, n + 1, *range(n - 10, n)]
+    seen, often = {}, set()
+    for i in range(len(words) - 2):
+        w = tuple(words[i : i + 3])
+        if w in seen:
+            often |= {i, i + 1, i + 2, seen[w], seen[w] + 1, seen[w] + 2}
+        seen[w] = i
+    assert L.repeated_words(words) == len(often) == 26
+
+
+def test_line_of_a_large_host_against_sql(spark, make_docs):
+    """A line in more than 1,000 texts of a host, but in less than a tenth of them."""
+    import duckdb
+
+    line = " ".join(f"menu{k}" for k in range(40))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)) + ("\n" + line if i < 1_100 else "") + "\n" + " ".join(f"v{i}y{k}" for k in range(15 if i < 1_100 else 30)), "h") for i in range(12_000)]
+    docs = make_docs(rows)
+    got = L.quality_rules(docs).select("doc_id", "kept").collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = dict(con.sql(f"SELECT doc_id, kept FROM ({L.ORACLE})").fetchall())
+    assert {r.doc_id: r.kept for r in got} == want and sum(not k for k in want.values()) == 1_100

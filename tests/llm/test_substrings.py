@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -93,3 +94,18 @@ def test_suffix_array(letters):
                 while k < min(30, n + 1 - max(a, b)) and t[a + k] == t[b + k]:
                     k += 1
                 assert lcp[b] == k
+
+
+@pytest.mark.parametrize("shared", [None, 7])
+def test_many_texts_under_one_id(spark, make_docs, shared):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    rows = [(shared, "".join(rng.choice("abcdefgh ") for _ in range(150)) + (passage if i % 4 == 0 else "") + str(i)) for i in range(2_000)]
+    own = [(i, t) for i, (_, t) in enumerate(rows)]
+    took, got = [], []
+    for part in (own, rows, own):
+        start = time.time()
+        got.append(sorted((tuple(r)[1:] for r in substrings.dedup_substrings(make_docs(part)).drop("spans").collect()), key=repr))
+        took.append(time.time() - start)
+    assert got[0] == got[1] == sorted((r[1:] for r in brute(own, 200)), key=repr)
+    assert took[1] < 3 * took[2] + 5, took

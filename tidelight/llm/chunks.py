@@ -83,22 +83,23 @@ def chunks_of(raw: bytes, reach: int = REACH) -> list[tuple[int, int]]:
 
 
 def _occurrences(docs: DataFrame, reach: int, with_place: bool) -> DataFrame:
-    names = ["d1", "d2", "doc", "key", "a", "b"][: 6 if with_place else 2]
+    names = ["d1", "d2", "doc", "row", "key", "a", "b"][: 7 if with_place else 2]
 
     @collector_off
     def run(batches):
         for batch in batches:
             out: list[list[int]] = [[] for _ in names]
             digests = []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, row, text in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (text or "").encode()
                 spans = chunks_of(raw, reach)
                 digests += [xxhash.xxh3_128_digest(raw[a:b]) for a, b in spans]
                 if with_place:
                     out[2] += [doc] * len(spans)
-                    out[3] += [_key(raw)] * len(spans)
-                    out[4] += [a for a, _ in spans]
-                    out[5] += [b for _, b in spans]
+                    out[3] += [row] * len(spans)
+                    out[4] += [_key(raw)] * len(spans)
+                    out[5] += [a for a, _ in spans]
+                    out[6] += [b for _, b in spans]
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             out[0], out[1] = both[:, 0], both[:, 1]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=names)
@@ -107,22 +108,23 @@ def _occurrences(docs: DataFrame, reach: int, with_place: bool) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc, key, a, b, first: occurrences of chunks that occur more than once. ``docs``: doc, text."""
+    """row, key, a, b, first: occurrences of chunks that occur more than once. ``docs``: doc, row, text; a
+    row is an id with a text, so that the chunks of many texts under one id stay apart."""
     twice = _occurrences(docs, reach, False).groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
     found = stage(_occurrences(docs, reach, True).join(twice, ["d1", "d2"]))
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc", "a", "key")).alias("f"))
     met = found.join(first, ["d1", "d2"])
-    return met.select("doc", "key", "a", "b", (F.struct("doc", "a", "key") == F.col("f")).alias("first"))
+    return met.select("row", "key", "a", "b", (F.struct("doc", "a", "key") == F.col("f")).alias("first"))
 
 
 def dedup_chunks(docs: DataFrame, reach: int = REACH, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_bytes, n_repeated, n_removed, n_spans, kept_sha256, kept of each document: bytes in
     chunks that occur elsewhere too, those of them removed, in how many runs, and what is left."""
     rows = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), col(text_col).alias("text"),
-                       col(id_col).cast("long").alias("doc_id"))
-    spans = repeated_chunks(rows.select("doc", "text"), reach)
-    per = spans.groupBy("doc").agg(F.collect_set(F.struct("key", "a", "b", "first")).alias("spans"))  # of one document
-    joined = rows.join(per, "doc", "left").select("doc_id", "text", "spans")
+                       col(id_col).cast("long").alias("doc_id"), F.xxhash64(col(id_col).cast("long"), F.coalesce(col(text_col), F.lit(""))).alias("row"))
+    spans = repeated_chunks(rows.select("doc", "row", "text"), reach)
+    per = spans.groupBy("row").agg(F.collect_set(F.struct("key", "a", "b", "first")).alias("spans"))  # of one text
+    joined = rows.join(per, "row", "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_bytes", "n_repeated", "n_removed", "n_spans", "kept_sha256", "kept"]
     kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
 

@@ -56,7 +56,10 @@ def repeated_words(words: list) -> int:
     seen: dict = {}
     a = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
     n = len(seen)
-    windows = (a[:-2] * n + a[1:-1]) * n + a[2:]
+    pairs = a[:-2] * n + a[1:-1]
+    if n >= 1 << 21:  # pairs by rank, so that windows stay below 64 bits
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    windows = pairs * n + a[2:]
     _, which, counts = np.unique(windows, return_inverse=True, return_counts=True)
     often = counts[which] > 1
     covered = np.zeros(len(words), bool)
@@ -192,7 +195,7 @@ lines AS (SELECT doc_id, host, t, l, array_to_string(lw, ' ') AS norm, len(lw) A
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc_id),
 texts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host),
 often AS (SELECT f.host, f.norm FROM (SELECT host, norm, count(DISTINCT t) AS n FROM lines GROUP BY host, norm) f
-          JOIN texts USING (host) WHERE f.n >= 20 AND f.n > 0.1::DOUBLE * texts.n),
+          JOIN texts USING (host) WHERE f.n >= 20 AND f.n > least(0.1::DOUBLE * texts.n, 1000)),
 gone AS (SELECT doc_id, sum(n) AS n FROM lines JOIN often USING (host, norm) GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,

@@ -317,9 +317,9 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, limit: int) -> DataFrame:
     """doc_id, text and the spans asked for under its id."""
-    none = -(1 << 63)  # stands for a null id; texts are told apart by their hash
-    rows = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(none)).alias("doc"), col(text_col).alias("text"),
-                       col(id_col).cast("long").alias("doc_id"))
+    # a document is an id with a text: many texts under one id, or under none, stay apart
+    known = col(id_col).cast("long")
+    rows = docs.select(F.xxhash64(known, F.coalesce(col(text_col), F.lit(""))).alias("doc"), col(text_col).alias("text"), known.alias("doc_id"))
     spans = repeated_spans(rows.select("doc", "text"), length, limit)
     per = spans.groupBy("doc").agg(F.collect_set(F.struct("key", "a", "b")).alias("spans"))  # of one document
     return rows.join(per, "doc", "left").select("doc_id", "text", "spans")
