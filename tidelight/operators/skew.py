@@ -38,11 +38,11 @@ def join_small(
     join starts matters: at run time the raw side would already have been written to shuffle files.
     """
     small = cut_lineage(small)
-    if small.limit(limit + 1).count() > limit:
-        return split_join(big, small, keys, how)
     # JSON is longer than the rows in memory are, fixed-width fields included
-    size = small.agg(F.sum(F.length(F.to_json(F.struct(*small.columns))) + 16 * len(small.columns))).first()[0] or 0
-    return split_join(big, F.broadcast(small) if size <= limit_bytes else small, keys, how)
+    size = F.sum(F.length(F.to_json(F.struct(*small.columns))) + 16 * len(small.columns))
+    n, size = small.limit(limit + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    few = n <= limit and size <= limit_bytes
+    return split_join(big, F.broadcast(small) if few else small, keys, how)
 
 
 def spread(rows: DataFrame) -> DataFrame:
