@@ -40,6 +40,17 @@ def test_scan(make_docs):
     assert labels[12, 7].labels == "" and all(0 <= r.score <= 1 for r in got)
 
 
+def test_words_put_in(make_docs):
+    ws = MIT.split()
+    footer = "page twelve of thirty printed for the second reader today".split()
+    half, third = len(ws) // 2, len(ws) // 3
+    texts = [" ".join(ws[:half] + footer + ws[half:]), " ".join(ws[:third] + footer + ws[third : 2 * third] + footer * 2 + ws[2 * third :]),
+             " ".join(ws[:third]), " ".join(ws[: third // 2] + ["z"] * 400 + ws[third:half])]
+    got = {r.doc_id: r for r in S.scan(make_docs(list(enumerate(texts)))).collect()}
+    assert len(footer) == 10 and got[0].labels == got[1].labels == "mit" and got[0].score > 0.9
+    assert got[2].labels == got[3].labels == ""
+
+
 def test_empty(make_docs):
     assert S.scan(make_docs([])).collect() == []
 

@@ -5,8 +5,8 @@ of a document is hashed and joined to the places where a template has that windo
 for the diagonal ``place in the document - place in the template``: the start the template would
 have. Votes are summed for each document, template and diagonal. Short phrases must have all
 their votes on one diagonal, which is an exact place. For texts, neighbouring diagonals (words
-put in or left out) are merged, and a span is confirmed if its hits cover enough of the
-template's windows. A second hash confirms each hit.
+put in or left out, up to as many as the template has) are merged, and a span is confirmed if its
+hits cover enough of the template's windows. A second hash confirms each hit.
 
 Only hits leave a document, combined on the map side; the template windows, a few thousand of
 given texts, are broadcast. Texts are never shuffled.
@@ -106,13 +106,14 @@ def votes(docs: DataFrame, templates: DataFrame, id_col="doc_id", text_col="text
 def spans(diagonals: DataFrame, slack: int = SLACK, cover: float = COVER) -> DataFrame:
     """doc_id, digest, label, base, first, last, cover: confirmed places.
 
-    Phrases: a full diagonal. Texts: a run of diagonals, each within ``slack`` of the one before."""
+    Phrases: a full diagonal. Texts: a run of diagonals, each within ``slack`` or the length of the
+    template of the one before, so that a notice with a page footer or a header inside is one span."""
     n = F.size("places")
     exact = diagonals.where(F.col("base") & (n == F.col("n_windows"))).select(
         "doc_id", "digest", "label", "base", F.col("diagonal").alias("first"), F.col("diagonal").alias("last"),
         F.lit(1.0).alias("cover"))
     own = Window.partitionBy("doc_id", "digest", "template").orderBy("diagonal")
-    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(own) > slack, F.lit(True))
+    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(own) > F.greatest(F.lit(slack), "n_windows"), F.lit(True))
     runs = diagonals.where(~F.col("base")).withColumn("run", F.sum(fresh.cast("int")).over(own))
     merged = runs.groupBy("doc_id", "digest", "template", "label", "n_windows", "run").agg(
         F.min("diagonal").alias("first"), F.max("diagonal").alias("last"),
@@ -160,12 +161,12 @@ dg AS (SELECT doc_id, p - 1 AS pos, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2
 v AS (SELECT doc_id, template, label, base, n_windows, pos - place AS diagonal, place FROM dg JOIN tg USING (g)),
 full_ AS (SELECT doc_id, label, true AS base, diagonal AS first, 1.0::DOUBLE AS cover FROM v WHERE base
           GROUP BY doc_id, template, label, n_windows, diagonal HAVING count(DISTINCT place) = n_windows),
-d AS (SELECT DISTINCT doc_id, template, diagonal FROM v WHERE NOT base),
-f AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER w > {SLACK}, true)::INT AS fresh FROM d
+d AS (SELECT DISTINCT doc_id, template, n_windows, diagonal FROM v WHERE NOT base),
+f AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER w > greatest({SLACK}, n_windows), true)::INT AS fresh FROM d
       WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM f),
 loose AS (SELECT doc_id, label, false AS base, min(diagonal) AS first, count(DISTINCT place) / n_windows::DOUBLE AS cover
-          FROM v JOIN r USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, n_windows, run
+          FROM v JOIN r USING (doc_id, template, n_windows, diagonal) GROUP BY doc_id, template, label, n_windows, run
           HAVING count(DISTINCT place) / n_windows::DOUBLE >= {COVER}::DOUBLE),
 s AS (SELECT * FROM full_ UNION ALL SELECT * FROM loose),
 a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
