@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelight.functions import coords
 from tidelight.operators import population
-from tidelight.plans import chain_queries, name_queries, population_queries
+from tidelight.plans import chain_queries, population_queries
 from tidelight.schema import FLUX_NAMES, MISSION_NAMES
 from tidelight.sources import readers, sinks
 
@@ -55,9 +55,6 @@ def test_result_files(spark, tmp_path):
     sinks.write_outbursts(report, str(tmp_path / "o"))
     back = spark.read.option("header", True).csv(str(tmp_path / "o"))
     assert back.columns == sinks.OUTBURST_COLUMNS and back.count() == report.count()
-    names = name_queries.parse_name(spark, SF)
-    if set(sinks.REVIEW_COLUMNS) <= set(names.columns):
-        sinks.write_review(names, str(tmp_path / "n"))
     fit = chain_queries.event_fit(spark, SF.replace("0.001", "0.01")).withColumn("source", F.col("source").cast("string"))
     sinks.write_log(fit.withColumn("band", F.lit("2-20keV")), str(tmp_path / "l"))
     lines = spark.read.text(str(tmp_path / "l"))

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import HOT_GROUP_ROWS, BaselineConfig, DetectorConfig
+from ..config import BROADCAST_BYTES, BROADCAST_ROWS, HOT_GROUP_ROWS, BaselineConfig, DetectorConfig
 from ..functions.expr import inv_var, safe_div
 from ..session import cut_lineage
-from .skew import grouped_quantiles, join_small
+from .skew import grouped_quantiles, join_small, split_join
 
 #: Days of a segment.
 WIDTH = 10.0
@@ -98,13 +98,17 @@ def clipped_level(curve: DataFrame, keys: Sequence[str], cfg: BaselineConfig = B
     level = curve.groupBy(*keys).agg(F.count("*").alias("n")).select(
         *keys, "n", F.lit(None).cast("double").alias("_m"), F.lit(None).cast("double").alias("_s"), F.lit(False).alias("_stop"), F.lit(-1).cast("long").alias("_cnt"))
     level = cut_lineage(level)
-    hot = not level.where(F.col("n") > hot_rows).isEmpty()
+    # a key and a few numbers: counted and measured once for all passes
+    size = F.sum(F.length(F.to_json(F.struct(*keys))) + 128)
+    n_keys, largest, size = level.agg(F.count("*"), F.max("n"), size).first()
+    hot, few = (largest or 0) > hot_rows, n_keys <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    attach = lambda df, small: split_join(df, F.broadcast(small) if few else small, keys)
     rows = curve.select(*keys, "val", "err")
     inside = F.col("_m").isNull() | (F.abs(F.col("val") - F.col("_m")) <= cfg.clip_sigma * F.col("_s")) | (F.col("val") < F.col("_m"))
     for i in range(cfg.n_iter + 1):
-        kept = join_small(rows, level, keys).where(inside)
+        kept = attach(rows, level).where(inside)
         centre = cut_lineage(_medians(kept.select(*keys, F.col("val").alias("_med")), keys, ["_med"], hot, hot_rows))
-        kept = join_small(kept, centre.select(*keys, "_med"), keys)
+        kept = attach(kept, centre.select(*keys, "_med"))
         spread = _medians(kept.select(*keys, F.abs(F.col("val") - F.col("_med")).alias("_dev"), F.col("err").alias("_err")), keys, ["_dev", "_err"], hot, hot_rows)
         spread = spread.select(*keys, F.greatest(cfg.mad_scale * F.col("_dev"), F.col("_err")).alias("_scat"))
         level = level.join(centre.withColumnRenamed("_rows", "_now"), list(keys)).join(spread, list(keys))

@@ -96,6 +96,15 @@ def html_links(spark, sf):
     )
 
 
+def short_positions(spark, sf):
+    """Positions that short names give, as columns: hours, minutes and a declination with tenths."""
+    k = F.col("p_partkey")
+    name = F.concat(
+        F.lit("MAXI J"), F.lpad((k % 2500).cast("string"), 4, "0"), F.when(k % 2 == 1, "+").otherwise("-"), F.lpad((k * 7 % 950).cast("string"), 3, "0"))
+    df = table(spark, sf, "part").select(k.alias("row_id"), name.alias("name")).withColumn("j", coords.short_j_position(F.col("name")))
+    return df.where("j IS NOT NULL").select("row_id", "name", rnd(F.col("j.ra"), 6).alias("ra"), rnd(F.col("j.dec"), 6).alias("dec"))
+
+
 def html_catalog(spark, sf):
     """First anchor per text over all pages, in page order."""
     df = html.anchors(table(spark, sf, "pages"), "page_id", "html")
@@ -148,6 +157,7 @@ QUERIES = {
     "slug_variants": slug_variants,
     "rate_limit_wait": rate_limit_wait,
     "html_links": html_links,
+    "short_positions": short_positions,
     "html_catalog": html_catalog,
     "json_field": json_field,
     "first_wins_dedup": first_wins_dedup,
@@ -270,3 +280,10 @@ SELECT DISTINCT ON (source_key) source_key, path, CAST(pr AS BIGINT) AS pattern
     "label_counts": """
 SELECT CASE p_type WHEN 'PROMO' THEN 'BH' WHEN 'ECONOMY' THEN 'NS' WHEN 'STANDARD' THEN 'NS' ELSE 'UNKNOWN' END AS label, count(*) AS n FROM part GROUP BY 1""",
 }
+ORACLE["short_positions"] = """
+WITH n AS (SELECT p_partkey AS row_id, lpad(CAST(p_partkey % 2500 AS VARCHAR), 4, '0') AS t, CASE WHEN p_partkey % 2 = 1 THEN '+' ELSE '-' END AS sg,
+             lpad(CAST(p_partkey * 7 % 950 AS VARCHAR), 3, '0') AS d FROM part),
+v AS (SELECT row_id, 'MAXI J' || t || sg || d AS name, CAST(substr(t, 1, 2) AS DOUBLE) AS hh, CAST(substr(t, 3, 2) AS DOUBLE) AS mm,
+        CAST(sg || substr(d, 1, 2) || '.' || substr(d, 3, 1) AS DOUBLE) AS de FROM n)
+SELECT row_id, name, round(((hh + mm / 60.0) * 15.0) % 360.0, 6) + 0.0 AS ra, round(de, 6) + 0.0 AS dec
+FROM v WHERE hh <= 24 AND mm <= 60 AND abs(de) <= 90"""
