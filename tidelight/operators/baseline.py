@@ -9,6 +9,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,10 +98,10 @@ class SlidingRanks:
 def _slide(half: float, width: float, cfg: BaselineConfig):
     """Kernel for the rows of one segment and their neighbours: local level of the segment's own rows."""
 
-    def run(df):
-        df = df.sort_values("mjd")
-        t, val, err, quiet = (df[c].tolist() for c in ("mjd", "val", "err", "quiet"))
-        seg, base, sigma = df["_seg"].iloc[0], df["base"].tolist(), df["sigma"].tolist()
+    def run(rows):
+        rows = rows.sort_by("mjd")
+        t, val, err, quiet, base, sigma = (rows.column(c).to_pylist() for c in ("mjd", "val", "err", "quiet", "base", "sigma"))
+        seg = rows.column("_seg")[0].as_py()
         values, errors, low, high, own = SlidingRanks(), SlidingRanks(), 0, 0, []
         for i, at in enumerate(t):
             if at // width != seg:
@@ -117,8 +118,10 @@ def _slide(half: float, width: float, cfg: BaselineConfig):
             if len(values.values) >= cfg.rolling_min_points:
                 base[i] = values.median()
                 sigma[i] = max(cfg.mad_scale * values.median_distance(base[i]), errors.median())
-        df = df.assign(base=base, sigma=sigma)
-        return df.iloc[own].drop(columns="_seg")
+        for name, values in (("base", base), ("sigma", sigma)):
+            i = rows.schema.get_field_index(name)
+            rows = rows.set_column(i, rows.schema.field(i), pa.array(values, pa.float64()))
+        return rows.take(pa.array(own, pa.int64())).drop_columns(["_seg"])
 
     return run
 
@@ -140,4 +143,4 @@ def baseline_rolling(
     reach = half + 1e-6  # the kernel draws the exact line
     first, last = (F.floor((F.col("mjd") + d) / F.lit(width)) for d in (-reach, reach))
     near = df.withColumn("_seg", F.explode(F.sequence(first, last)))
-    return near.groupBy(*keys, "_seg").applyInPandas(_slide(half, width, cfg), df.schema)
+    return near.groupBy(*keys, "_seg").applyInArrow(_slide(half, width, cfg), df.schema)
