@@ -12,10 +12,13 @@ Links: in each band bucket every class is paired with one class of the bucket, i
 whose buckets hold most classes in all, which is one in the middle of its group. Pairs whose
 sizes or whose collision-corrected estimate rule out the threshold by far (see ``MARGIN``) are
 dropped, the rest compared on full sets. Confirmed links make components. Only where a bucket
-then still holds several components are pairs across them compared: each member outside the
-bucket's largest component with the members of the others. Pairs inside a component are never
-made, so a group of n copies costs n comparisons in a bucket, and no link that joins two
-components is lost.
+then still holds several components are links across them looked for, by edits against the hub:
+the items that a member lacks or adds. Of two members with m and m' lacking and e and e' added
+items and k edits in common, the sets share h - m - m' + k items of the hub's h and their own, so
+a link needs a certain k, and one of the two is not linked with the hub (``far``). They are joined
+on the rarest edits only, as many as k allows, and each pair that meets is held to its own k.
+Edits of one member alone join nothing. Pairs inside a component are never made, so a group of n
+copies costs n comparisons at a hub, and no link that joins two components is lost.
 
 Sets of hubs meet in blocks of about 64, salted for blocks with many pairs; a task holds a
 block's sets and reads the members' one after another, each sent once for a block and not once for a hub.
@@ -33,8 +36,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .common import arrow_map, col, collector_off, join_counted, partitions, stage
 from .components import components
@@ -159,7 +164,7 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return stage(met.select("a", "b", "sa", "sb").mapInArrow(keep, "a binary, b binary"))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, kind: str) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """c and items (the shingle set) of the wanted classes, and of rows that share their id."""
     needed = stage(classes.join(wanted, "c").select(F.col("rep").alias("_k")).distinct())
     rows = docs.select(F.col("doc_id").alias("_k"), "text").withColumn("_null", F.col("_k").isNull()).fillna(0, ["_k"])
@@ -168,22 +173,13 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, ki
 
     def make(cols):
         values = [shingle_set(t, words) for t in cols[0]]
-        items = [v.tobytes() if kind == "binary" else v.view(np.int64) for v in values]
-        return {"c": [_digest(v) for v in values], "items": items}
+        return {"c": [_digest(v) for v in values], "items": [v.tobytes() for v in values]}
 
-    return arrow_map(rows, make, f"c binary, items {kind}")
+    return arrow_map(rows, make, "c binary, items binary")
 
 
-def _shared(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """c, s: shingles of each wanted class that some other of them has too, written."""
-    items = _sets(docs, classes, wanted, words, "array<long>").join(wanted, "c").select("c", F.explode("items").alias("h"))
-    # equal sets are one class; a repeated row may count itself, which rules out less
-    common = items.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return stage(items.join(common, "h").groupBy("c").agg(F.count("*").alias("s")))
-
-
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (member a, hub b) whose full sets are similar, written."""
+def _meet(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, compare, schema: str) -> DataFrame:
+    """Rows of ``compare(a, set of a, b, set of b)`` for the ``pairs`` (member a, hub b), not written."""
     blocks = max(1, -(-pairs.select("b").distinct().count() // HUBS_PER_BLOCK))
     blocked = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)))
     per_block = blocked.groupBy("block").agg(F.ceil(F.count("*") / F.lit(PAIRS_PER_TASK)).alias("salts"))
@@ -193,14 +189,15 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, pe
     hubs = salted.select(F.col("b").alias("c"), "block", "salt").distinct().select(
         "c", "block", "salt", F.lit(0).alias("role"), F.array().cast("array<binary>").alias("hubs"))
     sends = stage(members.unionByName(hubs))
-    sent = join_counted(_sets(docs, classes, sends.select("c").distinct(), words, "binary"), sends, ["c"])
+    sent = join_counted(_sets(docs, classes, sends.select("c").distinct(), words), sends, ["c"])
     dealt = sent.repartition(partitions(docs.sparkSession), "block", "salt").sortWithinPartitions("block", "salt", "role")
+    want = to_arrow_schema(_parse_datatype_string(schema))
 
     @collector_off
-    def compare(batches):
+    def run(batches):
         at, own = None, {}
         for batch in batches:
-            a, b = [], []
+            found = []
             for c, items, block, salt, role, wanted in zip(*(x.to_pylist() for x in batch.columns)):
                 values = np.frombuffer(items, np.uint64)
                 if at != (block, salt):
@@ -208,35 +205,65 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, pe
                 if role == 0:
                     own[c] = values
                     continue
-                for hub in wanted:
-                    if similar(values, own[hub], percent):
-                        a.append(c)
-                        b.append(hub)
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                found += filter(None, (compare(c, values, hub, own[hub]) for hub in wanted))
+            yield pa.record_batch([pa.array([r[i] for r in found], f.type) for i, f in enumerate(want)], schema=want)
+
+    return dealt.select("c", "items", "block", "salt", "role", "hubs").mapInArrow(run, schema)
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (member a, hub b) whose full sets are similar, written."""
+    compare = lambda c, x, hub, y: (c, hub) if similar(x, y, percent) else None
+    return stage(_meet(pairs, classes, docs, words, compare, "a binary, b binary").distinct())
+
+
+def _edits(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """a, b, n (size of a's set), h (of b's), m (number of b's items that a lacks), e (of items only a has), items
+    (both kinds) for the ``pairs`` (member a, hub b), written."""
+
+    def compare(c, x, hub, y):
+        lacks, adds = np.setdiff1d(y, x, True), np.setdiff1d(x, y, True)
+        return c, hub, len(x), len(y), len(lacks), len(adds), np.concatenate([lacks, adds]).view(np.int64)
 
-    return stage(dealt.select("c", "items", "block", "salt", "role", "hubs").mapInArrow(compare, "a binary, b binary").distinct())
+    schema = "a binary, b binary, n long, h long, m long, e long, items array<long>"
+    return stage(_meet(pairs, classes, docs, words, compare, schema).dropDuplicates(["a", "b"]))
 
 
-def _across(members: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, na, b, nb: pairs of different components that share a bucket and may be similar."""
-    rows = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select(
-        "key", "c", "n", F.coalesce("root", "c").alias("root"))
+def _across(members: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int):
+    """Pairs (a, na, b, nb) of different components that meet at a hub and whose edits allow a link; and links with a hub
+    (a, b) that are not in its component yet."""
+    rows = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "hub", F.coalesce("root", "c").alias("root"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    rows = stage(rows.join(mixed, "key", "left_semi"))
-    shared = _shared(docs, classes, stage(rows.select("c").distinct()), words)
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("rows"), F.min("n").alias("n"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("t"), F.min("n").alias("least"))
-    # a member outside the largest component goes on if the smallest set of its bucket could be similar to it
-    few = rows.join(top.select("key", F.col("t.root").alias("top"), "least"), "key").where("root != top")
-    few = few.join(shared, "c").where((100 * F.col("s") >= percent * F.col("n")) & (
-        (100 + percent) * F.col("s") >= percent * (F.col("n") + F.col("least"))))
-    few = stage(few.select("key", "top", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("s").alias("sa")))
-    all_ = rows.join(few.select("key", "top").distinct(), "key").join(shared.withColumnRenamed("s", "sb"), "c").select(
-        "key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "sb", (F.col("root") != F.col("top")).alias("fb"))
-    few = few.drop("top")
-    met = few.join(all_, "key").where("ra != rb AND (NOT fb OR a < b)").where(
-        (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb")))
-    return met.select("a", "na", "b", "nb")
+    rows = stage(rows.join(mixed, "key", "left_semi").select(F.col("c").alias("a"), F.col("hub").alias("b"), "root").distinct())
+    tops = stage(rows.where("a = b").select("b", F.col("root").alias("top")))
+    rows = rows.where("a != b")
+    met = _edits(rows.select("a", "b"), classes, docs, words)
+    cost = (100 * F.col("m") + percent * F.col("e") - (100 - percent) * F.col("h")).alias("cost")  # above 0: not linked with the hub
+    about = join_counted(met.select("a", "b", "n", "h", (F.col("m") + F.col("e")).alias("d"), cost).join(rows, ["a", "b"]), tops, ["b"])
+    about = stage(about)
+    items = met.select("a", "b", F.explode("items").alias("item"))
+    common = items.groupBy("b", "item").agg(F.count("*").alias("times")).where("times > 1")
+    own = Window.partitionBy("a", "b")
+    # rarest first; those that nobody else has come before all others and need no row
+    ranked = items.join(common, ["b", "item"]).select(
+        "a", "b", "item", F.row_number().over(own.orderBy("times", "item")).alias("at"), F.count("*").over(own).alias("of"))
+    ranked = ranked.join(about, ["a", "b"]).withColumn("left", F.col("of") - F.col("at") + 1).drop("at", "of", "d")
+    far = F.col("cost") > 0
+    one, room = F.lit(100 + percent), (100 - percent) * F.col("h")
+    # the least number of common edits with any far partner, and of a far one with any near partner
+    with_far = one * F.col("left") >= F.col("cost") + room + 1
+    with_near = far & (F.col("root") != F.col("top")) & (100 * F.col("left") >= F.col("cost"))
+    kinds = F.array_compact(F.array(F.when(far & with_far, 1), F.when(F.when(far, with_near).otherwise(with_far), 0)))
+    sides = stage(ranked.select("a", "b", "n", "item", "left", "cost", "root", room.alias("room"), far.alias("far"), F.explode(kinds).alias("kind")))
+    one_side = sides.where("far").drop("far")
+    other = sides.select("b", "item", "kind", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("left").alias("left2"),
+                         F.col("cost").alias("cost2"), F.col("root").alias("root2"), F.col("far").alias("far2"))
+    allowed = (F.col("root") != F.col("root2")) & F.when(F.col("kind") == 1, F.col("a") < F.col("a2")).otherwise(~F.col("far2")) & (
+        one * F.least("left", "left2") >= F.col("cost") + F.col("cost2") + F.col("room")) & (
+        100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    pairs = one_side.join(other, ["b", "item", "kind"]).where(allowed)
+    missed = about.where("cost <= 0 AND root != top").select("a", "b")
+    return pairs.select("a", F.col("n").alias("na"), F.col("a2").alias("b"), F.col("n2").alias("nb")), missed
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
@@ -255,8 +282,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col="
     links = _links(_candidates(stars, classes, percent), classes, docs, words, percent)
     edge = lambda x: x.select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = stage(components(edge(links)))
-    rest = _candidates(_across(members, roots, docs, classes, words, percent), classes, percent)
-    more = _links(rest, classes, docs, words, percent)
+    pairs, missed = _across(members, roots, docs, classes, words, percent)
+    more = stage(_links(_candidates(pairs, classes, percent), classes, docs, words, percent).unionByName(missed).distinct())
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = stage(components(edge(links)))
