@@ -229,13 +229,19 @@ def _edits(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) ->
     return stage(_meet(pairs, classes, docs, words, compare, schema).dropDuplicates(["a", "b"]))
 
 
-def _across(members: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int):
+def _across(members: DataFrame, links: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int):
     """Pairs (a, na, b, nb) of different components that meet at a hub and whose edits allow a link; and links with a hub
     (a, b) that are not in its component yet."""
     rows = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "hub", F.coalesce("root", "c").alias("root"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    rows = stage(rows.join(mixed, "key", "left_semi").select(F.col("c").alias("a"), F.col("hub").alias("b"), "root").distinct())
-    tops = stage(rows.where("a = b").select("b", F.col("root").alias("top")))
+    # a hub gives way to the one with most links among those it is linked with, so that a group has few
+    most = links.groupBy("b").agg(F.count("*").alias("links"))
+    chosen = links.select(F.col("a").alias("hub"), "b").join(most, "b").unionByName(most.withColumn("hub", F.col("b")))
+    chosen = stage(chosen.groupBy("hub").agg(F.max(F.struct("links", "b"))["b"].alias("b")))
+    rows = join_counted(rows.join(mixed, "key", "left_semi"), chosen, ["hub"], "left")
+    rows = stage(rows.select(F.col("c").alias("a"), F.coalesce("b", "hub").alias("b"), "root").distinct())
+    tops = rows.select("b").distinct().join(roots.withColumnRenamed("node", "b"), "b", "left")
+    tops = stage(tops.select("b", F.coalesce("root", "b").alias("top")))
     rows = rows.where("a != b")
     met = _edits(rows.select("a", "b"), classes, docs, words)
     cost = (100 * F.col("m") + percent * F.col("e") - (100 - percent) * F.col("h")).alias("cost")  # above 0: not linked with the hub
@@ -282,7 +288,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col="
     links = _links(_candidates(stars, classes, percent), classes, docs, words, percent)
     edge = lambda x: x.select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = stage(components(edge(links)))
-    pairs, missed = _across(members, roots, docs, classes, words, percent)
+    pairs, missed = _across(members, links, roots, docs, classes, words, percent)
     more = stage(_links(_candidates(pairs, classes, percent), classes, docs, words, percent).unionByName(missed).distinct())
     if not more.isEmpty():
         links = links.unionByName(more)
