@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from tidelight.operators import sky
+from tidelight.plans import sky_queries
 
 AS = 1 / 3600.0
 
@@ -66,3 +67,10 @@ def test_dedup_is_not_transitive(spark):
     df = frame(spark, [10.0] * 3, [0.0, 4 * AS, 8 * AS], ord=[0, 1, 2], cat=["x", "y", "z"])
     got = {r.ord: r.labels for r in sky.greedy_dedup(df, 5.0, "ord", "cat").collect()}
     assert got == {0: "x|y", 2: "y|z"}
+
+
+@pytest.mark.parametrize("name", ["cone_nearest", "cone_best_catalog", "cone_archives", "classify_sources", "class_summary"])
+def test_cone_joins_collect_no_side_on_the_driver(spark, name):
+    # the files are small, what is exploded or folded from them need not be
+    plan = sky_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -159,7 +159,7 @@ def classify(
     # every stage is read several times by the next one, so each is materialised once
     names = cut_lineage(names)
     direct = cut_lineage(resolve_direct(names, catalogs, cfg))
-    rest = names.join(direct.select("src"), "src", "left_anti")
+    rest = split_join(names, direct.select("src"), ["src"], "left_anti")
     placed = cut_lineage(direct.unionByName(resolve_by_index(rest, index, cfg)))
     pts = placed.select(F.col("r_ra").alias("ra"), F.col("r_dec").alias("dec")).distinct()
     hits = nearest_in_cone(
@@ -175,7 +175,7 @@ def classify(
     placed = placed.withColumnsRenamed({"r_ra": "ra", "r_dec": "dec"})
     df = split_join(placed, wide, ["ra", "dec"], "left")
     df = split_join(df, near_type, ["ra", "dec"], "left")
-    df = names.join(df, "src", "left")
+    df = split_join(names, df, ["src"], "left")
     df = split_join(df.withColumn("name", F.col("query_name")), by_name, ["name"], "left").drop("name")
 
     wd, bc = (F.col(c) for c in BH_CATALOGS)

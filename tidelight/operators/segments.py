@@ -102,7 +102,7 @@ def clipped_level(curve: DataFrame, keys: Sequence[str], cfg: BaselineConfig = B
     size = F.sum(F.length(F.to_json(F.struct(*keys))) + 128)
     n_keys, largest, size = level.agg(F.count("*"), F.max("n"), size).first()
     hot, few = (largest or 0) > hot_rows, n_keys <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
-    attach = lambda df, small: split_join(df, F.broadcast(small) if few else small, keys)
+    attach = lambda df, small: df.join(F.broadcast(small), list(keys)) if few else split_join(df, small, keys)
     rows = curve.select(*keys, "val", "err")
     inside = F.col("_m").isNull() | (F.abs(F.col("val") - F.col("_m")) <= cfg.clip_sigma * F.col("_s")) | (F.col("val") < F.col("_m"))
     for i in range(cfg.n_iter + 1):

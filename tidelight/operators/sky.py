@@ -118,7 +118,7 @@ def nearest_of_parts(
     pos = with_cell(_distinct_positions(points), radius_arcsec)
     pos = with_vector(pos, "_p")
     limit = (_chord(radius_arcsec) * (1 + 1e-7)) ** 2
-    cand = pos.join(boxes, CELL).select(
+    cand = split_join(pos, boxes, CELL).select(
         "ra", "dec", *by, *SUB, F.expr(f"{BOX_NEAR} AS _near"), F.expr(f"{BOX_FAR} AS _far")
     ).where(F.col("_near") <= limit)
     # one entry per sub-cell, and a neighbourhood has a fixed number of sub-cells
@@ -130,7 +130,7 @@ def nearest_of_parts(
         "ra", "dec", *by,
         F.explode(F.filter("_boxes", lambda b: b["_near"] <= slack)).alias("_b"),
     ).select("ra", "dec", *by, *[F.col(f"_b.{c}").alias(c) for c in SUB])
-    pairs = best.join(rows, [*SUB, *by])
+    pairs = split_join(best, rows, [*SUB, *by])
     pairs = pairs.withColumn("sep", F.expr(SEP)).where(F.col("sep") <= radius_arcsec)
     key = F.struct(F.col("sep"), *[F.col(f"_m.{o}") for o in order])
     picked = pairs.groupBy("ra", "dec", *by).agg(
@@ -172,7 +172,7 @@ def cone_aggregate(
     )
     pos = with_cell(_distinct_positions(points), radius_arcsec)
     pos = with_vector(pos, "_p")
-    cand = pos.join(with_neighbours(boxes), CELL).select(
+    cand = split_join(pos, with_neighbours(boxes), CELL).select(
         "ra", "dec", *by, *sub, "_n", "_v", F.expr(f"{BOX_NEAR} AS _near"), F.expr(f"{BOX_FAR} AS _far")
     )
     limit = _chord(radius_arcsec) ** 2
@@ -180,7 +180,7 @@ def cone_aggregate(
     whole = cand.where(F.col("_far") < inner).select("ra", "dec", *by, "_n", "_v")
     edge = cand.where((F.col("_far") >= inner) & (F.col("_near") <= outer)).select("ra", "dec", *by, *sub)
     members = rows.select(*by, *sub, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_n", "_v")
-    single = edge.join(members, [*by, *sub]).where(f"{SEP} <= {radius_arcsec!r}D")
+    single = split_join(edge, members, [*by, *sub]).where(f"{SEP} <= {radius_arcsec!r}D")
     return whole.unionByName(single.select("ra", "dec", *by, "_n", "_v")).groupBy("ra", "dec", *by).agg(
         F.sum("_n").alias("n_in_cone"), F.max("_v").alias("max_value")
     )
@@ -214,7 +214,7 @@ def greedy_dedup(rows: DataFrame, radius_arcsec: float, order: str, label: str)
         F.transform(F.array_sort(F.collect_list(F.struct("_o", label))), lambda s: s[label]), "|"
     )
     labels = per_label.groupBy("_rep").agg(joined.alias("labels"), F.sum("_n").alias("n_close"))
-    return rows.join(labels.withColumnRenamed("_rep", order), order)
+    return split_join(rows, labels.withColumnRenamed("_rep", order), [order])
 
 
 def representatives(spots: DataFrame, radius_arcsec: float, tile: int = TILE, most: int = TILE_ROWS) -> tuple[DataFrame | None, int]:
@@ -236,15 +236,15 @@ def representatives(spots: DataFrame, radius_arcsec: float, tile: int = TILE, mo
             new = cut_lineage(new.unionByName(_first_of_cells(open_)).dropDuplicates(["_o"]))
         reps, rounds = new if reps is None else reps.unionByName(new), rounds + 1
         covered = _covered(open_, new, radius_arcsec).select("ra", "dec").distinct()
-        open_ = cut_lineage(open_.join(covered, ["ra", "dec"], "left_anti"))
+        open_ = cut_lineage(split_join(open_, covered, ["ra", "dec"], "left_anti"))
     return reps, rounds
 
 
 def _first_of_cells(open_: DataFrame) -> DataFrame:
     first = open_.groupBy(*CELL).agg(F.min("_o").alias("_o"))
     around = with_neighbours(first).groupBy(*CELL).agg(F.min("_o").alias("_lowest"))
-    chosen = first.join(around, CELL).where(F.col("_o") == F.col("_lowest")).select("_o")
-    return open_.join(chosen, "_o", "left_semi")
+    chosen = split_join(first, around, CELL).where(F.col("_o") == F.col("_lowest")).select("_o")
+    return split_join(open_, chosen, ["_o"], "left_semi")
 
 
 def _resolve_tiles(open_: DataFrame, radius_arcsec: float, tile: int, shift: int, most: int) -> tuple[DataFrame, bool]:
@@ -293,5 +293,5 @@ def _covered(rows: DataFrame, reps: DataFrame, radius_arcsec: float) -> DataFram
     centres = with_neighbours(reps.select("ra", "dec", "_o", *CELL)).select(
         *CELL, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), F.col("_o").alias("_rep")
     )
-    near = rows.join(centres, CELL)
+    near = split_join(rows, centres, CELL)
     return near.where(f"{SEP} < {radius_arcsec!r}D")
