@@ -203,3 +203,50 @@ def test_injected_pulse_is_recovered():
     true = np.interp(0.95, cum / cum[-1], t) - np.interp(0.05, cum / cum[-1], t)
     assert r["t90"] == pytest.approx(true, rel=0.05)
     assert pulsefit.fit_span(t[:5], f[:5], s[:5], t[0], t[4]) is None
+
+
+def test_spans_fitted_together_are_those_fitted_alone():
+    rng = np.random.default_rng(5)
+    spans = []
+    for n in (12, 30, 8, 45, 20):
+        t = np.sort(rng.choice(60, n, False)) + 0.5
+        f = 40.0 * np.exp(-((t - t.mean()) / 6.0) ** 2) + rng.normal(0, 1, n)
+        spans.append((t, f, np.ones(n), t[0], t[-1]))
+    spans.append((np.arange(12.0), np.zeros(12), np.ones(12), 0.0, 11.0))
+    together = pulsefit.fit_spans(spans)
+    assert together[2] is None
+    for x, got in zip(spans, together):
+        alone = pulsefit.fit_span(*x)
+        assert (alone is None) == (got is None)
+        if alone:
+            assert alone["converged"] == got["converged"] and alone["chi2"] == pytest.approx(got["chi2"], rel=1e-6)
+
+
+def test_a_round_of_the_fit_takes_all_spans(monkeypatch):
+    calls, values = [], pulsefit.Curves.values
+    monkeypatch.setattr(pulsefit.Curves, "values", lambda self, p: calls.append(len(p)) or values(self, p))
+    t = np.arange(20.0)
+    f = 30.0 * np.exp(-((t - 8.0) / 3.0) ** 2)
+    pulsefit.fit_spans([(t, f, np.ones(20), 0.0, 19.0)])
+    alone = len(calls)
+    calls.clear()
+    pulsefit.fit_spans([(t, f, np.ones(20), 0.0, 19.0)] * 8)
+    assert len(calls) == alone and max(calls) == 8
+
+
+def test_a_span_that_cannot_be_solved_leaves_the_others(monkeypatch):
+    t = np.arange(20.0)
+    f = 30.0 * np.exp(-((t - 8.0) / 3.0) ** 2)
+    solve = np.linalg.solve
+
+    def fails(a, b):
+        if len(a) != 4 or a.ndim == 2 and a[0, 0] > 1e5:
+            raise np.linalg.LinAlgError("Singular matrix")
+        return solve(a, b)
+
+    good, bad = (t, f, np.ones(20), 0.0, 19.0), (t, f, np.full(20, 1e-9), 0.0, 19.0)
+    want = pulsefit.fit_span(*good)
+    monkeypatch.setattr(np.linalg, "solve", fails)
+    got = pulsefit.fit_spans([good, bad, good])
+    assert isinstance(got[1], np.linalg.LinAlgError)
+    assert all(got[i]["chi2"] == pytest.approx(want["chi2"], rel=1e-6) for i in (0, 2))

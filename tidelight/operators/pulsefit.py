@@ -1,7 +1,7 @@
 """Bounded fit of a smeared pulse per (source, band, span).
 
 Spark crops the points to the spans and ships one bounded group per span; the kernel is a
-small NumPy least-squares routine.
+small NumPy least-squares routine that takes many spans at once.
 """
 
 from __future__ import annotations
@@ -22,78 +22,195 @@ FIT_FIELDS = [
     "baseline", "threshold", "A", "t0", "tau1", "tau2", "width", "t_rise", "t_decay", "chi2", "chi2_red",
     "aic", "t_peak", "t5", "t95", "t90", "resid_mean", "resid_std", "resid_max_abs",
 ]
+#: Grid points that are worked at once: some spans, or one that is larger.
+CHUNK_POINTS = 1 << 17
 
 
-def smeared_pulse(p, grid, step, at, slopes: bool = False) -> np.ndarray:
+def smeared_pulse(p, grid, step, at) -> np.ndarray:
     """Rise-and-decay pulse averaged over a centred window of odd length, at grid indices.
 
     One prefix sum over the uniform grid gives the window sum at any index; the pulse is
-    zero outside the grid. With ``slopes`` the rows are the value and its derivatives by
-    amplitude, start, rise and decay. The width only acts through a whole number of grid
+    zero outside the grid. The width only acts through a whole number of grid
     steps, so the model is flat in it and it has no derivative.
     """
     amp, t0, rise, decay, width = p
     on = int(np.searchsorted(grid, t0, side="right"))
     lag = grid[on:] - t0
-    shape = np.exp(-rise / lag - lag / decay)
-    parts = [shape]
-    if slopes:
-        inv = shape / lag
-        parts += [shape / decay - rise * inv / lag, -inv, shape * lag / decay**2]
     half = max(1, int(round(max(width, step) / step))) // 2
     hi = np.minimum(at + half + 1, len(grid))
     lo = np.maximum(at - half, 0)
-    out = []
     total = np.zeros(len(grid) + 1)
-    for part in parts:
-        np.cumsum(part, out=total[on + 1 :])
-        out.append((total[hi] - total[lo]) / (2 * half + 1))
-    if not slopes:
-        return amp * out[0]
-    return np.stack([amp * out[0], out[0], amp * out[1], amp * out[2], amp * out[3]])
-
-
-def bounded_least_squares(model, f, s, p, lo, hi, max_iter):
-    """Damped Gauss-Newton inside a box on the parameters that have a derivative.
-
-    ``model(p, slopes)`` gives the curve at the data. Returns parameters, (curve-f)/s and whether
-    no step could lower the cost any more before ``max_iter`` steps were done.
+    np.cumsum(np.exp(-rise / lag - lag / decay), out=total[on + 1 :])
+    return amp * ((total[hi] - total[lo]) / (2 * half + 1))
+
+
+class Curves:
+    """Smeared pulses of many spans at their data times, all at once: one row for each span.
+
+    Rows are padded to the longest grid and the most points; what is padded gives 0. The width keeps its start
+    value, so the window of each data time is fixed. Grid arrays are made once and written over."""
+
+    def __init__(self, spans: list[dict]):
+        size = max(len(s["used"]) for s in spans)
+        most = max(len(s["t"]) for s in spans)
+        self.grid = np.full((len(spans), size), -np.inf)
+        self.lo, self.hi = (np.zeros((len(spans), 2 * most), np.int64) for _ in range(2))
+        self.share, self.many = np.zeros((len(spans), most)), np.empty((len(spans), 1))
+        for i, s in enumerate(spans):
+            n = len(s["t"])
+            self.grid[i, : len(s["used"])] = s["used"]
+            for to, of in zip((self.lo, self.hi), s["window"]):
+                to[i, :n], to[i, most : most + n] = of[:n], of[n:]
+            self.share[i, :n], self.many[i] = s["share"], s["many"]
+        self._scratch()
+
+    def _scratch(self) -> None:
+        self.lag, self.shape, *self.work = (np.empty_like(self.grid) for _ in range(5))
+        self.off, self.total = np.empty(self.grid.shape, bool), np.zeros((len(self.grid), self.grid.shape[1] + 1))
+
+    def keep(self, rows: np.ndarray) -> None:
+        """Leaves the other rows behind."""
+        for name in ("grid", "lo", "hi", "share", "many"):
+            setattr(self, name, getattr(self, name)[rows])
+        self._scratch()
+
+    def _windows(self, part: np.ndarray, lo: np.ndarray, hi: np.ndarray, many: np.ndarray) -> np.ndarray:
+        total = self.total[: len(part)]
+        np.cumsum(part, axis=1, out=total[:, 1:])
+        return (np.take_along_axis(total, hi, 1) - np.take_along_axis(total, lo, 1)) / many
+
+    def _between(self, v: np.ndarray, share: np.ndarray) -> np.ndarray:
+        most = share.shape[1]
+        return v[:, :most] * (1 - share) + v[:, most:] * share
+
+    def values(self, p: np.ndarray) -> np.ndarray:
+        """Values at the data times with the parameters ``p`` of every row."""
+        amp, t0, rise, decay = (p[:, [i]] for i in range(4))
+        lag, shape, off, more = self.lag, self.shape, self.off, self.work[0]
+        np.subtract(self.grid, t0, out=lag)
+        np.less_equal(lag, 0, out=off)  # the pulse has not begun, or the grid has ended
+        np.copyto(lag, 1.0, where=off)
+        np.divide(-rise, lag, out=shape)
+        np.divide(lag, decay, out=more)
+        np.subtract(shape, more, out=shape)
+        np.exp(shape, out=shape)
+        np.copyto(shape, 0.0, where=off)
+        self.unit = self._windows(shape, self.lo, self.hi, self.many)
+        return self._between(amp * self.unit, self.share)
+
+    def slopes(self, p: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Derivatives by amplitude, start, rise and decay for ``rows``, at the parameters that :meth:`values` had last."""
+        amp, _, rise, decay = (p[rows][:, [i]] for i in range(4))
+        inv, first, rest = (w[: len(rows)] for w in self.work)
+        lag, shape, share = self.lag[rows], self.shape[rows], self.share[rows]
+        window = self.lo[rows], self.hi[rows], self.many[rows]
+        out = [self._between(self.unit[rows], share)]
+        np.divide(shape, lag, out=inv)
+        np.divide(shape, decay, out=first)
+        np.multiply(rise, inv, out=rest)
+        np.divide(rest, lag, out=rest)
+        np.subtract(first, rest, out=first)
+        out.append(self._between(amp * self._windows(first, *window), share))
+        np.negative(inv, out=inv)
+        out.append(self._between(amp * self._windows(inv, *window), share))
+        np.multiply(shape, lag, out=rest)
+        np.divide(rest, decay**2, out=rest)
+        out.append(self._between(amp * self._windows(rest, *window), share))
+        return np.stack(out, axis=1)
+
+
+def bounded_least_squares(spans: list[dict], max_iter: int) -> None:
+    """Damped Gauss-Newton inside a box on the parameters that have a derivative, for many spans at once.
+
+    Each span has its points, grid, start ``p`` and box; it gets the parameters, (curve-f)/s and whether no
+    step could lower the cost any more before ``max_iter`` steps were done, or the ``failed`` error. Every
+    round tries one step of each span; a span goes its own way whatever the others do.
     """
-    p = np.clip(p, lo, hi)
-    m = 4
-    r = (model(p, False) - f) / s
-    cost, damp = r @ r, 1e-2
-    converged = False
-    for _ in range(max_iter):
-        jac = (model(p, True)[1:] / s).T
-        g, curv = jac.T @ r, jac.T @ jac
-        free = ~(((p[:m] <= lo[:m]) & (g > 0)) | ((p[:m] >= hi[:m]) & (g < 0)))
-        if not free.any():
-            converged = True
-            break
-        gain = 0.0
-        for _ in range(12):
-            a = curv[np.ix_(free, free)]
-            scale = np.diag(np.maximum(np.diag(a), 1e-12))
-            d = np.zeros_like(p)
-            d[:m][free] = np.linalg.solve(a + damp * scale, -g[free])
-            q = np.clip(p + d, lo, hi)
-            rq = (model(q, False) - f) / s
-            cq = rq @ rq
-            if np.isfinite(cq) and cq < cost:
-                gain, p, r, cost, damp = cost - cq, q, rq, cq, max(damp / 5, 1e-9)
-                break
-            damp *= 4
-        if gain <= 1e-7 * max(cost, 1e-12):
-            converged = True
-            break
-    return p, r, converged
-
-
-def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | None:
-    """All summary numbers of one span (time-ordered points), None if too few points."""
-    if len(t) < cfg.min_points:
-        return None
+    m, tries = 4, 12
+    most = max(len(s["t"]) for s in spans)
+    curves = Curves(spans)
+    lo, hi = (np.stack([s[k] for s in spans]) for k in ("lo", "hi"))
+    p = np.clip(np.stack([s["p"] for s in spans]), lo, hi)
+    f, err = np.zeros((len(spans), most)), np.ones((len(spans), most))
+    for i, s in enumerate(spans):
+        f[i, : len(s["f"])], err[i, : len(s["s"])] = s["f"], s["s"]
+    r = (curves.values(p) - f) / err
+    cost = _dots(r, r)
+    n = len(spans)
+    damp, steps, tried = np.full(n, 1e-2), np.zeros(n, int), np.zeros(n, int)
+    grad, curv, free = np.zeros((n, m)), np.zeros((n, m, m)), np.ones((n, m), bool)
+    at, done, rest = np.arange(n), np.full(n, max_iter <= 0), np.zeros(n, bool)
+    fresh = np.flatnonzero(~done)  # rows whose derivatives are to be taken
+    while True:
+        if len(fresh):
+            jac = curves.slopes(p, fresh) / err[fresh][:, None]
+            grad[fresh] = (jac @ r[fresh][..., None])[..., 0]
+            curv[fresh] = jac @ jac.transpose(0, 2, 1)
+            x, g = p[fresh][:, :m], grad[fresh]
+            free[fresh] = ~(((x <= lo[fresh][:, :m]) & (g > 0)) | ((x >= hi[fresh][:, :m]) & (g < 0)))
+            rest[fresh] = done[fresh] = ~free[fresh].any(axis=1)
+        live = np.flatnonzero(~done)
+        d, failed = _steps(curv[live], grad[live], free[live], damp[live])
+        for k, e in failed.items():
+            spans[at[live[k]]]["failed"], done[live[k]] = e, True
+        if done.sum() > 0.25 * len(done) or done.all():  # rows that came to rest are left behind
+            for i in np.flatnonzero(done):
+                s = spans[at[i]]
+                s.update(p=p[i], r=r[i, : len(s["t"])], converged=bool(rest[i]))
+            kept = ~done
+            if not kept.any():
+                return
+            d = d[kept[live]]
+            curves.keep(kept)
+            at, p, lo, hi, f, err, r, cost, damp, steps, tried, grad, curv, free, rest = (
+                x[kept] for x in (at, p, lo, hi, f, err, r, cost, damp, steps, tried, grad, curv, free, rest))
+            done = np.zeros(len(at), bool)
+            live = np.arange(len(at))
+        elif failed:
+            d = d[~done[live]]
+            live = live[~done[live]]
+        q = p.copy()
+        q[live, :m] += d
+        q[live] = np.clip(q[live], lo[live], hi[live])
+        rq = (curves.values(q) - f) / err
+        cq = _dots(rq, rq)
+        better = ~done & np.isfinite(cq) & (cq < cost)
+        gain = np.where(better, cost - cq, 0.0)
+        p[better], r[better], cost[better] = q[better], rq[better], cq[better]
+        damp = np.where(better, np.maximum(damp / 5, 1e-9), damp * 4)
+        tried = np.where(better, 0, tried + 1)
+        ended = ~done & (better | (tried >= tries))
+        steps += ended
+        rest |= ended & (gain <= 1e-7 * np.maximum(cost, 1e-12))
+        done |= ended & (rest | (steps >= max_iter))
+        fresh = np.flatnonzero(ended & ~done)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, None] @ b[..., None])[:, 0, 0]
+
+
+def _steps(curv: np.ndarray, grad: np.ndarray, free: np.ndarray, damp: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Damped steps on the free parameters, and the errors of rows that cannot be solved."""
+    each = np.arange(curv.shape[1])
+    a = np.where(free[:, :, None] & free[:, None, :], curv, 0.0)
+    size = a[:, each, each]
+    a[:, each, each] = np.where(free, size + damp[:, None] * np.maximum(size, 1e-12), 1.0)
+    b = np.where(free, -grad, 0.0)
+    try:
+        return np.linalg.solve(a, b[..., None])[..., 0], {}
+    except np.linalg.LinAlgError:  # one of them: find which
+        d, failed = np.zeros_like(b), {}
+        for k in range(len(a)):
+            try:
+                d[k] = np.linalg.solve(a[k], b[k])
+            except np.linalg.LinAlgError as e:
+                failed[k] = e
+        return d, failed
+
+
+def _start(t, f, s, t_start, t_end, cfg: FitConfig) -> dict:
+    """Grid, start values and box of the fit of one span."""
     peak = int(np.argmax(f))
     cad = float(np.median(np.diff(t))) if len(t) > 1 else 1.0
     w0, span = max(cad, 0.3), max(t_end - t_start, 1.0)
@@ -111,22 +228,32 @@ def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | No
     hi = np.array([np.inf, t[peak], 500.0, 1000.0, w_hi])
     ref = grid[0]
     shift = np.array([0, ref, 0, 0, 0.0])
-
     grid = grid - ref
 
-    def sampler(times):
-        """Linear interpolation of the smeared pulse between its grid neighbours."""
+    def at(times):
+        """Grid point before each time, and its share of the way to the next one."""
         left = np.clip(np.floor((times - ref) / step).astype(int), 0, len(grid) - 2)
-        share = (times - ref - grid[left]) / step
-        both = np.concatenate([left, left + 1])
-
-        def value(q, slopes=False):
-            v = smeared_pulse(q, grid, step, both, slopes)
-            return v[..., : len(times)] * (1 - share) + v[..., len(times) :] * share
+        return left, (times - ref - grid[left]) / step
+
+    # the width stays as it is, so only grid points in the windows of data times are ever summed
+    left, share = at(t)
+    both = np.concatenate([left, left + 1])
+    half = max(1, int(round(max(np.clip(w0, lo[4], hi[4]), step) / step))) // 2
+    begin, end = np.maximum(both - half, 0), np.minimum(both + half + 1, len(grid))
+    met = np.zeros(len(grid) + 1, np.int64)
+    np.add.at(met, begin, 1)
+    np.add.at(met, end, -1)
+    used = np.cumsum(met)[:-1] > 0
+    place = np.concatenate([[0], np.cumsum(used)])
+    return dict(
+        t=t, f=f, s=s, grid=grid, ref=ref, step=step, at=at, w_hi=w_hi, p=guess - shift, lo=lo - shift, hi=hi - shift,
+        used=grid[used], window=(place[begin], place[end]), share=share, many=2 * half + 1,
+    )
 
-        return value
 
-    p, r, converged = bounded_least_squares(sampler(t), f, s, guess - shift, lo - shift, hi - shift, cfg.max_iter)
+def _summary(x: dict, cfg: FitConfig) -> dict:
+    """All summary numbers of a fitted span."""
+    t, s, p, r, ref = x["t"], x["s"], x["p"], x["r"], x["ref"]
     resid = -r * s
     chi2, k, n = float(r @ r), 5, len(t)
     out = dict(
@@ -134,10 +261,12 @@ def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | No
         dof=n - k, chi2_red=chi2 / (n - k) if n > k else np.inf,
         aic=chi2 + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1),
         resid_mean=resid.mean(), resid_std=resid.std(), resid_max_abs=np.abs(resid).max(),
-        converged=converged, resid_sigma=(resid / s).tolist(), width_max=w_hi,
+        converged=x["converged"], resid_sigma=(resid / s).tolist(), width_max=x["w_hi"],
     )
     fine = np.linspace(t[0], t[-1], cfg.shape_grid)
-    g = np.clip(sampler(fine)(p), 0, None)
+    left, share = x["at"](fine)
+    v = smeared_pulse(p, x["grid"], x["step"], np.concatenate([left, left + 1]))
+    g = np.clip(v[: len(fine)] * (1 - share) + v[len(fine) :] * share, 0, None)
     area = np.concatenate([[0.0], np.cumsum(0.5 * (g[1:] + g[:-1]) * np.diff(fine))])
     if g.max() > 0 and area[-1] > 0:
         t5, t95 = np.interp([0.05, 0.95], area / area[-1], fine)
@@ -145,6 +274,45 @@ def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | No
     return out
 
 
+FAILURES = (np.linalg.LinAlgError, ValueError, FloatingPointError)
+
+
+def fit_spans(points: list[tuple], cfg: FitConfig = FitConfig()) -> list:
+    """:func:`fit_span` of many (t, f, s, t_start, t_end); an error stands in the place of a span that has it.
+
+    Spans of like size are fitted together, a bounded number at a time."""
+    out: list = [None] * len(points)
+    begun = {}
+    for i, x in enumerate(points):
+        if len(x[0]) >= cfg.min_points:
+            try:
+                begun[i] = _start(*x, cfg)
+            except FAILURES as e:
+                out[i] = e
+    weight = {i: len(x["used"]) + 2 * len(x["t"]) for i, x in begun.items()}
+    order, k = sorted(begun, key=lambda i: -weight[i]), 0
+    while k < len(order):
+        some = order[k : k + max(1, CHUNK_POINTS // weight[order[k]])]
+        k += len(some)
+        with np.errstate(all="ignore"):
+            bounded_least_squares([begun[i] for i in some], cfg.max_iter)
+        for i in some:
+            try:
+                out[i] = begun[i].get("failed") or _summary(begun[i], cfg)
+            except FAILURES as e:
+                out[i] = e
+            del begun[i]
+    return out
+
+
+def fit_span(t, f, s, t_start, t_end, cfg: FitConfig = FitConfig()) -> dict | None:
+    """All summary numbers of one span (time-ordered points), None if too few points."""
+    found = fit_spans([(t, f, s, t_start, t_end)], cfg)[0]
+    if isinstance(found, Exception):
+        raise found
+    return found
+
+
 def fit_pulses(
     series: DataFrame, spans: DataFrame, keys: Sequence[str], cfg: FitConfig = FitConfig()
 ) -> DataFrame:
@@ -179,13 +347,10 @@ def fit_pulses(
 
     def run(batches):
         for pdf in batches:
-            res = []
-            for r in pdf.itertuples(index=False):
-                points = [np.asarray(x) for x in (r.mjd, r.val, r.err)]
-                try:
-                    res.append(fit_span(*points, r.span_start_mjd, r.span_end_mjd, cfg))
-                except (np.linalg.LinAlgError, ValueError, FloatingPointError) as e:
-                    res.append({"error": f"{type(e).__name__}: {e}"})
+            points = [
+                (*(np.asarray(x) for x in (r.mjd, r.val, r.err)), r.span_start_mjd, r.span_end_mjd) for r in pdf.itertuples(index=False)
+            ]
+            res = [{"error": f"{type(x).__name__}: {x}"} if isinstance(x, Exception) else x for x in fit_spans(points, cfg)]
             done = pd.DataFrame({c: [x.get(c, np.nan) for x in res] for c in fitted}, index=pdf.index)
             done.insert(0, "dof", pd.array([x.get("dof") for x in res], "Int64"))
             for i, c in enumerate(["converged", "error", "resid_sigma"]):
