@@ -23,7 +23,7 @@ FIT_FIELDS = [
     "aic", "t_peak", "t5", "t95", "t90", "resid_mean", "resid_std", "resid_max_abs",
 ]
 #: Grid points that are worked at once: some spans, or one that is larger.
-CHUNK_POINTS = 1 << 17
+CHUNK_POINTS = 1 << 18
 
 
 def smeared_pulse(p, grid, step, at) -> np.ndarray:
@@ -58,7 +58,7 @@ class Curves:
         self.share, self.many = np.zeros((len(spans), most)), np.empty((len(spans), 1))
         for i, s in enumerate(spans):
             n = len(s["t"])
-            self.grid[i, : len(s["used"])] = s["used"]
+            self.grid[i, : len(s["used"])] = s["used"]  # the pulse behind the last window is never summed
             for to, of in zip((self.lo, self.hi), s["window"]):
                 to[i, :n], to[i, most : most + n] = of[:n], of[n:]
             self.share[i, :n], self.many[i] = s["share"], s["many"]
@@ -135,17 +135,18 @@ def bounded_least_squares(spans: list[dict], max_iter: int) -> None:
     for i, s in enumerate(spans):
         f[i, : len(s["f"])], err[i, : len(s["s"])] = s["f"], s["s"]
     r = (curves.values(p) - f) / err
-    cost = _dots(r, r)
-    n = len(spans)
+    n, points = len(spans), np.array([len(s["t"]) for s in spans])
+    cost = _squares(r, points)
     damp, steps, tried = np.full(n, 1e-2), np.zeros(n, int), np.zeros(n, int)
     grad, curv, free = np.zeros((n, m)), np.zeros((n, m, m)), np.ones((n, m), bool)
     at, done, rest = np.arange(n), np.full(n, max_iter <= 0), np.zeros(n, bool)
     fresh = np.flatnonzero(~done)  # rows whose derivatives are to be taken
     while True:
         if len(fresh):
-            jac = curves.slopes(p, fresh) / err[fresh][:, None]
-            grad[fresh] = (jac @ r[fresh][..., None])[..., 0]
-            curv[fresh] = jac @ jac.transpose(0, 2, 1)
+            jacs = curves.slopes(p, fresh) / err[fresh][:, None]
+            for i, j in zip(fresh, jacs):  # products without the padding, as of a span alone
+                j = np.ascontiguousarray(j[:, : points[i]])
+                grad[i], curv[i] = j @ r[i, : points[i]], j @ j.T
             x, g = p[fresh][:, :m], grad[fresh]
             free[fresh] = ~(((x <= lo[fresh][:, :m]) & (g > 0)) | ((x >= hi[fresh][:, :m]) & (g < 0)))
             rest[fresh] = done[fresh] = ~free[fresh].any(axis=1)
@@ -162,8 +163,8 @@ def bounded_least_squares(spans: list[dict], max_iter: int) -> None:
                 return
             d = d[kept[live]]
             curves.keep(kept)
-            at, p, lo, hi, f, err, r, cost, damp, steps, tried, grad, curv, free, rest = (
-                x[kept] for x in (at, p, lo, hi, f, err, r, cost, damp, steps, tried, grad, curv, free, rest))
+            at, points, p, lo, hi, f, err, r, cost, damp, steps, tried, grad, curv, free, rest = (
+                x[kept] for x in (at, points, p, lo, hi, f, err, r, cost, damp, steps, tried, grad, curv, free, rest))
             done = np.zeros(len(at), bool)
             live = np.arange(len(at))
         elif failed:
@@ -173,7 +174,7 @@ def bounded_least_squares(spans: list[dict], max_iter: int) -> None:
         q[live, :m] += d
         q[live] = np.clip(q[live], lo[live], hi[live])
         rq = (curves.values(q) - f) / err
-        cq = _dots(rq, rq)
+        cq = _squares(rq, points)
         better = ~done & np.isfinite(cq) & (cq < cost)
         gain = np.where(better, cost - cq, 0.0)
         p[better], r[better], cost[better] = q[better], rq[better], cq[better]
@@ -186,27 +187,28 @@ def bounded_least_squares(spans: list[dict], max_iter: int) -> None:
         fresh = np.flatnonzero(ended & ~done)
 
 
-def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, None] @ b[..., None])[:, 0, 0]
+def _squares(r: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Sum of squares of each row, without its padding."""
+    return np.array([x[:n] @ x[:n] for x, n in zip(r, points.tolist())])
 
 
 def _steps(curv: np.ndarray, grad: np.ndarray, free: np.ndarray, damp: np.ndarray) -> tuple[np.ndarray, dict]:
     """Damped steps on the free parameters, and the errors of rows that cannot be solved."""
     each = np.arange(curv.shape[1])
-    a = np.where(free[:, :, None] & free[:, None, :], curv, 0.0)
-    size = a[:, each, each]
-    a[:, each, each] = np.where(free, size + damp[:, None] * np.maximum(size, 1e-12), 1.0)
-    b = np.where(free, -grad, 0.0)
+    a, d, failed = curv.copy(), np.zeros_like(grad), {}
+    a[:, each, each] += damp[:, None] * np.maximum(a[:, each, each], 1e-12)
+    whole = free.all(axis=1)
     try:
-        return np.linalg.solve(a, b[..., None])[..., 0], {}
+        d[whole] = np.linalg.solve(a[whole], -grad[whole][..., None])[..., 0]
     except np.linalg.LinAlgError:  # one of them: find which
-        d, failed = np.zeros_like(b), {}
-        for k in range(len(a)):
-            try:
-                d[k] = np.linalg.solve(a[k], b[k])
-            except np.linalg.LinAlgError as e:
-                failed[k] = e
-        return d, failed
+        whole[:] = False
+    for k in np.flatnonzero(~whole):
+        f = free[k]
+        try:
+            d[k, f] = np.linalg.solve(a[k][np.ix_(f, f)], -grad[k, f])
+        except np.linalg.LinAlgError as e:
+            failed[k] = e
+    return d, failed
 
 
 def _start(t, f, s, t_start, t_end, cfg: FitConfig) -> dict:
@@ -235,19 +237,13 @@ def _start(t, f, s, t_start, t_end, cfg: FitConfig) -> dict:
         left = np.clip(np.floor((times - ref) / step).astype(int), 0, len(grid) - 2)
         return left, (times - ref - grid[left]) / step
 
-    # the width stays as it is, so only grid points in the windows of data times are ever summed
     left, share = at(t)
     both = np.concatenate([left, left + 1])
     half = max(1, int(round(max(np.clip(w0, lo[4], hi[4]), step) / step))) // 2
     begin, end = np.maximum(both - half, 0), np.minimum(both + half + 1, len(grid))
-    met = np.zeros(len(grid) + 1, np.int64)
-    np.add.at(met, begin, 1)
-    np.add.at(met, end, -1)
-    used = np.cumsum(met)[:-1] > 0
-    place = np.concatenate([[0], np.cumsum(used)])
     return dict(
         t=t, f=f, s=s, grid=grid, ref=ref, step=step, at=at, w_hi=w_hi, p=guess - shift, lo=lo - shift, hi=hi - shift,
-        used=grid[used], window=(place[begin], place[end]), share=share, many=2 * half + 1,
+        used=grid[: end.max()], window=(begin, end), share=share, many=2 * half + 1,
     )
 
 
