@@ -74,3 +74,17 @@ def test_cone_joins_collect_no_side_on_the_driver(spark, name):
     # the files are small, what is exploded or folded from them need not be
     plan = sky_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_neighbours_are_cells_on_the_sphere(spark):
+    rng = np.random.default_rng(3)
+    ra, dec = rng.uniform(0, 360, 300), np.degrees(np.arcsin(rng.uniform(-1, 1, 300)))
+    dec[:4] = [90.0, -90.0, 0.0, 0.0]
+    cells = sky.with_cell(frame(spark, ra, dec), 600.0)
+    around = sky.with_neighbours(cells, 600.0)
+    n = around.count()
+    assert 300 < n < 300 * 18
+    near = sky.with_cell(frame(spark, ra + 0.1, np.clip(dec + 0.1, -90, 90)), 600.0).select(*sky.CELL).collect()
+    own = {tuple(r) for r in around.select(*sky.CELL).collect()}
+    assert {tuple(r) for r in cells.select(*sky.CELL).collect()} <= own
+    assert sum(tuple(r) in own for r in near) >= 295

@@ -31,6 +31,11 @@ def _chord(radius_arcsec: float) -> float:
     return 2.0 * math.sin(math.radians(radius_arcsec / 3600.0) / 2.0)
 
 
+def _width(radius_arcsec: float) -> float:
+    # a hair wider than the chord, so that rounding never moves a neighbour two cells away
+    return _chord(radius_arcsec) * (1 + 1e-9)
+
+
 # unit vector of (ra, dec)
 XYZ = {
     "x": "cos(radians(dec)) * cos(radians(ra))",
@@ -46,8 +51,7 @@ BOX_FAR = " + ".join(f"pow(greatest(abs(_{a}0 - _p{a}), abs(_{a}1 - _p{a})), 2)"
 
 def with_cell(df: DataFrame, radius_arcsec: float, names: Sequence[str] = CELL) -> DataFrame:
     """Adds the integer cell of each position, as wide as the chord of the radius."""
-    # a hair wider than the chord, so that rounding never moves a neighbour two cells away
-    width = _chord(radius_arcsec) * (1 + 1e-9)
+    width = _width(radius_arcsec)
     return df.selectExpr("*", *[f"floor(({e}) / {width!r}D) AS {n}" for n, e in zip(names, XYZ.values())])
 
 
@@ -55,14 +59,21 @@ def with_vector(df: DataFrame, prefix: str) -> DataFrame:
     return df.selectExpr("*", *[f"{e} AS {prefix}{a}" for a, e in XYZ.items()])
 
 
-def with_neighbours(df: DataFrame, names: Sequence[str] = CELL) -> DataFrame:
-    """One row per cell around each row's cell, its own included: a single 27-fold explode."""
+def with_neighbours(df: DataFrame, radius_arcsec: float, names: Sequence[str] = CELL) -> DataFrame:
+    """One row per cell around each row's cell that the sphere passes through, its own included.
+
+    Of the 27 cells about two fifths lie on the sphere; no position is in the others."""
     steps = ", ".join(
         f"struct({x} AS a, {y} AS b, {z} AS c)" for x, y, z in itertools.product((-1, 0, 1), repeat=3)
     )
     rest = [c for c in df.columns if c not in names]
     moved = [f"{n} + _off.{f} AS {n}" for n, f in zip(names, "abc")]
-    return df.selectExpr("*", f"explode(array({steps})) AS _off").selectExpr(*rest, *moved)
+    # squared distance of the centre of the sphere to the nearest and to the farthest point of a cell
+    width = _width(radius_arcsec)
+    near = " + ".join(f"pow(greatest({n}, -({n} + 1), 0) * {width!r}D, 2)" for n in names)
+    far = " + ".join(f"pow(greatest(abs({n}), abs({n} + 1)) * {width!r}D, 2)" for n in names)
+    return df.selectExpr("*", f"explode(array({steps})) AS _off").selectExpr(*rest, *moved).where(
+        f"{near} <= 1.0D + 1e-12D AND {far} >= 1.0D - 1e-12D")
 
 
 def _distinct_positions(df: DataFrame) -> DataFrame:
@@ -106,7 +117,7 @@ def catalog_parts(catalog: DataFrame, radius_arcsec: float, order: Sequence[str]
         *[F.expr(f"{fn}(_{a}) AS _{a}{i}") for a in "xyz" for i, fn in enumerate(("min", "max"))],
     )
     rows = first.select(*SUB, *by, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_m")
-    return rows, with_neighbours(boxes)
+    return rows, with_neighbours(boxes, radius_arcsec)
 
 
 def nearest_of_parts(
@@ -172,7 +183,7 @@ def cone_aggregate(
     )
     pos = with_cell(_distinct_positions(points), radius_arcsec)
     pos = with_vector(pos, "_p")
-    cand = split_join(pos, with_neighbours(boxes), CELL).select(
+    cand = split_join(pos, with_neighbours(boxes, radius_arcsec), CELL).select(
         "ra", "dec", *by, *sub, "_n", "_v", F.expr(f"{BOX_NEAR} AS _near"), F.expr(f"{BOX_FAR} AS _far")
     )
     limit = _chord(radius_arcsec) ** 2
@@ -233,16 +244,16 @@ def representatives(spots: DataFrame, radius_arcsec: float, tile: int = TILE, mo
     while not open_.isEmpty():
         new, crowded = _resolve_tiles(open_, radius_arcsec, tile, rounds * (tile // 3), most)
         if crowded or new.isEmpty():
-            new = cut_lineage(new.unionByName(_first_of_cells(open_)).dropDuplicates(["_o"]))
+            new = cut_lineage(new.unionByName(_first_of_cells(open_, radius_arcsec)).dropDuplicates(["_o"]))
         reps, rounds = new if reps is None else reps.unionByName(new), rounds + 1
         covered = _covered(open_, new, radius_arcsec).select("ra", "dec").distinct()
         open_ = cut_lineage(split_join(open_, covered, ["ra", "dec"], "left_anti"))
     return reps, rounds
 
 
-def _first_of_cells(open_: DataFrame) -> DataFrame:
+def _first_of_cells(open_: DataFrame, radius_arcsec: float) -> DataFrame:
     first = open_.groupBy(*CELL).agg(F.min("_o").alias("_o"))
-    around = with_neighbours(first).groupBy(*CELL).agg(F.min("_o").alias("_lowest"))
+    around = with_neighbours(first, radius_arcsec).groupBy(*CELL).agg(F.min("_o").alias("_lowest"))
     chosen = split_join(first, around, CELL).where(F.col("_o") == F.col("_lowest")).select("_o")
     return split_join(open_, chosen, ["_o"], "left_semi")
 
@@ -290,7 +301,7 @@ def _separation(ra1, dec1, ra2, dec2) -> float:
 
 def _covered(rows: DataFrame, reps: DataFrame, radius_arcsec: float) -> DataFrame:
     """Rows strictly within the radius of a representative, with its order as ``_rep``."""
-    centres = with_neighbours(reps.select("ra", "dec", "_o", *CELL)).select(
+    centres = with_neighbours(reps.select("ra", "dec", "_o", *CELL), radius_arcsec).select(
         *CELL, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), F.col("_o").alias("_rep")
     )
     near = split_join(rows, centres, CELL)
