@@ -109,3 +109,43 @@ def test_many_texts_under_one_id(spark, make_docs, shared):
         took.append(time.time() - start)
     assert got[0] == got[1] == sorted((r[1:] for r in brute(own, 200)), key=repr)
     assert took[1] < 3 * took[2] + 5, took
+
+
+def common_passage(n, size):
+    """Documents of their own words around one passage."""
+    rng = random.Random(size)
+    passage = prose(rng, size)
+    return [(i, prose(rng, 210) + passage + prose(rng, 210)) for i in range(n)]
+
+
+def test_rows_grow_with_documents(make_docs, monkeypatch):
+    """A group that gets above the limit makes no more rows of each context."""
+    written, stage = [], substrings.stage
+
+    def counting(df):
+        out = stage(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "stage", counting)
+    took = []
+    for n in (80, 400):
+        rows = common_passage(n, 150)
+        written.clear()
+        assert as_rows(substrings.dedup_substrings(make_docs(rows), limit=100)) == brute(rows, 200)
+        took.append(sum(written))
+    assert 0 < took[1] <= 5.5 * took[0], took
+
+
+@pytest.mark.parametrize("size", [190, 260])
+def test_crowded_parts(make_docs, size):
+    rows = common_passage(60, size)
+    rows += [(100 + i, rows[i][1][: 200 + i % 7] + "é" + rows[i + 1][1][190:]) for i in range(30)]
+    assert as_rows(substrings.dedup_substrings(make_docs(rows), limit=5)) == brute(rows, 200)
+
+
+def test_each_window_is_in_one_context():
+    for raw in (prose(random.Random(3), 5000).encode(), b"ab" * 700, b"z" * 900, b"z" * 200, b"z" * 199):
+        places, _, first, last = substrings.anchors(raw, 200)
+        assert [w for a, b in zip(first, last) for w in range(a, b + 1)] == list(range(max(len(raw) - 199, 0)))
+        assert ((first <= last) & (places >= last) & (places + substrings.ANCHOR <= first + 200)).all()

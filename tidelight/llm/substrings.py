@@ -4,18 +4,20 @@ A string counts as repeated if it also starts anywhere else, in another document
 one, overlaps included. The work is done where strings can repeat at all:
 
 1. Anchors. Of all 64-byte hashes inside a window of ``length`` bytes the least is its anchor, so
-   equal windows have equal anchors. An anchor stands for its context: all windows it lies in,
-   at most ``length`` bytes less the anchor on either side. Only anchors met twice go on.
+   equal windows have equal anchors, at the same place inside. An anchor stands for its context: the windows
+   that choose it, which follow each other. Each window is in one context. Only anchors met twice go on.
 2. Contexts that are equal as a whole are repeated as a whole and folded into one.
-3. Contexts that share an anchor and differ are compared by suffix arrays, built by induced
-   sorting over the contexts of a shard (see ``suffixarray``): a window is repeated if
+3. Contexts that share an anchor and differ are cut into pieces, by where the anchor lies in a window.
+   All windows of a piece hold its core, a window less an eighth of ``length - 64`` bytes.
+   Pieces that are equal as a whole are folded; only those that share a core with others and differ go on.
+4. Pieces that share a core are compared by suffix arrays, built by induced
+   sorting over the pieces of a shard (see ``suffixarray``): a window is repeated if
    its permuted common prefix with a neighbour has ``length`` bytes and its run of such
    neighbours holds two places of the corpus.
 
-A shard holds whole groups of contexts with a common anchor. A group above ``group_limit``
-contexts is split without loss: a window that holds the anchor also holds half of what it lacks to its left or half
-to its right, so the group is divided by the anchor extended to the left and, once more, by the
-anchor extended to the right, until groups are small or the extended anchor is a whole window.
+Each context gives about nine pieces at most, whatever else there is, so rows grow as the text does. A shard holds
+whole groups of pieces with a common core. Of a group above ``group_limit`` pieces the windows, of which a piece has
+an eighth of ``length - 64`` at most, are counted by a hash.
 
 Requests and spans of a document are joined to its text, alike at every size. Documents are known by id and hash of the text, so rows that
 agree in both are copies of each other, and both are repeated.
@@ -65,9 +67,9 @@ def _hashes(b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all windows."""
-    at, hashes = [], []
+def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of all windows, first and last window of each."""
+    at, hashes, begins, ends = [], [], [], []
     w = length - ANCHOR + 1
     for start in range(0, len(raw) - length + 1, CHUNK):
         h = _hashes(np.frombuffer(raw, np.uint8, min(CHUNK + length - 1, len(raw) - start), start))
@@ -80,31 +82,37 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
         upto = np.minimum.accumulate(grid, axis=1).ravel()
         onward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(onward[: len(keys) - w + 1], upto[w - 1 : len(keys)])
-        places = np.unique(least & _LOW).astype(np.int64)
+        least = (least & _LOW).astype(np.int64)
+        # of equal hashes the first is taken, so an anchor's windows follow each other
+        begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        places = least[begin]
         at.append(places + start)
         hashes.append(h[places])
+        begins.append(begin + start)
+        ends.append(np.append(begin[1:], len(least)) - 1 + start)
     if not at:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    places, first = np.unique(np.concatenate(at), return_index=True)
-    return places, np.concatenate(hashes)[first]
+        none = np.empty(0, np.int64)
+        return none, np.empty(0, np.uint64), none, none
+    # an anchor of two chunks is one
+    at, ends = np.concatenate(at), np.concatenate(ends)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[first], np.concatenate(hashes)[first], np.concatenate(begins)[first], ends[np.append(first[1:], len(at)) - 1]
 
 
 def _occurrences(docs: DataFrame, length: int, with_context: bool) -> DataFrame:
     """anchor, and with contexts also context, doc, key, loc (place, bytes to its left and right)."""
-    side = length - ANCHOR
-
     @collector_off
     def run(batches):
         for batch in batches:
             out = [[], [], [], [], []]
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (text or "").encode()
-                places, hashes = anchors(raw, length)
+                places, hashes, lo, hi = anchors(raw, length)
                 if not len(places):
                     continue
                 out[0].append(hashes.view(np.int64))
                 if with_context:
-                    lo, hi = np.maximum(places - side, 0), np.minimum(places + length, len(raw))
+                    hi = hi + length
                     digest = xxhash.xxh3_64_intdigest
                     out[1].append(np.array([digest(raw[a:b]) for a, b in zip(lo.tolist(), hi.tolist())], np.uint64).view(np.int64))
                     out[2].append(np.full(len(places), doc, np.int64))
@@ -148,35 +156,70 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage(met.mapInArrow(run, "anchor long, n long, doc long, key long, start long, at long, bytes binary"))
 
 
-def _shards(contexts: DataFrame, length: int, limit: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Contexts with the group they belong to, and spans of groups that share a whole window."""
-    size, rows = ANCHOR, contexts.select(F.col("anchor").alias("part"), "doc", "key", "start", "at", "bytes", F.lit(ANCHOR).alias("size"))
-    small, spans = [], []
-    while True:
-        counts = stage(rows.groupBy("part").agg(F.count("*").alias("rows")).where("rows > 1"))
-        if size >= length:
-            shared = rows.join(counts, "part")
-            spans.append(shared.select("doc", "key", (F.col("start") + F.col("at")).alias("a"), (F.col("start") + F.col("at") + length).alias("b")))
-            break
-        small.append(rows.join(counts.where(F.col("rows") <= limit), "part").select("part", "doc", "key", "start", "bytes"))
-        hot = counts.where(F.col("rows") > limit)
-        if hot.isEmpty():
-            break
-        more = -(-(length - size) // 2)
-        rows = rows.join(hot, "part").drop("rows")
-        # both ways an anchor can grow; a context that is too short that way has no such window
-        ways = F.array(F.struct((F.col("at") - more).alias("at")), F.struct(F.col("at").alias("at")))
-        rows = rows.select("doc", "key", "start", "bytes", F.explode(ways).alias("way")).select("doc", "key", "start", "bytes", "way.at")
-        size += more
-        rows = rows.where((F.col("at") >= 0) & (F.col("at") + size <= F.octet_length("bytes")))
-        rows = rows.withColumn("part", F.xxhash64(F.lit(size), F.substring("bytes", F.col("at") + 1, F.lit(size))))
-        # a place that several ways lead to counts once
-        rows = rows.withColumn("place", F.col("start") + F.col("at")).dropDuplicates(["part", "doc", "key", "place"])
-        rows = stage(rows.drop("place"))
-    out = small[0]
-    for s in small[1:]:
-        out = out.unionByName(s)
-    return out, spans
+def _pieces(contexts: DataFrame, length: int) -> DataFrame:
+    """part, piece, n, doc, key, start, at (in the context), size of the pieces of contexts, written.
+
+    The anchor lies ``left`` bytes into a window, alike in equal windows. Windows with ``left`` in one range
+    make a piece; what all of the range hold is its core, which names its part."""
+    width = max((length - ANCHOR + 1) // 8, 1)
+
+    @collector_off
+    def run(batches):
+        names = ["part", "piece", "n", "doc", "key", "start", "at", "size"]
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            hashes, rest = [], []
+            for anchor, n, doc, key, start, at, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                seed = anchor & (2**64 - 1)
+                for r in range((at - len(raw) + length) // width, at // width + 1):
+                    a, b = max(at - r * width - width + 1, 0), min(at - r * width + length, len(raw))
+                    core = at - r * width
+                    hashes.append((digest(raw[core : core + length - width + 1], seed ^ r), digest(raw[a:b])))
+                    rest.append((n, doc, key, start, a, b - a))
+            if rest:
+                cols = [*np.array(hashes, np.uint64).view(np.int64).T, *np.array(rest, np.int64).T]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
+
+    return stage(contexts.select("anchor", "n", "doc", "key", "start", "at", "bytes").mapInArrow(
+        run, "part long, piece long, n long, doc long, key long, start long, at long, size long"))
+
+
+def _with_bytes(pieces: DataFrame, contexts: DataFrame) -> DataFrame:
+    """part, doc, key, start, bytes of pieces."""
+    met = pieces.join(contexts.select("doc", "key", "start", "bytes"), ["doc", "key", "start"])
+    return met.select("part", "doc", "key", (F.col("start") + F.col("at")).alias("start"),
+                      F.expr("substring(bytes, int(at) + 1, int(size))").alias("bytes"))
+
+
+def _crowded_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """doc, key, a, b of the windows of pieces that repeat inside their part, by hashes."""
+
+    @collector_off
+    def run(batches):
+        names = ["part", "hash", "doc", "key", "a"]
+        for batch in batches:
+            part, doc, key, start, raws = (c.to_pylist() for c in batch.columns)
+            if not raws:
+                continue
+            found = [_key(raw[i : i + length]) for raw in raws for i in range(len(raw) - length + 1)]
+            counts = np.array([len(raw) - length + 1 for raw in raws])
+            offset = np.arange(len(found)) - np.repeat(np.cumsum(counts) - counts, counts)
+            rows = [np.repeat(np.array(c, np.int64), counts) for c in (part, doc, key, start)]
+            cols = [rows[0], np.array(found, np.int64), rows[1], rows[2], rows[3] + offset]
+            yield pa.record_batch([pa.array(c) for c in cols], names=names)
+
+    windows = stage(pieces.select("part", "doc", "key", "start", "bytes").mapInArrow(run, "part long, hash long, doc long, key long, a long"))
+    twice = windows.groupBy("part", "hash").agg(F.count("*").alias("n")).where("n > 1").select("part", "hash")
+    return windows.join(twice, ["part", "hash"]).select("doc", "key", "a", (F.col("a") + length).alias("b"))
+
+
+def _folded(rows: DataFrame, group: str, whole: str, *place: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows that stand for ``n`` places: those equal as a whole to another of their group, and what has to be compared,
+    one row for each whole of the groups where wholes differ and one has one place, with the number of ``wholes``."""
+    folded = stage(rows.groupBy(group, whole).agg(F.sum("n").alias("n"), F.min(F.struct(*place)).alias("r")))
+    copied = rows.where("n = 1").join(folded.where("n > 1").select(group, whole), [group, whole])
+    mixed = folded.groupBy(group).agg(F.count("*").alias("wholes"), F.min("n").alias("least")).where("wholes > 1 AND least = 1")
+    return copied, folded.join(mixed.select(group, "wholes"), group).select(group, "wholes", "n", "r.*")
 
 
 def _window_hashes(b: np.ndarray, length: int) -> np.ndarray:
@@ -236,11 +279,11 @@ def repeated_windows(rows: list[tuple], length: int) -> list[tuple]:
     sizes = np.array([len(r[2]) for r in whole])
     ends = np.cumsum(sizes + 1)
     # separators are 1, bytes from 2 on, and the last symbol is 0
-    t = np.ones(int(ends[-1]) + 1, np.int64)
+    t = np.ones(int(ends[-1]) + 1, np.int16)
     body = np.ones(len(t), bool)
     body[ends - 1] = False
     body[-1] = False
-    t[body] = np.frombuffer(b"".join(r[2] for r in whole), np.uint8).astype(np.int64) + 2
+    t[body] = np.frombuffer(b"".join(r[2] for r in whole), np.uint8).astype(np.int16) + 2
     t[-1] = 0
     sa = suffix_array(t, len(t))  # the prefixes below are those of the exact order
     lcp = permuted_lcp(t, sa, length)[sa]
@@ -269,16 +312,17 @@ def repeated_spans(docs: DataFrame, length: int, limit: int = GROUP_LIMIT) -> Da
     spark = docs.sparkSession
     twice = _occurrences(docs, length, False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     found = stage(_occurrences(docs, length, True).join(twice, "anchor"))
-    folded = stage(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "loc")).alias("r")))
-    copied = found.join(folded.where("n > 1").select("anchor", "context"), ["anchor", "context"])
+    copied, wanted = _folded(found.withColumn("n", F.lit(1)), "anchor", "context", "doc", "key", "loc")
     spans = copied.select("doc", "key", _low().alias("a"), _high().alias("b"))
-    # anchors with different contexts, one of them met once
-    mixed = folded.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 AND least = 1")
-    wanted = folded.join(mixed, "anchor", "left_semi").select("anchor", "n", "r.doc", "r.key", "r.loc")
     contexts = _contexts(docs, wanted)
-    shards, shared = _shards(contexts, length, limit)
-    for s in shared:
-        spans = spans.unionByName(s)
+    copied, wanted = _folded(_pieces(contexts, length), "part", "piece", "doc", "key", "start", "at", "size")
+    low = F.col("start") + F.col("at")
+    spans = spans.unionByName(copied.select("doc", "key", low.alias("a"), (low + F.col("size")).alias("b")))
+    wanted = stage(wanted)
+    crowded = wanted.where(F.col("wholes") > limit)
+    if not crowded.isEmpty():
+        spans = spans.unionByName(_crowded_spans(_with_bytes(crowded, contexts), length))
+    shards = _with_bytes(wanted.where(F.col("wholes") <= limit), contexts)
     dealt = shards.repartition(partitions(spark), "part").sortWithinPartitions("part")
 
     @collector_off

@@ -100,7 +100,7 @@ def _rank(names: np.ndarray, span: int, depth: int) -> np.ndarray:
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``t`` in order as far as ``depth`` symbols tell; its last symbol is its least and stands nowhere else."""
-    t = np.asarray(t, np.int64)
+    t = np.asarray(t)
     if len(t) < 2:
         return np.arange(len(t))
     is_s = s_types(t)
