@@ -41,6 +41,60 @@ def test_crowded_cone_matches_brute_force(spark, spread):
     assert agg == {(p[i, 0], p[i, 1]): near[i] for i in range(150) if near[i]}
 
 
+def shuffled(df):
+    """Rows that the shuffles of a plan wrote."""
+    df.collect()
+
+    def walk(node):
+        kind, inner = node.getClass().getSimpleName(), None
+        if kind == "ReusedExchangeExec":
+            return 0
+        if kind == "AdaptiveSparkPlanExec":
+            inner = node.executedPlan()
+        elif kind.endswith("QueryStageExec"):
+            inner = node.plan()
+        own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        children = node.children()
+        below = [inner] if inner is not None else [children.apply(i) for i in range(children.size())]
+        return own + sum(walk(x) for x in below)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_aggregate_shuffles_a_catalog_row_once(spark):
+    rng = np.random.default_rng(5)
+    ra, dec = rng.uniform(0, 360, 200), rng.uniform(-80, 80, 200)
+    k, step = np.repeat(np.arange(200), 40), np.tile(np.arange(40), 200)
+    pts = frame(spark, ra, dec, row_idx=range(200))
+    cat = frame(spark, ra[k], dec[k] + step * 0.21 * AS, flux=rng.uniform(0, 1, len(k)), archive=np.array(list("ANR"))[step % 3])
+    agg = sky.cone_aggregate(pts, cat, 5.0, "flux", by=["archive"])
+    assert shuffled(agg) < 1.6 * len(k)
+    want = (sep(ra[k], dec[k], ra[k], dec[k] + step * 0.21 * AS) <= 5.0).sum()
+    assert sum(r.n_in_cone for r in agg.collect()) == want
+
+
+@pytest.mark.parametrize("crowd", [0, 5, 256])
+@pytest.mark.parametrize("at", [(40.0, 60.0), (0.0, 0.0), (120.0, 89.9995)])
+def test_aggregate_by_pairs_and_by_sub_cells_is_the_same(spark, crowd, at):
+    rng = np.random.default_rng(8)
+    p, c = rng.normal(0, 9.0, (80, 2)) * AS, rng.normal(0, 9.0, (300, 2)) * AS
+    p[40:], c[150:200] = p[40:] * 20, c[0]  # half of the points apart, copies of a row
+    p, c = p + at, c + at
+    p[:, 0], c[:, 0] = p[:, 0] % 360, c[:, 0] % 360
+    kind, v = rng.choice(["x", "y", None], 300), rng.uniform(0, 1, 300)
+    pts = frame(spark, [*p[:, 0], *p[:5, 0], None], [*p[:, 1], *p[:5, 1], 1.0])
+    cat = spark.createDataFrame([(*map(float, x), k, float(y) if i % 7 else None) for i, (x, k, y) in enumerate(zip(c, kind, v))], "ra double, dec double, kind string, v double")
+    got = {(r.ra, r.dec, r.kind): (r.n_in_cone, r.max_value) for r in sky.cone_aggregate(pts, cat, 5.0, "v", by=["kind"], crowd=crowd).collect()}
+    near = sep(p[:, None, 0], p[:, None, 1], c[None, :, 0], c[None, :, 1]) <= 5
+    want = {}
+    for i in range(len(p)):
+        for k in ("x", "y", None):
+            met = [j for j in np.flatnonzero(near[i]) if kind[j] == k]
+            if met:
+                want[p[i, 0], p[i, 1], k] = (len(met), max((v[j] for j in met if j % 7), default=None))
+    assert len(want) > 40 and got == want
+
+
 def greedy(ra, dec, cat, radius):
     used, out = np.zeros(len(ra), bool), {}
     for i in range(len(ra)):

@@ -2,7 +2,8 @@
 
 Positions become unit vectors in cubic cells as wide as the chord of the search radius,
 so poles and the RA wrap need no special case. Equal positions are collapsed before any
-join: a group of copies is matched once, whatever its size. Cell joins are left to the
+join: a group of copies is matched once, whatever its size; only the catalog rows of an aggregate
+go to the join as they are, where each meets a bounded number of positions. Cell joins are left to the
 adaptive skew split, which divides the points of a crowded cell over tasks; salting here
 would replicate the catalog, whose rows are already repeated for the neighbouring cells.
 """
@@ -19,12 +20,15 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import separation_sql
 from ..session import cut_lineage
-from .skew import split_join
+from .skew import join_small, split_join
 
 CELL = ["_cx", "_cy", "_cz"]
 SUB = ["_sx", "_sy", "_sz"]
 #: Cells on a side of a tile that one task resolves, and the most positions it takes.
 TILE, TILE_ROWS = 4096, 50_000
+#: Cells of an aggregate: the least width, at which three numbers of 21 bits name a cell, and the most positions in
+#: one that are compared with every catalog row near them.
+LEAST_WIDTH, CROWD = 2.0**-19, 256
 
 
 def _chord(radius_arcsec: float) -> float:
@@ -68,12 +72,14 @@ def with_neighbours(df: DataFrame, radius_arcsec: float, names: Sequence[str] =
     )
     rest = [c for c in df.columns if c not in names]
     moved = [f"{n} + _off.{f} AS {n}" for n, f in zip(names, "abc")]
+    return df.selectExpr("*", f"explode(array({steps})) AS _off").selectExpr(*rest, *moved).where(_on_sphere(names, _width(radius_arcsec)))
+
+
+def _on_sphere(names: Sequence[str], width: float) -> str:
     # squared distance of the centre of the sphere to the nearest and to the farthest point of a cell
-    width = _width(radius_arcsec)
     near = " + ".join(f"pow(greatest({n}, -({n} + 1), 0) * {width!r}D, 2)" for n in names)
     far = " + ".join(f"pow(greatest(abs({n}), abs({n} + 1)) * {width!r}D, 2)" for n in names)
-    return df.selectExpr("*", f"explode(array({steps})) AS _off").selectExpr(*rest, *moved).where(
-        f"{near} <= 1.0D + 1e-12D AND {far} >= 1.0D - 1e-12D")
+    return f"{near} <= 1.0D + 1e-12D AND {far} >= 1.0D - 1e-12D"
 
 
 def _distinct_positions(df: DataFrame) -> DataFrame:
@@ -163,38 +169,86 @@ def cone_join(
 
 
 def cone_aggregate(
-    points: DataFrame, catalog: DataFrame, radius_arcsec: float, value: str, by: Sequence[str] = ()
+    points: DataFrame, catalog: DataFrame, radius_arcsec: float, value: str, by: Sequence[str] = (), crowd: int = CROWD
 ) -> DataFrame:
     """Per distinct position (and ``by``): catalog rows in the cone and their largest ``value``.
 
+    The catalog is shuffled once, by cells two radii wide that one number names; only positions are repeated, for
+    the few cells their cones reach. Positions in a cell of more than ``crowd`` go by :func:`_crowded_aggregate`,
+    so that a catalog row never meets more than a fixed number of positions one by one.
+    """
+    by = list(by)
+    width = max(2.0 * _width(radius_arcsec), LEAST_WIDTH)
+    rows = _with_cell_number(catalog.where(F.col("ra").isNotNull() & F.col("dec").isNotNull()), width).select(
+        "_cell", F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), *by, F.col(value).alias("_v")
+    )
+    pos = _with_cell_number(_distinct_positions(points), width)
+    full = pos.groupBy("_cell").agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select("_cell")
+    if full.isEmpty():
+        return _paired_aggregate(pos, rows, radius_arcsec, width, by)
+    few = _paired_aggregate(split_join(pos, full, ["_cell"], "left_anti"), rows, radius_arcsec, width, by)
+    return few.unionByName(_crowded_aggregate(split_join(pos, full, ["_cell"], "left_semi"), rows, radius_arcsec, width, by))
+
+
+def _paired_aggregate(pos: DataFrame, rows: DataFrame, radius_arcsec: float, width: float, by: Sequence[str]) -> DataFrame:
+    """:func:`cone_aggregate` by all pairs of a position and a row of the cells it reaches."""
+    reached = _reached_cells(pos, radius_arcsec, width).select("_cell", "ra", "dec")
+    pairs = split_join(rows, reached, ["_cell"]).where(f"{SEP} <= {radius_arcsec!r}D")
+    return pairs.groupBy("ra", "dec", *by).agg(F.count("*").alias("n_in_cone"), F.max("_v").alias("max_value"))
+
+
+def _crowded_aggregate(pos: DataFrame, rows: DataFrame, radius_arcsec: float, width: float, by: Sequence[str]) -> DataFrame:
+    """:func:`cone_aggregate` where many positions are close together.
+
     Equal catalog positions are folded into one weighted row. Sub-cells that lie inside the
     cone count as a whole; only the rows of those cut by its edge are looked at one by one.
     """
-    by = list(by)
-    sub = ["_sx", "_sy", "_sz"]
-    rows = catalog.where(F.col("ra").isNotNull() & F.col("dec").isNotNull()).groupBy("ra", "dec", *by).agg(
-        F.count("*").alias("_n"), F.max(value).alias("_v")
+    reached = _reached_cells(pos, radius_arcsec, width)
+    met = join_small(rows, reached.select("_cell").distinct(), ["_cell"], "left_semi")
+    # a struct is equal to another with NULL in the same place
+    kind = F.struct(*by) if by else F.lit(True)
+    folded = met.groupBy("_cell", F.col("_ra").alias("ra"), F.col("_dec").alias("dec"), kind.alias("_by")).agg(
+        F.count("*").alias("_n"), F.max("_v").alias("_v")
     )
-    rows = with_cell(with_cell(rows, radius_arcsec), radius_arcsec / 8.0, sub)
-    rows = with_vector(rows, "_")
-    boxes = rows.groupBy(*CELL, *sub, *by).agg(
+    key = ["_cell", *SUB, "_by"]
+    folded = with_vector(with_cell(folded, radius_arcsec / 8.0, SUB), "_")
+    boxes = folded.groupBy(*key).agg(
         *[F.expr(f"{fn}(_{a}) AS _{a}{i}") for a in "xyz" for i, fn in enumerate(("min", "max"))],
         F.sum("_n").alias("_n"), F.max("_v").alias("_v"),
     )
-    pos = with_cell(_distinct_positions(points), radius_arcsec)
-    pos = with_vector(pos, "_p")
-    cand = split_join(pos, with_neighbours(boxes, radius_arcsec), CELL).select(
-        "ra", "dec", *by, *sub, "_n", "_v", F.expr(f"{BOX_NEAR} AS _near"), F.expr(f"{BOX_FAR} AS _far")
+    cand = split_join(reached, boxes, ["_cell"]).select(
+        "ra", "dec", *key, "_n", "_v", F.expr(f"{BOX_NEAR} AS _near"), F.expr(f"{BOX_FAR} AS _far")
     )
     limit = _chord(radius_arcsec) ** 2
     inner, outer = limit * (1 - 1e-7), limit * (1 + 1e-7)
-    whole = cand.where(F.col("_far") < inner).select("ra", "dec", *by, "_n", "_v")
-    edge = cand.where((F.col("_far") >= inner) & (F.col("_near") <= outer)).select("ra", "dec", *by, *sub)
-    members = rows.select(*by, *sub, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_n", "_v")
-    single = split_join(edge, members, [*by, *sub]).where(f"{SEP} <= {radius_arcsec!r}D")
-    return whole.unionByName(single.select("ra", "dec", *by, "_n", "_v")).groupBy("ra", "dec", *by).agg(
-        F.sum("_n").alias("n_in_cone"), F.max("_v").alias("max_value")
-    )
+    whole = cand.where(F.col("_far") < inner).select("ra", "dec", "_by", "_n", "_v")
+    edge = cand.where((F.col("_far") >= inner) & (F.col("_near") <= outer)).select("ra", "dec", *key)
+    members = folded.select(*key, F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "_n", "_v")
+    single = split_join(edge, members, key).where(f"{SEP} <= {radius_arcsec!r}D").select("ra", "dec", "_by", "_n", "_v")
+    out = whole.unionByName(single).groupBy("ra", "dec", "_by").agg(F.sum("_n").alias("n_in_cone"), F.max("_v").alias("max_value"))
+    return out.select("ra", "dec", *[F.col(f"_by.{c}").alias(c) for c in by], "n_in_cone", "max_value")
+
+
+def _with_cell_number(df: DataFrame, width: float) -> DataFrame:
+    return df.selectExpr("*", f"{_cell_number(*[f'floor(({e}) / {width!r}D)' for e in XYZ.values()])} AS _cell")
+
+
+def _cell_number(x: str, y: str, z: str) -> str:
+    # cells of LEAST_WIDTH or more are at most 2^19 away from the centre
+    return f"((({x}) + 1048576L) * 2097152L + ({y}) + 1048576L) * 2097152L + ({z}) + 1048576L"
+
+
+def _reached_cells(pos: DataFrame, radius_arcsec: float, width: float) -> DataFrame:
+    """One row per cell of the sphere that the cone of a position reaches: ra, dec, its vector and ``_cell``."""
+    # a hair more than the chord, so that rounding never takes a cell away
+    reach = _chord(radius_arcsec) * (1 + 1e-7) + 1e-15
+    df = with_vector(pos.select("ra", "dec"), "_p")
+    for a in "xyz":
+        ends = [f"floor((_p{a} {sign} {reach!r}D) / {width!r}D)" for sign in "-+"]
+        df = df.selectExpr("*", f"explode(sequence({', '.join(ends)})) AS _c{a}")
+    near = " + ".join(f"pow(greatest(_c{a} * {width!r}D - _p{a}, _p{a} - (_c{a} + 1) * {width!r}D, 0.0D), 2)" for a in "xyz")
+    df = df.where(f"{near} <= {reach**2!r}D AND {_on_sphere(CELL, width)}")
+    return df.selectExpr("ra", "dec", "_px", "_py", "_pz", f"{_cell_number(*CELL)} AS _cell")
 
 
 def greedy_dedup(rows: DataFrame, radius_arcsec: float, order: str, label: str) -> DataFrame:
